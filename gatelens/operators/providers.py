@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions import derive
+from gatelens.operators.running import int_div, running
 
 
 def with_names(providers: DataFrame) -> DataFrame:
@@ -22,8 +23,13 @@ def with_names(providers: DataFrame) -> DataFrame:
 def ranked_providers(providers: DataFrame) -> DataFrame:
     """Providers of each type in priority order; equal priorities keep their position in the configuration."""
     named = providers if "provider" in providers.columns else with_names(providers)
-    in_order = Window.partitionBy("provider_type").orderBy("priority", "position")
-    return named.withColumn("rank", F.row_number().over(in_order))
+    return running(
+        named,
+        ["provider_type"],
+        ["priority", "position"],
+        int_div(F.col("priority"), 1024),
+        {"rank": ("sum", F.lit(1).cast("bigint"))},
+    )
 
 
 def priority_of(providers: DataFrame, names: DataFrame) -> DataFrame:
