@@ -21,7 +21,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelens.operators.facts import terminals
+from gatelens.functions import derive
+from gatelens.operators.facts import attempts_finished, terminals
 from gatelens.operators.reports import ts_literal
 from gatelens.operators.running import int_div, running, time_slice
 
@@ -36,18 +37,30 @@ CHUNK = 4096  # ranks per chunk, and chunks per group
 RATE_LIMITED, SUCCESS, OTHER = "rate_limited", "success", "other"
 
 
+def keys_of(df: DataFrame) -> list[str]:
+    """A provider is known by its name, and by its type too where the table has one (every type has its own router)."""
+    return [c for c in ("provider_type", "provider") if c in df.columns]
+
+
 def as_us(column: Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
+SEQ_RANGE = str(10**19)  # above any sequence number
+
+
+def order_key_us(us: Column, seq: Column) -> Column:
+    """(microseconds, seq) as one exact number that sorts the same way."""
+    shifted = us.cast("decimal(18,0)") * F.lit(SEQ_RANGE).cast("decimal(20,0)")
+    return (shifted + seq.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def outcomes(events: DataFrame, reset_on: Column | None = None) -> DataFrame:
-    """Provider outcomes in log order: ``provider, ts, seq, outcome``.
+    """Provider outcomes in log order: ``provider_type, provider, ts, seq, outcome``.
 
     By default a success counts as a reset only if it is a non-streaming chat response; ``reset_on`` replaces that
     test (columns ``stream``, ``is_count_tokens``). The stream flag comes from the request event.
     """
-    from gatelens.operators.facts import attempts_finished
-
     if reset_on is None:
         reset_on = ~F.coalesce("stream", F.lit(False)) & ~F.col("is_count_tokens")
     outcome = (
@@ -56,7 +69,11 @@ def outcomes(events: DataFrame, reset_on: Column | None = None) -> DataFrame:
         .otherwise(OTHER)
     )
     return attempts_finished(events).select(
-        "provider", F.col("end_ts").alias("ts"), F.col("end_seq").alias("seq"), outcome.alias("outcome")
+        derive.provider_type(F.col("endpoint")).alias("provider_type"),
+        "provider",
+        F.col("end_ts").alias("ts"),
+        F.col("end_seq").alias("seq"),
+        outcome.alias("outcome"),
     )
 
 
@@ -67,7 +84,7 @@ def rate_limited_events(events: DataFrame) -> DataFrame:
 
 def _marks(outcomes_: DataFrame) -> DataFrame:
     return outcomes_.filter(F.col("outcome").isin(RATE_LIMITED, SUCCESS)).select(
-        "provider",
+        *keys_of(outcomes_),
         as_us(F.col("ts")).alias("us"),
         "seq",
         (F.col("outcome") == RATE_LIMITED).cast("bigint").alias("limited"),
@@ -76,20 +93,21 @@ def _marks(outcomes_: DataFrame) -> DataFrame:
 
 def _hot_chunks(marks: DataFrame, k: int, window_us: int, slice_s: int, chunk: int) -> DataFrame:
     """Per (provider, chunk) the hot rate limits in rank order, at most ``chunk`` of them."""
+    keys = keys_of(marks)
     ranked = (
         running(
             marks,
-            ["provider"],
+            keys,
             ["us", "seq"],
             time_slice("us", slice_s),
             {"n": ("sum", F.col("limited")), "resets": ("sum", 1 - F.col("limited"))},
         )
         .filter("limited = 1")
-        .select("provider", "us", "seq", (F.col("n") - 1).alias("rank"), "resets")
+        .select(*keys, "us", "seq", (F.col("n") - 1).alias("rank"), "resets")
     )
     home = int_div(F.col("rank"), chunk)
     overlap = F.when(F.col("rank") % chunk > chunk - k, F.array(home, home + 1)).otherwise(F.array(home))
-    by_rank = Window.partitionBy("provider", "chunk").orderBy("rank")
+    by_rank = Window.partitionBy(*keys, "chunk").orderBy("rank")
     neighbours = ranked.select("*", F.explode(overlap).alias("chunk")).withColumns(
         {
             "us_k": F.lag("us", k - 1).over(by_rank),
@@ -101,7 +119,7 @@ def _hot_chunks(marks: DataFrame, k: int, window_us: int, slice_s: int, chunk: i
         & (F.col("resets_k") == F.col("resets"))
         & (F.col("us") - F.col("us_k") <= window_us)
     )
-    return hot.groupBy("provider", "chunk").agg(
+    return hot.groupBy(*keys, "chunk").agg(
         F.array_sort(F.collect_list(F.struct("rank", "us", "seq"))).alias("hot")
     )
 
@@ -121,8 +139,9 @@ def _walk(cells: str, first: str, entry: str) -> str:
 
 
 def _entry_states(maps: DataFrame, k: int, fan: int) -> DataFrame:
-    """Entry state of every chunk from the maps ``provider, idx, exit``, in two levels of bounded arrays."""
-    groups = maps.groupBy("provider", int_div(F.col("idx"), fan).alias("grp")).agg(
+    """Entry state of every chunk from the maps ``(provider keys), idx, exit``, in two levels of bounded arrays."""
+    keys = keys_of(maps)
+    groups = maps.groupBy(*keys, int_div(F.col("idx"), fan).alias("grp")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "exit"))).alias("cells")
     )
     # state leaving the group for each entry state
@@ -131,15 +150,15 @@ def _entry_states(maps: DataFrame, k: int, fan: int) -> DataFrame:
               w -> if(w.nxt = (grp + 1) * {fan}L, w.state, 0L))[0])"""
     )
     per_provider = (
-        groups.select("provider", F.col("grp").alias("idx"), leave.alias("exit"))
-        .groupBy("provider")
+        groups.select(*keys, F.col("grp").alias("idx"), leave.alias("exit"))
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("idx", "exit"))).alias("cells"))
     )
-    group_entry = per_provider.select("provider", F.expr(f"inline({_walk('cells', '-1L', '0L')}.seen)")).select(
-        "provider", F.col("idx").alias("grp"), F.col("entry").alias("grp_entry")
+    group_entry = per_provider.select(*keys, F.expr(f"inline({_walk('cells', '-1L', '0L')}.seen)")).select(
+        *keys, F.col("idx").alias("grp"), F.col("entry").alias("grp_entry")
     )
-    return groups.join(group_entry, ["provider", "grp"]).select(
-        "provider", F.expr(f"inline({_walk('cells', f'grp * {fan}L', 'grp_entry')}.seen)")
+    return groups.join(group_entry, [*keys, "grp"]).select(
+        *keys, F.expr(f"inline({_walk('cells', f'grp * {fan}L', 'grp_entry')}.seen)")
     )
 
 
@@ -151,13 +170,14 @@ def triggers(
     slice_s: int = SLICE_S,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Cooldown starts: ``provider, us, seq, rank`` (rank = number of the rate limit that started it, from 0).
+    """Cooldown starts: provider keys and ``us, seq, rank`` (rank = number of the rate limit that started it, from 0).
 
     A limit exactly ``window_s`` old still counts. Equal times are ordered by ``seq``.
     """
     k = threshold
     if k < 1 or chunk < k:
         raise ValueError("threshold must be at least 1 and at most the chunk length")
+    keys = keys_of(outcomes_)
     hot = _hot_chunks(_marks(outcomes_), k, window_s * 1_000_000, slice_s, chunk)
     # first free rank after the chunk's picks, for each number of blocked ranks at its start
     exits = F.expr(
@@ -165,7 +185,7 @@ def triggers(
               aggregate(hot, chunk * {chunk}L + e, (free, h) -> if(h.rank >= free, h.rank + {k}L, free))
               - (chunk + 1) * {chunk}L))"""
     )
-    entry = _entry_states(hot.select("provider", F.col("chunk").alias("idx"), exits.alias("exit")), k, chunk)
+    entry = _entry_states(hot.select(*keys, F.col("chunk").alias("idx"), exits.alias("exit")), k, chunk)
     picks = F.expr(
         f"""aggregate(hot,
               named_struct('free', chunk * {chunk}L + entry,
@@ -174,9 +194,9 @@ def triggers(
                            named_struct('free', h.rank + {k}L, 'out', array_append(a.out, h)), a)).out"""
     )
     return (
-        hot.join(entry.select("provider", F.col("idx").alias("chunk"), "entry"), ["provider", "chunk"])
-        .select("provider", F.explode(picks).alias("t"))
-        .select("provider", "t.us", "t.seq", "t.rank")
+        hot.join(entry.select(*keys, F.col("idx").alias("chunk"), "entry"), [*keys, "chunk"])
+        .select(*keys, F.explode(picks).alias("t"))
+        .select(*keys, "t.us", "t.seq", "t.rank")
     )
 
 
@@ -193,7 +213,7 @@ def episodes(
     known = triggers_.filter(F.col("us") <= as_of_us)
     with_next = running(
         known,
-        ["provider"],
+        keys_of(known),
         ["us", "seq"],
         time_slice("us", slice_s),
         {"next_us": ("min", F.col("us"))},
@@ -203,7 +223,7 @@ def episodes(
     deadline = F.col("us") + span
     replaced = F.col("next_us").isNotNull() & (F.col("next_us") < deadline)
     return with_next.select(
-        "provider",
+        *keys_of(known),
         F.timestamp_micros("us").alias("start_ts"),
         F.timestamp_micros(deadline).alias("deadline_ts"),
         F.timestamp_micros(F.when(replaced, F.col("next_us")).otherwise(deadline)).alias("end_ts"),
@@ -219,17 +239,18 @@ def recent_rate_limits(
     outcomes_: DataFrame, triggers_: DataFrame, as_of: dt.datetime, window_s: int = WINDOW_S
 ) -> DataFrame:
     """Rate limits still counted at ``as_of``: within the window and after the last success or trigger."""
+    keys = keys_of(outcomes_)
     as_of_us = as_us(ts_literal(as_of))
     from_us = as_of_us - window_s * 1_000_000
     inside = F.col("us").between(from_us, as_of_us)
     marks = _marks(outcomes_).filter(inside)
-    resets = marks.filter("limited = 0").select("provider", "us", "seq").unionByName(
-        triggers_.filter(inside).select("provider", "us", "seq")
+    resets = marks.filter("limited = 0").select(*keys, "us", "seq").unionByName(
+        triggers_.filter(inside).select(*keys, "us", "seq")
     )
-    last = resets.groupBy("provider").agg(F.max(F.struct("us", "seq")).alias("last_reset"))
-    limits = marks.filter("limited = 1").join(last, "provider", "left")
+    last = resets.groupBy(*keys).agg(F.max(F.struct("us", "seq")).alias("last_reset"))
+    limits = marks.filter("limited = 1").join(last, keys, "left")
     counted = limits.filter(F.col("last_reset").isNull() | (F.struct("us", "seq") > F.col("last_reset")))
-    return counted.groupBy("provider").agg(F.count(F.lit(1)).alias("recent_rate_limits"))
+    return counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("recent_rate_limits"))
 
 
 def cooldown_status(
@@ -238,9 +259,10 @@ def cooldown_status(
     recent: DataFrame,
     as_of: dt.datetime,
 ) -> DataFrame:
-    """State of every provider in ``providers(provider)`` at ``as_of``; idle ones are listed as not cooling."""
+    """State of every provider in ``providers`` at ``as_of``; idle ones are listed as not cooling."""
+    keys = keys_of(episodes_)
     at = ts_literal(as_of)
-    per_provider = episodes_.groupBy("provider").agg(
+    per_provider = episodes_.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cooldown_count"),
         F.sum("credited_seconds").alias("total_cooldown_time_seconds"),
         F.max("start_ts").alias("last_start"),
@@ -248,12 +270,12 @@ def cooldown_status(
     )
     cooling = F.coalesce(F.col("last_deadline") > at, F.lit(False))
     return (
-        providers.select("provider")
+        providers.select(*keys)
         .distinct()
-        .join(per_provider, "provider", "left")
-        .join(recent, "provider", "left")
+        .join(per_provider, keys, "left")
+        .join(recent, keys, "left")
         .select(
-            "provider",
+            *keys,
             cooling.alias("in_cooldown"),
             F.when(cooling, (as_us(F.col("last_deadline")) - as_us(at)) / 1_000_000)
             .otherwise(F.lit(0.0))
@@ -280,17 +302,20 @@ def with_cooldown(
     Instead of a range join, which pairs every row with every start in reach, the latest start at or before the row is
     carried along time. Since a later trigger replaces the earlier one, that start alone decides.
     """
-    names = [c for c in rows.columns]
+    keys = keys_of(triggers_)
     left = rows.select(
-        F.struct(*names).alias("row"), "provider", as_us(F.col(ts)).alias("us"), F.lit(None).cast("bigint").alias("start")
+        F.struct(*rows.columns).alias("row"),
+        *keys,
+        as_us(F.col(ts)).alias("us"),
+        F.lit(None).cast("bigint").alias("start"),
     )
     marks = triggers_.select(
-        F.lit(None).cast(left.schema["row"].dataType).alias("row"), "provider", "us", F.col("us").alias("start")
+        F.lit(None).cast(left.schema["row"].dataType).alias("row"), *keys, "us", F.col("us").alias("start")
     )
     # starts come before rows of the same microsecond
     both = left.unionByName(marks).withColumn("kind", F.when(F.col("row").isNull(), 0).otherwise(1))
     carried = running(
-        both, ["provider"], ["us", "kind"], time_slice("us", slice_s), {"last_start": ("max", F.col("start"))}
+        both, keys, ["us", "kind"], time_slice("us", slice_s), {"last_start": ("max", F.col("start"))}
     )
     return carried.filter("kind = 1").select(
         "row.*",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions import derive
-from gatelens.operators.cooldown import as_us
+from gatelens.operators.cooldown import as_us, keys_of, order_key_us
 from gatelens.operators.facts import attempts_finished, terminals
 from gatelens.operators.reports import LATENCY, ts_literal
 
@@ -21,9 +21,7 @@ KEY = ["provider_type", "provider"]
 
 def order_key(ts: str = "timestamp", seq: str = "seq") -> Column:
     """(time, seq) as one number, so that "the latest" is a plain max in a hash aggregation."""
-    us = as_us(F.col(ts)).cast("decimal(18,0)")
-    shift = F.lit(10**19).cast("decimal(20,0)")
-    return (us * shift + F.col(seq).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return order_key_us(as_us(F.col(ts)), F.col(seq))
 
 
 def _zero(column: Column, default=0) -> Column:
@@ -148,7 +146,7 @@ def provider_stats(
     ]
     joined = joined.withColumns({c: _zero(F.col(c)) for c in counts} | {c: _zero(F.col(c), 0.0) for c in sums})
     if cooldown is not None:
-        joined = joined.join(cooldown, "provider", "left").withColumns(
+        joined = joined.join(cooldown, keys_of(cooldown), "left").withColumns(
             {
                 "in_cooldown": _zero(F.col("in_cooldown"), False),
                 "cooldown_remaining_seconds": _zero(F.col("cooldown_remaining_seconds"), 0.0),

@@ -125,7 +125,7 @@ def _escaped(value: Column) -> Column:
 
 
 def _number(value: Column) -> Column:
-    """Whole numbers without a fraction, others in plain decimal notation."""
+    """Whole numbers without a fraction."""
     whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
     return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
 
@@ -184,7 +184,7 @@ def status_json(providers: DataFrame, counts: DataFrame, stats: DataFrame, total
     """
 
     def r(name: str) -> Column:
-        return F.bround(F.col(name), 2)
+        return derive.round_ms(F.col(name))
 
     config = providers.groupBy("provider_type").agg(
         F.transform(

@@ -50,9 +50,9 @@ def read_request_stats_table(spark: SparkSession, path: str, *, missing_ok: bool
 
 
 def read_router_events(
-    spark: SparkSession, path: str, *, archived: bool = True, missing_ok: bool = True
+    spark: SparkSession, path: str, *, glob: str = "*.{jsonl,jsonl.zst}", missing_ok: bool = True
 ) -> DataFrame:
-    """All event types of the JSONL logs below ``path``, plain and (``archived``) ``.jsonl.zst``.
+    """All event types of the JSONL logs below ``path``, plain and archived (``.jsonl.zst``).
 
     ``*_errors.jsonl`` only holds copies of warnings and errors and is left out. Adds ``file_name`` and ``seq``, the
     line order inside one file: a split's lines are numbered from its byte offset, and no split has more lines than
@@ -63,7 +63,6 @@ def read_router_events(
     )
     if missing_ok and not path_exists(spark, path):
         return _empty(spark, schema)
-    glob = "*.{jsonl,jsonl.zst}" if archived else "*.jsonl"
     lines = (
         spark.read.schema(schemas.ROUTER_EVENTS)
         .option("pathGlobFilter", glob)
