@@ -7,17 +7,17 @@ line, and texts in pieces of consecutive events before the pieces are joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions import derive
 from gatelens.functions import usage as U
 from gatelens.functions.usage import has_key
-from gatelens.operators.chains import ordered_concat
 from gatelens.operators.cooldown import as_us
-from gatelens.operators.running import int_div
+from gatelens.operators.running import int_div, running
 
 CHUNKS_PER_SLICE = 1024
+SLICES_PER_RUN = 4096
 EVENTS_PER_PIECE = 4096
 
 # Line prefix and end marker of the stream format.
@@ -26,43 +26,52 @@ DONE = "[DONE]"
 
 
 def sse_lines(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
-    """Lines of every response in order: ``request_id, provider_type, pos, line``.
+    """Lines of every response: ``request_id, provider_type, pos, line``; ``pos`` gives their order.
 
-    ``chunks`` has one provider type per request. A line break byte never occurs inside a UTF-8 character, so whole
-    lines can be decoded; bytes that are no UTF-8 become replacement characters.
+    ``chunks`` has one provider type per request. A line break byte never occurs inside a UTF-8 character, so lines are
+    cut from bytes (as single-byte text, which keeps every byte) and decoded whole; bytes that are no UTF-8 become
+    replacement characters. Only the first and last part of each slice are looked at a second time.
     """
     key = ["request_id", "provider_type"]
-    sliced = chunks.select(*key, "seq", "data", int_div(F.col("seq"), chunks_per_slice).alias("slice"))
-    breaks = F.octet_length("data") - F.octet_length(F.expr("replace(cast(data as string), '\\n', '')"))
-    per_slice = sliced.groupBy(*key, "slice").agg(F.sum(breaks).alias("breaks"))
-    earlier = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    first_line = per_slice.select(
-        *key, "slice", F.coalesce(F.sum("breaks").over(earlier), F.lit(0)).alias("first_line")
-    )
-    joined = sliced.groupBy(*key, "slice").agg(
-        F.expr("listagg(data) within group (order by seq)").alias("bytes")
-    )
-    # split as single-byte text, which keeps every byte: a part may be half a character short at either end
-    pieces = joined.join(first_line, [*key, "slice"]).select(
-        *key,
-        "slice",
-        "first_line",
-        F.split(F.decode("bytes", "ISO-8859-1"), "\n").alias("lines"),
-    )
-    lines = pieces.select(
-        *key, "slice", "first_line", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line")
-    ).withColumn("pos", F.col("first_line") + F.col("i"))
-    border = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
-    as_bytes = F.encode("line", "ISO-8859-1")
-    inner = lines.filter(~border).select(*key, "pos", as_bytes.alias("line"))
-    # a line over a slice border has its parts in consecutive slices
+    slices = (
+        chunks.select(*key, "seq", "data", int_div(F.col("seq"), chunks_per_slice).alias("slice"))
+        .groupBy(*key, "slice")
+        .agg(F.expr("listagg(data) within group (order by seq)").alias("bytes"))
+        .select(*key, "slice", F.decode("bytes", "ISO-8859-1").alias("text"))
+    )
+    base = F.shiftleft(F.col("slice"), 32)
+    parts = slices.select(*key, "slice", F.split("text", "\n").alias("parts"))
+    inner = (
+        parts.select(*key, "slice", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
+        .filter((F.col("i") > 0) & (F.col("i") < F.col("n") - 1))
+        .select(*key, (base + F.col("i")).alias("pos"), "part")
+    )
+
+    # every slice's last part begins a line, unless the slice has no line break at all
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    first = F.struct(base.alias("pos"), F.substring_index("text", "\n", 1).alias("part"), F.lit(False).alias("begins"))
+    last = F.struct(
+        (base + breaks).alias("pos"), F.substring_index("text", "\n", -1).alias("part"), F.lit(True).alias("begins")
+    )
+    ends = slices.select(*key, "slice", F.inline(F.when(breaks > 0, F.array(first, last)).otherwise(F.array(first))))
+    lines_of_ends = running(
+        ends,
+        key,
+        ["pos"],
+        int_div(F.col("slice"), SLICES_PER_RUN),
+        {"begun": ("max", F.when(F.col("begins"), F.col("pos")))},
+    )
     outer = (
-        lines.filter(border)
-        .withColumn("line", as_bytes)
-        .groupBy(*key, "pos")
-        .agg(F.expr("listagg(line) within group (order by slice)").alias("line"))
+        lines_of_ends.groupBy(*key, "begun")
+        .agg(
+            F.min("pos").alias("pos"),
+            F.expr("listagg(part, '') within group (order by pos)").alias("part"),
+        )
+        .drop("begun")
     )
-    return inner.unionByName(outer).withColumn("line", F.make_valid_utf8(F.col("line").cast("string")))
+    both = inner.unionByName(outer.select(*key, "pos", "part"))
+    decoded = F.make_valid_utf8(F.encode("part", "ISO-8859-1").cast("string"))
+    return both.select(*key, "pos", decoded.alias("line"))
 
 
 def sse_events(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
@@ -81,271 +90,337 @@ def sse_events(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) -
     )
 
 
-def _text(path: str, doc: str = "v") -> Column:
+def _text(path: str, doc: str | Column = "v") -> Column:
     return F.try_variant_get(doc, path, "string")
 
 
-def _latest(value: Column, present: Column, name: str, order: list[str] | None = None) -> Column:
-    """Value of the last row where it is present (a present NULL wins over an older value)."""
-    by = F.when(present, F.struct(*(order or ["pos"])))
-    return F.max_by(F.struct(value.alias("x")), by).getField("x").alias(name)
+def _index(doc: str | Column) -> Column:
+    return F.coalesce(F.try_variant_get(doc, "$.index", "bigint"), F.lit(0).cast("bigint"))
+
+
+def _list(doc: str | Column, path: str) -> Column:
+    """Array at a path, empty if there is none."""
+    return F.coalesce(F.try_variant_get(doc, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _indexed(path: str, doc: str) -> Column:
-    return F.coalesce(F.try_variant_get(doc, path, "bigint"), F.lit(0).cast("bigint"))
+NOBODY = -1  # index of leaves that belong to no choice, block or tool call
+
+# A leaf is one scalar or text fragment of an event: which choice or block (idx) and tool call it belongs to, the
+# field, its value, and the place in the stream (o1, o2, o3). Texts are joined in order, of the others the last wins.
+
+
+def _leaf(field: str, value: Column, *, idx=None, tool=None, text=False, order=None, present=None) -> Column:
+    none = F.lit(NOBODY).cast("bigint")
+    o1, o2, o3 = order or (F.col("pos"), F.lit(0), F.lit(0))
+    return F.struct(
+        (none if idx is None else idx).alias("idx"),
+        (none if tool is None else tool).alias("tool"),
+        F.lit(field).alias("field"),
+        value.alias("value"),
+        F.lit(text).alias("is_text"),
+        o1.cast("bigint").alias("o1"),
+        o2.cast("int").alias("o2"),
+        o3.cast("int").alias("o3"),
+        (value.isNotNull() if present is None else present).alias("present"),
+    )
+
 
+def _leaves(events: DataFrame, leaves: Column) -> DataFrame:
+    """All present leaves of all events, one row each; the event is decoded once for all of them."""
+    rows = events.select("request_id", F.inline(F.filter(leaves, lambda leaf: leaf["present"]))).drop("present")
+    return rows.withColumn("piece", int_div(F.abs("o1"), EVENTS_PER_PIECE))
 
-def _concat(df: DataFrame, key: list[str], text: str, name: str, order: list[str] | None = None) -> DataFrame:
-    order = order or ["pos"]
-    rows = df.filter(F.col(text).isNotNull()).select(*key, *order, text)
-    return ordered_concat(rows, key, text, order, int_div(F.col("pos"), EVENTS_PER_PIECE), "", name)
+
+def _joined(leaves: DataFrame) -> DataFrame:
+    """One row per (request_id, idx, tool, field) with its whole value.
+
+    First inside pieces of consecutive events (any task holds one piece), then the pieces: from there on everything
+    is partitioned by request, and the groupings above need no further shuffle.
+    """
+    key = ["request_id", "idx", "tool", "field"]
+    order = "struct(o1, o2, o3)"
+    pieces = leaves.groupBy(*key, "is_text", "piece").agg(
+        F.expr(f"listagg(value, '') within group (order by {order}) filter (where is_text)").alias("text"),
+        F.expr(f"max_by(struct(value), {order}) filter (where not is_text)").alias("last"),
+        F.expr(f"max({order}) filter (where not is_text)").alias("at"),
+    )
+    return (
+        pieces.repartition("request_id")
+        .groupBy(*key)
+        .agg(
+            F.expr("listagg(text, '') within group (order by piece)").alias("text"),
+            F.max_by("last", "at").alias("last"),
+        )
+        .select(*key, F.coalesce("text", "last.value").alias("value"))
+    )
+
+
+def _field(name: str) -> Column:
+    return F.max(F.when(F.col("field") == name, F.col("value"))).alias(name)
+
+
+def _has(name: str) -> Column:
+    return F.coalesce(F.max(F.col("field") == name), F.lit(False)).alias(f"has_{name}")
 
 
 def _padded(array: str, empty: str, size: str) -> Column:
-    """Entries by index 0..size-1 from a sorted array of structs (idx, x), gaps filled."""
+    """Entries by index 0..size-1 from an array of structs (idx, x), gaps filled."""
     return F.expr(
         f"""transform(sequence(0L, {size} - 1L),
             i -> coalesce(get(filter({array}, e -> e.idx = i), 0).x, {empty}))"""
     )
 
 
+_CALL = "struct<id: string, type: string, function: struct<name: string, arguments: string>>"
+_MESSAGE = f"struct<role: string, content: string, reasoning_content: string, tool_calls: array<{_CALL}>>"
+_CHOICE = f"struct<index: bigint, message: {_MESSAGE}, finish_reason: string>"
+
+
 def merge_openai(events: DataFrame) -> DataFrame:
     """Full response per request from choice deltas.
 
     Result: ``request_id, id, object, created, model, choices, usage``. Choices and tool calls stand at their index,
-    gaps are empty. Usage is the last one that is not null.
+    gaps are empty. Usage is the last one that is not null; missing texts are empty.
     """
-    head = events.groupBy("request_id").agg(
-        F.min_by(
-            F.struct(
-                F.coalesce(_text("$.id"), F.lit("")).alias("id"),
-                F.try_variant_get("v", "$.created", "bigint").alias("created"),
-                F.coalesce(_text("$.model"), F.lit("")).alias("model"),
-            ),
-            "pos",
-        ).alias("h"),
-        F.max_by(
-            F.struct(F.to_json(F.try_variant_get("v", "$.usage", "variant")).alias("usage")),
-            F.when(
-                has_key(F.col("v"), "$.usage") & ~F.is_variant_null(F.try_variant_get("v", "$.usage", "variant")),
-                F.col("pos"),
-            ),
-        ).alias("u"),
-    )
-
-    choice = events.select(
-        "request_id", "pos", F.posexplode(F.try_variant_get("v", "$.choices", "array<variant>")).alias("at", "c")
-    )
-    # several entries of one event keep their order inside it
-    choice = choice.select("request_id", "pos", "at", _indexed("$.index", "c").alias("idx"), "c")
-    key = ["request_id", "idx"]
-    order = ["pos", "at"]
-    fields = choice.select(
-        *key,
-        *order,
-        _text("$.delta.role", "c").alias("role"),
-        has_key(F.col("c"), "$.delta.role").alias("has_role"),
-        _text("$.delta.content", "c").alias("content"),
-        _text("$.delta.reasoning_content", "c").alias("reasoning"),
-        _text("$.finish_reason", "c").alias("finish"),
-        has_key(F.col("c"), "$.finish_reason").alias("has_finish"),
-    )
-    base = fields.groupBy(*key).agg(
-        _latest(F.col("role"), F.col("has_role"), "role", order),
-        _latest(F.col("finish"), F.col("has_finish"), "finish_reason", order),
-    )
-    content = _concat(fields, key, "content", "content", order)
-    reasoning = _concat(fields, key, "reasoning", "reasoning_content", order)
-
-    call = choice.select(
-        *key,
-        *order,
-        F.posexplode(F.try_variant_get("c", "$.delta.tool_calls", "array<variant>")).alias("call_at", "t"),
-    ).select(
-        *key,
-        *order,
-        "call_at",
-        _indexed("$.index", "t").alias("tool"),
-        _text("$.id", "t").alias("id"),
-        has_key(F.col("t"), "$.id").alias("has_id"),
-        _text("$.type", "t").alias("type"),
-        has_key(F.col("t"), "$.type").alias("has_type"),
-        has_key(F.col("t"), "$.function").alias("has_function"),
-        _text("$.function.name", "t").alias("name"),
-        has_key(F.col("t"), "$.function.name").alias("has_name"),
-        _text("$.function.arguments", "t").alias("arguments"),
-    )
-    tool_key = [*key, "tool"]
-    call_order = [*order, "call_at"]
-    arguments = _concat(call, tool_key, "arguments", "arguments", call_order)
-    tools = (
-        call.groupBy(*tool_key)
-        .agg(
-            _latest(F.col("id"), F.col("has_id"), "id", call_order),
-            _latest(F.col("type"), F.col("has_type"), "type", call_order),
-            _latest(F.col("name"), F.col("has_name"), "name", call_order),
-            F.max("has_function").alias("has_function"),
+    first = (-F.col("pos"), F.lit(0), F.lit(0))  # the first event wins
+    usage = F.try_variant_get("v", "$.usage", "variant")
+    head = [
+        _leaf("id", F.coalesce(_text("$.id"), F.lit("")), order=first),
+        _leaf("created", _text("$.created"), order=first, present=F.lit(True)),
+        _leaf("model", F.coalesce(_text("$.model"), F.lit("")), order=first),
+        _leaf("usage", F.to_json(usage), present=usage.isNotNull() & ~F.is_variant_null(usage)),
+    ]
+
+    def of_call(call: Column, idx: Column, at: Column, call_at: Column) -> Column:
+        place = {"idx": idx, "tool": _index(call), "order": (F.col("pos"), at, call_at)}
+        return F.array(
+            _leaf("call_id", _text("$.id", call), present=has_key(call, "$.id"), **place),
+            _leaf("type", _text("$.type", call), present=has_key(call, "$.type"), **place),
+            _leaf("function", F.lit(""), present=has_key(call, "$.function"), **place),
+            _leaf("name", _text("$.function.name", call), present=has_key(call, "$.function.name"), **place),
+            _leaf("arguments", _text("$.function.arguments", call), text=True, **place),
+            _leaf("call", F.lit(""), present=F.lit(True), **place),
         )
-        .join(arguments, tool_key, "left")
-        .select(
-            *tool_key,
-            F.struct(
-                "id",
-                "type",
-                F.when(
-                    F.col("has_function"),
-                    F.struct(
-                        F.coalesce("name", F.lit("")).alias("name"),
-                        F.coalesce("arguments", F.lit("")).alias("arguments"),
-                    ),
-                ).alias("function"),
-            ).alias("x"),
-        )
-        .groupBy(*key)
-        .agg(
-            F.array_sort(F.collect_list(F.struct(F.col("tool").alias("idx"), "x"))).alias("found"),
-            F.max("tool").alias("last"),
-        )
-        .select(*key, _padded("found", "named_struct('id', string(null), 'type', string(null), 'function', "
-                              "cast(null as struct<name: string, arguments: string>))", "(last + 1)").alias("tool_calls"))
-    )
-    no_tools = "cast(array() as array<struct<id: string, type: string, function: struct<name: string, arguments: string>>>)"
-    choices = (
-        base.join(content, key, "left")
-        .join(reasoning, key, "left")
-        .join(tools, key, "left")
-        .select(
-            *key,
-            F.struct(
-                F.col("idx").alias("index"),
-                F.struct(
-                    "role",
-                    F.coalesce("content", F.lit("")).alias("content"),
-                    "reasoning_content",
-                    F.coalesce("tool_calls", F.expr(no_tools)).alias("tool_calls"),
-                ).alias("message"),
-                "finish_reason",
-            ).alias("x"),
+
+    def of_choice(choice: Column, at: Column) -> Column:
+        idx = _index(choice)
+        place = {"idx": idx, "order": (F.col("pos"), at, F.lit(0))}
+        own = F.array(
+            _leaf("role", _text("$.delta.role", choice), present=has_key(choice, "$.delta.role"), **place),
+            _leaf("content", _text("$.delta.content", choice), text=True, **place),
+            _leaf("reasoning_content", _text("$.delta.reasoning_content", choice), text=True, **place),
+            _leaf(
+                "finish_reason", _text("$.finish_reason", choice), present=has_key(choice, "$.finish_reason"), **place
+            ),
+            _leaf("choice", F.lit(""), present=F.lit(True), **place),
         )
-        .groupBy("request_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("idx", "x")), _by_idx).alias("found"),
-            F.max("idx").alias("last"),
+        calls = F.transform(
+            _list(choice, "$.delta.tool_calls"), lambda call, call_at: of_call(call, idx, at, call_at)
         )
-    )
-    empty = (
-        "named_struct('index', i, 'message', named_struct('role', string(null), 'content', '', "
-        f"'reasoning_content', string(null), 'tool_calls', {no_tools}), 'finish_reason', string(null))"
-    )
-    choices = choices.select("request_id", _padded("found", empty, "(last + 1)").alias("choices"))
-    return head.join(choices, "request_id", "left").select(
+        return F.concat(own, F.flatten(calls))
+
+    found = F.concat(F.array(*head), F.flatten(F.transform(_list("v", "$.choices"), of_choice)))
+    values = _joined(_leaves(events, found))
+
+    # call -> choice -> request, all inside the partitions of request_id
+    slots = values.groupBy("request_id", "idx", "tool").agg(
+        *[_field(n) for n in ("id", "created", "model", "usage")],
+        *[_field(n) for n in ("role", "content", "reasoning_content", "finish_reason")],
+        *[_field(n) for n in ("call_id", "type", "name", "arguments")],
+        _has("function"),
+    )
+    is_call = F.col("tool") > NOBODY
+    function = F.when(
+        F.col("has_function"),
+        F.struct(
+            F.coalesce("name", F.lit("")).alias("name"), F.coalesce("arguments", F.lit("")).alias("arguments")
+        ),
+    )
+    call = F.struct(F.col("call_id").alias("id"), "type", function.alias("function"))
+    choices = slots.groupBy("request_id", "idx").agg(
+        *[F.max(n).alias(n) for n in ("id", "created", "model", "usage")],
+        *[F.max(n).alias(n) for n in ("role", "content", "reasoning_content", "finish_reason")],
+        F.collect_list(F.when(is_call, F.struct(F.col("tool").alias("idx"), call.alias("x")))).alias("calls"),
+        F.max(F.when(is_call, F.col("tool"))).alias("last_call"),
+    )
+    empty_call = f"cast(named_struct('id', null, 'type', null, 'function', null) as {_CALL})"
+    message = F.struct(
+        "role",
+        F.coalesce("content", F.lit("")).alias("content"),
+        "reasoning_content",
+        F.when(F.col("last_call").isNotNull(), _padded("calls", empty_call, "(last_call + 1)"))
+        .otherwise(F.expr(f"cast(array() as array<{_CALL}>)"))
+        .alias("tool_calls"),
+    )
+    is_choice = F.col("idx") > NOBODY
+    choice = F.struct(F.col("idx").alias("index"), message.alias("message"), "finish_reason")
+    whole = choices.groupBy("request_id").agg(
+        *[F.max(n).alias(n) for n in ("id", "created", "model", "usage")],
+        F.collect_list(F.when(is_choice, F.struct("idx", choice.cast(_CHOICE).alias("x")))).alias("found"),
+        F.max(F.when(is_choice, F.col("idx"))).alias("last_choice"),
+    )
+    empty_choice = (
+        "named_struct('index', i, 'message', named_struct('role', string(null), 'content', '', 'reasoning_content', "
+        f"string(null), 'tool_calls', cast(array() as array<{_CALL}>)), 'finish_reason', string(null))"
+    )
+    return whole.select(
         "request_id",
-        F.col("h.id").alias("id"),
+        "id",
         F.lit("chat.completion").alias("object"),
-        F.col("h.created").alias("created"),
-        F.col("h.model").alias("model"),
-        F.coalesce("choices", F.expr("array()").cast(choices.schema["choices"].dataType)).alias("choices"),
-        F.parse_json("u.usage").alias("usage"),
+        F.col("created").cast("bigint").alias("created"),
+        "model",
+        F.when(F.col("last_choice").isNotNull(), _padded("found", empty_choice, "(last_choice + 1)"))
+        .otherwise(F.expr(f"cast(array() as array<{_CHOICE}>)"))
+        .alias("choices"),
+        F.parse_json("usage").alias("usage"),
     )
 
 
-def _by_idx(a: Column, b: Column) -> Column:
-    return (a["idx"] - b["idx"]).cast("int")
-
-
 # Usage counts that streams of this format report; each is taken from its last event.
 ANTHROPIC_USAGE = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]
 
 
+_TEXTS = ["text", "thinking", "signature", "partial_json"]
+_BLOCK = (
+    "struct<type: string, id: string, name: string, text: string, thinking: string, signature: string, input: string>"
+)
+
+
 def merge_anthropic(events: DataFrame) -> DataFrame:
     """Full response per request from content-block events.
 
     Result: ``request_id, id, type, role, model, content, stop_reason, usage``. A block exists from its start event on;
-    deltas of blocks that never start are dropped. Gaps before a started block are empty.
+    deltas of blocks that have not started are dropped. Gaps before a started block are empty.
     """
-    kind = _text("$.type")
-    typed = events.withColumn("kind", kind)
-    usage_path = F.when(F.col("kind") == "message_start", F.try_variant_get("v", "$.message.usage", "variant")).when(
-        F.col("kind") == "message_delta", F.try_variant_get("v", "$.usage", "variant")
+    typed = events.withColumn("kind", _text("$.type")).filter("kind is not null")
+    first = (-F.col("pos"), F.lit(0), F.lit(0))
+    kind, idx = F.col("kind"), _index("v")
+    starting, adding = kind == "content_block_start", kind == "content_block_delta"
+    usage = F.when(kind == "message_start", F.try_variant_get("v", "$.message.usage", "variant")).when(
+        kind == "message_delta", F.try_variant_get("v", "$.usage", "variant")
     )
-    with_use = typed.withColumn("u", usage_path)
-    counts = [F.try_variant_get("u", f"$.{name}", "bigint") for name in ANTHROPIC_USAGE]
-    has_stop = (F.col("kind") == "message_delta") & has_key(F.col("v"), "$.delta.stop_reason")
-    head = with_use.groupBy("request_id").agg(
-        F.min_by(
-            F.struct(
-                F.coalesce(_text("$.message.id"), F.lit("")).alias("id"),
-                F.coalesce(_text("$.message.model"), F.lit("")).alias("model"),
-            ),
-            F.when(F.col("kind").isNotNull(), F.col("pos")),
-        ).alias("h"),
-        _latest(_text("$.delta.stop_reason"), has_stop, "stop_reason"),
+    # for texts the second place tells a start (1) from an addition (0)
+    place = (F.col("pos"), starting.cast("int"), F.lit(0))
+    leaves = [
+        _leaf("id", F.coalesce(_text("$.message.id"), F.lit("")), order=first),
+        _leaf("model", F.coalesce(_text("$.message.model"), F.lit("")), order=first),
+        _leaf(
+            "stop_reason",
+            _text("$.delta.stop_reason"),
+            present=(kind == "message_delta") & has_key(F.col("v"), "$.delta.stop_reason"),
+        ),
+        *[_leaf(name, F.try_variant_get(usage, f"$.{name}", "string")) for name in ANTHROPIC_USAGE],
         *[
-            F.max_by(F.struct(c.alias("x")), F.when(c.isNotNull(), F.col("pos"))).getField("x").alias(name)
-            for name, c in zip(ANTHROPIC_USAGE, counts, strict=True)
+            _leaf(field, F.when(starting, _text(f"$.content_block.{path}")), idx=idx)
+            for field, path in (("block_type", "type"), ("block_id", "id"), ("name", "name"))
         ],
-    )
-
-    key = ["request_id", "idx"]
-    blocks = typed.filter(F.col("kind").isin("content_block_start", "content_block_delta")).select(
-        "request_id", "pos", "kind", _indexed("$.index", "v").alias("idx"), "v"
-    )
-    starts = blocks.filter("kind = 'content_block_start'").select(
-        *key,
-        "pos",
+        _leaf(
+            "input",
+            F.when(starting, F.to_json(F.try_variant_get("v", "$.content_block.input", "variant"))),
+            idx=idx,
+        ),
+        # a start opens all texts of its block, with or without a first part
         *[
-            _text(f"$.content_block.{name}").alias(name)
-            for name in ("type", "id", "name", "text", "thinking", "signature", "partial_json")
+            _leaf(
+                name,
+                F.when(starting, _text(f"$.content_block.{name}")).when(adding, _text(f"$.delta.{name}")),
+                idx=idx,
+                text=True,
+                order=place,
+                present=starting | (adding & _text(f"$.delta.{name}").isNotNull()),
+            )
+            for name in _TEXTS
         ],
-        F.to_json(F.try_variant_get("v", "$.content_block.input", "variant")).alias("input"),
-    )
-    started = starts.groupBy(*key).agg(
-        F.min("pos").alias("started_at"),
-        *[_latest(F.col(c), F.col(c).isNotNull(), c) for c in ("type", "id", "name", "input")],
-    )
-    deltas = blocks.filter("kind = 'content_block_delta'").select(
-        *key,
-        "pos",
-        *[_text(f"$.delta.{name}").alias(name) for name in ("text", "thinking", "signature", "partial_json")],
-    )
-    # deltas before the start of their block have nothing to extend
-    known = deltas.join(started.select(*key, "started_at"), key).filter("pos > started_at").drop("started_at")
-    parts = starts.select(*key, "pos", "text", "thinking", "signature", "partial_json").unionByName(known)
-    content = started
-    for name in ("text", "thinking", "signature", "partial_json"):
-        content = content.join(_concat(parts, key, name, name), key, "left")
-    parsed = F.coalesce(F.try_parse_json("partial_json"), F.parse_json(F.lit("{}")))
-    content = (
-        content.select(
-            *key,
-            F.struct(
-                "type",
-                "id",
-                "name",
-                "text",
-                "thinking",
-                "signature",
-                F.when(F.col("partial_json").isNotNull(), F.to_json(parsed)).otherwise(F.col("input")).alias("input"),
-            ).alias("x"),
-        )
-        .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "x")), _by_idx).alias("found"), F.max("idx").alias("last"))
+    ]
+    values = _joined_from_start(_leaves(typed, F.array(*leaves)))
+    blocks = values.groupBy("request_id", "idx").agg(
+        *[_field(n) for n in ("id", "model", "stop_reason", *ANTHROPIC_USAGE)],
+        *[_field(n) for n in ("block_type", "block_id", "name", "input", *_TEXTS)],
     )
-    empty = "cast(null as struct<type: string, id: string, name: string, text: string, thinking: string, " \
-        "signature: string, input: string>)"
-    content = content.select("request_id", _padded("found", empty, "(last + 1)").alias("content"))
-    return head.join(content, "request_id", "left").select(
+    parsed = F.coalesce(F.try_parse_json("partial_json"), F.parse_json(F.lit("{}")))
+    block = F.struct(
+        F.col("block_type").alias("type"),
+        F.col("block_id").alias("id"),
+        "name",
+        "text",
+        "thinking",
+        "signature",
+        F.when(F.col("partial_json").isNotNull(), F.to_json(parsed)).otherwise(F.col("input")).alias("input"),
+    )
+    is_block = F.col("idx") > NOBODY
+    head = ("id", "model", "stop_reason", *ANTHROPIC_USAGE)
+    whole = blocks.groupBy("request_id").agg(
+        *[F.max(n).alias(n) for n in head],
+        F.collect_list(F.when(is_block, F.struct("idx", block.cast(_BLOCK).alias("x")))).alias("found"),
+        F.max(F.when(is_block, F.col("idx"))).alias("last_block"),
+    )
+    return whole.select(
         "request_id",
-        F.col("h.id").alias("id"),
+        "id",
         F.lit("message").alias("type"),
         F.lit("assistant").alias("role"),
-        F.col("h.model").alias("model"),
-        F.coalesce("content", F.expr("array()").cast(content.schema["content"].dataType)).alias("content"),
+        "model",
+        F.when(F.col("last_block").isNotNull(), _padded("found", f"cast(null as {_BLOCK})", "(last_block + 1)"))
+        .otherwise(F.expr(f"cast(array() as array<{_BLOCK}>)"))
+        .alias("content"),
         "stop_reason",
-        F.struct(*ANTHROPIC_USAGE).alias("usage"),
+        F.struct(*[F.col(n).cast("bigint").alias(n) for n in ANTHROPIC_USAGE]).alias("usage"),
     )
 
 
+def _joined_from_start(leaves: DataFrame) -> DataFrame:
+    """Like :func:`_joined`, but a text counts only from the first start of its block.
+
+    The start may lie in another piece. So a piece hands on what precedes and what follows its own first start, and the
+    pieces are joined from the first one that has a start. Texts of blocks without a start give no row.
+    """
+    key = ["request_id", "idx", "tool", "field"]
+    order = "struct(o1, o2, o3)"
+    pieces = (
+        leaves.groupBy(*key, "is_text", "piece")
+        .agg(
+            F.expr(f"array_sort(collect_list(struct(o1, o2, value)) filter (where is_text))").alias("parts"),
+            F.min(F.when(F.col("is_text") & (F.col("o2") == 1), F.col("o1"))).alias("start"),
+            F.expr(f"max_by(struct(value), {order}) filter (where not is_text)").alias("last"),
+            F.expr(f"max({order}) filter (where not is_text)").alias("at"),
+        )
+        .select(
+            *key,
+            "is_text",
+            "piece",
+            F.col("start").isNotNull().alias("has_start"),
+            _text_of("filter(parts, p -> start is null or p.o1 < start)").alias("before"),
+            _text_of("filter(parts, p -> p.o1 >= start)").alias("after"),
+            "last",
+            "at",
+        )
+    )
+    whole = (
+        pieces.repartition("request_id")
+        .groupBy(*key, "is_text")
+        .agg(
+            F.expr("array_sort(collect_list(struct(piece, before, after)) filter (where is_text))").alias("pieces"),
+            F.min(F.when(F.col("has_start"), F.col("piece"))).alias("first"),
+            F.max_by("last", "at").alias("last"),
+        )
+    )
+    text = _text_of(
+        """transform(filter(pieces, p -> p.piece >= first), p -> named_struct('value',
+             if(p.piece = first, p.after,
+                if(p.before is null and p.after is null, null, concat_ws('', p.before, p.after)))))"""
+    )
+    return (
+        whole.filter(~F.col("is_text") | F.col("first").isNotNull())
+        .select(*key, F.when(F.col("is_text"), text).otherwise(F.col("last.value")).alias("value"))
+    )
+
+
+def _text_of(parts: str) -> Column:
+    """Values of an array of structs in one text; NULL if none has a value."""
+    values = f"filter(transform({parts}, p -> p.value), x -> x is not null)"
+    return F.expr(f"if(size({values}) > 0, array_join({values}, ''), null)")
+
+
 def tool_inputs(merged: DataFrame) -> DataFrame:
     """Tool calls of merged responses of either format: request, position, id, name and the input as VARIANT.
 

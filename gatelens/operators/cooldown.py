@@ -82,8 +82,13 @@ def rate_limited_events(events: DataFrame) -> DataFrame:
     return terminals(events).filter((F.col("type") == "error") & (F.col("status_code") == 429))
 
 
+def marks_only(outcomes_: DataFrame) -> DataFrame:
+    """The outcomes that matter to the rule."""
+    return outcomes_.filter(F.col("outcome").isin(RATE_LIMITED, SUCCESS))
+
+
 def _marks(outcomes_: DataFrame) -> DataFrame:
-    return outcomes_.filter(F.col("outcome").isin(RATE_LIMITED, SUCCESS)).select(
+    return marks_only(outcomes_).select(
         *keys_of(outcomes_),
         as_us(F.col("ts")).alias("us"),
         "seq",

@@ -13,8 +13,8 @@ from gatelens.functions import usage as U
 from gatelens.operators import chains, chunks, cooldown, facts, reports, stats
 from gatelens.operators import providers as P
 from gatelens.operators.running import running, time_slice
-from gatelens.plans import demo, publish
-from gatelens.session import scratch_path
+from gatelens.plans import demo, health, publish
+from gatelens.session import materialize, scratch_path
 from gatelens.sources import readers, writers
 from gatelens.streaming import chunks as live_chunks
 from gatelens.streaming import cooldown as live_cooldown
@@ -323,24 +323,27 @@ def _triggers(spark, sf_dir):
     return cooldown.triggers(_outcomes(spark, sf_dir), demo.THRESHOLD, demo.WINDOW_S, slice_s=3600)
 
 
-def _status(spark, sf_dir):
-    triggers = _triggers(spark, sf_dir)
-    return cooldown.cooldown_status(
-        demo.event_providers(spark, sf_dir),
-        cooldown.episodes(triggers, AS_OF, demo.COOLDOWN_S, slice_s=3600),
-        cooldown.recent_rate_limits(_outcomes(spark, sf_dir), triggers, AS_OF, demo.WINDOW_S),
-        AS_OF,
-    )
+def _stored_triggers(spark, sf_dir):
+    return materialize(_triggers(spark, sf_dir), "triggers")
+
+
+RULE = health.Rule(demo.THRESHOLD, demo.WINDOW_S, demo.COOLDOWN_S, 3600)
 
 
-def _provider_stats(spark, sf_dir, with_status=False):
-    return stats.provider_stats(
+def _health(spark, sf_dir):
+    return health.provider_health(
         demo.router_events(spark, sf_dir),
         demo.request_stats(spark, sf_dir),
-        _status(spark, sf_dir) if with_status else None,
+        demo.event_providers(spark, sf_dir),
+        AS_OF,
+        RULE,
     )
 
 
+def _provider_stats(spark, sf_dir):
+    return stats.provider_stats(demo.router_events(spark, sf_dir), demo.request_stats(spark, sf_dir))
+
+
 @query
 def provider_stats(spark, sf_dir):
     return _provider_stats(spark, sf_dir)
@@ -358,14 +361,13 @@ def uptime(spark, sf_dir):
 
 @query
 def metrics_long(spark, sf_dir):
-    ps = _provider_stats(spark, sf_dir, with_status=True)
-    totals = stats.router_totals(ps, stats.uptime(demo.router_events(spark, sf_dir), AS_OF))
+    ps, totals = _health(spark, sf_dir)
     return publish.metrics(ps, totals).select("name", "type", "provider_type", "provider", "value")
 
 
 @query
 def metrics_lines(spark, sf_dir):
-    ps = _provider_stats(spark, sf_dir)
+    ps = materialize(_provider_stats(spark, sf_dir), "provider-stats")
     counters = publish.metrics(ps, stats.router_totals(ps)).filter("type = 'counter'")
     return publish.metrics_text(counters, "1.0").select("line")
 
@@ -374,10 +376,8 @@ def metrics_lines(spark, sf_dir):
 def status_document(spark, sf_dir):
     """The status document, read back at a few paths per provider."""
     names = P.with_names(demo.providers(spark, sf_dir))
-    ps = _provider_stats(spark, sf_dir, with_status=True)
-    totals = stats.router_totals(ps).select(
-        "provider_type", "total_requests", "total_tokens", "most_used_provider", "fastest_provider"
-    )
+    ps, totals = _health(spark, sf_dir)
+    totals = totals.drop("uptime_seconds")
     doc = publish.status_json(names, P.provider_counts(demo.providers(spark, sf_dir)), ps, totals)
     parsed = doc.select(F.parse_json("status").alias("d"))
     types = parsed.select(F.explode(F.array(*[F.lit(t) for t in ("openai", "anthropic", "unknown")])).alias("t"), "d")
@@ -529,17 +529,19 @@ def cooldown_triggers(spark, sf_dir):
 
 @query
 def cooldown_episodes(spark, sf_dir):
-    return cooldown.episodes(_triggers(spark, sf_dir), AS_OF, demo.COOLDOWN_S, slice_s=3600)
+    return cooldown.episodes(_stored_triggers(spark, sf_dir), AS_OF, demo.COOLDOWN_S, slice_s=3600)
 
 
 @query
 def cooldown_status(spark, sf_dir):
-    return _status(spark, sf_dir)
+    return health.status(demo.router_events(spark, sf_dir), demo.event_providers(spark, sf_dir), AS_OF, RULE)
 
 
 @query
 def recent_rate_limits(spark, sf_dir):
-    return cooldown.recent_rate_limits(_outcomes(spark, sf_dir), _triggers(spark, sf_dir), AS_OF, demo.WINDOW_S)
+    marks = materialize(cooldown.marks_only(_outcomes(spark, sf_dir)), "marks")
+    triggers = cooldown.triggers(marks, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600)
+    return cooldown.recent_rate_limits(marks, triggers, AS_OF, demo.WINDOW_S)
 
 
 def _requests(spark, sf_dir):
@@ -555,7 +557,7 @@ def _requests(spark, sf_dir):
 @query
 def cooldown_hits(spark, sf_dir):
     flagged = cooldown.with_cooldown(
-        _requests(spark, sf_dir), _triggers(spark, sf_dir), demo.COOLDOWN_S, slice_s=3600
+        _requests(spark, sf_dir), _stored_triggers(spark, sf_dir), demo.COOLDOWN_S, slice_s=3600
     )
     return flagged.select("request_id", "provider_type", "provider", "in_cooldown")
 
@@ -571,7 +573,7 @@ def skipped_providers(spark, sf_dir):
     return cooldown.skipped_providers(
         asked,
         demo.event_providers(spark, sf_dir).drop("position"),
-        _triggers(spark, sf_dir),
+        _stored_triggers(spark, sf_dir),
         demo.COOLDOWN_S,
         slice_s=3600,
     ).select("request_id", "provider_type", "provider", "priority")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app_name: str = "gatelens", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -41,6 +41,17 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return os.path.join(base, f"{tag}-{uuid.uuid4().hex}")
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write a table that several steps read to the shared scratch folder, and read it back.
+
+    Cuts the lineage: later steps never compute it again, also when executors are lost, and its size is known to the
+    planner.
+    """
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if the path (or glob) matches something on its own file system."""
     jvm = spark.sparkContext._jvm
