@@ -1,0 +1,56 @@
+"""Plans that must hold at scale: no pairing joins, pruned scans, sums before the shuffle."""
+
+import pytest
+
+import __spark_entry__ as entry_module
+
+QUERIES = entry_module.queries()
+LAZY = [n for n in sorted(QUERIES) if not n.startswith("streaming_")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_no_pairing_joins(spark, sf_dir, name):
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert "CartesianProduct" not in text
+    assert "BroadcastNestedLoopJoin" not in text
+    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+
+
+def test_report_reads_one_column_with_the_bound_pushed_down(spark, sf_dir):
+    text = plan(QUERIES["requests_hour"](spark, sf_dir))
+    assert "ReadSchema: struct<ts:timestamp_ntz>" in text
+    assert "GreaterThanOrEqual(ts,2023-12-31T12:34:56)" in text
+    assert "partial_count" in text
+
+
+def test_statistics_do_not_sort_rows(spark, sf_dir):
+    from gatelens.operators.stats import event_counters
+    from gatelens.plans import demo
+
+    text = plan(event_counters(demo.router_events(spark, sf_dir)))
+    assert "SortAggregate" not in text and text.count("HashAggregate") == 2
+
+
+def test_triggers_share_their_shuffles(spark):
+    from gatelens.operators import cooldown
+
+    log = spark.range(20000).selectExpr(
+        "concat('p', id % 3) as provider", "timestamp_micros(id * 7000000) as ts", "id as seq",
+        "if(id % 11 = 0, 'success', 'rate_limited') as outcome",
+    )
+    df = cooldown.triggers(log)
+    assert df.collect()
+    assert plan(df).split("Initial Plan")[0].count("ReusedExchange") >= 2
+
+
+def test_events_are_decoded_once_for_a_merge(spark, sf_dir):
+    from gatelens.operators import chunks
+    from gatelens.plans import demo
+
+    events = chunks.sse_events(demo.conversation_chunks(spark, sf_dir, "openai"))
+    once = plan(events).count("Generate")
+    assert plan(chunks.merge_openai(events)).count("Generate") == once + 1

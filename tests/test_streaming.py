@@ -1,0 +1,149 @@
+import datetime as dt
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+from test_chunks import delta, recorded, stream
+
+from gatelens.operators import chunks as B
+from gatelens.operators import cooldown as C
+from gatelens.operators import reports as R
+from gatelens.operators.stats import event_counters
+from gatelens.plans import demo
+from gatelens.streaming import chunks as live_chunks
+from gatelens.streaming import live, update_log
+from gatelens.streaming.cooldown import LiveCooldown, read_triggers
+
+AS_OF = demo.AS_OF
+
+
+def in_files(df, path, by, n):
+    """Write a table as n files, in the order of a column."""
+    part = df.withColumn("part", F.ntile(n).over(Window.orderBy(by)))
+    for i in range(1, n + 1):
+        part.filter(f"part = {i}").drop("part").coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_live_series_is_the_batch_series(spark, sf_dir, tmp_path):
+    stats = demo.request_stats(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    in_files(stats, tmp_path / "in", "timestamp", 4)
+    rows = live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
+    out = str(tmp_path / "out")
+    update_log.start(live.live_requests(rows, "hour"), out, str(tmp_path / "ck")).awaitTermination()
+    assert len(update_log.batch_ids(spark, out)) >= 4
+    windows = update_log.latest(spark, out, ["bucket", "provider_type", "provider_name"])
+    got = live.live_series(windows, AS_OF, "hour", 48, "openai").collect()
+    batch = R.requests_over_time(stats, AS_OF, "hour", 48, "openai").collect()
+    # the live form keeps the first window whole
+    assert [tuple(r)[:2] for r in got[1:]] == [tuple(r) for r in batch[1:]]
+    tokens = R.tokens_over_time(stats, AS_OF, "hour", 48, "openai").collect()
+    assert [r.total_tokens for r in got[1:]] == [r.total_tokens for r in tokens[1:]]
+
+
+def test_live_counters_are_the_batch_counters(spark, sf_dir, tmp_path):
+    log = demo.router_events(spark, sf_dir).filter("type in ('request', 'response', 'error')").drop("full_request", "full_response", "details")
+    in_files(log, tmp_path / "in", "timestamp", 3)
+    rows = live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
+    out = str(tmp_path / "out")
+    update_log.start(live.live_counters(rows), out, str(tmp_path / "ck")).awaitTermination()
+    got = update_log.latest(spark, out, ["provider_type", "provider"])
+    batch = event_counters(log)
+    assert sorted(map(tuple, got.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def _outcomes(spark, sf_dir):
+    return C.outcomes(demo.router_events(spark, sf_dir)).filter(F.col("outcome") != C.OTHER)
+
+
+def test_live_cooldown_finds_the_batch_triggers(spark, sf_dir, tmp_path):
+    rows = _outcomes(spark, sf_dir)
+    in_files(rows, tmp_path / "in", "ts", 5)
+    path = str(tmp_path / "live")
+    detector = LiveCooldown(path, 3, 40_000, slice_s=3600)
+    source = live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
+    detector.start(source, str(tmp_path / "ck")).awaitTermination()
+    got = sorted((r.provider_type, r.provider, r.us, r.seq) for r in read_triggers(spark, path).collect())
+    batch = C.triggers(rows, 3, 40_000, slice_s=3600).collect()
+    assert got == sorted((r.provider_type, r.provider, r.us, r.seq) for r in batch) and got
+    assert spark.read.parquet(path + "/late").count() == 0
+
+
+def test_live_cooldown_repeats_a_batch_and_sets_late_rows_aside(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+
+    def batch(*rows):
+        data = [("p", t0 + dt.timedelta(seconds=s), n, C.RATE_LIMITED) for n, s in rows]
+        return spark.createDataFrame(data, "provider string, ts timestamp, seq long, outcome string")
+
+    detector = LiveCooldown(str(tmp_path), 3, 60)
+    detector.process(batch((0, 0), (1, 10)), 0)
+    for _ in range(2):  # the same batch again after a failure
+        detector.process(batch((2, 5), (3, 20)), 1)
+    detector.process(batch((4, 25), (5, 26), (6, 27)), 2)
+    assert sorted(r.seq for r in read_triggers(spark, str(tmp_path)).collect()) == [3, 6]
+    assert [r.seq for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [2]
+
+
+def test_live_in_flight(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+
+    def ev(kind, rid, s):
+        return (kind, rid, "p", t0 + dt.timedelta(seconds=s))
+
+    rows = [ev("request", "a", 0), ev("response", "a", 5), ev("request", "b", 1), ev("request", "c", 2), ev("error", "c", 3),
+            ev("request", "c", 2), ev("error", "c", 3), ev("request", "z", 4000), ev("response", "z", 4001),
+            ev("request", "zz", 9000), ev("response", "zz", 9001)]
+    schema = "type string, request_id string, provider string, timestamp timestamp"
+    for n, part in enumerate((rows[:7], rows[7:9], rows[9:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
+    found = live.live_in_flight(source, "1 minute", "1 minute")
+    query = (
+        found.writeStream.format("memory").queryName("open_calls").trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / "ck")).start()
+    )
+    query.awaitTermination()
+    assert [r.request_id for r in spark.table("open_calls").collect()] == ["b"]
+
+
+def test_live_assembly(spark, tmp_path):
+    full = stream([delta(content=f"é{n} ") for n in range(40)])
+    streams = {"done": full, "broken": full[: len(full) // 2]}
+    chunks = recorded(spark, streams, sizes=(5, 33, 1))
+    late = recorded(spark, {"clock": stream([delta(content="x")])}).withColumn("ts", F.expr("ts + interval 2 hours"))
+    # out of order inside and across files
+    in_files(chunks, tmp_path / "in", F.hash("seq"), 3)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late.withColumn("ts", F.expr("ts + interval 2 hours")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
+    pieces = live_chunks.assemble(source, delay="10 minutes", timeout_s=600, piece_bytes=256)
+    query = (
+        pieces.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    out = spark.read.schema(live_chunks.PIECES).parquet(str(tmp_path / "out"))
+    ends = {r.request_id: r.complete for r in out.filter("last").collect()}
+    assert ends["done"] is True and ends["broken"] is False
+    assert out.filter("request_id = 'done'").count() > 3  # handed on in pieces
+    merged = B.merge_openai(B.sse_events(live_chunks.as_chunks(out)))
+    batch = B.merge_openai(B.sse_events(chunks))
+
+    def text(df):
+        return {r.request_id: r.choices[0].message.content for r in df.filter("request_id != 'clock'").collect()}
+
+    assert text(merged) == text(batch)
+
+
+def test_refresh_after_late_rows(spark, tmp_path):
+    stats = R.rollup
+    raw = spark.createDataFrame(
+        [(dt.datetime(2024, 1, d, 3), "openai", "p", 1.0, True, None, 1, 2, 0) for d in (1, 2, 2)],
+        "timestamp timestamp, provider_type string, provider_name string, latency_ms double, is_streaming boolean, "
+        "time_to_first_token_ms double, input_tokens long, output_tokens long, cached_tokens long",
+    ).withColumn("date", F.to_date("timestamp"))
+    out = str(tmp_path / "rollup")
+    live.refresh_rollup(raw, out, [dt.date(2024, 1, 1), dt.date(2024, 1, 2)])
+    grown = raw.unionByName(raw.filter("date = '2024-01-02'").withColumn("timestamp", F.expr("timestamp + interval 1 hour")))
+    live.refresh_rollup(grown, out, [dt.date(2024, 1, 2)])
+    got = spark.read.parquet(out).drop("date")
+    assert sorted(map(tuple, got.select(stats(grown).columns).collect())) == sorted(map(tuple, stats(grown).collect()))
