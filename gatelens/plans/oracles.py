@@ -267,8 +267,8 @@ PIECES = """pieces AS (SELECT request_id, provider_type, conv_id, out, prompt, c
 
 def metric(name: str, kind: str, value: str, source: str = "ps", positive: bool = False) -> str:
     provider = "provider" if source == "ps" else "CAST(NULL AS VARCHAR)"
-    where = f"WHERE {value} > 0" if positive else ""
-    frm = "ps JOIN status USING (provider_type, provider)" if source == "ps" else "totals JOIN up USING (provider_type)"
+    where = f"WHERE {value} > 0" if positive else f"WHERE {value} IS NOT NULL"
+    frm = "ps JOIN status USING (provider_type, provider)" if source == "ps" else "totals LEFT JOIN up USING (provider_type)"
     return (
         f"SELECT 'gateway_{name}' AS name, '{kind}' AS type, provider_type, {provider} AS provider, "
         f"({value})::DOUBLE AS value FROM {frm} {where}"
@@ -567,7 +567,9 @@ SELECT provider_type, provider, total_requests, successful_requests, failed_requ
     + TRIGGERS.replace("(etype IS NULL AND NOT stream AND NOT counting)", "(etype IS NULL AND NOT counting)")
     + " SELECT provider_type, provider, make_timestamp(us) AS ts, seq FROM t",
     "streaming_in_flight": f"""WITH {ATTEMPTS}
-SELECT rid AS request_id, prov AS provider, ts AS start_ts FROM a WHERE is_open""",
+-- the stream reports an open call once its watermark (one minute) has passed the time-out (one minute)
+SELECT rid AS request_id, prov AS provider, ts AS start_ts FROM a
+WHERE is_open AND ts < least((SELECT max(ts) FROM a), (SELECT max(end_ts) FROM d)) - INTERVAL 2 MINUTE""",
     "streaming_assembly": "SELECT DISTINCT 'c' || conv_id AS request_id, true AS complete FROM conversations",
 }
 ORACLES["merged_anthropic"] = ORACLES["merged_anthropic"].replace("{{", "{").replace("}}", "}")
