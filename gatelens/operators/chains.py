@@ -11,7 +11,7 @@ from gatelens.operators.facts import terminals
 from gatelens.operators.running import running, time_slice
 from gatelens.operators.stats import order_key
 
-ATTEMPT_SLICE_S = 3600
+ATTEMPT_SLICE_S = 60  # bounds the rows one task sorts when one request id is hot
 
 
 def attempt_numbers(events: DataFrame, skips: DataFrame | None = None, *, slice_s: int = ATTEMPT_SLICE_S) -> DataFrame:
@@ -117,7 +117,7 @@ def exhausted(events: DataFrame) -> DataFrame:
 def failure_summary(events: DataFrame) -> DataFrame:
     """Text ``- provider: error`` per failed attempt, one line each, for requests that failed entirely.
 
-    Lines are first joined in pieces of one hour, then the pieces in order.
+    Lines are first joined in short time slices, then the slices in order.
     """
     failed = events.filter((F.col("type") == "error") & F.col("error_type").eqNullSafe("no_available_provider"))
     lines = (

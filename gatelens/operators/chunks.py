@@ -98,69 +98,25 @@ def _index(doc: str | Column) -> Column:
     return F.coalesce(F.try_variant_get(doc, "$.index", "bigint"), F.lit(0).cast("bigint"))
 
 
-def _list(doc: str | Column, path: str) -> Column:
-    """Array at a path, empty if there is none."""
-    return F.coalesce(F.try_variant_get(doc, path, "array<variant>"), F.array().cast("array<variant>"))
+NOBODY = -1  # index of rows that belong to no choice, block or tool call
 
 
-NOBODY = -1  # index of leaves that belong to no choice, block or tool call
+def _piece() -> Column:
+    """Consecutive events that are joined together first, so that no task holds all events of a response."""
+    return int_div(F.col("pos"), EVENTS_PER_PIECE).alias("piece")
 
-# A leaf is one scalar or text fragment of an event: which choice or block (idx) and tool call it belongs to, the
-# field, its value, and the place in the stream (o1, o2, o3). Texts are joined in order, of the others the last wins.
 
+def _last(value: Column, present: Column, order: Column) -> Column:
+    """(order, value) of the last row where the value is present, as a plain max; a present NULL is a value."""
+    return F.max(F.when(present, F.struct(order.alias("order"), value.alias("value"))))
 
-def _leaf(field: str, value: Column, *, idx=None, tool=None, text=False, order=None, present=None) -> Column:
-    none = F.lit(NOBODY).cast("bigint")
-    o1, o2, o3 = order or (F.col("pos"), F.lit(0), F.lit(0))
-    return F.struct(
-        (none if idx is None else idx).alias("idx"),
-        (none if tool is None else tool).alias("tool"),
-        F.lit(field).alias("field"),
-        value.alias("value"),
-        F.lit(text).alias("is_text"),
-        o1.cast("bigint").alias("o1"),
-        o2.cast("int").alias("o2"),
-        o3.cast("int").alias("o3"),
-        (value.isNotNull() if present is None else present).alias("present"),
-    )
-
-
-def _leaves(events: DataFrame, leaves: Column) -> DataFrame:
-    """All present leaves of all events, one row each; the event is decoded once for all of them."""
-    rows = events.select("request_id", F.inline(F.filter(leaves, lambda leaf: leaf["present"]))).drop("present")
-    return rows.withColumn("piece", int_div(F.abs("o1"), EVENTS_PER_PIECE))
-
-
-def _joined(leaves: DataFrame) -> DataFrame:
-    """One row per (request_id, idx, tool, field) with its whole value.
-
-    First inside pieces of consecutive events (any task holds one piece), then the pieces: from there on everything
-    is partitioned by request, and the groupings above need no further shuffle.
-    """
-    key = ["request_id", "idx", "tool", "field"]
-    order = "struct(o1, o2, o3)"
-    pieces = leaves.groupBy(*key, "is_text", "piece").agg(
-        F.expr(f"listagg(value, '') within group (order by {order}) filter (where is_text)").alias("text"),
-        F.expr(f"max_by(struct(value), {order}) filter (where not is_text)").alias("last"),
-        F.expr(f"max({order}) filter (where not is_text)").alias("at"),
-    )
-    return (
-        pieces.repartition("request_id")
-        .groupBy(*key)
-        .agg(
-            F.expr("listagg(text, '') within group (order by piece)").alias("text"),
-            F.max_by("last", "at").alias("last"),
-        )
-        .select(*key, F.coalesce("text", "last.value").alias("value"))
-    )
 
+def _first(value: Column, present: Column, order: Column) -> Column:
+    return F.min(F.when(present, F.struct(order.alias("order"), value.alias("value"))))
 
-def _field(name: str) -> Column:
-    return F.max(F.when(F.col("field") == name, F.col("value"))).alias(name)
 
-
-def _has(name: str) -> Column:
-    return F.coalesce(F.max(F.col("field") == name), F.lit(False)).alias(f"has_{name}")
+def _listagg(text: str, order: str) -> Column:
+    return F.expr(f"listagg({text}, '') within group (order by {order})").alias(text)
 
 
 def _padded(array: str, empty: str, size: str) -> Column:
@@ -174,6 +130,73 @@ def _padded(array: str, empty: str, size: str) -> Column:
 _CALL = "struct<id: string, type: string, function: struct<name: string, arguments: string>>"
 _MESSAGE = f"struct<role: string, content: string, reasoning_content: string, tool_calls: array<{_CALL}>>"
 _CHOICE = f"struct<index: bigint, message: {_MESSAGE}, finish_reason: string>"
+_TEXTS_OPENAI = ["content", "reasoning_content", "arguments"]
+_LAST_OPENAI = ["role", "finish_reason", "call_id", "type", "name", "usage"]
+_FIRST_OPENAI = ["id", "created", "model"]
+
+
+def _openai_rows(events: DataFrame) -> DataFrame:
+    """One row per event and choice, and one per tool call in it; the event is read once for all fields."""
+    per_choice = events.select(
+        "request_id", "pos", "v", F.posexplode_outer(F.try_variant_get("v", "$.choices", "array<variant>")).alias("at", "c")
+    )
+    calls = F.coalesce(F.try_variant_get("c", "$.delta.tool_calls", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    nothing = F.expr("array(cast(null as variant))")  # stands for the choice itself
+    rows = per_choice.select(
+        "request_id",
+        "pos",
+        F.coalesce("at", F.lit(0)).alias("at"),
+        "v",
+        "c",
+        F.posexplode(F.concat(nothing, calls)).alias("call_at", "t"),
+    )
+    own = F.col("call_at") == 0
+    is_head = own & (F.col("at") == 0)
+    usage = F.try_variant_get("v", "$.usage", "variant")
+    c, t = F.col("c"), F.col("t")
+    none = F.lit(NOBODY).cast("bigint")
+    return rows.select(
+        "request_id",
+        _piece(),
+        F.struct("pos", "at", "call_at").alias("order"),
+        F.when(c.isNull(), none).otherwise(_index(c)).alias("idx"),
+        F.when(own, none).otherwise(_index(t)).alias("tool"),
+        is_head.alias("is_head"),
+        F.when(is_head, F.coalesce(_text("$.id"), F.lit(""))).alias("id"),
+        F.when(is_head, _text("$.created")).alias("created"),
+        F.when(is_head, F.coalesce(_text("$.model"), F.lit(""))).alias("model"),
+        F.when(is_head, F.to_json(usage)).alias("usage"),
+        (is_head & usage.isNotNull() & ~F.is_variant_null(usage)).alias("has_usage"),
+        F.when(own, _text("$.delta.content", c)).alias("content"),
+        F.when(own, _text("$.delta.reasoning_content", c)).alias("reasoning_content"),
+        F.when(own, _text("$.delta.role", c)).alias("role"),
+        (own & has_key(c, "$.delta.role")).alias("has_role"),
+        F.when(own, _text("$.finish_reason", c)).alias("finish_reason"),
+        (own & has_key(c, "$.finish_reason")).alias("has_finish_reason"),
+        _text("$.function.arguments", t).alias("arguments"),
+        _text("$.id", t).alias("call_id"),
+        has_key(t, "$.id").alias("has_call_id"),
+        _text("$.type", t).alias("type"),
+        has_key(t, "$.type").alias("has_type"),
+        _text("$.function.name", t).alias("name"),
+        has_key(t, "$.function.name").alias("has_name"),
+        has_key(t, "$.function").alias("has_function"),
+    )
+
+
+def response_parts(events: DataFrame) -> DataFrame:
+    """Texts of choices and tool calls in ordered parts: ``request_id, idx, tool, piece`` and the texts of the piece.
+
+    This is the merge without its last step. A merged document is one row and can be no larger than one; the parts of
+    a response have no such limit.
+    """
+    order = F.col("order")
+    return _openai_rows(events).groupBy("request_id", "idx", "tool", "piece").agg(
+        *[_listagg(text, "order") for text in _TEXTS_OPENAI],
+        *[_last(F.col(n), F.col(f"has_{n}"), order).alias(n) for n in _LAST_OPENAI],
+        *[_first(F.col(n), F.col("is_head"), order).alias(n) for n in _FIRST_OPENAI],
+        F.max("has_function").alias("has_function"),
+    )
 
 
 def merge_openai(events: DataFrame) -> DataFrame:
@@ -182,70 +205,31 @@ def merge_openai(events: DataFrame) -> DataFrame:
     Result: ``request_id, id, object, created, model, choices, usage``. Choices and tool calls stand at their index,
     gaps are empty. Usage is the last one that is not null; missing texts are empty.
     """
-    first = (-F.col("pos"), F.lit(0), F.lit(0))  # the first event wins
-    usage = F.try_variant_get("v", "$.usage", "variant")
-    head = [
-        _leaf("id", F.coalesce(_text("$.id"), F.lit("")), order=first),
-        _leaf("created", _text("$.created"), order=first, present=F.lit(True)),
-        _leaf("model", F.coalesce(_text("$.model"), F.lit("")), order=first),
-        _leaf("usage", F.to_json(usage), present=usage.isNotNull() & ~F.is_variant_null(usage)),
-    ]
-
-    def of_call(call: Column, idx: Column, at: Column, call_at: Column) -> Column:
-        place = {"idx": idx, "tool": _index(call), "order": (F.col("pos"), at, call_at)}
-        return F.array(
-            _leaf("call_id", _text("$.id", call), present=has_key(call, "$.id"), **place),
-            _leaf("type", _text("$.type", call), present=has_key(call, "$.type"), **place),
-            _leaf("function", F.lit(""), present=has_key(call, "$.function"), **place),
-            _leaf("name", _text("$.function.name", call), present=has_key(call, "$.function.name"), **place),
-            _leaf("arguments", _text("$.function.arguments", call), text=True, **place),
-            _leaf("call", F.lit(""), present=F.lit(True), **place),
-        )
-
-    def of_choice(choice: Column, at: Column) -> Column:
-        idx = _index(choice)
-        place = {"idx": idx, "order": (F.col("pos"), at, F.lit(0))}
-        own = F.array(
-            _leaf("role", _text("$.delta.role", choice), present=has_key(choice, "$.delta.role"), **place),
-            _leaf("content", _text("$.delta.content", choice), text=True, **place),
-            _leaf("reasoning_content", _text("$.delta.reasoning_content", choice), text=True, **place),
-            _leaf(
-                "finish_reason", _text("$.finish_reason", choice), present=has_key(choice, "$.finish_reason"), **place
-            ),
-            _leaf("choice", F.lit(""), present=F.lit(True), **place),
-        )
-        calls = F.transform(
-            _list(choice, "$.delta.tool_calls"), lambda call, call_at: of_call(call, idx, at, call_at)
-        )
-        return F.concat(own, F.flatten(calls))
-
-    found = F.concat(F.array(*head), F.flatten(F.transform(_list("v", "$.choices"), of_choice)))
-    values = _joined(_leaves(events, found))
-
-    # call -> choice -> request, all inside the partitions of request_id
-    slots = values.groupBy("request_id", "idx", "tool").agg(
-        *[_field(n) for n in ("id", "created", "model", "usage")],
-        *[_field(n) for n in ("role", "content", "reasoning_content", "finish_reason")],
-        *[_field(n) for n in ("call_id", "type", "name", "arguments")],
-        _has("function"),
+    # from here on everything is partitioned by request, and the groupings need no further shuffle
+    pieces = response_parts(events).repartition("request_id")
+    slots = pieces.groupBy("request_id", "idx", "tool").agg(
+        *[_listagg(text, "piece") for text in _TEXTS_OPENAI],
+        *[F.max(n).alias(n) for n in _LAST_OPENAI],
+        *[F.min(n).alias(n) for n in _FIRST_OPENAI],
+        F.max("has_function").alias("has_function"),
     )
     is_call = F.col("tool") > NOBODY
     function = F.when(
         F.col("has_function"),
         F.struct(
-            F.coalesce("name", F.lit("")).alias("name"), F.coalesce("arguments", F.lit("")).alias("arguments")
+            F.coalesce("name.value", F.lit("")).alias("name"), F.coalesce("arguments", F.lit("")).alias("arguments")
         ),
     )
-    call = F.struct(F.col("call_id").alias("id"), "type", function.alias("function"))
+    call = F.struct(F.col("call_id.value").alias("id"), F.col("type.value").alias("type"), function.alias("function"))
     choices = slots.groupBy("request_id", "idx").agg(
-        *[F.max(n).alias(n) for n in ("id", "created", "model", "usage")],
-        *[F.max(n).alias(n) for n in ("role", "content", "reasoning_content", "finish_reason")],
+        *[F.min(n).alias(n) for n in _FIRST_OPENAI],
+        *[F.max(n).alias(n) for n in ("usage", "role", "finish_reason", "content", "reasoning_content")],
         F.collect_list(F.when(is_call, F.struct(F.col("tool").alias("idx"), call.alias("x")))).alias("calls"),
         F.max(F.when(is_call, F.col("tool"))).alias("last_call"),
     )
     empty_call = f"cast(named_struct('id', null, 'type', null, 'function', null) as {_CALL})"
     message = F.struct(
-        "role",
+        F.col("role.value").alias("role"),
         F.coalesce("content", F.lit("")).alias("content"),
         "reasoning_content",
         F.when(F.col("last_call").isNotNull(), _padded("calls", empty_call, "(last_call + 1)"))
@@ -253,9 +237,12 @@ def merge_openai(events: DataFrame) -> DataFrame:
         .alias("tool_calls"),
     )
     is_choice = F.col("idx") > NOBODY
-    choice = F.struct(F.col("idx").alias("index"), message.alias("message"), "finish_reason")
+    choice = F.struct(
+        F.col("idx").alias("index"), message.alias("message"), F.col("finish_reason.value").alias("finish_reason")
+    )
     whole = choices.groupBy("request_id").agg(
-        *[F.max(n).alias(n) for n in ("id", "created", "model", "usage")],
+        *[F.min(n).alias(n) for n in _FIRST_OPENAI],
+        F.max("usage").alias("usage"),
         F.collect_list(F.when(is_choice, F.struct("idx", choice.cast(_CHOICE).alias("x")))).alias("found"),
         F.max(F.when(is_choice, F.col("idx"))).alias("last_choice"),
     )
@@ -265,14 +252,14 @@ def merge_openai(events: DataFrame) -> DataFrame:
     )
     return whole.select(
         "request_id",
-        "id",
+        F.col("id.value").alias("id"),
         F.lit("chat.completion").alias("object"),
-        F.col("created").cast("bigint").alias("created"),
-        "model",
+        F.col("created.value").try_cast("bigint").alias("created"),
+        F.col("model.value").alias("model"),
         F.when(F.col("last_choice").isNotNull(), _padded("found", empty_choice, "(last_choice + 1)"))
         .otherwise(F.expr(f"cast(array() as array<{_CHOICE}>)"))
         .alias("choices"),
-        F.parse_json("usage").alias("usage"),
+        F.parse_json("usage.value").alias("usage"),
     )
 
 
@@ -281,144 +268,122 @@ ANTHROPIC_USAGE = ["input_tokens", "output_tokens", "cache_creation_input_tokens
 
 
 _TEXTS = ["text", "thinking", "signature", "partial_json"]
+_START_FIELDS = {"block_type": "type", "block_id": "id", "name": "name"}
 _BLOCK = (
     "struct<type: string, id: string, name: string, text: string, thinking: string, signature: string, input: string>"
 )
 
 
-def merge_anthropic(events: DataFrame) -> DataFrame:
-    """Full response per request from content-block events.
-
-    Result: ``request_id, id, type, role, model, content, stop_reason, usage``. A block exists from its start event on;
-    deltas of blocks that have not started are dropped. Gaps before a started block are empty.
-    """
+def _anthropic_rows(events: DataFrame) -> DataFrame:
+    """One row per event with all fields that matter."""
     typed = events.withColumn("kind", _text("$.type")).filter("kind is not null")
-    first = (-F.col("pos"), F.lit(0), F.lit(0))
-    kind, idx = F.col("kind"), _index("v")
+    kind = F.col("kind")
     starting, adding = kind == "content_block_start", kind == "content_block_delta"
     usage = F.when(kind == "message_start", F.try_variant_get("v", "$.message.usage", "variant")).when(
         kind == "message_delta", F.try_variant_get("v", "$.usage", "variant")
     )
-    # for texts the second place tells a start (1) from an addition (0)
-    place = (F.col("pos"), starting.cast("int"), F.lit(0))
-    leaves = [
-        _leaf("id", F.coalesce(_text("$.message.id"), F.lit("")), order=first),
-        _leaf("model", F.coalesce(_text("$.message.model"), F.lit("")), order=first),
-        _leaf(
-            "stop_reason",
-            _text("$.delta.stop_reason"),
-            present=(kind == "message_delta") & has_key(F.col("v"), "$.delta.stop_reason"),
-        ),
-        *[_leaf(name, F.try_variant_get(usage, f"$.{name}", "string")) for name in ANTHROPIC_USAGE],
-        *[
-            _leaf(field, F.when(starting, _text(f"$.content_block.{path}")), idx=idx)
-            for field, path in (("block_type", "type"), ("block_id", "id"), ("name", "name"))
-        ],
-        _leaf(
-            "input",
-            F.when(starting, F.to_json(F.try_variant_get("v", "$.content_block.input", "variant"))),
-            idx=idx,
-        ),
-        # a start opens all texts of its block, with or without a first part
+    return typed.select(
+        "request_id",
+        "pos",
+        _piece(),
+        F.when(starting | adding, _index("v")).otherwise(F.lit(NOBODY).cast("bigint")).alias("idx"),
+        starting.alias("starting"),
+        F.coalesce(_text("$.message.id"), F.lit("")).alias("id"),
+        F.coalesce(_text("$.message.model"), F.lit("")).alias("model"),
+        _text("$.delta.stop_reason").alias("stop_reason"),
+        ((kind == "message_delta") & has_key(F.col("v"), "$.delta.stop_reason")).alias("has_stop_reason"),
+        *[F.try_variant_get(usage, f"$.{name}", "bigint").alias(name) for name in ANTHROPIC_USAGE],
+        *[F.when(starting, _text(f"$.content_block.{path}")).alias(name) for name, path in _START_FIELDS.items()],
+        F.when(starting, F.to_json(F.try_variant_get("v", "$.content_block.input", "variant"))).alias("input"),
         *[
-            _leaf(
-                name,
-                F.when(starting, _text(f"$.content_block.{name}")).when(adding, _text(f"$.delta.{name}")),
-                idx=idx,
-                text=True,
-                order=place,
-                present=starting | (adding & _text(f"$.delta.{name}").isNotNull()),
-            )
+            F.when(starting, _text(f"$.content_block.{name}")).when(adding, _text(f"$.delta.{name}")).alias(name)
             for name in _TEXTS
         ],
-    ]
-    values = _joined_from_start(_leaves(typed, F.array(*leaves)))
-    blocks = values.groupBy("request_id", "idx").agg(
-        *[_field(n) for n in ("id", "model", "stop_reason", *ANTHROPIC_USAGE)],
-        *[_field(n) for n in ("block_type", "block_id", "name", "input", *_TEXTS)],
     )
+
+
+def merge_anthropic(events: DataFrame) -> DataFrame:
+    """Full response per request from content-block events.
+
+    Result: ``request_id, id, type, role, model, content, stop_reason, usage``. A block exists from its start event on;
+    deltas of blocks that have not started are dropped. Gaps before a started block are empty.
+    """
+    rows = _anthropic_rows(events)
+    pos, always = F.col("pos"), F.lit(True)
+    kept = [*_START_FIELDS, "input", *ANTHROPIC_USAGE]  # of these the last value that is not null
+    # The start of a block may lie in another piece than its deltas. So a piece hands on what precedes and what
+    # follows its own first start, and the pieces are joined from the first one that has a start.
+    pieces = (
+        rows.groupBy("request_id", "idx", "piece")
+        .agg(
+            *[_first(F.col(n), always, pos).alias(n) for n in ("id", "model")],
+            _last(F.col("stop_reason"), F.col("has_stop_reason"), pos).alias("stop_reason"),
+            *[_last(F.col(n), F.col(n).isNotNull(), pos).alias(n) for n in kept],
+            F.min(F.when(F.col("starting"), pos)).alias("start"),
+            F.array_sort(
+                F.collect_list(F.when(F.col("idx") > NOBODY, F.struct("pos", *_TEXTS)))
+            ).alias("parts"),
+        )
+        .select(
+            "request_id",
+            "idx",
+            "piece",
+            "id",
+            "model",
+            "stop_reason",
+            *kept,
+            F.col("start").isNotNull().alias("has_start"),
+            F.struct(*[_text_of("filter(parts, p -> start is null or p.pos < start)", n) for n in _TEXTS]).alias("before"),
+            F.struct(*[_text_of("filter(parts, p -> p.pos >= start)", n) for n in _TEXTS]).alias("after"),
+        )
+        .repartition("request_id")
+    )
+    blocks = pieces.groupBy("request_id", "idx").agg(
+        *[F.min(n).alias(n) for n in ("id", "model")],
+        *[F.max(n).alias(n) for n in ("stop_reason", *kept)],
+        F.min(F.when(F.col("has_start"), F.col("piece"))).alias("first"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("idx") > NOBODY, F.struct("piece", "before", "after")))
+        ).alias("pieces"),
+    )
+    from_start = """flatten(transform(filter(pieces, p -> p.piece >= first),
+        p -> if(p.piece = first, array(p.after), array(p.before, p.after))))"""
+    texts = blocks.withColumns({n: _text_of(from_start, n) for n in _TEXTS})
     parsed = F.coalesce(F.try_parse_json("partial_json"), F.parse_json(F.lit("{}")))
     block = F.struct(
-        F.col("block_type").alias("type"),
-        F.col("block_id").alias("id"),
-        "name",
+        F.col("block_type.value").alias("type"),
+        F.col("block_id.value").alias("id"),
+        F.col("name.value").alias("name"),
         "text",
         "thinking",
         "signature",
-        F.when(F.col("partial_json").isNotNull(), F.to_json(parsed)).otherwise(F.col("input")).alias("input"),
+        F.when(F.col("partial_json").isNotNull(), F.to_json(parsed)).otherwise(F.col("input.value")).alias("input"),
     )
-    is_block = F.col("idx") > NOBODY
-    head = ("id", "model", "stop_reason", *ANTHROPIC_USAGE)
-    whole = blocks.groupBy("request_id").agg(
-        *[F.max(n).alias(n) for n in head],
+    is_block = F.col("first").isNotNull()
+    whole = texts.groupBy("request_id").agg(
+        *[F.min(n).alias(n) for n in ("id", "model")],
+        *[F.max(n).alias(n) for n in ("stop_reason", *ANTHROPIC_USAGE)],
         F.collect_list(F.when(is_block, F.struct("idx", block.cast(_BLOCK).alias("x")))).alias("found"),
         F.max(F.when(is_block, F.col("idx"))).alias("last_block"),
     )
     return whole.select(
         "request_id",
-        "id",
+        F.col("id.value").alias("id"),
         F.lit("message").alias("type"),
         F.lit("assistant").alias("role"),
-        "model",
+        F.col("model.value").alias("model"),
         F.when(F.col("last_block").isNotNull(), _padded("found", f"cast(null as {_BLOCK})", "(last_block + 1)"))
         .otherwise(F.expr(f"cast(array() as array<{_BLOCK}>)"))
         .alias("content"),
-        "stop_reason",
-        F.struct(*[F.col(n).cast("bigint").alias(n) for n in ANTHROPIC_USAGE]).alias("usage"),
-    )
-
-
-def _joined_from_start(leaves: DataFrame) -> DataFrame:
-    """Like :func:`_joined`, but a text counts only from the first start of its block.
-
-    The start may lie in another piece. So a piece hands on what precedes and what follows its own first start, and the
-    pieces are joined from the first one that has a start. Texts of blocks without a start give no row.
-    """
-    key = ["request_id", "idx", "tool", "field"]
-    order = "struct(o1, o2, o3)"
-    pieces = (
-        leaves.groupBy(*key, "is_text", "piece")
-        .agg(
-            F.expr(f"array_sort(collect_list(struct(o1, o2, value)) filter (where is_text))").alias("parts"),
-            F.min(F.when(F.col("is_text") & (F.col("o2") == 1), F.col("o1"))).alias("start"),
-            F.expr(f"max_by(struct(value), {order}) filter (where not is_text)").alias("last"),
-            F.expr(f"max({order}) filter (where not is_text)").alias("at"),
-        )
-        .select(
-            *key,
-            "is_text",
-            "piece",
-            F.col("start").isNotNull().alias("has_start"),
-            _text_of("filter(parts, p -> start is null or p.o1 < start)").alias("before"),
-            _text_of("filter(parts, p -> p.o1 >= start)").alias("after"),
-            "last",
-            "at",
-        )
-    )
-    whole = (
-        pieces.repartition("request_id")
-        .groupBy(*key, "is_text")
-        .agg(
-            F.expr("array_sort(collect_list(struct(piece, before, after)) filter (where is_text))").alias("pieces"),
-            F.min(F.when(F.col("has_start"), F.col("piece"))).alias("first"),
-            F.max_by("last", "at").alias("last"),
-        )
-    )
-    text = _text_of(
-        """transform(filter(pieces, p -> p.piece >= first), p -> named_struct('value',
-             if(p.piece = first, p.after,
-                if(p.before is null and p.after is null, null, concat_ws('', p.before, p.after)))))"""
-    )
-    return (
-        whole.filter(~F.col("is_text") | F.col("first").isNotNull())
-        .select(*key, F.when(F.col("is_text"), text).otherwise(F.col("last.value")).alias("value"))
+        F.col("stop_reason.value").alias("stop_reason"),
+        F.struct(*[F.col(f"{n}.value").alias(n) for n in ANTHROPIC_USAGE]).alias("usage"),
     )
 
 
-def _text_of(parts: str) -> Column:
-    """Values of an array of structs in one text; NULL if none has a value."""
-    values = f"filter(transform({parts}, p -> p.value), x -> x is not null)"
-    return F.expr(f"if(size({values}) > 0, array_join({values}, ''), null)")
+def _text_of(parts: str, field: str) -> Column:
+    """One field of an array of structs in one text; NULL if no part has it."""
+    values = f"filter(transform({parts}, p -> p.{field}), x -> x is not null)"
+    return F.expr(f"if(size({values}) > 0, array_join({values}, ''), null)").alias(field)
 
 
 def tool_inputs(merged: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions import derive
 from gatelens.operators.facts import attempts_finished, terminals
-from gatelens.operators.reports import ts_literal
+from gatelens.operators.reports import ts_literal, utc_naive
 from gatelens.operators.running import int_div, running, time_slice
 
 # Defaults of the rule.
@@ -245,10 +245,12 @@ def recent_rate_limits(
 ) -> DataFrame:
     """Rate limits still counted at ``as_of``: within the window and after the last success or trigger."""
     keys = keys_of(outcomes_)
-    as_of_us = as_us(ts_literal(as_of))
-    from_us = as_of_us - window_s * 1_000_000
-    inside = F.col("us").between(from_us, as_of_us)
-    marks = _marks(outcomes_).filter(inside)
+    # on the time column itself, so that the scan skips everything before the window
+    ts_type = outcomes_.schema["ts"].dataType
+    from_ts = utc_naive(as_of) - dt.timedelta(seconds=window_s)
+    window = outcomes_.filter(F.col("ts").between(ts_literal(from_ts, ts_type), ts_literal(as_of, ts_type)))
+    marks = _marks(window)
+    inside = F.col("us").between(as_us(ts_literal(from_ts)), as_us(ts_literal(as_of)))
     resets = marks.filter("limited = 0").select(*keys, "us", "seq").unionByName(
         triggers_.filter(inside).select(*keys, "us", "seq")
     )

@@ -315,16 +315,16 @@ def request_stats_from_events(spark, sf_dir):
 # ---- statistics -----------------------------------------------------------------------------------------------------
 
 
-def _outcomes(spark, sf_dir):
-    return cooldown.outcomes(demo.router_events(spark, sf_dir))
+def _marks(spark, sf_dir):
+    return materialize(cooldown.marks_only(cooldown.outcomes(demo.router_events(spark, sf_dir))), "marks")
 
 
-def _triggers(spark, sf_dir):
-    return cooldown.triggers(_outcomes(spark, sf_dir), demo.THRESHOLD, demo.WINDOW_S, slice_s=3600)
+def _triggers(marks):
+    return cooldown.triggers(marks, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600)
 
 
 def _stored_triggers(spark, sf_dir):
-    return materialize(_triggers(spark, sf_dir), "triggers")
+    return materialize(_triggers(_marks(spark, sf_dir)), "triggers")
 
 
 RULE = health.Rule(demo.THRESHOLD, demo.WINDOW_S, demo.COOLDOWN_S, 3600)
@@ -524,7 +524,7 @@ def failure_summaries(spark, sf_dir):
 
 @query
 def cooldown_triggers(spark, sf_dir):
-    return _triggers(spark, sf_dir).select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq")
+    return _triggers(_marks(spark, sf_dir)).select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq")
 
 
 @query
@@ -539,9 +539,8 @@ def cooldown_status(spark, sf_dir):
 
 @query
 def recent_rate_limits(spark, sf_dir):
-    marks = materialize(cooldown.marks_only(_outcomes(spark, sf_dir)), "marks")
-    triggers = cooldown.triggers(marks, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600)
-    return cooldown.recent_rate_limits(marks, triggers, AS_OF, demo.WINDOW_S)
+    marks = _marks(spark, sf_dir)
+    return cooldown.recent_rate_limits(marks, _triggers(marks), AS_OF, demo.WINDOW_S)
 
 
 def _requests(spark, sf_dir):
@@ -688,6 +687,9 @@ def stats_from_chunks(spark, sf_dir):
 # ---- streaming ------------------------------------------------------------------------------------------------------
 
 
+WINDOW_KEY = ["bucket", "provider_type", "provider_name"]
+
+
 def _event_stream(spark, sf_dir):
     return live.stream_parquet(spark, f"{sf_dir}/events.parquet")
 
@@ -696,8 +698,8 @@ def _event_stream(spark, sf_dir):
 def streaming_requests(spark, sf_dir):
     path = scratch_path(spark, "live")
     rows = demo.stats_of(_event_stream(spark, sf_dir)).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    update_log.start(live.live_requests(rows, "hour"), path, path + "-checkpoint").awaitTermination()
-    windows = update_log.latest(spark, path, ["bucket", "provider_type", "provider_name"])
+    update_log.start(live.live_requests(rows, "hour"), path, path + "-checkpoint", WINDOW_KEY).awaitTermination()
+    windows = update_log.latest(spark, path, WINDOW_KEY)
     return live.live_series(windows, AS_OF, "hour", 720)
 
 
@@ -705,7 +707,7 @@ def streaming_requests(spark, sf_dir):
 def streaming_counters(spark, sf_dir):
     path = scratch_path(spark, "live")
     counters = live.live_counters(demo.events_of(_event_stream(spark, sf_dir)))
-    update_log.start(counters, path, path + "-checkpoint").awaitTermination()
+    update_log.start(counters, path, path + "-checkpoint", stats.KEY).awaitTermination()
     latest = update_log.latest(spark, path, ["provider_type", "provider"])
     return latest.select(
         "provider_type", "provider", "total_requests", "successful_requests", "failed_requests", "total_rate_limits",

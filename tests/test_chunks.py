@@ -137,6 +137,8 @@ def test_long_response_over_many_slices_and_pieces(spark, monkeypatch):
     lines = C.sse_events(chunks, chunks_per_slice=8)
     assert lines.count() == 300
     assert C.merge_openai(lines).first().choices[0].message.content == "".join(words)
+    parts = C.response_parts(lines).orderBy("piece").collect()
+    assert len(parts) > 10 and "".join(r.content for r in parts) == "".join(words)
 
 
 @settings(max_examples=8, deadline=None)

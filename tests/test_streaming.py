@@ -28,9 +28,12 @@ def test_live_series_is_the_batch_series(spark, sf_dir, tmp_path):
     in_files(stats, tmp_path / "in", "timestamp", 4)
     rows = live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
     out = str(tmp_path / "out")
-    update_log.start(live.live_requests(rows, "hour"), out, str(tmp_path / "ck")).awaitTermination()
+    key = ["bucket", "provider_type", "provider_name"]
+    changes = live.live_requests(rows, "hour")
+    update_log.start(changes, out, str(tmp_path / "ck"), key, snapshot_every=2).awaitTermination()
     assert len(update_log.batch_ids(spark, out)) >= 4
-    windows = update_log.latest(spark, out, ["bucket", "provider_type", "provider_name"])
+    assert update_log.batch_ids(spark, out, "snapshot")[:2] == [1, 3]
+    windows = update_log.latest(spark, out, key)
     got = live.live_series(windows, AS_OF, "hour", 48, "openai").collect()
     batch = R.requests_over_time(stats, AS_OF, "hour", 48, "openai").collect()
     # the live form keeps the first window whole
@@ -44,7 +47,7 @@ def test_live_counters_are_the_batch_counters(spark, sf_dir, tmp_path):
     in_files(log, tmp_path / "in", "timestamp", 3)
     rows = live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
     out = str(tmp_path / "out")
-    update_log.start(live.live_counters(rows), out, str(tmp_path / "ck")).awaitTermination()
+    update_log.start(live.live_counters(rows), out, str(tmp_path / "ck"), ["provider_type", "provider"]).awaitTermination()
     got = update_log.latest(spark, out, ["provider_type", "provider"])
     batch = event_counters(log)
     assert sorted(map(tuple, got.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
