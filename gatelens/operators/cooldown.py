@@ -32,7 +32,8 @@ WINDOW_S = 60
 COOLDOWN_S = 600
 
 SLICE_S = 10  # length of the time slices; bounds the rows one task sorts
-CHUNK = 4096  # ranks per chunk, and chunks per group
+CHUNK = 1024  # ranks per chunk
+GROUP = 4096  # chunks per group
 
 RATE_LIMITED, SUCCESS, OTHER = "rate_limited", "success", "other"
 
@@ -129,18 +130,19 @@ def _hot_chunks(marks: DataFrame, k: int, window_us: int, slice_s: int, chunk: i
     )
 
 
-def _walk(cells: str, first: str, entry: str) -> str:
+def _walk(cells: str, first: str, entry: str, seen: bool) -> str:
     """SQL text: run through sorted cells (idx, exit) from state ``entry`` at index ``first``.
 
     State = how many ranks at the start of the next chunk are still blocked. A missing index means a chunk without hot
-    limits, which leaves nothing blocked. Result: next index, state, and the entry state of every cell.
+    limits, which leaves nothing blocked. Result: next index and state, and with ``seen`` the entry state of each cell.
     """
     at = "if(c.idx = a.nxt, a.state, 0L)"
-    return f"""aggregate({cells},
-        named_struct('nxt', {first}, 'state', {entry},
-                     'seen', cast(array() as array<struct<idx: bigint, entry: bigint>>)),
-        (a, c) -> named_struct('nxt', c.idx + 1, 'state', element_at(c.exit, cast({at} + 1 as int)),
-                     'seen', array_append(a.seen, named_struct('idx', c.idx, 'entry', {at}))))"""
+    step = f"'nxt', c.idx + 1, 'state', element_at(c.exit, cast({at} + 1 as int))"
+    start = f"'nxt', {first}, 'state', {entry}"
+    if seen:
+        step += f", 'seen', array_append(a.seen, named_struct('idx', c.idx, 'entry', {at}))"
+        start += ", 'seen', cast(array() as array<struct<idx: bigint, entry: bigint>>)"
+    return f"aggregate({cells}, named_struct({start}), (a, c) -> named_struct({step}))"
 
 
 def _entry_states(maps: DataFrame, k: int, fan: int) -> DataFrame:
@@ -151,7 +153,7 @@ def _entry_states(maps: DataFrame, k: int, fan: int) -> DataFrame:
     )
     # state leaving the group for each entry state
     leave = F.expr(
-        f"""transform(sequence(0L, {k - 1}L), e -> transform(array({_walk('cells', f'grp * {fan}L', 'e')}),
+        f"""transform(sequence(0L, {k - 1}L), e -> transform(array({_walk('cells', f'grp * {fan}L', 'e', False)}),
               w -> if(w.nxt = (grp + 1) * {fan}L, w.state, 0L))[0])"""
     )
     per_provider = (
@@ -159,11 +161,11 @@ def _entry_states(maps: DataFrame, k: int, fan: int) -> DataFrame:
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("idx", "exit"))).alias("cells"))
     )
-    group_entry = per_provider.select(*keys, F.expr(f"inline({_walk('cells', '-1L', '0L')}.seen)")).select(
+    group_entry = per_provider.select(*keys, F.expr(f"inline({_walk('cells', '-1L', '0L', True)}.seen)")).select(
         *keys, F.col("idx").alias("grp"), F.col("entry").alias("grp_entry")
     )
     return groups.join(group_entry, [*keys, "grp"]).select(
-        *keys, F.expr(f"inline({_walk('cells', f'grp * {fan}L', 'grp_entry')}.seen)")
+        *keys, F.expr(f"inline({_walk('cells', f'grp * {fan}L', 'grp_entry', True)}.seen)")
     )
 
 
@@ -174,6 +176,7 @@ def triggers(
     *,
     slice_s: int = SLICE_S,
     chunk: int = CHUNK,
+    group: int = GROUP,
 ) -> DataFrame:
     """Cooldown starts: provider keys and ``us, seq, rank`` (rank = number of the rate limit that started it, from 0).
 
@@ -190,7 +193,7 @@ def triggers(
               aggregate(hot, chunk * {chunk}L + e, (free, h) -> if(h.rank >= free, h.rank + {k}L, free))
               - (chunk + 1) * {chunk}L))"""
     )
-    entry = _entry_states(hot.select(*keys, F.col("chunk").alias("idx"), exits.alias("exit")), k, chunk)
+    entry = _entry_states(hot.select(*keys, F.col("chunk").alias("idx"), exits.alias("exit")), k, group)
     picks = F.expr(
         f"""aggregate(hot,
               named_struct('free', chunk * {chunk}L + entry,
@@ -341,8 +344,11 @@ def skipped_providers(
     """Providers a request passed over because they were cooling.
 
     ``requests``: request_id, provider_type, ts, served_priority (NULL if no provider served it, then all count).
-    ``providers``: provider_type, provider, priority. Each request meets only the providers of its own type.
+    ``providers``: provider_type, provider, priority. Each request meets only the providers of its own type that ever
+    cooled down.
     """
+    keys = keys_of(triggers_)
+    providers = providers.join(triggers_.select(*keys).distinct(), keys, "left_semi")
     above = requests.join(providers, "provider_type").filter(
         F.col("served_priority").isNull() | (F.col("priority") < F.col("served_priority"))
     )

@@ -10,12 +10,13 @@ from gatelens.operators.running import int_div, running
 
 
 def with_names(providers: DataFrame) -> DataFrame:
-    """Display name and effective base URL; the API key only masked."""
+    """Display name, effective base URL and number of mapped models; the API key only masked."""
     return providers.withColumns(
         {
             "provider": derive.display_name(F.col("provider_name"), F.col("provider_type"), F.col("priority")),
             "effective_base_url": derive.effective_base_url(F.col("base_url"), F.col("provider_type")),
             "api_key": derive.mask_key(F.col("api_key")),
+            "mapped_models": F.coalesce(F.size("model_mapping"), F.lit(0)),
         }
     )
 
@@ -41,8 +42,9 @@ def priority_of(providers: DataFrame, names: DataFrame) -> DataFrame:
 def map_model(df: DataFrame, providers: DataFrame) -> DataFrame:
     """Vendor model name of each row's (provider_type, provider, model); names without a mapping stay."""
     named = providers if "provider" in providers.columns else with_names(providers)
-    # one row per provider, so that the join cannot multiply rows
-    mapping = named.groupBy("provider_type", "provider").agg(F.first("model_mapping", ignorenulls=True).alias("mapping"))
+    # one row per provider (the first in order), so that the join cannot multiply rows
+    place = F.when(F.col("model_mapping").isNotNull(), F.struct("priority", "position"))
+    mapping = named.groupBy("provider_type", "provider").agg(F.min_by("model_mapping", place).alias("mapping"))
     return (
         df.join(mapping, ["provider_type", "provider"], "left")
         .withColumn("mapped_model", F.coalesce(F.try_element_at("mapping", F.col("model")), F.col("model")))

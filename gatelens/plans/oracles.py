@@ -27,7 +27,7 @@ a AS (
          event_type IN ('view', 'click') AND NOT (event_type = 'view' AND k % 10 = 3) AS stream,
          CASE WHEN event_type = 'error' THEN 'rate_limit_error' WHEN event_type = 'signup' THEN 'provider_error'
               WHEN event_type = 'purchase' AND k >= 95 THEN 'authentication_error' END AS etype,
-         CASE WHEN event_type = 'error' THEN 429 WHEN event_type = 'purchase' AND k >= 95 THEN 401 END AS status,
+         CASE WHEN event_type = 'error' THEN 429 WHEN event_type = 'purchase' AND k >= 95 THEN 401 END::BIGINT AS status,
          event_type = 'purchase' AND k < 10 AS is_open,
          ts + to_microseconds(k * 1000) AS end_ts, event_id * 8 AS seq,
          CASE WHEN user_id % 5 > 0 THEN 'agent-' || (user_id % 5) END AS agent, 'm' || (k % 7) AS model,
@@ -259,7 +259,7 @@ heads AS (
 
 PIECES = """pieces AS (SELECT request_id, provider_type, conv_id, out, prompt, cached, n_turns FROM (
   SELECT 'c' || conv_id AS request_id, 'openai' AS provider_type, conv_id, arg_max(length(text), turn) AS out,
-         max(turn) + 10 AS prompt, 0 AS cached, max(turn) AS n_turns FROM conversations GROUP BY conv_id
+         max(turn) + 10 AS prompt, 0::BIGINT AS cached, max(turn) AS n_turns FROM conversations GROUP BY conv_id
   UNION ALL
   SELECT 'ac' || conv_id, 'anthropic', conv_id, arg_max(length(text), turn), 28, 5, max(turn)
   FROM conversations GROUP BY conv_id))"""
@@ -392,7 +392,7 @@ SELECT event_id, status, c AS error_class,
               WHEN 'provider_error' THEN 'Provider error: ' ELSE '' END || event_type AS label,
        CASE c WHEN 'rate_limit_error' THEN 'Rate limited: ' ELSE '' END || event_type AS attempt_label,
        CASE c WHEN 'authentication_error' THEN 401 WHEN 'rate_limit_error' THEN 429 WHEN 'provider_error' THEN 502
-              ELSE 500 END AS client_status
+              ELSE 500 END::BIGINT AS client_status
 FROM y""",
     "iso_times": """SELECT event_id,
        CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00')
@@ -435,7 +435,7 @@ FROM totals""",
 SELECT provider, error_type, status_code, count(*) AS errors, grouping(provider, error_type, status_code) AS level
 FROM er GROUP BY CUBE (provider, error_type, status_code)""",
     "retry_breakdown": f"""WITH {ATTEMPTS}
-SELECT k % 3 + 1 AS attempt, 3 AS max_attempts, etype AS error_type, count(*) AS retries,
+SELECT k % 3 + 1 AS attempt, 3::BIGINT AS max_attempts, etype AS error_type, count(*) AS retries,
        count(*) FILTER (status = 429) AS with_retry_after,
        sum((k / 2)::DECIMAL(18,3)) FILTER (status = 429)::DOUBLE / nullif(count(*) FILTER (status = 429), 0) AS avg_retry_after
 FROM a WHERE etype IS NOT NULL GROUP BY ALL""",
@@ -527,15 +527,15 @@ WHERE EXISTS (SELECT 1 FROM t WHERE t.provider_type = ptype AND t.provider = pro
 FROM events WINDOW w AS (PARTITION BY user_id % 4 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
     "sse_events": f"WITH {TURNS} SELECT request_id, 'f' || turn AS finish_reason, text AS content FROM c",
     "merged_openai": f"""WITH {OPENAI}
-SELECT request_id, id, 'chat.completion' AS object, 1700000000 AS created, model, prompt_tokens, completion_tokens,
+SELECT request_id, id, 'chat.completion' AS object, 1700000000::BIGINT AS created, model, prompt_tokens, completion_tokens,
        turn % 2 AS choice, arg_max(role, turn) AS role, string_agg(text, '' ORDER BY turn) AS content,
        arg_max('f' || turn, turn) AS finish_reason, tool_calls
 FROM c JOIN heads USING (request_id) JOIN tools ON tools.request_id = c.request_id AND tools.choice = turn % 2
 GROUP BY ALL""",
     "merged_anthropic": f"""WITH {TURNS}
-SELECT request_id, 'msg-' || conv_id AS id, 'model-a' AS model, 's' || last_turn AS stop_reason, 20 AS input_tokens,
+SELECT request_id, 'msg-' || conv_id AS id, 'model-a' AS model, 's' || last_turn AS stop_reason, 20::BIGINT AS input_tokens,
        (SELECT length(z.text) FROM c z WHERE z.request_id = c.request_id AND z.turn = c.last_turn) AS output_tokens,
-       3 AS cache_creation_input_tokens, 5 AS cache_read_input_tokens, turn AS block,
+       3::BIGINT AS cache_creation_input_tokens, 5::BIGINT AS cache_read_input_tokens, turn AS block,
        CASE WHEN role = 'assistant' THEN 'tool_use' ELSE 'text' END AS type,
        CASE WHEN role = 'assistant' THEN 't' || turn END AS tool_id,
        CASE WHEN role <> 'assistant' THEN text || '|' || text END AS text,

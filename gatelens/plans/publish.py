@@ -210,7 +210,10 @@ def status_json(providers: DataFrame, counts: DataFrame, stats: DataFrame, total
                 F.collect_list(
                     F.struct(
                         "provider_type",
-                        F.to_json(F.struct("enabled", "provider_count", F.coalesce("providers", F.array()).alias("providers"))).alias("v"),
+                        F.to_json(
+                            F.struct("enabled", "provider_count", F.coalesce("providers", F.array()).alias("providers")),
+                            {"ignoreNullFields": "false"},
+                        ).alias("v"),
                     )
                 )
             )

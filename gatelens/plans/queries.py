@@ -377,7 +377,6 @@ def status_document(spark, sf_dir):
     """The status document, read back at a few paths per provider."""
     names = P.with_names(demo.providers(spark, sf_dir))
     ps, totals = _health(spark, sf_dir)
-    totals = totals.drop("uptime_seconds")
     doc = publish.status_json(names, P.provider_counts(demo.providers(spark, sf_dir)), ps, totals)
     parsed = doc.select(F.parse_json("status").alias("d"))
     types = parsed.select(F.explode(F.array(*[F.lit(t) for t in ("openai", "anthropic", "unknown")])).alias("t"), "d")

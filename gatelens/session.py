@@ -31,13 +31,12 @@ def get_spark(app_name: str = "gatelens", master: str | None = None, conf: dict[
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where neither the session nor its context names one (tests on one machine) a temporary folder is made and set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="gatelens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gatelens-"))
+        base = spark.sparkContext.getCheckpointDir()
     return os.path.join(base, f"{tag}-{uuid.uuid4().hex}")
 
 

@@ -80,6 +80,15 @@ def read_router_events(
     )
 
 
+def read_router_events_table(spark: SparkSession, path: str, *, missing_ok: bool = True) -> DataFrame:
+    """Our Parquet form of the event log, partitioned by ``date`` and ``type``."""
+    fields = [*schemas.ROUTER_EVENTS.fields, T.StructField("seq", T.LongType()), T.StructField("date", T.DateType())]
+    schema = T.StructType(fields)
+    if missing_ok and not path_exists(spark, path):
+        return _empty(spark, schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def with_log_file(df: DataFrame) -> DataFrame:
     """Start time and session of the log file, from the name ``router_YYYYMMDD_HHMMSS_<session>``."""
     pattern = r"^router_(\d{8}_\d{6})_([^_.]+)"

@@ -28,6 +28,12 @@ def write_request_stats(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
+def write_router_events(events: DataFrame, path: str) -> None:
+    """Append the event log as Parquet by date and type: text logs are parsed once, and reports read only their types."""
+    dated = events.withColumn("date", F.to_date("timestamp"))
+    dated.hint("rebalance", "date", "type").write.mode("append").partitionBy("date", "type").parquet(path)
+
+
 def error_events(events: DataFrame) -> DataFrame:
     """The part of the log at WARNING and above."""
     return events.filter(F.col("type").isin(WARNING_TYPES))

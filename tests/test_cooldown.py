@@ -97,13 +97,13 @@ events = st.lists(
 @settings(max_examples=12, deadline=None)
 @given(events, st.integers(1, 4), st.integers(1, 30), st.integers(1, 50), st.integers(4, 9))
 def test_same_as_one_after_the_other(spark, rows, k, window, slice_s, chunk):
-    got = C.triggers(outcomes(spark, rows), k, window, slice_s=slice_s, chunk=chunk)
+    got = C.triggers(outcomes(spark, rows), k, window, slice_s=slice_s, chunk=chunk, group=3)
     assert sorted((r.provider, r.seq) for r in got.collect()) == walk(rows, k, window)
 
 
 def test_long_storm_over_many_chunks(spark):
     rows = limits(*range(5000))
-    got = C.triggers(outcomes(spark, rows), 3, 60, chunk=8)  # 625 chunks in 79 groups
+    got = C.triggers(outcomes(spark, rows), 3, 60, chunk=8, group=8)  # 625 chunks in 79 groups
     assert sorted(r.seq for r in got.collect()) == list(range(2, 5000, 3))
 
 

@@ -89,6 +89,21 @@ def test_event_log(spark, tmp_path):
     assert details.first().n == 2
 
 
+def test_event_table_is_pruned_by_type(spark, tmp_path):
+    from helpers import log
+
+    events = log(spark, [{"type": t, "request_id": t, "details": '{"a":1}'} for t in ("request", "error", "retry")])
+    writers.write_router_events(events, str(tmp_path / "t"))
+    stored = readers.read_router_events_table(spark, str(tmp_path / "t"))
+    errors = stored.filter("type = 'error'")
+    assert [r.request_id for r in errors.collect()] == ["error"]
+    assert "PartitionFilters: [isnotnull(type" in errors._jdf.queryExecution().toString()
+    assert stored.count() == 3 and stored.selectExpr("variant_get(details, '$.a', 'int') a").first().a == 1
+    assert readers.read_router_events_table(spark, str(tmp_path / "none")).schema == stored.select(
+        *readers.read_router_events_table(spark, str(tmp_path / "none")).columns
+    ).schema
+
+
 def test_line_order_across_splits(spark, tmp_path):
     n = 4000
     text = "".join(_event("request", 1, message_count=i, model="m" * (i % 50)) + "\n" for i in range(n))

@@ -8,6 +8,16 @@ QUERIES = entry_module.queries()
 ORACLES = entry_module.oracle_sql()
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "date": "DATE",
+}
+
+
 def _rows(rows):
     return sorted(
         (tuple(0.0 if v == 0 and isinstance(v, float) else v for v in row) for row in rows),
@@ -24,6 +34,8 @@ def test_same_rows(spark, duck, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = _rows(tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect())
+    kinds = {row[0]: row[1] for row in duck.execute("DESCRIBE " + ORACLES[name]).fetchall()}
+    assert {c: TYPES[t] for c, t in df.dtypes} == kinds
     result = duck.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
