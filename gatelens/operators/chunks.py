@@ -431,39 +431,59 @@ def chunk_timing(chunks: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def stream_usage(events: DataFrame) -> DataFrame:
-    """Token usage of streamed responses straight from their events, without merging texts."""
-    both = []
-    for type_, merge in (("openai", _openai_usage_doc), ("anthropic", _anthropic_usage_doc)):
-        doc = merge(events.filter(F.col("provider_type") == type_))
-        both.append(doc.select("request_id", F.lit(type_).alias("provider_type"), U.USAGE_BY_TYPE[type_](F.col("doc")).alias("usage")))
-    return both[0].unionByName(both[1])
+    """Token usage of streamed responses straight from their events, without merging texts: request_id, provider_type
+    and usage.
 
-
-def _openai_usage_doc(events: DataFrame) -> DataFrame:
-    found = F.try_variant_get("v", "$.usage", "variant")
-    given = found.isNotNull() & ~F.is_variant_null(found)
-    last = events.groupBy("request_id").agg(
-        F.max_by(F.struct(F.to_json(found).alias("u")), F.when(given, F.col("pos"))).alias("s")
-    )
-    text = F.concat(F.lit('{"usage":'), F.coalesce("s.u", F.lit("{}")), F.lit("}"))
-    return last.select("request_id", F.parse_json(text).alias("doc"))
-
-
-def _anthropic_usage_doc(events: DataFrame) -> DataFrame:
-    kind = _text("$.type")
-    found = F.when(kind == "message_start", F.try_variant_get("v", "$.message.usage", "variant")).when(
+    One hash aggregation over fixed-width values for both formats.
+    """
+    kind, v = _text("$.type"), F.col("v")
+    whole = U.usage_openai(v)  # reported as a whole: the last one that is not null
+    given = has_key(v, "$.usage") & ~F.is_variant_null(F.try_variant_get("v", "$.usage", "variant"))
+    part = F.when(kind == "message_start", F.try_variant_get("v", "$.message.usage", "variant")).when(
         kind == "message_delta", F.try_variant_get("v", "$.usage", "variant")
     )
-    rows = events.select("request_id", "pos", found.alias("u"))
-    counts = [F.try_variant_get("u", f"$.{name}", "bigint") for name in ANTHROPIC_USAGE]
-    last = rows.groupBy("request_id").agg(
+    openai = F.col("provider_type") == "openai"
+    anthropic = F.col("provider_type") == "anthropic"
+    whole_names = ["prompt_tokens", "completion_tokens", "cached_tokens"]
+    rows = events.select(
+        "request_id",
+        "provider_type",
+        "pos",
+        F.when(openai & given, F.col("pos")).alias("given_at"),
+        F.when(openai & given, whole).alias("whole"),
+        F.when(anthropic, part).alias("part"),
+    ).select(
+        "request_id",
+        "provider_type",
+        "pos",
+        "given_at",
+        *[F.col(f"whole.{name}").alias(name) for name in whole_names],
+        # reported in parts: each count from the last event that has it
+        *[F.try_variant_get("part", f"$.{name}", "bigint").alias(name) for name in ANTHROPIC_USAGE],
+    )
+    last = rows.groupBy("request_id", "provider_type").agg(
+        *[F.max_by(name, "given_at").alias(name) for name in whole_names],
         *[
-            F.max_by(c, F.when(c.isNotNull(), F.col("pos"))).alias(name)
-            for name, c in zip(ANTHROPIC_USAGE, counts, strict=True)
-        ]
+            F.max_by(name, F.when(F.col(name).isNotNull(), F.col("pos"))).alias(f"part_{name}")
+            for name in ANTHROPIC_USAGE
+        ],
     )
+
+    def n(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0).cast("bigint"))
+
+    read = n("part_cache_read_input_tokens")
+    prompt = n("prompt_tokens") + n("part_input_tokens") + n("part_cache_creation_input_tokens") + read
+    completion = n("completion_tokens") + n("part_output_tokens")
     return last.select(
-        "request_id", F.parse_json(F.to_json(F.struct(F.struct(*ANTHROPIC_USAGE).alias("usage")))).alias("doc")
+        "request_id",
+        "provider_type",
+        F.struct(
+            prompt.alias("prompt_tokens"),
+            completion.alias("completion_tokens"),
+            (prompt + completion).alias("total_tokens"),
+            (n("cached_tokens") + read).alias("cached_tokens"),
+        ).alias("usage"),
     )
 
 

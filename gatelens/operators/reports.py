@@ -61,7 +61,8 @@ def spine(df: DataFrame, as_of: dt.datetime, interval: str, hours: int) -> DataF
     start = F.date_trunc(interval, ts_literal(utc_naive(as_of) - dt.timedelta(hours=hours)))
     stop = F.date_trunc(interval, ts_literal(as_of))
     step = F.expr(f"INTERVAL '1' {interval}")
-    buckets = df.sparkSession.range(1).select(F.explode(F.sequence(start, stop, step)).alias("timestamp"))
+    # one partition, in order: the sort of the report needs no shuffle after a broadcast join
+    buckets = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.sequence(start, stop, step)).alias("timestamp"))
     return buckets.select(F.col("timestamp").cast(data_type).alias("timestamp"))
 
 
