@@ -322,10 +322,12 @@ def with_cooldown(
     marks = triggers_.select(
         F.lit(None).cast(left.schema["row"].dataType).alias("row"), *keys, "us", F.col("us").alias("start")
     )
-    # starts come before rows of the same microsecond
-    both = left.unionByName(marks).withColumn("kind", F.when(F.col("row").isNull(), 0).otherwise(1))
+    # starts come before rows of the same microsecond; the tie only helps to spread rows of one time
+    both = left.unionByName(marks).withColumns(
+        {"kind": F.when(F.col("row").isNull(), 0).otherwise(1), "tie": F.xxhash64("row")}
+    )
     carried = running(
-        both, keys, ["us", "kind"], time_slice("us", slice_s), {"last_start": ("max", F.col("start"))}
+        both, keys, ["us", "kind", "tie"], time_slice("us", slice_s), {"last_start": ("max", F.col("start"))}
     )
     return carried.filter("kind = 1").select(
         "row.*",

@@ -1,15 +1,25 @@
 """Running totals along time that stay distributed for a hot key.
 
 A window over ``partitionBy(key)`` sorts all rows of one key in one task; a provider may own a third of the log. Here
-every key is cut into short time slices: rows are accumulated inside their (key, slice), and the totals of the earlier
-slices come from a small table with one row per (key, slice). Same result, no task larger than one slice.
+every key is cut into slices along the order: rows are accumulated inside their (key, slice), and the totals of the
+earlier slices come from a small table with one row per (key, slice).
+
+Slices are short stretches of time. Should one of them be too large for a task all the same (a wrong clock that gives
+one time to everything, say), all rows are cut by ranges of (key, order) instead, which are equal in size whatever the
+distribution.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatelens.session import materialize
+
+MAX_SLICE_ROWS = 8_000_000
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -29,18 +39,35 @@ def running(
     *,
     reverse: bool = False,
     inclusive: bool = True,
+    max_slice_rows: int | None = MAX_SLICE_ROWS,
 ) -> DataFrame:
     """Add running ``totals`` = {name: ("sum" | "max" | "min", column)} per key in the given order.
 
-    ``slice_by`` must grow with the first order column, so that slices follow the order and rows that tie on it share
-    a slice. ``reverse`` runs from the end; ``inclusive=False`` leaves the row itself out. Keys must not be NULL.
+    ``slice_by`` must grow with the first order column, so that slices follow the order. ``reverse`` runs from the end;
+    ``inclusive=False`` leaves the row itself out. Keys must not be NULL.
+
+    The table of slices is written and its largest slice looked at; with ``max_slice_rows=None`` neither is done, for
+    slices whose size is bounded by their making.
     """
     values = {f"__v_{name}": column for name, (_, column) in totals.items()}
     sliced = df.withColumns({"__slice": slice_by, **values})
 
-    per_slice = sliced.groupBy(*key, "__slice").agg(
-        *[_AGG[kind](f"__v_{name}").alias(f"__s_{name}") for name, (kind, _) in totals.items()]
-    )
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key, "__slice").agg(
+            F.count(F.lit(1)).alias("__n"),
+            *[_AGG[kind](f"__v_{name}").alias(f"__s_{name}") for name, (kind, _) in totals.items()],
+        )
+
+    per_slice = sums(sliced)
+    if max_slice_rows is not None:
+        per_slice = materialize(per_slice, "slices")
+        size = per_slice.agg(F.max("__n").alias("largest"), F.sum("__n").alias("rows")).first()
+        if (size.largest or 0) > max_slice_rows:
+            parts = math.ceil(4 * size.rows / max_slice_rows)
+            # the ranges come from a sample, so the cut is written before it is used
+            ranged = sliced.drop("__slice").repartitionByRange(parts, *key, *order)
+            sliced = materialize(ranged.withColumn("__slice", F.spark_partition_id().cast("bigint")), "ranges")
+            per_slice = materialize(sums(sliced), "slices")
 
     def directed(columns: list[str]) -> list[Column]:
         return [F.col(c).desc() if reverse else F.col(c).asc() for c in columns]

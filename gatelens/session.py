@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def get_spark(app_name: str = "gatelens", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A UTC session with AQE on. Cluster sizes (partitions, memory) are left to the cluster's own settings."""
     builder = (
@@ -16,10 +19,7 @@ def get_spark(app_name: str = "gatelens", master: str | None = None, conf: dict[
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     if master:
         builder = builder.master(master)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from gatelens.session import STATE_STORE
+
 PIECE_BYTES = 1 << 20
 
 PIECES = T.StructType(
@@ -148,6 +150,8 @@ def assemble(
     """Streaming ``chunks`` to ordered pieces; a response without end marker is closed ``timeout_s`` after its last
     chunk (in event time) with ``complete = false``.
     """
+    # this kind of state needs the RocksDB store
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
         chunks.withWatermark("ts", delay)
         .groupBy("request_id")

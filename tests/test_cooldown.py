@@ -2,11 +2,12 @@ import datetime as dt
 
 import pytest
 from helpers import T0, log
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gatelens.operators import cooldown as C
+from gatelens.operators import running as running_module
 from gatelens.operators.running import running, time_slice
 
 
@@ -107,6 +108,14 @@ def test_long_storm_over_many_chunks(spark):
     assert sorted(r.seq for r in got.collect()) == list(range(2, 5000, 3))
 
 
+def test_one_time_for_everything(spark, monkeypatch):
+    rows = limits(*[5] * 600) + [ok(5)] + limits(*[5] * 10)
+    df = outcomes(spark, rows)
+    expected = sorted(r.seq for r in C.triggers(df).collect())
+    monkeypatch.setitem(running_module.running.__kwdefaults__, "max_slice_rows", 50)
+    assert sorted(r.seq for r in C.triggers(df).collect()) == expected == sorted(n for _, n in walk(rows, 3, 60))
+
+
 def test_argument_checks(spark):
     with pytest.raises(ValueError):
         C.triggers(outcomes(spark, []), 0)
@@ -155,15 +164,22 @@ def test_skipped_providers(spark):
 
 
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 60), st.integers(-5, 5)), max_size=60), st.integers(1, 70))
-def test_running(spark, rows, slice_s):
+@given(
+    st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 60), st.integers(-5, 5)), max_size=60),
+    st.integers(1, 70),
+    st.sampled_from([None, 3, 1000]),
+)
+@example([("a", 7, n % 5) for n in range(40)], 10, 4)  # one time for everything: cut by ranges
+def test_running(spark, rows, slice_s, largest):
     data = [(k, us * 1_000_000, n, v) for n, (k, us, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "k string, us long, n long, v long")
     got = running(
-        df, ["k"], ["us", "n"], time_slice("us", slice_s), {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}
+        df, ["k"], ["us", "n"], time_slice("us", slice_s), {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))},
+        max_slice_rows=largest,
     )
     back = running(
-        df, ["k"], ["us", "n"], time_slice("us", slice_s), {"low": ("min", F.col("v"))}, reverse=True, inclusive=False
+        df, ["k"], ["us", "n"], time_slice("us", slice_s), {"low": ("min", F.col("v"))}, reverse=True, inclusive=False,
+        max_slice_rows=largest,
     )
     low = {r.n: r.low for r in back.collect()}
     for r in got.collect():
