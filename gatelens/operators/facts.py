@@ -1,7 +1,7 @@
 """Fact tables derived from the event log: attempts, in-flight calls, request stats.
 
 Requests are first reduced to one row per (request_id, provider). Joins from terminal events to that table are then
-many-to-one: copies of an event can never multiply rows, and AQE may split a hot key on the terminal side.
+many-to-one: copies of an event can never multiply rows, and hot keys are kept out of the shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions import derive
 from gatelens.functions import usage as U
+from gatelens.operators.joins import many_to_one
 
 KEY = ["request_id", "provider"]
 FINAL_FAILURE = "all"  # fixed value: provider of the error event that closes an exhausted request
@@ -66,13 +67,13 @@ def attempts_finished(events: DataFrame) -> DataFrame:
         "error_message",
         "status_code",
     )
-    joined = done.join(starts(events), KEY, "left")
+    joined = many_to_one(done, starts(events), KEY)
     return joined.withColumn("endpoint", F.coalesce("endpoint", "terminal_endpoint")).drop("terminal_endpoint")
 
 
 def in_flight(events: DataFrame) -> DataFrame:
     """Attempts that started and have no terminal event."""
-    return starts(events).join(terminals(events).select(*KEY), KEY, "left_anti")
+    return starts(events).join(terminals(events).select(*KEY).distinct(), KEY, "left_anti")
 
 
 def attempts(events: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def build_request_stats(events: DataFrame, ttft: DataFrame | None = None) -> Dat
     ok = attempts_finished(events).filter((F.col("outcome") == "success") & ~F.col("is_count_tokens"))
     if ttft is not None:
         one = ttft.groupBy(*KEY).agg(F.min("time_to_first_token_ms").alias("time_to_first_token_ms"))
-        ok = ok.join(one, KEY, "left")
+        ok = many_to_one(ok, one, KEY)
     else:
         ok = ok.withColumn("time_to_first_token_ms", F.lit(None).cast("double"))
     return ok.select(

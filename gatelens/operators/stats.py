@@ -128,10 +128,18 @@ def provider_stats(
     joined = (
         event_counters(events)
         .join(non_streaming_counters(finished), KEY, "left")
-        .join(streaming_counters(request_stats), KEY, "left")
+        # the two tables may cover different times: a provider of either is listed
+        .join(streaming_counters(request_stats), KEY, "full")
         .join(last_errors(events), KEY, "left")
     )
     counts = [
+        "total_requests",
+        "successful_requests",
+        "failed_requests",
+        "total_rate_limits",
+        "total_input_tokens",
+        "total_output_tokens",
+        "total_cached_tokens",
         "non_streaming_requests",
         "non_streaming_output_tokens",
         "streaming_requests",
@@ -139,6 +147,7 @@ def provider_stats(
         "streaming_ttft_count",
     ]
     sums = [
+        "total_latency_ms",
         "non_streaming_total_latency_ms",
         "streaming_total_latency_ms",
         "streaming_ttft_ms",

@@ -416,6 +416,16 @@ SELECT rid AS request_id, end_ts AS "timestamp", ptype AS provider_type, prov AS
        printf('%.2f', value)::DOUBLE AS latency_ms, stream AS is_streaming, CAST(NULL AS DOUBLE) AS time_to_first_token_ms,
        k AS input_tokens, out_tokens AS output_tokens, k // 2 AS cached_tokens
 FROM d WHERE etype IS NULL AND NOT counting""",
+    "usage_filled": f"""WITH {ATTEMPTS}, u AS (
+  SELECT *, CASE ptype WHEN 'anthropic' THEN k + k // 2 WHEN 'openai' THEN k ELSE 0 END AS prompt,
+         CASE WHEN ptype IN ('anthropic', 'openai') THEN out_tokens ELSE 0 END AS completion,
+         CASE WHEN ptype IN ('anthropic', 'openai') THEN k // 2 ELSE 0 END AS cached
+  FROM d WHERE etype IS NULL)
+SELECT rid AS request_id, ptype || CASE WHEN counting THEN '/count_tokens' ELSE '' END AS endpoint,
+       CASE WHEN counting THEN k END AS input_tokens, CASE WHEN NOT counting THEN 'stop' END AS finish_reason,
+       CASE WHEN NOT counting THEN prompt END AS prompt_tokens, CASE WHEN NOT counting THEN completion END AS completion_tokens,
+       CASE WHEN NOT counting THEN prompt + completion END AS total_tokens, CASE WHEN NOT counting THEN cached END AS cached_tokens
+FROM u""",
     "provider_stats": f"WITH {STATS}, {ATTEMPTS}, {PROVIDER_STATS} SELECT * FROM ps",
     "router_totals": f"WITH {STATS}, {ATTEMPTS}, {PROVIDER_STATS}, {TOTALS} SELECT * FROM totals",
     "uptime": f"WITH {ATTEMPTS}, {UPTIME} SELECT * FROM up",

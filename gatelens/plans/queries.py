@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatelens import schemas
 from gatelens.functions import derive
 from gatelens.functions import usage as U
 from gatelens.operators import chains, chunks, cooldown, facts, reports, stats
@@ -312,6 +313,34 @@ def request_stats_from_events(spark, sf_dir):
     return facts.build_request_stats(demo.router_events(spark, sf_dir))
 
 
+@query
+def usage_filled(spark, sf_dir):
+    """Response events that carry only the vendor document: usage, finish reason and counted tokens are read from it."""
+    log = demo.router_events(spark, sf_dir).filter("type = 'response'")
+    own = F.struct(
+        F.lit("m").alias("model"),
+        F.array(F.struct(F.lit("stop").alias("finish_reason"))).alias("choices"),
+        F.lit("end_turn").alias("stop_reason"),
+        F.struct(
+            F.col("usage.prompt_tokens").alias("prompt_tokens"),
+            F.col("usage.completion_tokens").alias("completion_tokens"),
+            F.struct(F.col("usage.cached_tokens").alias("cached_tokens")).alias("prompt_tokens_details"),
+            F.col("usage.prompt_tokens").alias("input_tokens"),
+            F.col("usage.completion_tokens").alias("output_tokens"),
+            F.col("usage.cached_tokens").alias("cache_read_input_tokens"),
+        ).alias("usage"),
+    )
+    counted = F.to_json(F.struct("input_tokens"))
+    document = F.when(F.col("usage").isNull(), counted).otherwise(F.to_json(own))
+    bare = log.withColumn("full_response", F.parse_json(document)).withColumns(
+        {"usage": F.lit(None).cast(schemas.USAGE), "finish_reason": F.lit(None).cast("string")}
+    )
+    return facts.with_usage(bare).select(
+        "request_id", "endpoint", "input_tokens", "finish_reason", "usage.prompt_tokens", "usage.completion_tokens",
+        "usage.total_tokens", "usage.cached_tokens",
+    )
+
+
 # ---- statistics -----------------------------------------------------------------------------------------------------
 
 

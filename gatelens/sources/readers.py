@@ -50,22 +50,32 @@ def read_request_stats_table(spark: SparkSession, path: str, *, missing_ok: bool
 
 
 def read_router_events(
-    spark: SparkSession, path: str, *, glob: str = "*.{jsonl,jsonl.zst}", missing_ok: bool = True
+    spark: SparkSession,
+    path: str,
+    *,
+    glob: str = "*.{jsonl,jsonl.zst}",
+    missing_ok: bool = True,
+    corrupt_column: str | None = None,
 ) -> DataFrame:
     """All event types of the JSONL logs below ``path``, plain and archived (``.jsonl.zst``).
 
     ``*_errors.jsonl`` only holds copies of warnings and errors and is left out. Adds ``file_name`` and ``seq``, the
     line order inside one file: a split's lines are numbered from its byte offset, and no split has more lines than
-    bytes, so numbers of later splits are always larger.
+    bytes, so numbers of later splits are always larger. A line that is no JSON has no type; with ``corrupt_column`` its
+    text is kept there, see :func:`split_corrupt`.
     """
-    schema = T.StructType(
-        [*schemas.ROUTER_EVENTS.fields, T.StructField("file_name", T.StringType()), T.StructField("seq", T.LongType())]
-    )
+    fields = [*schemas.ROUTER_EVENTS.fields]
+    if corrupt_column:
+        fields.append(T.StructField(corrupt_column, T.StringType()))
+    read = T.StructType(fields)
+    schema = T.StructType([*fields, T.StructField("file_name", T.StringType()), T.StructField("seq", T.LongType())])
     if missing_ok and not path_exists(spark, path):
         return _empty(spark, schema)
+    reader = spark.read.schema(read)
+    if corrupt_column:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
     lines = (
-        spark.read.schema(schemas.ROUTER_EVENTS)
-        .option("pathGlobFilter", glob)
+        reader.option("pathGlobFilter", glob)
         .json(path)
         .filter(
             ~F.col("_metadata.file_name").endswith(ERROR_COPY_SUFFIX)
@@ -74,7 +84,7 @@ def read_router_events(
     )
     line_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return lines.select(
-        *schemas.ROUTER_EVENTS.fieldNames(),
+        *read.fieldNames(),
         F.col("_metadata.file_name").alias("file_name"),
         (F.col("_metadata.file_block_start") + line_in_task).alias("seq"),
     )

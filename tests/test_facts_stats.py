@@ -4,7 +4,7 @@ import pytest
 from helpers import T0, log, usage
 
 from gatelens import schemas
-from gatelens.operators import chains, facts, stats
+from gatelens.operators import chains, facts, joins, stats
 from gatelens.plans import publish
 
 
@@ -33,6 +33,17 @@ def test_join_keeps_copies_single(spark):
     assert facts.in_flight(log(spark, rows)).count() == 0
 
 
+@pytest.mark.parametrize("min_rows", [1, 40, 10_000])
+def test_hot_keys_are_joined_apart(spark, min_rows):
+    left = spark.range(400).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) k", "id")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("other", 3)], "k string, v int")
+    got = joins.many_to_one(left, right, ["k"], sample=1.0, min_rows=min_rows)
+    expected = left.join(right, "k", "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    found = joins.hot_keys(left, ["k"], sample=1.0, min_rows=40)
+    assert [r.k for r in found] == ["hot"]
+
+
 def test_request_stats_from_log(spark):
     rows = (
         attempt("r1", "p", 0, "ok", ms=12.345, stream=True)

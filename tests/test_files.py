@@ -89,6 +89,16 @@ def test_event_log(spark, tmp_path):
     assert details.first().n == 2
 
 
+def test_broken_event_lines(spark, tmp_path):
+    (tmp_path / "router_20240101_000000_abcd1234.jsonl").write_text(_event("request", 1) + "\n{broken\n")
+    events = readers.read_router_events(spark, str(tmp_path), corrupt_column="_bad").cache()
+    good, bad = readers.split_corrupt(events, "_bad")
+    assert [r.type for r in good.collect()] == ["request"]
+    assert [r["_bad"] for r in bad.collect()] == ["{broken"]
+    plain = readers.read_router_events(spark, str(tmp_path))
+    assert sorted(str(r.type) for r in plain.collect()) == ["None", "request"]
+
+
 def test_event_table_is_pruned_by_type(spark, tmp_path):
     from helpers import log
 
