@@ -2,38 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.functions import derive
 from gatelens.operators.cooldown import as_us
 from gatelens.operators.facts import terminals
+from gatelens.operators.joins import MIN_HOT_ROWS, hot_keys, many_to_one, split_hot
 from gatelens.operators.running import running, time_slice
 from gatelens.operators.stats import order_key
 
 ATTEMPT_SLICE_S = 60  # bounds the rows one task sorts when one request id is hot
 
 
-def attempt_numbers(events: DataFrame, skips: DataFrame | None = None, *, slice_s: int = ATTEMPT_SLICE_S) -> DataFrame:
-    """Number the attempts of each request in log order.
+def attempt_numbers(
+    events: DataFrame,
+    skips: DataFrame | None = None,
+    *,
+    slice_s: int = ATTEMPT_SLICE_S,
+    min_hot_rows: int = MIN_HOT_ROWS,
+) -> DataFrame:
+    """Number the attempts of each request in log order: a window per request, and for hot request ids a running count
+    over time slices.
 
     The gateway also counts providers it passed over while they were cooling: ``skips`` (request_id, provider,
     priority; from ``skipped_providers``) are added where their priority is above the attempt's.
     """
     done = terminals(events).withColumn("us", as_us(F.col("timestamp")))
-    numbered = running(
-        done, ["request_id"], ["us", "seq"], time_slice("us", slice_s), {"attempt_no": ("sum", F.lit(1).cast("bigint"))}
-    )
     if skips is not None:
-        # per request a short sorted list of skipped priorities: one row per request, no pairs
+        # per request a short list of skipped priorities: one row per request, no pairs
         lists = skips.groupBy("request_id").agg(F.collect_set("priority").alias("skipped"))
-        numbered = numbered.join(lists, "request_id", "left").withColumn(
-            "attempt_no",
-            F.col("attempt_no")
-            + F.coalesce(
-                F.size(F.filter("skipped", lambda p: p < F.col("provider_priority"))), F.lit(0)
-            ),
-        ).drop("skipped")
+        done = many_to_one(done, lists, ["request_id"])
+    key, order = ["request_id"], ["us", "seq"]
+    found = hot_keys(done, key, min_rows=min_hot_rows)
+    hot, cold, _ = split_hot(done, found, key) if found else (None, done, None)
+    per_request = Window.partitionBy(*key).orderBy(*order)
+    numbered = cold.withColumn("attempt_no", F.row_number().over(per_request).cast("bigint"))
+    if hot is not None:
+        one = F.lit(1).cast("bigint")
+        counted = running(hot, key, order, time_slice("us", slice_s), {"attempt_no": ("sum", one)})
+        numbered = numbered.unionByName(counted)
+    if skips is not None:
+        above = F.size(F.filter("skipped", lambda p: p < F.col("provider_priority")))
+        numbered = numbered.withColumn("attempt_no", F.col("attempt_no") + F.coalesce(above, F.lit(0))).drop("skipped")
     return numbered.drop("us")
 
 

@@ -48,8 +48,15 @@ def count_tokens_event(events: DataFrame | None = None) -> Column:
     return (F.col("type") == "response") & F.col("input_tokens").isNotNull() & F.col("usage").isNull()
 
 
-def attempts_finished(events: DataFrame) -> DataFrame:
-    """Terminal events with the start of their attempt."""
+def attempts_finished(events: DataFrame, ttft: DataFrame | None = None) -> DataFrame:
+    """Terminal events with the start of their attempt.
+
+    ``ttft`` (request_id, provider, time_to_first_token_ms) is attached to the starts, where every key is single.
+    """
+    started = starts(events)
+    if ttft is not None:
+        one = ttft.groupBy(*KEY).agg(F.min("time_to_first_token_ms").alias("time_to_first_token_ms"))
+        started = started.join(one, KEY, "left")
     done = terminals(events).select(
         *KEY,
         F.col("endpoint").alias("terminal_endpoint"),
@@ -67,7 +74,7 @@ def attempts_finished(events: DataFrame) -> DataFrame:
         "error_message",
         "status_code",
     )
-    joined = many_to_one(done, starts(events), KEY)
+    joined = many_to_one(done, started, KEY)
     return joined.withColumn("endpoint", F.coalesce("endpoint", "terminal_endpoint")).drop("terminal_endpoint")
 
 
@@ -107,14 +114,10 @@ def with_usage(events: DataFrame) -> DataFrame:
 def build_request_stats(events: DataFrame, ttft: DataFrame | None = None) -> DataFrame:
     """Request stats from the event log: one row per successful chat completion, with its ``request_id``.
 
-    The log has no time to first token; ``ttft`` (request_id, provider, time_to_first_token_ms) may supply it, one row
-    per key.
+    The log has no time to first token; ``ttft`` (request_id, provider, time_to_first_token_ms) may supply it.
     """
-    ok = attempts_finished(events).filter((F.col("outcome") == "success") & ~F.col("is_count_tokens"))
-    if ttft is not None:
-        one = ttft.groupBy(*KEY).agg(F.min("time_to_first_token_ms").alias("time_to_first_token_ms"))
-        ok = many_to_one(ok, one, KEY)
-    else:
+    ok = attempts_finished(events, ttft).filter((F.col("outcome") == "success") & ~F.col("is_count_tokens"))
+    if ttft is None:
         ok = ok.withColumn("time_to_first_token_ms", F.lit(None).cast("double"))
     return ok.select(
         "request_id",

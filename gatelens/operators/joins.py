@@ -1,4 +1,4 @@
-"""A many-to-one join that survives hot keys."""
+"""Hot keys: finding them, and a many-to-one join that survives them."""
 
 from __future__ import annotations
 
@@ -20,6 +20,12 @@ def hot_keys(df: DataFrame, key: list[str], sample: float = SAMPLE, min_rows: in
     return large.orderBy(F.col("n").desc(), *key).limit(MAX_HOT_KEYS).select(*key).collect()
 
 
+def split_hot(left: DataFrame, found: list[Row], key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the found keys, all other rows, and the table of found keys marked for broadcast (1000 at most)."""
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, left.select(*key).schema))
+    return left.join(hot, key, "left_semi"), left.join(hot, key, "left_anti"), hot
+
+
 def many_to_one(
     left: DataFrame, right: DataFrame, key: list[str], sample: float = SAMPLE, min_rows: int = MIN_HOT_ROWS
 ) -> DataFrame:
@@ -31,8 +37,6 @@ def many_to_one(
     found = hot_keys(left, key, sample, min_rows)
     if not found:
         return left.join(right, key, "left")
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, left.select(*key).schema))
+    hot_rows, cold_rows, hot = split_hot(left, found, key)
     few = F.broadcast(right.join(hot, key, "left_semi"))
-    cold_rows = left.join(hot, key, "left_anti").join(right, key, "left")
-    hot_rows = left.join(hot, key, "left_semi").join(few, key, "left")
-    return cold_rows.unionByName(hot_rows)
+    return cold_rows.join(right, key, "left").unionByName(hot_rows.join(few, key, "left"))

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from helpers import T0, log, usage
+from pyspark.sql import Row
 
 from gatelens import schemas
 from gatelens.operators import chains, facts, joins, stats
@@ -171,7 +172,7 @@ def failing_chain():
     return rows + attempt("r2", "a", 50, "rate_limit_error") + attempt("r2", "b", 60, "ok")
 
 
-def test_chains(spark):
+def test_chains(spark, monkeypatch):
     events = log(spark, failing_chain())
     out = {r.request_id: r for r in chains.request_chains(events).collect()}
     assert (out["r1"].attempts, out["r1"].all_failed, out["r1"].serving_provider, out["r1"].duration_ms) == (3, True, None, 20000.0)
@@ -182,10 +183,12 @@ def test_chains(spark):
     retries = {r.error_type: r for r in chains.retry_breakdown(events).collect()}
     assert retries["rate_limit_error"].avg_retry_after == 0.5 and retries["unexpected_error"].avg_retry_after is None
     assert {(r.provider, r.errors) for r in chains.error_breakdown(events).collect() if r.error_type == "rate_limit_error"} == {("a", 2)}
-    numbers = chains.attempt_numbers(events, slice_s=7).orderBy("request_id", "attempt_no").collect()
-    assert [(r.request_id, r.provider, r.attempt_no) for r in numbers] == [
-        ("r1", "a", 1), ("r1", "b", 2), ("r1", "c", 3), ("r2", "a", 1), ("r2", "b", 2),
-    ]
+    for hot in ([], ["r1"], ["r1", "r2"]):
+        monkeypatch.setattr(chains, "hot_keys", lambda df, key, min_rows, hot=hot: [Row(request_id=h) for h in hot])
+        numbers = chains.attempt_numbers(events, slice_s=7).orderBy("request_id", "attempt_no").collect()
+        assert [(r.request_id, r.provider, r.attempt_no) for r in numbers] == [
+            ("r1", "a", 1), ("r1", "b", 2), ("r1", "c", 3), ("r2", "a", 1), ("r2", "b", 2),
+        ]
 
 
 def test_skips_count_as_attempts(spark):
