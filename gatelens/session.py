@@ -28,6 +28,19 @@ def get_spark(app_name: str = "gatelens", master: str | None = None, conf: dict[
     return builder.getOrCreate()
 
 
+def sizing(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job that shuffles about this many bytes: initial partitions of some 128 MB, at least three per
+    core. AQE joins small ones at run time and splits skewed ones in joins; it cannot split too large ones elsewhere.
+    """
+    target = 128 << 20
+    partitions = max(3 * cores, -(-shuffled_bytes // target))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.files.maxPartitionBytes": str(2 * target),
+    }
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared folder of ``spark.checkpoint.dir``.
 
