@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gatelens.session import STATE_STORE
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 16  # the size of a large network chunk
 
 PIECES = T.StructType(
     [
