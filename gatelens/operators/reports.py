@@ -17,9 +17,20 @@ def utc_naive(as_of: dt.datetime) -> dt.datetime:
     return as_of.astimezone(dt.timezone.utc).replace(tzinfo=None) if as_of.tzinfo else as_of
 
 
+_EPOCH = dt.datetime(1970, 1, 1)
+UNIT_US = {"minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
+
+
+def to_us(as_of: dt.datetime) -> int:
+    """Microseconds since the epoch."""
+    return (utc_naive(as_of) - _EPOCH) // dt.timedelta(microseconds=1)
+
+
 def ts_literal(as_of: dt.datetime, data_type: T.DataType = T.TimestampType()) -> Column:
     """Literal of the given timestamp type, so that a comparison with the column is pushed to the scan as it is."""
-    return F.lit(utc_naive(as_of).isoformat(sep=" ", timespec="microseconds")).cast(data_type)
+    if isinstance(data_type, T.TimestampNTZType):
+        return F.lit(utc_naive(as_of).isoformat(sep=" ", timespec="microseconds")).cast(data_type)
+    return F.timestamp_micros(F.lit(to_us(as_of)))
 
 
 def check_interval(interval: str) -> str:
@@ -51,33 +62,43 @@ def of_type(df: DataFrame, provider_type: str | None) -> DataFrame:
     return df.filter(F.col("provider_type") == provider_type) if provider_type else df
 
 
-def bucket(interval: str, data_type: T.DataType) -> Column:
-    return F.date_trunc(interval, "timestamp").cast(data_type)
+def bucket_us(interval: str, ts: str = "timestamp") -> Column:
+    """Start of the bucket in microseconds (UTC). Whole-number arithmetic: cheaper per row than ``date_trunc``, and
+    the group key is a plain bigint.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return us - F.pmod(us, F.lit(UNIT_US[interval]).cast("bigint"))
+
+
+def from_us(us: str, data_type: T.DataType) -> Column:
+    return F.timestamp_micros(us).cast(data_type)
 
 
 def spine(df: DataFrame, as_of: dt.datetime, interval: str, hours: int) -> DataFrame:
-    """All buckets from the one of ``as_of - hours`` to the one of ``as_of``, both included."""
-    data_type = df.schema["timestamp"].dataType
-    start = F.date_trunc(interval, ts_literal(utc_naive(as_of) - dt.timedelta(hours=hours)))
-    stop = F.date_trunc(interval, ts_literal(as_of))
-    step = F.expr(f"INTERVAL '1' {interval}")
-    # one partition, in order: the sort of the report needs no shuffle after a broadcast join
-    buckets = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.sequence(start, stop, step)).alias("timestamp"))
-    return buckets.select(F.col("timestamp").cast(data_type).alias("timestamp"))
+    """All buckets from the one of ``as_of - hours`` to the one of ``as_of``, both included: column ``us``.
+
+    One partition, in order: the sort of a report needs no shuffle after a broadcast join.
+    """
+    unit, stop = UNIT_US[interval], to_us(as_of)
+    start = stop - hours * UNIT_US["hour"]
+    start, stop = start - start % unit, stop - stop % unit
+    return df.sparkSession.range(start, stop + unit, unit, 1).withColumnRenamed("id", "us")
 
 
-def _fill(df: DataFrame, totals: DataFrame, as_of: dt.datetime, interval: str, hours: int) -> DataFrame:
-    measures = [c for c in totals.columns if c != "timestamp"]
-    joined = spine(df, as_of, interval, hours).join(totals, "timestamp", "left")
+def fill_gaps(
+    df: DataFrame, totals: DataFrame, as_of: dt.datetime, interval: str, hours: int
+) -> DataFrame:
+    """Totals per bucket (column ``us``) on the whole spine, missing ones as 0, in time order."""
+    measures = [c for c in totals.columns if c != "us"]
+    joined = spine(df, as_of, interval, hours).join(totals, "us", "left")
     filled = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in measures]
-    return joined.select("timestamp", *filled).orderBy("timestamp")
+    return joined.orderBy("us").select(from_us("us", df.schema["timestamp"].dataType).alias("timestamp"), *filled)
 
 
-def _recent(df, as_of, interval, hours, provider_type, strict) -> tuple[DataFrame, Column]:
+def _recent(df, as_of, interval, hours, provider_type, strict) -> DataFrame:
     check_interval(interval)
     check_hours(hours, strict)
-    rows = of_type(since(df, utc_naive(as_of) - dt.timedelta(hours=hours)), provider_type)
-    return rows, bucket(interval, df.schema["timestamp"].dataType).alias("timestamp")
+    return of_type(since(df, utc_naive(as_of) - dt.timedelta(hours=hours)), provider_type)
 
 
 def requests_over_time(
@@ -90,8 +111,9 @@ def requests_over_time(
     strict: bool = True,
 ) -> DataFrame:
     """Requests per bucket, empty buckets as 0, in time order. The first bucket is cut at ``as_of - hours``."""
-    rows, by = _recent(df, as_of, interval, hours, provider_type, strict)
-    return _fill(df, rows.groupBy(by).agg(F.count(F.lit(1)).alias("count")), as_of, interval, hours)
+    rows = _recent(df, as_of, interval, hours, provider_type, strict)
+    totals = rows.groupBy(bucket_us(interval).alias("us")).agg(F.count(F.lit(1)).alias("count"))
+    return fill_gaps(df, totals, as_of, interval, hours)
 
 
 def token_sums() -> list[Column]:
@@ -114,8 +136,9 @@ def tokens_over_time(
     strict: bool = True,
 ) -> DataFrame:
     """Token sums per bucket, empty buckets as 0, in time order."""
-    rows, by = _recent(df, as_of, interval, hours, provider_type, strict)
-    return _fill(df, rows.groupBy(by).agg(*token_sums()), as_of, interval, hours)
+    rows = _recent(df, as_of, interval, hours, provider_type, strict)
+    totals = rows.groupBy(bucket_us(interval).alias("us")).agg(*token_sums())
+    return fill_gaps(df, totals, as_of, interval, hours)
 
 
 def summary_bound(as_of: dt.datetime, hours: int | None, from_utc: str | None) -> dt.datetime:
@@ -127,7 +150,13 @@ def summary_bound(as_of: dt.datetime, hours: int | None, from_utc: str | None) -
     return utc_naive(as_of) - dt.timedelta(hours=DEFAULT_HOURS if hours is None else hours)
 
 
-LATENCY = "decimal(18,2)"  # latencies are stored with two digits: decimal sums are exact in any order
+def whole_us(ms: str | Column) -> Column:
+    """Milliseconds as whole microseconds: sums are exact in any order and stay fixed-width."""
+    return F.rint((F.col(ms) if isinstance(ms, str) else ms) * 1000).cast("bigint")
+
+
+def us_to_ms(total: Column) -> Column:
+    return total / 1000
 
 
 def provider_summary(
@@ -138,7 +167,7 @@ def provider_summary(
     grouped = rows.groupBy("provider_type", "provider_name").agg(
         F.count(F.lit(1)).alias("request_count"),
         *token_sums(),
-        F.sum(F.col("latency_ms").cast(LATENCY)).alias("latency_sum"),
+        F.sum(whole_us("latency_ms")).alias("latency_us"),
         F.count("latency_ms").alias("latency_count"),
         F.count_if(F.col("is_streaming")).alias("streaming_count"),
         F.count_if(~F.col("is_streaming")).alias("non_streaming_count"),
@@ -157,7 +186,7 @@ def _summary_rows(grouped: DataFrame) -> DataFrame:
         "input_tokens",
         "output_tokens",
         "cached_tokens",
-        F.try_divide(F.col("latency_sum").cast("double"), F.col("latency_count")).alias("avg_latency_ms"),
+        F.try_divide(us_to_ms(F.col("latency_us")), F.col("latency_count")).alias("avg_latency_ms"),
         "streaming_count",
         "non_streaming_count",
         "min_timestamp",
@@ -173,7 +202,7 @@ _SUMS = [
     "output_tokens",
     "cached_tokens",
     "total_tokens",
-    "latency_sum",
+    "latency_us",
     "latency_count",
     "streaming_count",
     "non_streaming_count",
@@ -183,28 +212,23 @@ _SUMS = [
 def rollup(df: DataFrame, interval: str = "minute") -> DataFrame:
     """Partial sums per bucket and provider. All are re-aggregable, so coarser reports come from this table."""
     data_type = df.schema["timestamp"].dataType
-    return df.groupBy(
-        bucket(check_interval(interval), data_type).alias("bucket"), "provider_type", "provider_name"
-    ).agg(
+    sums = df.groupBy(bucket_us(check_interval(interval)).alias("us"), "provider_type", "provider_name").agg(
         F.count(F.lit(1)).alias("request_count"),
         *token_sums(),
-        F.sum(F.col("latency_ms").cast(LATENCY)).cast("decimal(28,2)").alias("latency_sum"),
+        F.sum(whole_us("latency_ms")).alias("latency_us"),
         F.count("latency_ms").alias("latency_count"),
         F.count_if(F.col("is_streaming")).alias("streaming_count"),
         F.count_if(~F.col("is_streaming")).alias("non_streaming_count"),
         F.min("timestamp").alias("min_timestamp"),
         F.max("timestamp").alias("max_timestamp"),
     )
+    return sums.select(from_us("us", data_type).alias("bucket"), *[c for c in sums.columns if c != "us"])
 
 
 def _rollup_since(rolled: DataFrame, df: DataFrame, lower: dt.datetime, interval: str) -> DataFrame:
     """Whole buckets from the rollup, and the bucket cut by the bound from the raw rows."""
     lower = utc_naive(lower)
-    step = {"minute": dt.timedelta(minutes=1), "hour": dt.timedelta(hours=1), "day": dt.timedelta(days=1)}[interval]
-    floor = lower.replace(second=0, microsecond=0)
-    if interval != "minute":
-        floor = floor.replace(minute=0) if interval == "hour" else floor.replace(hour=0, minute=0)
-    first_whole = floor if floor == lower else floor + step
+    first_whole = lower + dt.timedelta(microseconds=-to_us(lower) % UNIT_US[interval])
     data_type = df.schema["timestamp"].dataType
     edge = since(df, lower).filter(F.col("timestamp") < ts_literal(first_whole, data_type))
     whole = rolled.filter(F.col("bucket") >= ts_literal(first_whole, data_type))
@@ -225,8 +249,8 @@ def requests_over_time_from_rollup(
     check_hours(hours)
     lower = utc_naive(as_of) - dt.timedelta(hours=hours)
     rows = of_type(_rollup_since(rolled, df, lower, rollup_interval), provider_type)
-    by = F.date_trunc(interval, "bucket").cast(df.schema["timestamp"].dataType).alias("timestamp")
-    return _fill(df, rows.groupBy(by).agg(F.sum("request_count").alias("count")), as_of, interval, hours)
+    totals = rows.groupBy(bucket_us(interval, "bucket").alias("us")).agg(F.sum("request_count").alias("count"))
+    return fill_gaps(df, totals, as_of, interval, hours)
 
 
 def tokens_over_time_from_rollup(
@@ -243,9 +267,9 @@ def tokens_over_time_from_rollup(
     check_hours(hours)
     lower = utc_naive(as_of) - dt.timedelta(hours=hours)
     rows = of_type(_rollup_since(rolled, df, lower, rollup_interval), provider_type)
-    by = F.date_trunc(interval, "bucket").cast(df.schema["timestamp"].dataType).alias("timestamp")
     sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cached_tokens", "total_tokens")]
-    return _fill(df, rows.groupBy(by).agg(*sums), as_of, interval, hours)
+    totals = rows.groupBy(bucket_us(interval, "bucket").alias("us")).agg(*sums)
+    return fill_gaps(df, totals, as_of, interval, hours)
 
 
 def provider_summary_from_rollup(

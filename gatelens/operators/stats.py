@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gatelens.functions import derive
 from gatelens.operators.cooldown import as_us, keys_of, order_key_us
 from gatelens.operators.facts import attempts_finished, terminals
-from gatelens.operators.reports import LATENCY, ts_literal
+from gatelens.operators.reports import ts_literal, us_to_ms, whole_us
 
 KEY = ["provider_type", "provider"]
 
@@ -52,7 +52,7 @@ def event_counters(events: DataFrame) -> DataFrame:
         _zero(F.sum(F.when(is_ok, prompt))).alias("total_input_tokens"),
         _zero(F.sum(F.when(is_ok, completion))).alias("total_output_tokens"),
         _zero(F.sum(F.when(is_ok, cached))).alias("total_cached_tokens"),
-        _zero(F.sum(F.when(is_ok, F.col("duration_ms").cast(LATENCY)))).cast("double").alias("total_latency_ms"),
+        us_to_ms(_zero(F.sum(F.when(is_ok, whole_us("duration_ms"))))).alias("total_latency_ms"),
         F.min(F.when(is_request, F.col("timestamp"))).alias("first_request_time"),
         F.max(F.when(is_request, F.col("timestamp"))).alias("last_request_time"),
         F.max(F.when(is_ok, F.col("timestamp"))).alias("last_success_time"),
@@ -85,7 +85,7 @@ def non_streaming_counters(finished: DataFrame) -> DataFrame:
         .groupBy(*KEY)
         .agg(
             F.count(F.lit(1)).alias("non_streaming_requests"),
-            _zero(F.sum(F.col("duration_ms").cast(LATENCY))).cast("double").alias("non_streaming_total_latency_ms"),
+            us_to_ms(_zero(F.sum(whole_us("duration_ms")))).alias("non_streaming_total_latency_ms"),
             _zero(F.sum("output_tokens")).alias("non_streaming_output_tokens"),
         )
     )
@@ -93,8 +93,8 @@ def non_streaming_counters(finished: DataFrame) -> DataFrame:
 
 def streaming_counters(request_stats: DataFrame) -> DataFrame:
     """Streaming latency, time to first token and generation time; these live in the request stats only."""
-    latency = F.col("latency_ms").cast(LATENCY)
-    ttft = F.col("time_to_first_token_ms").cast("decimal(18,6)")
+    latency = whole_us("latency_ms")
+    ttft = whole_us("time_to_first_token_ms")
     has_ttft = F.col("time_to_first_token_ms") > 0
     generation = latency - ttft
     return (
@@ -102,13 +102,13 @@ def streaming_counters(request_stats: DataFrame) -> DataFrame:
         .groupBy("provider_type", F.col("provider_name").alias("provider"))
         .agg(
             F.count(F.lit(1)).alias("streaming_requests"),
-            _zero(F.sum(latency)).cast("double").alias("streaming_total_latency_ms"),
+            us_to_ms(_zero(F.sum(latency))).alias("streaming_total_latency_ms"),
             _zero(F.sum("output_tokens")).alias("streaming_output_tokens"),
-            _zero(F.sum(F.when(has_ttft, ttft))).cast("double").alias("streaming_ttft_ms"),
+            us_to_ms(_zero(F.sum(F.when(has_ttft, ttft)))).alias("streaming_ttft_ms"),
             F.count_if(has_ttft).alias("streaming_ttft_count"),
-            _zero(F.sum(F.when(has_ttft & (generation > 0), generation)))
-            .cast("double")
-            .alias("streaming_generation_time_ms"),
+            us_to_ms(_zero(F.sum(F.when(has_ttft & (generation > 0), generation)))).alias(
+                "streaming_generation_time_ms"
+            ),
         )
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens import schemas
+from gatelens.functions import derive
 
 AS_OF = dt.datetime(2024, 1, 30, 12, 34, 56)
 FROM_UTC = "2024-01-10T06:00:00Z"
@@ -45,7 +46,7 @@ def stats_of(events: DataFrame) -> DataFrame:
         _provider().alias("provider_name"),
         F.col("value").alias("latency_ms"),
         streaming.alias("is_streaming"),
-        F.when(streaming, F.col("value") / 4).alias("time_to_first_token_ms"),
+        F.when(streaming, derive.round_ms(F.col("value") / 4)).alias("time_to_first_token_ms"),
         _k().alias("input_tokens"),
         (F.col("event_id") % 97).alias("output_tokens"),
         F.call_function("div", _k(), F.lit(2).cast("bigint")).alias("cached_tokens"),

@@ -15,7 +15,7 @@ K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 STATS = f"""s AS (
   SELECT ts AS "timestamp", {TYPE} AS provider_type, 'p' || (user_id % 4) AS provider_name, value AS latency_ms,
          event_type IN ('view', 'click') AS is_streaming,
-         CASE WHEN event_type IN ('view', 'click') THEN value / 4 END AS time_to_first_token_ms,
+         CASE WHEN event_type IN ('view', 'click') THEN printf('%.2f', value / 4)::DOUBLE END AS time_to_first_token_ms,
          {K} AS input_tokens, event_id % 97 AS output_tokens, {K} // 2 AS cached_tokens
   FROM events)"""
 

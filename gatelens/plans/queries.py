@@ -124,7 +124,7 @@ def _counted(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum("input_tokens").alias("input_tokens"),
         F.count("time_to_first_token_ms").alias("with_ttft"),
-        F.sum(F.col("latency_ms").cast(reports.LATENCY)).cast("double").alias("latency_ms"),
+        reports.us_to_ms(F.sum(reports.whole_us("latency_ms"))).alias("latency_ms"),
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )

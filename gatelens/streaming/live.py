@@ -8,10 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.operators.facts import FINAL_FAILURE, KEY
-from gatelens.operators.reports import check_hours, check_interval, of_type, rollup, since, spine, token_sums, utc_naive
+from gatelens.operators.reports import (
+    UNIT_US,
+    bucket_us,
+    check_hours,
+    check_interval,
+    fill_gaps,
+    of_type,
+    rollup,
+    since,
+    to_us,
+    token_sums,
+)
 from gatelens.operators.stats import event_counters
 from gatelens.session import is_directory
 
+_EPOCH = dt.datetime(1970, 1, 1)
+
 
 def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream a Parquet table: a folder of closed files, or one file."""
@@ -44,19 +57,12 @@ def live_series(
     check_interval(interval)
     check_hours(hours)
     rows = windows.withColumnRenamed("bucket", "timestamp")
-    lower = utc_naive(as_of) - dt.timedelta(hours=hours)
-    start = lower.replace(second=0, microsecond=0)
-    if interval != "minute":
-        start = start.replace(minute=0) if interval == "hour" else start.replace(hour=0, minute=0)
-    rows = of_type(since(rows, start), provider_type)
+    lower = to_us(as_of) - hours * UNIT_US["hour"]
+    first = _EPOCH + dt.timedelta(microseconds=lower - lower % UNIT_US[interval])
+    rows = of_type(since(rows, first), provider_type)
     names = ["count", "input_tokens", "output_tokens", "cached_tokens", "total_tokens"]
-    sums = rows.groupBy("timestamp").agg(*[F.sum(n).alias(n) for n in names])
-    return (
-        spine(rows, as_of, interval, hours)
-        .join(sums, "timestamp", "left")
-        .select("timestamp", *[F.coalesce(F.col(n), F.lit(0).cast("bigint")).alias(n) for n in names])
-        .orderBy("timestamp")
-    )
+    totals = rows.groupBy(bucket_us(interval).alias("us")).agg(*[F.sum(n).alias(n) for n in names])
+    return fill_gaps(rows, totals, as_of, interval, hours)
 
 
 def live_counters(events: DataFrame) -> DataFrame:
