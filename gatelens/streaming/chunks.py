@@ -7,8 +7,10 @@ batch merge reads them like a recording. The last piece says whether the stream
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gatelens.session import STATE_STORE
 
+# the processor travels to the workers as a whole, so they need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIECE_BYTES = 1 << 16  # the size of a large network chunk
 
 PIECES = T.StructType(
