@@ -18,9 +18,10 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def _lane(seed: int) -> dict:
     draw = np.random.Generator(np.random.PCG64(seed))
     table = draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = int(draw.integers(1 << 40, 1 << 62)) * 8 + 5
-    powers = np.cumprod(np.concatenate([[1], np.full(_LOW - 1, base % (1 << 64), np.uint64)]).astype(np.uint64))
-    return {"table": table, "powers": powers, "high": pow(base, _LOW, 1 << 64), "step": base % (1 << 64)}
+    base = (int(draw.integers(1 << 40, 1 << 62)) * 8 + 5) % (1 << 64)
+    powers = np.full(_LOW, base, np.uint64)
+    powers[0] = 1
+    return {"table": table, "powers": np.cumprod(powers), "high": pow(base, _LOW, 1 << 64), "step": base}
 
 
 def lane_of(number: int) -> dict:
