@@ -102,7 +102,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; a row written twice stays once."""
-    judged = exact_groups(packed(docs, **{id_col: docs[id_col], text_col: docs[text_col]}), id_col, text_col)
+    judged = exact_groups(packed(docs, id=docs[id_col], text=docs[text_col]), "id", "text")
     single = judged.filter("kept AND full_hash IS NULL")
-    several = judged.filter("kept AND full_hash IS NOT NULL").dropDuplicates([id_col, "full_hash"])
+    several = judged.filter("kept AND full_hash IS NOT NULL").dropDuplicates(["id", "full_hash"])
     return unpacked(single.union(several), docs.columns)
