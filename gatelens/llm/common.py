@@ -39,14 +39,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _key, _text``: the id (null becomes the largest long), what tells rows without an id apart, the text
-    (null becomes empty). Rows that agree in all three have the same result everywhere."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, by_text: bool = False) -> DataFrame:
+    """``_id, _key, _text``: the id (null becomes the largest long), a key beside it, the text (null becomes empty).
+
+    The key tells rows without an id apart by their text; with ``by_text`` also rows that share an id. Rows that agree
+    in all three have the same result everywhere.
+    """
     text = F.coalesce(docs[text_col], F.lit(""))
     given = docs[id_col].cast("long")
     return docs.select(
         F.coalesce(given, F.lit(LAST_ID)).alias("_id"),
-        F.coalesce(given, F.xxhash64(text)).alias("_key"),
+        (F.xxhash64(text) if by_text else F.coalesce(given, F.xxhash64(text))).alias("_key"),
         text.alias("_text"),
     )
 

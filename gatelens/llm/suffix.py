@@ -214,7 +214,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not PART <= least <= 2 * PART + GRAM - 1:
         raise ValueError(f"least must lie between {PART} and {2 * PART + GRAM - 1}")
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, by_text=True)
     runs = stored(
         rows.select("_text", "_id", "_key").mapInArrow(
             _found(least), "_id long, _key long, anchor long, h1 long, h2 long, run int, starts array<int>"
