@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry_module
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = {name: query for name, query in entry_module.queries().items() if name not in entry_module.LLM_QUERIES}
+ORACLES = {name: sql for name, sql in entry_module.oracle_sql().items() if name not in entry_module.LLM_ORACLES}
 
 
 TYPES = {
