@@ -33,9 +33,9 @@ def _refined(rows: DataFrame) -> DataFrame:
     narrow = stored(rows.select("_length", "_prefix"), "prefixes")
     lengths = narrow.groupBy("_length").agg(F.count("*").alias("n")).filter("n > 1").select("_length")
     pairs = (
-        narrow.join(lengths, "_length", "left_semi")
-        .groupBy("_length", "_prefix")
+        narrow.groupBy("_length", "_prefix")
         .agg(F.count("*").alias("n"))
+        .join(lengths, "_length", "left_semi")
         .filter("n > 1")
         .select(_bit(F.col("_length"), F.col("_prefix")).alias("bit"))
     )
