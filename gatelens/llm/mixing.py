@@ -60,8 +60,11 @@ def _filled(drawn: DataFrame) -> DataFrame:
     """Adds, for each source, the document left out whose size is closest to what is still missing, if that helps."""
     source = ["_same", "_name"]
     open_ = drawn.filter("_bin IS NOT NULL")
-    missing = open_.groupBy(*source).agg(
-        (F.max(F.col("_rest") * F.col("_total")) - F.sum(F.col("_size") * F.col("_more"))).alias("_missing")
+    missing = stored(
+        open_.groupBy(*source).agg(
+            (F.max(F.col("_rest") * F.col("_total")) - F.sum(F.col("_size") * F.col("_more"))).alias("_missing")
+        ),
+        "missing",
     )
     off = F.abs(F.col("_size") - F.col("_missing"))
     fill = stored(
