@@ -25,7 +25,8 @@ from gatelens.llm.common import LAST_ID, blocks, buffers, keyed, partitions, pla
 
 ROWS = 2
 SLOTS = 128
-_GROUP = 1 << 18
+#: Bytes of documents hashed at a time; a longer document is hashed alone.
+_GROUP = 1 << 21
 _FLUSH = 1 << 22
 _SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
@@ -37,16 +38,14 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 def document_windows(texts, width: int, lanes: tuple[int, ...]):
     """Per group of documents: (first row, owner of every window, its hashes)."""
     data, offsets = buffers(texts)
-    owner, codes = hashing.words(data, offsets, lanes)
-    counts = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
-    ends = np.cumsum(counts)
-    for low, high in blocks(counts, _GROUP):
-        a, b = ends[low] - counts[low], ends[high - 1]
-        if b - a < width:
+    for low, high in blocks(np.diff(offsets), _GROUP):
+        part, own = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        owner, codes = hashing.words(part, own, lanes)
+        if len(owner) < width:
             continue
-        inside = owner[a : b - width + 1] == owner[a + width - 1 : b]
-        found = [hashing.rolling(c[a:b], width, hashing.lane_of(k)["step"])[inside] for k, c in zip(lanes, codes)]
-        yield low, owner[a : b - width + 1][inside], [hashing.mix(f) for f in found]
+        inside = owner[: len(owner) - width + 1] == owner[width - 1 :]
+        found = [hashing.rolling(c, width, hashing.lane_of(k)["step"])[inside] for k, c in zip(lanes, codes)]
+        yield low, low + owner[: len(owner) - width + 1][inside], [hashing.mix(f) for f in found]
 
 
 def _packed(cells: np.ndarray) -> bytes:
