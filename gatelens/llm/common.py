@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,23 +12,34 @@ from pyspark.sql import functions as F
 from gatelens.session import scratch_path
 
 LAST_ID = (1 << 63) - 1
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs that run inside."""
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write a table that later jobs read to the shared scratch folder and read it back.
 
     The lineage ends there, so a lost executor costs no recomputation beyond it; the shuffle files of the job that made
-    the table are released when it ends.
+    the table are released when it ends. Texts reach Python in small batches, which bounds a worker's memory.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, {_CLEANUP: "true", _BATCH: str(BATCH_BYTES)}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ from gatelens.llm.common import LAST_ID, blocks, buffers, keyed, partitions, pla
 ROWS = 2
 SLOTS = 128
 #: Bytes of documents hashed at a time; a longer document is hashed alone.
-_GROUP = 1 << 21
+_GROUP = 1 << 20
 _FLUSH = 1 << 22
 _SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
@@ -132,10 +132,11 @@ def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     spark = docs.sparkSession
     slot_bits = bits - (SLOTS.bit_length() - 1)
     parts = docs.select("_text").mapInArrow(_sketched(width, bits), "slot int, once binary, twice binary")
-    merged = (
+    merged = stored(
         parts.repartition(min(ROWS * SLOTS, 4 * partitions(spark)), "slot")
         .sortWithinPartitions("slot")
-        .mapInArrow(_merged(slot_bits), "slot int, bits binary")
+        .mapInArrow(_merged(slot_bits), "slot int, bits binary"),
+        "sketch",
     )
     out = np.zeros((ROWS * SLOTS, (1 << slot_bits) // 8), np.uint8)
     for row in merged.toLocalIterator():
@@ -219,7 +220,7 @@ def substring_dedup(
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     volume = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits = max(16, min(max_width_bits, int(volume).bit_length()))
+    bits = max(16, min(max_width_bits, int(volume).bit_length() - 1))
     shared = spark.sparkContext.broadcast(sketch(rows, width, bits))
 
     found = rows.select("_text", "_id", "_key").mapInArrow(
@@ -239,6 +240,7 @@ def substring_dedup(
         .agg(F.collect_set("h1").alias("windows")),
         "removed",
     )
+    shared.destroy()
     return (
         rows.join(removed, ["_id", "_key"], "left")
         .select("_text", "_id", "windows")
