@@ -15,8 +15,8 @@ import pyarrow as pa
 from gatelens.llm import hashing
 from gatelens.llm.common import blocks, buffers, worker_state
 
-_KNOWN = 1 << 21
-_BLOCK = 1 << 24
+_KNOWN = 1 << 20
+_BLOCK = 1 << 22
 _LETTER, _MARK = 1, 2
 _KIND = np.full(256, 3, np.uint8)
 _KIND[hashing.SEPARATOR] = 0
@@ -26,15 +26,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-class _Known:
-    """Pieces encoded before, by two hashes; bounded, begun again when full."""
-
-    def __init__(self):
-        self.clear()
+class _Level:
+    """Pieces in the order of their first hash, with a second hash and their ids."""
 
-    def clear(self):
-        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def __init__(self, first=None, second=None, ids=None, ends=None):
+        self.first = np.zeros(0, np.uint64) if first is None else first
+        self.second = np.zeros(0, np.uint64) if second is None else second
+        self.ids = np.zeros(0, np.uint32) if ids is None else ids
+        self.ends = np.zeros(1, np.int64) if ends is None else ends
 
     def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Entry of each pair, or -1."""
@@ -43,15 +42,26 @@ class _Known:
         at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
         return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
 
-    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.first) + len(first) > _KNOWN:
-            self.clear()
-        first, second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
-        ends = np.concatenate([self.ends, ends[1:] + self.ends[-1]])
-        ids = np.concatenate([self.ids, ids])
+    def plus(self, other: _Level) -> _Level:
+        first, second = np.concatenate([self.first, other.first]), np.concatenate([self.second, other.second])
         order = np.argsort(first, kind="stable")
-        self.first, self.second = first[order], second[order]
-        self.ids, self.ends = ragged(ids, ends, order)
+        ends = np.concatenate([self.ends, other.ends[1:] + self.ends[-1]])
+        ids, ends = ragged(np.concatenate([self.ids, other.ids]), ends, order)
+        return _Level(first[order], second[order], ids, ends)
+
+
+class _Known:
+    """Pieces encoded before; new ones gather in a small level that joins the large one now and then. Bounded."""
+
+    def __init__(self):
+        self.large, self.small = _Level(), _Level()
+
+    def add(self, new: _Level) -> None:
+        if len(self.large.first) + len(self.small.first) + len(new.first) > _KNOWN:
+            self.large, self.small = _Level(), _Level()
+        self.small = self.small.plus(new)
+        if len(self.small.first) > max(1 << 16, len(self.large.first) // 4):
+            self.large, self.small = self.large.plus(self.small), _Level()
 
 
 def ragged(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,27 +133,36 @@ def _by_piece(data: np.ndarray, offsets: np.ndarray, tokenizer, path: str) -> tu
     d_data, d_offsets = buffers(distinct)
     known = worker_state(f"pieces {path}", _Known)
     first, second = (hashing.word_hashes(d_data, d_offsets[:-1], d_offsets[1:], k) for k in (0, 1))
-    at = known.find(first, second)
-    missing = np.flatnonzero(at < 0)
-    if len(missing):
-        found = [
-            np.array(e.ids, np.uint32)
-            for low in range(0, len(missing), 4096)
-            for e in tokenizer.encode_batch_fast(
-                [b.decode() for b in distinct.take(pa.array(missing[low : low + 4096])).to_pylist()],
-                add_special_tokens=False,
-            )
-        ]
-        new_ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        new_ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-    else:
-        new_ids, new_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-    ids = np.concatenate([known.ids, new_ids])
-    ends_of = np.concatenate([known.ends, new_ends[1:] + known.ends[-1]])
-    rows = at.copy()
-    rows[missing] = len(known.first) + np.arange(len(missing))
-    out, out_ends = ragged(ids, ends_of, rows[codes])
+    large, small = known.large, known.small
+    in_large = large.find(first, second)
+    in_small = np.where(in_large < 0, small.find(first, second), -1)
+    missing = np.flatnonzero((in_large < 0) & (in_small < 0))
+    found = [
+        np.array(e.ids, np.uint32)
+        for low in range(0, len(missing), 4096)
+        for e in tokenizer.encode_batch_fast(
+            [b.decode() for b in distinct.take(pa.array(missing[low : low + 4096])).to_pylist()],
+            add_special_tokens=False,
+        )
+    ]
+    new = _Level(
+        first[missing],
+        second[missing],
+        np.concatenate([np.zeros(0, np.uint32), *found]),
+        np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64),
+    )
+    # The ids of this batch's distinct pieces, level by level, then in the order of the dictionary.
+    here, source = [], np.empty(len(distinct), np.int64)
+    begun = 0
+    for level, rows in ((large, in_large[in_large >= 0]), (small, in_small[in_small >= 0]), (new, np.arange(len(missing)))):
+        here.append(ragged(level.ids, level.ends, rows))
+    for at in (np.flatnonzero(in_large >= 0), np.flatnonzero(in_small >= 0), missing):
+        source[at] = begun + np.arange(len(at))
+        begun += len(at)
+    ids = np.concatenate([i for i, _ in here])
+    sizes = np.concatenate([np.diff(e) for _, e in here])
+    out, out_ends = ragged(ids, np.concatenate([[0], np.cumsum(sizes)]), source[codes])
     if len(missing):
-        known.add(first[missing], second[missing], new_ids, new_ends)
+        known.add(new)
     last = np.searchsorted(starts, offsets[1:], "left")
     return out, np.concatenate([[0], out_ends[last]])
