@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions import derive
 from gatelens.operators.cooldown import as_us
 from gatelens.operators.facts import terminals
-from gatelens.operators.joins import MIN_HOT_ROWS, hot_keys, many_to_one, split_hot
 from gatelens.operators.running import running, time_slice
 from gatelens.operators.stats import order_key
 
@@ -20,10 +19,8 @@ def attempt_numbers(
     skips: DataFrame | None = None,
     *,
     slice_s: int = ATTEMPT_SLICE_S,
-    min_hot_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Number the attempts of each request in log order: a window per request, and for hot request ids a running count
-    over time slices.
+    """Number the attempts of each request in log order: a running count over time slices, the same for every request.
 
     The gateway also counts providers it passed over while they were cooling: ``skips`` (request_id, provider,
     priority; from ``skipped_providers``) are added where their priority is above the attempt's.
@@ -32,16 +29,10 @@ def attempt_numbers(
     if skips is not None:
         # per request a short list of skipped priorities: one row per request, no pairs
         lists = skips.groupBy("request_id").agg(F.collect_set("priority").alias("skipped"))
-        done = many_to_one(done, lists, ["request_id"])
+        done = done.join(lists, "request_id", "left")
     key, order = ["request_id"], ["us", "seq"]
-    found = hot_keys(done, key, min_rows=min_hot_rows)
-    hot, cold, _ = split_hot(done, found, key) if found else (None, done, None)
-    per_request = Window.partitionBy(*key).orderBy(*order)
-    numbered = cold.withColumn("attempt_no", F.row_number().over(per_request).cast("bigint"))
-    if hot is not None:
-        one = F.lit(1).cast("bigint")
-        counted = running(hot, key, order, time_slice("us", slice_s), {"attempt_no": ("sum", one)})
-        numbered = numbered.unionByName(counted)
+    one = F.lit(1).cast("bigint")
+    numbered = running(done, key, order, time_slice("us", slice_s), {"attempt_no": ("sum", one)})
     if skips is not None:
         above = F.size(F.filter("skipped", lambda p: p < F.col("provider_priority")))
         numbered = numbered.withColumn("attempt_no", F.col("attempt_no") + F.coalesce(above, F.lit(0))).drop("skipped")
@@ -194,6 +185,10 @@ def next_provider(failures: DataFrame, providers: DataFrame) -> DataFrame:
         F.col("priority").alias("to_priority"),
     )
     dimension = ranked.join(following, ["provider_type", "rank"], "left").select(
-        "provider_type", "provider", F.col("priority").alias("from_priority"), "to_provider", "to_priority"
+        "provider_type", "provider", "rank", F.col("priority").alias("from_priority"), "to_provider", "to_priority"
+    )
+    # a name may be configured twice; the entry tried first counts
+    dimension = dimension.groupBy("provider_type", "provider").agg(
+        *(F.min_by(c, "rank").alias(c) for c in ("from_priority", "to_provider", "to_priority"))
     )
     return failures.join(dimension, ["provider_type", "provider"], "left")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from gatelens.functions import derive
 from gatelens.functions import usage as U
-from gatelens.operators.joins import many_to_one
 
 KEY = ["request_id", "provider"]
 FINAL_FAILURE = "all"  # fixed value: provider of the error event that closes an exhausted request
@@ -74,7 +73,7 @@ def attempts_finished(events: DataFrame, ttft: DataFrame | None = None) -> DataF
         "error_message",
         "status_code",
     )
-    joined = many_to_one(done, started, KEY)
+    joined = done.join(started, KEY, "left")
     return joined.withColumn("endpoint", F.coalesce("endpoint", "terminal_endpoint")).drop("terminal_endpoint")
 
 

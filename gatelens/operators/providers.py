@@ -95,7 +95,11 @@ def validate_providers(providers: DataFrame) -> DataFrame:
 def with_statistics(providers: DataFrame, stats: DataFrame) -> DataFrame:
     """Configured providers and observed ones side by side; idle ones have zero requests."""
     named = providers if "provider" in providers.columns else with_names(providers)
-    config = named.select("provider_type", "provider", "priority", "base_url", "model_mapping")
+    # a name may be configured twice; the entry tried first counts
+    first = F.struct("priority", "position")
+    config = named.groupBy("provider_type", "provider").agg(
+        *(F.min_by(c, first).alias(c) for c in ("priority", "base_url", "model_mapping"))
+    )
     return (
         config.join(stats, ["provider_type", "provider"], "full")
         .withColumns(

@@ -308,26 +308,26 @@ _METRICS = [
 
 # Counter lines of the text export: name, help, column, of providers (ps) or of a provider type (totals).
 _COUNTERS = [
-    ("requests_total", "Total number of requests", "total_requests", "totals"),
-    ("input_tokens_total", "Total number of input tokens", "total_input_tokens", "totals"),
-    ("output_tokens_total", "Total number of output tokens", "total_output_tokens", "totals"),
-    ("cached_tokens_total", "Total number of cached tokens", "total_cached_tokens", "totals"),
-    ("total_tokens", "Total number of tokens (input + output)", "total_tokens", "totals"),
-    ("provider_requests_total", "Total requests per provider", "total_requests", "ps"),
-    ("provider_requests_successful_total", "Successful requests per provider", "successful_requests", "ps"),
-    ("provider_requests_failed_total", "Failed requests per provider", "failed_requests", "ps"),
-    ("provider_input_tokens_total", "Input tokens per provider", "total_input_tokens", "ps"),
-    ("provider_output_tokens_total", "Output tokens per provider", "total_output_tokens", "ps"),
-    ("provider_cached_tokens_total", "Cached tokens per provider", "total_cached_tokens", "ps"),
-    ("provider_streaming_requests_total", "Streaming requests per provider", "streaming_requests", "ps"),
-    ("provider_non_streaming_requests_total", "Non-streaming requests per provider", "non_streaming_requests", "ps"),
-    ("provider_rate_limits_total", "Total rate limit errors per provider", "total_rate_limits", "ps"),
+    ("requests_total", "Finished requests of this type", "total_requests", "totals"),
+    ("input_tokens_total", "Prompt tokens sent to this type", "total_input_tokens", "totals"),
+    ("output_tokens_total", "Completion tokens received from this type", "total_output_tokens", "totals"),
+    ("cached_tokens_total", "Prompt tokens this type read from a cache", "total_cached_tokens", "totals"),
+    ("total_tokens", "Prompt and completion tokens of this type together", "total_tokens", "totals"),
+    ("provider_requests_total", "Finished requests of this provider", "total_requests", "ps"),
+    ("provider_requests_successful_total", "Requests this provider answered", "successful_requests", "ps"),
+    ("provider_requests_failed_total", "Requests this provider ended with an error", "failed_requests", "ps"),
+    ("provider_input_tokens_total", "Prompt tokens sent to this provider", "total_input_tokens", "ps"),
+    ("provider_output_tokens_total", "Completion tokens received from this provider", "total_output_tokens", "ps"),
+    ("provider_cached_tokens_total", "Prompt tokens this provider read from a cache", "total_cached_tokens", "ps"),
+    ("provider_streaming_requests_total", "Requests answered as a stream", "streaming_requests", "ps"),
+    ("provider_non_streaming_requests_total", "Requests answered in one piece", "non_streaming_requests", "ps"),
+    ("provider_rate_limits_total", "Errors of this provider that were rate limits", "total_rate_limits", "ps"),
 ]
 
 
 def _exposition() -> str:
     parts = [
-        "SELECT unnest(['# HELP gateway_info Gateway information', '# TYPE gateway_info gauge', "
+        "SELECT unnest(['# HELP gateway_info Version of the software that wrote these lines', '# TYPE gateway_info gauge', "
         "'gateway_info{version=\"1.0\"} 1']) AS line"
     ]
     for name, text, column, source in _COUNTERS:
@@ -580,6 +580,7 @@ SELECT provider_type, provider, total_requests, successful_requests, failed_requ
 -- the stream reports an open call once its watermark (one minute) has passed the time-out (one minute)
 SELECT rid AS request_id, prov AS provider, ts AS start_ts FROM a
 WHERE is_open AND ts < least((SELECT max(ts) FROM a), (SELECT max(end_ts) FROM d)) - INTERVAL 2 MINUTE""",
-    "streaming_assembly": "SELECT DISTINCT 'c' || conv_id AS request_id, true AS complete FROM conversations",
+    "streaming_assembly": """SELECT 'c' || conv_id AS request_id, turn % 2 AS choice,
+       string_agg(text, '' ORDER BY turn) AS content FROM conversations GROUP BY ALL""",
 }
 ORACLES["merged_anthropic"] = ORACLES["merged_anthropic"].replace("{{", "{").replace("}}", "}")

@@ -10,80 +10,80 @@ from gatelens.functions import derive
 # Metric names without prefix, type, help text, and the column (or expression) that holds the value, in
 # the order of the export. The last field tells if the metric is left out unless positive.
 TYPE_METRICS = [
-    ("uptime_seconds", "gauge", "Router uptime in seconds", "uptime_seconds", False),
-    ("requests_total", "counter", "Total number of requests", "total_requests", False),
-    ("input_tokens_total", "counter", "Total number of input tokens", "total_input_tokens", False),
-    ("output_tokens_total", "counter", "Total number of output tokens", "total_output_tokens", False),
-    ("cached_tokens_total", "counter", "Total number of cached tokens", "total_cached_tokens", False),
-    ("total_tokens", "counter", "Total number of tokens (input + output)", "total_tokens", False),
+    ("uptime_seconds", "gauge", "Seconds from the first logged event to the report time", "uptime_seconds", False),
+    ("requests_total", "counter", "Finished requests of this type", "total_requests", False),
+    ("input_tokens_total", "counter", "Prompt tokens sent to this type", "total_input_tokens", False),
+    ("output_tokens_total", "counter", "Completion tokens received from this type", "total_output_tokens", False),
+    ("cached_tokens_total", "counter", "Prompt tokens this type read from a cache", "total_cached_tokens", False),
+    ("total_tokens", "counter", "Prompt and completion tokens of this type together", "total_tokens", False),
 ]
 PROVIDER_METRICS = [
-    ("provider_requests_total", "counter", "Total requests per provider", "total_requests", False),
-    ("provider_requests_in_progress", "gauge", "In-progress requests per provider", "in_progress_requests", False),
-    ("provider_requests_successful_total", "counter", "Successful requests per provider", "successful_requests", False),
-    ("provider_requests_failed_total", "counter", "Failed requests per provider", "failed_requests", False),
-    ("provider_input_tokens_total", "counter", "Input tokens per provider", "total_input_tokens", False),
-    ("provider_output_tokens_total", "counter", "Output tokens per provider", "total_output_tokens", False),
-    ("provider_cached_tokens_total", "counter", "Cached tokens per provider", "total_cached_tokens", False),
-    ("provider_streaming_requests_total", "counter", "Streaming requests per provider", "streaming_requests", False),
+    ("provider_requests_total", "counter", "Finished requests of this provider", "total_requests", False),
+    ("provider_requests_in_progress", "gauge", "Requests sent to this provider and not ended yet", "in_progress_requests", False),
+    ("provider_requests_successful_total", "counter", "Requests this provider answered", "successful_requests", False),
+    ("provider_requests_failed_total", "counter", "Requests this provider ended with an error", "failed_requests", False),
+    ("provider_input_tokens_total", "counter", "Prompt tokens sent to this provider", "total_input_tokens", False),
+    ("provider_output_tokens_total", "counter", "Completion tokens received from this provider", "total_output_tokens", False),
+    ("provider_cached_tokens_total", "counter", "Prompt tokens this provider read from a cache", "total_cached_tokens", False),
+    ("provider_streaming_requests_total", "counter", "Requests answered as a stream", "streaming_requests", False),
     (
         "provider_non_streaming_requests_total",
         "counter",
-        "Non-streaming requests per provider",
+        "Requests answered in one piece",
         "non_streaming_requests",
         False,
     ),
-    ("provider_latency_seconds", "gauge", "Average latency per provider", "average_latency_ms / 1000", True),
+    ("provider_latency_seconds", "gauge", "Mean seconds from sending to the end of an answer", "average_latency_ms / 1000", True),
     (
         "provider_streaming_latency_seconds",
         "gauge",
-        "Average streaming latency per provider",
+        "Mean seconds to the end of a streamed answer",
         "streaming_average_latency_ms / 1000",
         True,
     ),
     (
         "provider_non_streaming_latency_seconds",
         "gauge",
-        "Average non-streaming latency per provider",
+        "Mean seconds to an answer in one piece",
         "non_streaming_average_latency_ms / 1000",
         True,
     ),
     (
         "provider_time_to_first_token_seconds",
         "gauge",
-        "Average time to first token",
+        "Mean seconds to the first chunk of a stream",
         "streaming_average_ttft_ms / 1000",
         True,
     ),
-    ("provider_tokens_per_second", "gauge", "Average tokens per second", "tokens_per_second", True),
+    ("provider_tokens_per_second", "gauge", "Completion tokens for each second of latency", "tokens_per_second", True),
     (
         "provider_streaming_tokens_per_second",
         "gauge",
-        "Streaming tokens per second (with TTFT)",
+        "Completion tokens for each second of a stream, waiting included",
         "streaming_tokens_per_second_with_ttft",
         True,
     ),
-    ("provider_success_rate", "gauge", "Success rate (0-1)", "success_rate / 100", False),
-    ("provider_rate_limits_total", "counter", "Total rate limit errors per provider", "total_rate_limits", False),
-    ("provider_recent_rate_limits", "gauge", "Recent rate limits in current window", "recent_rate_limits", False),
-    ("provider_cooldowns_total", "counter", "Total number of cooldowns entered", "cooldown_count", False),
+    ("provider_success_rate", "gauge", "Share of finished requests that were answered", "success_rate / 100", False),
+    ("provider_rate_limits_total", "counter", "Errors of this provider that were rate limits", "total_rate_limits", False),
+    ("provider_recent_rate_limits", "gauge", "Rate limits inside the window that ends now", "recent_rate_limits", False),
+    ("provider_cooldowns_total", "counter", "Pauses this provider was put into", "cooldown_count", False),
     (
         "provider_cooldown_time_seconds_total",
         "counter",
-        "Total time spent in cooldown",
+        "Seconds of all pauses of this provider so far",
         "total_cooldown_time_seconds",
         False,
     ),
-    ("provider_in_cooldown", "gauge", "Whether provider is currently in cooldown", "cast(in_cooldown as int)", False),
+    ("provider_in_cooldown", "gauge", "1 while this provider is paused, else 0", "cast(in_cooldown as int)", False),
     (
         "provider_cooldown_remaining_seconds",
         "gauge",
-        "Remaining seconds in cooldown",
+        "Seconds until the pause of this provider ends",
         "cooldown_remaining_seconds",
         True,
     ),
 ]
-INFO_METRIC = ("info", "gauge", "Gateway information")
+INFO_METRIC = ("info", "gauge", "Version of the software that wrote these lines")
 NO_METRICS = "# No metrics available"
 
 

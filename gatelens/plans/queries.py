@@ -784,9 +784,11 @@ def streaming_in_flight(spark, sf_dir):
 
 @query
 def streaming_assembly(spark, sf_dir):
+    """Text per choice from the live pieces; the files cut every response, so that it pauses for whole batches."""
     path = scratch_path(spark, "live")
-    demo.conversation_chunks(spark, sf_dir, "openai").write.parquet(path + "/in")
-    pieces = live_chunks.assemble(live.stream_parquet(spark, path + "/in"))
+    recorded = demo.conversation_chunks(spark, sf_dir, "openai")
+    recorded.repartition(4, F.col("seq") % 4).write.parquet(path + "/in")
+    pieces = live_chunks.assemble(live.stream_parquet(spark, path + "/in", files_per_trigger=2))
     started = (
         pieces.writeStream.format("parquet")
         .option("path", path + "/out")
@@ -796,4 +798,7 @@ def streaming_assembly(spark, sf_dir):
     )
     started.awaitTermination()
     done = spark.read.schema(live_chunks.PIECES).parquet(path + "/out")
-    return done.filter("last").select("request_id", "complete")
+    merged = chunks.merge_openai(chunks.sse_events(live_chunks.as_chunks(done)))
+    return merged.select("request_id", F.explode("choices").alias("c")).select(
+        "request_id", F.col("c.index").cast("bigint").alias("choice"), F.col("c.message.content").alias("content")
+    )

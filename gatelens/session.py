@@ -44,10 +44,13 @@ def sizing(shuffled_bytes: int, cores: int) -> dict[str, str]:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared folder of ``spark.checkpoint.dir``.
 
-    Only where neither the session nor its context names one (tests on one machine) a temporary folder is made and set.
+    Only where neither the session nor its context names one and all runs on one machine (tests) a temporary folder is
+    made and set; on a cluster executors would each write to their own disk, so this is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gatelens-"))
         base = spark.sparkContext.getCheckpointDir()
     return os.path.join(base, f"{tag}-{uuid.uuid4().hex}")

@@ -2,11 +2,12 @@
 
 Per request the chunks that arrived are put in order and handed on as larger pieces; what stays in the state is only
 chunks that wait for a missing one and the piece being filled. Pieces are chunks again (``seq`` = piece number), so the
-batch merge reads them like a recording. The last piece says whether the stream ended properly.
+batch merge reads them like a recording. The last piece says whether the stream ended properly; no byte is left out.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ PIECES = T.StructType(
         T.StructField("data", T.BinaryType()),
         T.StructField("last", T.BooleanType()),
         T.StructField("complete", T.BooleanType()),
+        T.StructField("late", T.BooleanType()),
     ]
 )
 
@@ -51,25 +53,39 @@ _OPEN = T.StructType(
         T.StructField("last_ts", T.TimestampType()),
         T.StructField("data", T.BinaryType()),
         T.StructField("tail", T.BinaryType()),
+        T.StructField("ended", T.BooleanType()),
         T.StructField("closed", T.BooleanType()),
+        T.StructField("newest_ms", T.LongType()),
     ]
 )
 _SEQ = T.StructType([T.StructField("seq", T.LongType())])
 
 
 def _ends(tail: bytes) -> bool:
-    """Is one of the last lines an end marker of either format?"""
+    """Is one of the whole lines an end marker of either format?"""
     for line in tail.split(b"\n"):
         if not line.startswith(b"data:"):
             continue
         payload = line[5:].strip()
-        if payload == b"[DONE]" or payload.replace(b" ", b"").startswith(b'{"type":"message_stop"'):
+        if payload == b"[DONE]":
             return True
+        if b"message_stop" in payload:
+            try:
+                event = json.loads(payload)
+            except ValueError:
+                continue
+            if isinstance(event, dict) and event.get("type") == "message_stop":
+                return True
     return False
 
 
 class Assembler(StatefulProcessor):
-    """Orders the chunks of one request."""
+    """Orders the chunks of one request.
+
+    A request stays open for a time-out after its newest chunk, whatever it said so far: an end marker only makes the
+    bytes go out at once. Then it is closed, and remembered as closed for another time-out, in which late chunks go out
+    as pieces marked ``late``.
+    """
 
     def __init__(self, timeout_ms: int, piece_bytes: int = PIECE_BYTES) -> None:
         self.timeout_ms = timeout_ms
@@ -80,20 +96,26 @@ class Assembler(StatefulProcessor):
         self.open = handle.getValueState("open", _OPEN)
         self.waiting = handle.getMapState("waiting", _SEQ, _WAITING)
 
+    def _wait_until(self, ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ms)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         request_id = key[0]
-        state = self.open.get() if self.open.exists() else None
-        if state is not None and state[7]:
-            return  # the response was handed on; a copy of a chunk changes nothing
-        provider_type, next_seq, piece, first_ts, last_ts, data, tail, _ = (
-            tuple(state) if state is not None else (None, 0, 0, None, None, b"", b"", False)
-        )
+        state = tuple(self.open.get()) if self.open.exists() else (None, 0, 0, None, None, b"", b"", False, False, 0)
+        provider_type, next_seq, piece, first_ts, last_ts, data, tail, ended, closed, newest = state
         for row in rows:
             provider_type = row["provider_type"]
-            if row["seq"] >= next_seq:
-                self.waiting.updateValue((row["seq"],), (row["ts"], bytes(row["data"])))
-        buffer, done = bytearray(data), False
-        while not done and self.waiting.containsKey((next_seq,)):
+            newest = max(newest, int(row["ts"].timestamp() * 1000))
+            if row["seq"] >= next_seq and not self.waiting.containsKey((row["seq"],)):
+                if closed:
+                    yield self._piece(request_id, provider_type, piece, row["ts"], row["ts"], row["data"], None, True)
+                    piece += 1
+                else:
+                    self.waiting.updateValue((row["seq"],), (row["ts"], bytes(row["data"])))
+        buffer = bytearray(data)
+        while not closed and self.waiting.containsKey((next_seq,)):
             ts, more = self.waiting.getValue((next_seq,))
             self.waiting.removeKey((next_seq,))
             next_seq += 1
@@ -101,39 +123,42 @@ class Assembler(StatefulProcessor):
             last_ts = ts if last_ts is None else max(last_ts, ts)
             buffer += more
             window = bytes(tail) + bytes(more)
-            done = _ends(window)
+            ended = ended or _ends(window)
             # keep the line being written; a long one is no end marker, whatever follows
             tail = window[window.rfind(b"\n") + 1 :]
             tail = tail if len(tail) <= 256 else b"-"
-            if len(buffer) >= self.piece_bytes and not done:
+            if len(buffer) >= self.piece_bytes:
                 yield self._piece(request_id, provider_type, piece, first_ts, last_ts, buffer, None)
                 piece, first_ts, buffer = piece + 1, None, bytearray()
-        if done:
-            yield self._piece(request_id, provider_type, piece, first_ts, last_ts, buffer, True)
+        if ended and buffer and not closed:
+            yield self._piece(request_id, provider_type, piece, first_ts, last_ts, buffer, None)
+            piece, first_ts, buffer = piece + 1, None, bytearray()
         self.open.update(
-            (provider_type, next_seq, piece, first_ts, last_ts, b"" if done else bytes(buffer), bytes(tail), done)
+            (provider_type, next_seq, piece, first_ts, last_ts, bytes(buffer), bytes(tail), ended, closed, newest)
         )
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.timeout_ms)
+        self._wait_until(max(newest, timerValues.getCurrentWatermarkInMs()) + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """No more chunks: hand on what is there, also behind a gap, as not complete. Then forget the request."""
+        """No more chunks: hand on what is there, also behind a gap, and close; the second time forget the request."""
         if not self.open.exists():
             return
-        provider_type, _, piece, first_ts, last_ts, data, _, closed = tuple(self.open.get())
-        if not closed:
-            buffer = bytearray(data)
-            for (seq,) in sorted(tuple(k) for k in self.waiting.keys()):
-                ts, more = self.waiting.getValue((seq,))
-                first_ts = ts if first_ts is None else min(first_ts, ts)
-                last_ts = ts if last_ts is None else max(last_ts, ts)
-                buffer += more
-            yield self._piece(key[0], provider_type, piece, first_ts, last_ts, buffer, False)
-        self.open.clear()
+        provider_type, next_seq, piece, first_ts, last_ts, data, tail, ended, closed, newest = tuple(self.open.get())
+        if closed:
+            self.open.clear()
+            return
+        buffer, gap = bytearray(data), False
+        for (seq,) in sorted(tuple(k) for k in self.waiting.keys()):
+            ts, more = self.waiting.getValue((seq,))
+            first_ts = ts if first_ts is None else min(first_ts, ts)
+            last_ts = ts if last_ts is None else max(last_ts, ts)
+            buffer += more
+            gap = True
+        yield self._piece(key[0], provider_type, piece, first_ts, last_ts, buffer, ended and not gap)
         self.waiting.clear()
+        self.open.update((provider_type, next_seq, piece + 1, None, last_ts, b"", b"", ended, True, newest))
+        self._wait_until(timerValues.getCurrentWatermarkInMs() + self.timeout_ms)
 
-    def _piece(self, request_id, provider_type, piece, first_ts, last_ts, data, complete) -> Row:
+    def _piece(self, request_id, provider_type, piece, first_ts, last_ts, data, complete, late=False) -> Row:
         return Row(
             request_id=request_id,
             provider_type=provider_type,
@@ -143,6 +168,7 @@ class Assembler(StatefulProcessor):
             data=bytes(data),
             last=complete is not None,
             complete=complete,
+            late=late,
         )
 
     def close(self) -> None:
@@ -152,8 +178,11 @@ class Assembler(StatefulProcessor):
 def assemble(
     chunks: DataFrame, delay: str = "1 minute", timeout_s: int = 600, piece_bytes: int = PIECE_BYTES
 ) -> DataFrame:
-    """Streaming ``chunks`` to ordered pieces; a response without end marker is closed ``timeout_s`` after its last
-    chunk (in event time) with ``complete = false``.
+    """Streaming ``chunks`` to ordered pieces.
+
+    A response is closed ``timeout_s`` after its last chunk (in event time) by a last piece, which says if it had an end
+    marker and no gap (``complete``). Chunks that come after that go out as they are, as pieces with ``late`` true.
+    Chunks behind a missing one wait in the state until it comes or the response is closed. Copies are left out.
     """
     # this kind of state needs the RocksDB store
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

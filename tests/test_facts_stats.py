@@ -2,10 +2,10 @@ import datetime as dt
 
 import pytest
 from helpers import T0, log, usage
-from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from gatelens import schemas
-from gatelens.operators import chains, facts, joins, stats
+from gatelens.operators import chains, facts, providers, stats
 from gatelens.plans import publish
 
 
@@ -34,17 +34,6 @@ def test_join_keeps_copies_single(spark):
     assert facts.in_flight(log(spark, rows)).count() == 0
 
 
-@pytest.mark.parametrize("min_rows", [1, 40, 10_000])
-def test_hot_keys_are_joined_apart(spark, min_rows):
-    left = spark.range(400).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) k", "id")
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("other", 3)], "k string, v int")
-    got = joins.many_to_one(left, right, ["k"], sample=1.0, min_rows=min_rows)
-    expected = left.join(right, "k", "left")
-    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
-    found = joins.hot_keys(left, ["k"], sample=1.0, min_rows=40)
-    assert [r.k for r in found] == ["hot"]
-
-
 def test_request_stats_from_log(spark):
     rows = (
         attempt("r1", "p", 0, "ok", ms=12.345, stream=True)
@@ -172,7 +161,7 @@ def failing_chain():
     return rows + attempt("r2", "a", 50, "rate_limit_error") + attempt("r2", "b", 60, "ok")
 
 
-def test_chains(spark, monkeypatch):
+def test_chains(spark):
     events = log(spark, failing_chain())
     out = {r.request_id: r for r in chains.request_chains(events).collect()}
     assert (out["r1"].attempts, out["r1"].all_failed, out["r1"].serving_provider, out["r1"].duration_ms) == (3, True, None, 20000.0)
@@ -183,9 +172,8 @@ def test_chains(spark, monkeypatch):
     retries = {r.error_type: r for r in chains.retry_breakdown(events).collect()}
     assert retries["rate_limit_error"].avg_retry_after == 0.5 and retries["unexpected_error"].avg_retry_after is None
     assert {(r.provider, r.errors) for r in chains.error_breakdown(events).collect() if r.error_type == "rate_limit_error"} == {("a", 2)}
-    for hot in ([], ["r1"], ["r1", "r2"]):
-        monkeypatch.setattr(chains, "hot_keys", lambda df, key, min_rows, hot=hot: [Row(request_id=h) for h in hot])
-        numbers = chains.attempt_numbers(events, slice_s=7).orderBy("request_id", "attempt_no").collect()
+    for slice_s in (1, 7, 1000):
+        numbers = chains.attempt_numbers(events, slice_s=slice_s).orderBy("request_id", "attempt_no").collect()
         assert [(r.request_id, r.provider, r.attempt_no) for r in numbers] == [
             ("r1", "a", 1), ("r1", "b", 2), ("r1", "c", 3), ("r2", "a", 1), ("r2", "b", 2),
         ]
@@ -205,10 +193,24 @@ def test_metrics(spark):
     assert names["x_provider_success_rate"] == 1.0
     assert "x_provider_latency_seconds" not in names  # only if positive
     lines = [r.line for r in publish.metrics_text(long, "1.2", "x_").collect()]
-    assert lines[:3] == ["# HELP x_info Gateway information", "# TYPE x_info gauge", 'x_info{version="1.2"} 1']
+    assert lines[:3] == ["# HELP x_info Version of the software that wrote these lines", "# TYPE x_info gauge", 'x_info{version="1.2"} 1']
     assert 'x_provider_requests_total{provider_type="openai",provider="a"} 3' in lines
     assert sum(line.startswith("# TYPE x_provider_requests_total ") for line in lines) == 1
     at = lines.index('x_requests_total{provider_type="openai"} 3')
-    assert lines[at - 2 : at] == ["# HELP x_requests_total Total number of requests", "# TYPE x_requests_total counter"]
+    assert lines[at - 2 : at] == ["# HELP x_requests_total Finished requests of this type", "# TYPE x_requests_total counter"]
     nothing = publish.metrics_text(long.filter("false"), "1.2", "x_").collect()
     assert [r.line for r in nothing] == ["# No metrics available"]
+
+
+def test_repeated_provider_names(spark):
+    """A name configured twice is one provider, its first entry counts."""
+    configured = spark.createDataFrame(
+        [("openai", "a", 1, 0, "u1"), ("openai", "b", 2, 1, "u2"), ("openai", "a", 3, 2, "u3")],
+        "provider_type string, provider string, priority int, position int, base_url string",
+    ).withColumn("model_mapping", F.lit(None).cast("map<string,string>"))
+    failures = spark.createDataFrame([("openai", "a"), ("openai", "b")], "provider_type string, provider string")
+    got = {(r.provider, r.from_priority, r.to_provider) for r in chains.next_provider(failures, configured).collect()}
+    assert got == {("a", 1, "b"), ("b", 2, "a")}
+    seen = spark.createDataFrame([("openai", "a", 5)], "provider_type string, provider string, total_requests long")
+    rows = {(r.provider, r.base_url, r.total_requests) for r in providers.with_statistics(configured, seen).collect()}
+    assert rows == {("a", "u1", 5), ("b", "u2", 0)}
