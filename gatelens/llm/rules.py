@@ -16,7 +16,7 @@ from gatelens.llm.common import blocks, buffers, packed, unpacked
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_BLOCK = 1 << 18
+_BLOCK = 1 << 20
 
 
 def rules() -> dict[str, Column]:
@@ -68,28 +68,28 @@ def _repeat_words(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _measure(texts: pa.Array) -> pa.Array:
+    """Measurements of a batch, a megabyte of documents at a time."""
     data, offsets = buffers(texts)
-    n = len(texts)
-    owner, (codes,) = hashing.words(data, offsets)
-    n_words = np.bincount(owner, minlength=n)
-    symbols, chars, repeat = (np.zeros(n, np.int64) for _ in range(3))
-    for low, high in blocks(np.diff(offsets), 1 << 22):
-        part = data[offsets[low] : offsets[high]]
-        own = offsets[low : high + 1] - offsets[low]
-        for out, flags in (
-            (symbols, _SYMBOL[part]),
-            (chars, ((part & 0xC0) != 0x80) & ~hashing.SEPARATOR[part]),
-        ):
-            out[low:high] = np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[own])
-    ends = np.cumsum(n_words)
-    for low, high in blocks(n_words, _BLOCK):
-        a, b = ends[low] - n_words[low], ends[high - 1]
-        repeat[low:high] = _repeat_words(owner[a:b] - low, codes[a:b], high - low)
-    lines = np.array([_lines(t) for t in texts.to_pylist()], np.int64).reshape(-1, 2)
-    values = (n_words, chars, symbols, lines[:, 0], lines[:, 1], repeat)
+    values = np.zeros((len(MEASURES), len(texts)), np.int64)
+    for low, high in blocks(np.diff(offsets), _BLOCK):
+        part, own = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        owner, (codes,) = hashing.words(part, own)
+        lines = [_lines(t) for t in texts.slice(low, high - low).to_pylist()]
+        values[:, low:high] = (
+            np.bincount(owner, minlength=high - low),
+            _totals(((part & 0xC0) != 0x80) & ~hashing.SEPARATOR[part], own),
+            _totals(_SYMBOL[part], own),
+            [found for found, _ in lines],
+            [again for _, again in lines],
+            _repeat_words(owner, codes, high - low),
+        )
     return pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in values], names=MEASURES)
 
 
+def _totals(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
+
+
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the measurements and ``failures``, a long with a bit per rule of ``rules()``.
 

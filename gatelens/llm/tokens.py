@@ -15,8 +15,8 @@ import pyarrow as pa
 from gatelens.llm import hashing
 from gatelens.llm.common import blocks, buffers, worker_state
 
-_KNOWN = 1 << 20
-_BLOCK = 1 << 22
+_KNOWN = 1 << 19
+_BLOCK = 1 << 21
 _LETTER, _MARK = 1, 2
 _KIND = np.full(256, 3, np.uint8)
 _KIND[hashing.SEPARATOR] = 0
