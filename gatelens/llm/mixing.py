@@ -5,8 +5,8 @@ rest the source's documents are ranked by their random odds over their inclusion
 and taken in this order until the source has its words. With importances the inclusion probability ``p`` differs
 within a source; without, between sources only.
 
-No source is ordered as a whole: ranks are counted in bins, a running sum over the bins of a source finds the one in
-which the target is reached, and only that bin's documents are ordered.
+No source is ordered as a whole: ranks are counted in bins, running sums over parts of 256 bins and over the bins of a
+part find the one in which the target is reached, and only that bin's documents are ordered.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gatelens.llm.common import packed, stored, unpacked
 
 BINS = 1 << 16
+PART_BITS = 8
 
 
 def shares(sizes: DataFrame, most: float) -> DataFrame:
@@ -140,18 +141,26 @@ def mix(
     ranked = known.withColumn("_rank", F.when((F.col("_rest") > 0) & (F.col("_size") > 0), rank))
     ranked = ranked.withColumn("_bin", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS).cast("int"))
 
-    upto = Window.partitionBy("_same", "_name").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (
+    source = ["_same", "_name"]
+    bins = stored(
         ranked.filter("_bin IS NOT NULL")
-        .groupBy("_same", "_name", "_bin")
-        .agg(F.sum("_size").alias("_words"), F.max(F.col("_rest") * F.col("_total")).alias("_wanted"))
-        .withColumn("_upto", F.sum("_words").over(upto))
+        .groupBy(*source, "_bin")
+        .agg(F.sum("_size").alias("_words"), F.max(F.col("_rest") * F.col("_total")).alias("_wanted")),
+        "bins",
+    ).withColumn("_part", F.shiftright("_bin", PART_BITS))
+    earlier = Window.partitionBy(*source).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        bins.groupBy(*source, "_part")
+        .agg(F.sum("_words").alias("_in_part"))
+        .withColumn("_earlier", F.coalesce(F.sum("_in_part").over(earlier), F.lit(0)))
     )
+    upto = Window.partitionBy(*source, "_part").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.join(parts, [*source, "_part"]).withColumn("_upto", F.col("_earlier") + F.sum("_words").over(upto))
     border = stored(
         bins.filter("_upto >= _wanted")
-        .groupBy("_same", "_name")
-        .agg(F.min("_bin").alias("_border"))
-        .join(bins.select("_same", "_name", F.col("_bin").alias("_border"), (F.col("_upto") - F.col("_words")).alias("_before"), "_wanted"), ["_same", "_name", "_border"]),
+        .groupBy(*source)
+        .agg(F.min(F.struct("_bin", (F.col("_upto") - F.col("_words")).alias("_before"), "_wanted")).alias("_first"))
+        .select(*source, F.col("_first._bin").alias("_border"), "_first._before", "_first._wanted"),
         "border",
     )
     placed = ranked.join(border, ["_same", "_name"], "left")
