@@ -28,6 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     sized = packed(docs, doc_id=docs["doc_id"], source=docs["source"], words=counts.word_count(docs["text"]))
+    sized = stored(sized, "sized")
     return unpacked(mixing.mixed(sized, "words"), docs.columns)
 
 
