@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.functions import derive
-from gatelens.operators.facts import attempts_finished, terminals
+from gatelens.operators.facts import attempts_finished, count_tokens_event, terminals
 from gatelens.operators.reports import ts_literal, utc_naive
 from gatelens.operators.running import int_div, running, time_slice
 
@@ -56,26 +56,38 @@ def order_key_us(us: Column, seq: Column) -> Column:
     return (shifted + seq.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def outcomes(events: DataFrame, reset_on: Column | None = None) -> DataFrame:
+def outcomes(events: DataFrame, reset_on: Column | None = None, *, only_marks: bool = False) -> DataFrame:
     """Provider outcomes in log order: ``provider_type, provider, ts, seq, outcome``.
 
     By default a success counts as a reset only if it is a non-streaming chat response; ``reset_on`` replaces that
     test (columns ``stream``, ``is_count_tokens``). The stream flag comes from the request event.
+
+    ``only_marks`` leaves out what cannot matter to the rule before the log meets its request events: errors that are
+    no rate limit and, under the default test, counted tokens.
     """
-    if reset_on is None:
+    if only_marks:
+        limited = (F.col("type") == "error") & (F.col("status_code") == 429)
+        answered = F.col("type") == "response"
+        if reset_on is None:
+            answered &= ~count_tokens_event()
+        events = events.filter((F.col("type") == "request") | limited | answered)
+    reset_on_given = reset_on is not None
+    if not reset_on_given:
         reset_on = ~F.coalesce("stream", F.lit(False)) & ~F.col("is_count_tokens")
     outcome = (
         F.when((F.col("outcome") == "failed") & (F.col("status_code") == 429), RATE_LIMITED)
         .when((F.col("outcome") == "success") & reset_on, SUCCESS)
         .otherwise(OTHER)
     )
-    return attempts_finished(events).select(
+    needed = None if reset_on_given else ["endpoint", "stream"]
+    rows = attempts_finished(events, start_columns=needed).select(
         derive.provider_type(F.col("endpoint")).alias("provider_type"),
         "provider",
         F.col("end_ts").alias("ts"),
         F.col("end_seq").alias("seq"),
         outcome.alias("outcome"),
     )
+    return marks_only(rows) if only_marks else rows
 
 
 def rate_limited_events(events: DataFrame) -> DataFrame:
@@ -299,59 +311,56 @@ def cooldown_status(
     )
 
 
+def _cover(triggers_: DataFrame, span: int) -> DataFrame:
+    """What the starts cover, cut into buckets of one cooldown's length: keys, ``__bucket, __from, __until``.
+
+    A time in a bucket is cooling from the bucket's first start on, and until one cooldown after the last start of the
+    bucket before. So one row per provider and bucket says everything, however many starts a storm has.
+    """
+    keys = keys_of(triggers_)
+    per_bucket = triggers_.groupBy(*keys, int_div(F.col("us"), span).alias("__bucket")).agg(
+        F.min("us").alias("first"), (F.max("us") + span).alias("end")
+    )
+    none = F.lit(None).cast("bigint")
+    own = F.struct("__bucket", F.col("first").alias("__from"), none.alias("__until"))
+    after = F.struct((F.col("__bucket") + 1).alias("__bucket"), none.alias("__from"), F.col("end").alias("__until"))
+    both = per_bucket.select(*keys, F.inline(F.array(own, after)))
+    return both.groupBy(*keys, "__bucket").agg(F.max("__from").alias("__from"), F.max("__until").alias("__until"))
+
+
+def _covered() -> Column:
+    us = F.col("__us")
+    return F.coalesce(us >= F.col("__from"), F.lit(False)) | F.coalesce(us < F.col("__until"), F.lit(False))
+
+
 def with_cooldown(
-    rows: DataFrame,
-    triggers_: DataFrame,
-    cooldown_s: int = COOLDOWN_S,
-    *,
-    ts: str = "ts",
-    slice_s: int = SLICE_S,
+    rows: DataFrame, triggers_: DataFrame, cooldown_s: int = COOLDOWN_S, *, ts: str = "ts"
 ) -> DataFrame:
     """Add ``in_cooldown``: is the row's provider cooling at its time, ``start <= t < start + cooldown``?
 
-    Instead of a range join, which pairs every row with every start in reach, the latest start at or before the row is
-    carried along time. Since a later trigger replaces the earlier one, that start alone decides.
+    A many-to-one equi-join on provider and bucket (see ``_cover``): rows meet one row each, are not sorted by time,
+    and not shuffled at all where the few buckets with starts are small at run time.
     """
-    keys = keys_of(triggers_)
-    left = rows.select(
-        F.struct(*rows.columns).alias("row"),
-        *keys,
-        as_us(F.col(ts)).alias("us"),
-        F.lit(None).cast("bigint").alias("start"),
-    )
-    marks = triggers_.select(
-        F.lit(None).cast(left.schema["row"].dataType).alias("row"), *keys, "us", F.col("us").alias("start")
-    )
-    # starts come before rows of the same microsecond; the tie only helps to spread rows of one time
-    both = left.unionByName(marks).withColumns(
-        {"kind": F.when(F.col("row").isNull(), 0).otherwise(1), "tie": F.xxhash64("row")}
-    )
-    carried = running(
-        both, keys, ["us", "kind", "tie"], time_slice("us", slice_s), {"last_start": ("max", F.col("start"))}
-    )
-    return carried.filter("kind = 1").select(
-        "row.*",
-        F.coalesce(F.col("us") < F.col("last_start") + cooldown_s * 1_000_000, F.lit(False)).alias("in_cooldown"),
+    keys, span = keys_of(triggers_), cooldown_s * 1_000_000
+    us = as_us(F.col(ts))
+    placed = rows.withColumns({"__us": us, "__bucket": int_div(us, span)})
+    return placed.join(_cover(triggers_, span), [*keys, "__bucket"], "left").select(
+        *[placed[c] for c in rows.columns], _covered().alias("in_cooldown")
     )
 
 
 def skipped_providers(
-    requests: DataFrame,
-    providers: DataFrame,
-    triggers_: DataFrame,
-    cooldown_s: int = COOLDOWN_S,
-    *,
-    slice_s: int = SLICE_S,
+    requests: DataFrame, providers: DataFrame, triggers_: DataFrame, cooldown_s: int = COOLDOWN_S
 ) -> DataFrame:
     """Providers a request passed over because they were cooling.
 
     ``requests``: request_id, provider_type, ts, served_priority (NULL if no provider served it, then all count).
-    ``providers``: provider_type, provider, priority. Each request meets only the providers of its own type that ever
-    cooled down.
+    ``providers``: provider_type, provider, priority. A request meets only the providers of its own type that have a
+    start within a cooldown or two of its time.
     """
-    keys = keys_of(triggers_)
-    providers = providers.join(triggers_.select(*keys).distinct(), keys, "left_semi")
-    above = requests.join(providers, "provider_type").filter(
-        F.col("served_priority").isNull() | (F.col("priority") < F.col("served_priority"))
-    )
-    return with_cooldown(above, triggers_, cooldown_s, slice_s=slice_s).filter("in_cooldown").drop("in_cooldown")
+    keys, span = keys_of(triggers_), cooldown_s * 1_000_000
+    cooling = providers.join(_cover(triggers_, span), keys)
+    us = as_us(F.col("ts"))
+    met = requests.withColumns({"__us": us, "__bucket": int_div(us, span)}).join(cooling, ["provider_type", "__bucket"])
+    above = F.col("served_priority").isNull() | (F.col("priority") < F.col("served_priority"))
+    return met.filter(above & _covered()).drop("__us", "__bucket", "__from", "__until")

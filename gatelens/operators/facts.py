@@ -16,22 +16,26 @@ KEY = ["request_id", "provider"]
 FINAL_FAILURE = "all"  # fixed value: provider of the error event that closes an exhausted request
 
 
-def starts(events: DataFrame) -> DataFrame:
-    """The first request event per (request_id, provider)."""
+START_COLUMNS = {
+    "start_ts": "timestamp",
+    "start_seq": "seq",
+    "endpoint": "endpoint",
+    "provider_priority": "provider_priority",
+    "requested_model": "model",
+    "stream": "stream",
+    "user_agent": "user_agent",
+}
+
+
+def starts(events: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The first request event per (request_id, provider), with all of ``START_COLUMNS`` or those named."""
+    names = columns or list(START_COLUMNS)
     requests = events.filter(F.col("type") == "request")
-    first = F.min_by(
-        F.struct("timestamp", "seq", "endpoint", "provider_priority", "model", "stream", "user_agent"),
-        F.struct("timestamp", "seq"),
-    )
-    return requests.groupBy(*KEY).agg(first.alias("s")).select(
-        *KEY,
-        F.col("s.timestamp").alias("start_ts"),
-        F.col("s.seq").alias("start_seq"),
-        F.col("s.endpoint").alias("endpoint"),
-        F.col("s.provider_priority").alias("provider_priority"),
-        F.col("s.model").alias("requested_model"),
-        F.coalesce("s.stream", F.lit(False)).alias("stream"),
-        F.col("s.user_agent").alias("user_agent"),
+    first = F.min_by(F.struct(*[F.col(START_COLUMNS[n]).alias(n) for n in names]), F.struct("timestamp", "seq"))
+    return (
+        requests.groupBy(*KEY)
+        .agg(first.alias("s"))
+        .select(*KEY, *[F.coalesce("s.stream", F.lit(False)).alias(n) if n == "stream" else F.col(f"s.{n}") for n in names])
     )
 
 
@@ -47,12 +51,15 @@ def count_tokens_event(events: DataFrame | None = None) -> Column:
     return (F.col("type") == "response") & F.col("input_tokens").isNotNull() & F.col("usage").isNull()
 
 
-def attempts_finished(events: DataFrame, ttft: DataFrame | None = None) -> DataFrame:
+def attempts_finished(
+    events: DataFrame, ttft: DataFrame | None = None, start_columns: list[str] | None = None
+) -> DataFrame:
     """Terminal events with the start of their attempt.
 
     ``ttft`` (request_id, provider, time_to_first_token_ms) is attached to the starts, where every key is single.
+    ``start_columns`` (with the endpoint) names those of ``starts`` to carry through the join; all by default.
     """
-    started = starts(events)
+    started = starts(events, start_columns)
     if ttft is not None:
         one = ttft.groupBy(*KEY).agg(F.min("time_to_first_token_ms").alias("time_to_first_token_ms"))
         started = started.join(one, KEY, "left")

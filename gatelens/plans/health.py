@@ -26,7 +26,7 @@ def status(events: DataFrame, providers: DataFrame, as_of: dt.datetime, rule: Ru
 
     The outcomes need a join over the log and are read by three steps, the triggers by two: both are written once.
     """
-    marks = materialize(cooldown.marks_only(cooldown.outcomes(events)), "marks")
+    marks = materialize(cooldown.outcomes(events, only_marks=True), "marks")
     triggers = materialize(
         cooldown.triggers(marks, rule.threshold, rule.window_s, slice_s=rule.slice_s), "triggers"
     )

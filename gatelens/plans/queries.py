@@ -345,7 +345,7 @@ def usage_filled(spark, sf_dir):
 
 
 def _marks(spark, sf_dir):
-    return materialize(cooldown.marks_only(cooldown.outcomes(demo.router_events(spark, sf_dir))), "marks")
+    return materialize(cooldown.outcomes(demo.router_events(spark, sf_dir), only_marks=True), "marks")
 
 
 def _triggers(marks):
@@ -583,9 +583,7 @@ def _requests(spark, sf_dir):
 
 @query
 def cooldown_hits(spark, sf_dir):
-    flagged = cooldown.with_cooldown(
-        _requests(spark, sf_dir), _stored_triggers(spark, sf_dir), demo.COOLDOWN_S, slice_s=3600
-    )
+    flagged = cooldown.with_cooldown(_requests(spark, sf_dir), _stored_triggers(spark, sf_dir), demo.COOLDOWN_S)
     return flagged.select("request_id", "provider_type", "provider", "in_cooldown")
 
 
@@ -602,7 +600,6 @@ def skipped_providers(spark, sf_dir):
         demo.event_providers(spark, sf_dir).drop("position"),
         _stored_triggers(spark, sf_dir),
         demo.COOLDOWN_S,
-        slice_s=3600,
     ).select("request_id", "provider_type", "provider", "priority")
 
 

@@ -144,7 +144,7 @@ def test_cooldown_at_a_time(spark, rows, asked):
     asks = spark.createDataFrame(
         [(n, p, T0 + dt.timedelta(seconds=s)) for n, (p, s) in enumerate(asked)], "n int, provider string, ts timestamp"
     )
-    got = {r.n: r.in_cooldown for r in C.with_cooldown(asks, trig, 20, slice_s=7).collect()}
+    got = {r.n: r.in_cooldown for r in C.with_cooldown(asks, trig, 20).collect()}
     zero = int(T0.timestamp() * 1_000_000)
     for n, (p, s) in enumerate(asked):
         us = zero + s * 1_000_000
