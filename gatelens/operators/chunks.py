@@ -25,19 +25,34 @@ DATA_PREFIX = "data:"
 DONE = "[DONE]"
 
 
+def whole_json(text: str | Column) -> Column:
+    """A text as VARIANT if all of it is one JSON value, else NULL.
+
+    The parser stops after the first value. So the text is parsed as the first of two entries of an array, the second
+    being its own hash: what follows the value is a mistake then, and no text can bring the closing part itself.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    mark = F.xxhash64(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    return F.when(F.try_variant_get(pair, "$[1]", "bigint") == mark, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def sse_lines(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
     """Lines of every response: ``request_id, provider_type, pos, line``; ``pos`` gives their order.
 
     ``chunks`` has one provider type per request. A line break byte never occurs inside a UTF-8 character, so lines are
     cut from bytes (as single-byte text, which keeps every byte) and decoded whole; bytes that are no UTF-8 become
-    replacement characters. Only the first and last part of each slice are looked at a second time.
+    replacement characters. A carriage return ends a line too, so that both together leave an empty line between, which
+    means nothing in a stream. Copies of a chunk (same ``seq``) count once. Only the first and last part of each slice are looked at a second time.
     """
     key = ["request_id", "provider_type"]
+    text = """translate(array_join(transform(filter(found, (c, i) -> i = 0 or c.seq <> found[i - 1].seq),
+        c -> decode(c.data, 'ISO-8859-1')), ''), '\\r', '\\n')"""
     slices = (
         chunks.select(*key, "seq", "data", int_div(F.col("seq"), chunks_per_slice).alias("slice"))
         .groupBy(*key, "slice")
-        .agg(F.expr("listagg(data) within group (order by seq)").alias("bytes"))
-        .select(*key, "slice", F.decode("bytes", "ISO-8859-1").alias("text"))
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("found"))
+        .select(*key, "slice", F.expr(text).alias("text"))
     )
     base = F.shiftleft(F.col("slice"), 32)
     parts = slices.select(*key, "slice", F.split("text", "\n").alias("parts"))
@@ -86,7 +101,7 @@ def sse_events(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) -
         lines.filter(F.col("line").startswith(DATA_PREFIX))
         .select("request_id", "provider_type", "pos", payload.alias("payload"))
         .filter(~F.col("payload").isin("", DONE))
-        .select("request_id", "provider_type", "pos", F.try_parse_json("payload").alias("v"))
+        .select("request_id", "provider_type", "pos", whole_json("payload").alias("v"))
         .filter(F.col("v").isNotNull())
     )
 
@@ -120,12 +135,15 @@ def _listagg(text: str, order: str) -> Column:
     return F.expr(f"listagg({text}, '') within group (order by {order})").alias(text)
 
 
-def _padded(array: str, empty: str, size: str) -> Column:
-    """Entries by index 0..size-1 from an array of structs (idx, x), gaps filled."""
-    return F.expr(
-        f"""transform(sequence(0L, {size} - 1L),
-            i -> coalesce(get(filter({array}, e -> e.idx = i), 0).x, {empty}))"""
-    )
+def _padded(array: str, empty: str) -> Column:
+    """Entries by index from 0 on of an array of structs (idx, x), gaps filled; ``empty`` may use the index ``i``.
+
+    One pass over the entries: each brings the empty ones between its predecessor and itself.
+    """
+    before = "if(k = 0, -1L, e_[k - 1].idx)"
+    gap = f"if(e.idx > {before} + 1, transform(sequence({before} + 1, e.idx - 1), i -> {empty}), array())"
+    one = f"transform(array(array_sort({array})), e_ -> flatten(transform(e_, (e, k) -> concat({gap}, array(e.x)))))"
+    return F.expr(f"{one}[0]")
 
 
 _CALL = "struct<id: string, type: string, function: struct<name: string, arguments: string>>"
@@ -226,16 +244,13 @@ def merge_openai(events: DataFrame) -> DataFrame:
         *[F.min(n).alias(n) for n in _FIRST_OPENAI],
         *[F.max(n).alias(n) for n in ("usage", "role", "finish_reason", "content", "reasoning_content")],
         F.collect_list(F.when(is_call, F.struct(F.col("tool").alias("idx"), call.alias("x")))).alias("calls"),
-        F.max(F.when(is_call, F.col("tool"))).alias("last_call"),
     )
     empty_call = f"cast(named_struct('id', null, 'type', null, 'function', null) as {_CALL})"
     message = F.struct(
         F.col("role.value").alias("role"),
         F.coalesce("content", F.lit("")).alias("content"),
         "reasoning_content",
-        F.when(F.col("last_call").isNotNull(), _padded("calls", empty_call, "(last_call + 1)"))
-        .otherwise(F.expr(f"cast(array() as array<{_CALL}>)"))
-        .alias("tool_calls"),
+        _padded("calls", empty_call).cast(f"array<{_CALL}>").alias("tool_calls"),
     )
     is_choice = F.col("idx") > NOBODY
     choice = F.struct(
@@ -245,7 +260,6 @@ def merge_openai(events: DataFrame) -> DataFrame:
         *[F.min(n).alias(n) for n in _FIRST_OPENAI],
         F.max("usage").alias("usage"),
         F.collect_list(F.when(is_choice, F.struct("idx", choice.cast(_CHOICE).alias("x")))).alias("found"),
-        F.max(F.when(is_choice, F.col("idx"))).alias("last_choice"),
     )
     empty_choice = (
         "named_struct('index', i, 'message', named_struct('role', string(null), 'content', '', 'reasoning_content', "
@@ -257,9 +271,7 @@ def merge_openai(events: DataFrame) -> DataFrame:
         F.lit("chat.completion").alias("object"),
         F.col("created.value").try_cast("bigint").alias("created"),
         F.col("model.value").alias("model"),
-        F.when(F.col("last_choice").isNotNull(), _padded("found", empty_choice, "(last_choice + 1)"))
-        .otherwise(F.expr(f"cast(array() as array<{_CHOICE}>)"))
-        .alias("choices"),
+        _padded("found", empty_choice).cast(f"array<{_CHOICE}>").alias("choices"),
         F.parse_json("usage.value").alias("usage"),
     )
 
@@ -307,13 +319,15 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
     """Full response per request from content-block events.
 
     Result: ``request_id, id, type, role, model, content, stop_reason, usage``. A block exists from its start event on;
-    deltas of blocks that have not started are dropped. Gaps before a started block are empty.
+    deltas of blocks that have not started are dropped. Gaps before a started block are empty. A block may start again:
+    each text then begins anew with the last start that brings this text, other fields keep their last value.
     """
     rows = _anthropic_rows(events)
     pos, always = F.col("pos"), F.lit(True)
     kept = [*_START_FIELDS, "input", *ANTHROPIC_USAGE]  # of these the last value that is not null
-    # The start of a block may lie in another piece than its deltas. So a piece hands on what precedes and what
-    # follows its own first start, and the pieces are joined from the first one that has a start.
+    # A text begins with the last start that brings it, or with the first start. That may lie in another piece than its
+    # deltas. So a piece hands on the text from its own beginning and what precedes its first start, and the pieces are
+    # joined from the one that has the beginning.
     pieces = (
         rows.groupBy("request_id", "idx", "piece")
         .agg(
@@ -321,6 +335,7 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
             _last(F.col("stop_reason"), F.col("has_stop_reason"), pos).alias("stop_reason"),
             *[_last(F.col(n), F.col(n).isNotNull(), pos).alias(n) for n in kept],
             F.min(F.when(F.col("starting"), pos)).alias("start"),
+            *[F.max(F.when(F.col("starting") & F.col(n).isNotNull(), pos)).alias(f"begin_{n}") for n in _TEXTS],
             F.array_sort(
                 F.collect_list(F.when(F.col("idx") > NOBODY, F.struct("pos", *_TEXTS)))
             ).alias("parts"),
@@ -334,8 +349,13 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
             "stop_reason",
             *kept,
             F.col("start").isNotNull().alias("has_start"),
-            F.struct(*[_text_of("filter(parts, p -> start is null or p.pos < start)", n) for n in _TEXTS]).alias("before"),
-            F.struct(*[_text_of("filter(parts, p -> p.pos >= start)", n) for n in _TEXTS]).alias("after"),
+            *[F.col(f"begin_{n}").isNotNull().alias(f"begins_{n}") for n in _TEXTS],
+            F.struct(
+                *[_text_of(f"filter(parts, p -> begin_{n} is null and p.pos < start)", n) for n in _TEXTS]
+            ).alias("before"),
+            F.struct(
+                *[_text_of(f"filter(parts, p -> p.pos >= coalesce(begin_{n}, start, p.pos))", n) for n in _TEXTS]
+            ).alias("after"),
         )
         .repartition("request_id")
     )
@@ -343,14 +363,18 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
         *[F.min(n).alias(n) for n in ("id", "model")],
         *[F.max(n).alias(n) for n in ("stop_reason", *kept)],
         F.min(F.when(F.col("has_start"), F.col("piece"))).alias("first"),
+        *[F.max(F.when(F.col(f"begins_{n}"), F.col("piece"))).alias(f"from_{n}") for n in _TEXTS],
         F.array_sort(
             F.collect_list(F.when(F.col("idx") > NOBODY, F.struct("piece", "before", "after")))
         ).alias("pieces"),
     )
-    from_start = """flatten(transform(filter(pieces, p -> p.piece >= first),
-        p -> if(p.piece = first, array(p.after), array(p.before, p.after))))"""
-    texts = blocks.withColumns({n: _text_of(from_start, n) for n in _TEXTS})
-    parsed = F.coalesce(F.try_parse_json("partial_json"), F.parse_json(F.lit("{}")))
+
+    def from_start(name: str) -> str:
+        return f"""flatten(transform(filter(pieces, p -> p.piece >= coalesce(from_{name}, first)),
+            p -> if(p.piece = coalesce(from_{name}, first), array(p.after), array(p.before, p.after))))"""
+
+    texts = blocks.withColumns({n: _text_of(from_start(n), n) for n in _TEXTS})
+    parsed = F.coalesce(whole_json("partial_json"), F.parse_json(F.lit("{}")))
     block = F.struct(
         F.col("block_type.value").alias("type"),
         F.col("block_id.value").alias("id"),
@@ -365,7 +389,6 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
         *[F.min(n).alias(n) for n in ("id", "model")],
         *[F.max(n).alias(n) for n in ("stop_reason", *ANTHROPIC_USAGE)],
         F.collect_list(F.when(is_block, F.struct("idx", block.cast(_BLOCK).alias("x")))).alias("found"),
-        F.max(F.when(is_block, F.col("idx"))).alias("last_block"),
     )
     return whole.select(
         "request_id",
@@ -373,9 +396,7 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
         F.lit("message").alias("type"),
         F.lit("assistant").alias("role"),
         F.col("model.value").alias("model"),
-        F.when(F.col("last_block").isNotNull(), _padded("found", f"cast(null as {_BLOCK})", "(last_block + 1)"))
-        .otherwise(F.expr(f"cast(array() as array<{_BLOCK}>)"))
-        .alias("content"),
+        _padded("found", f"cast(null as {_BLOCK})").cast(f"array<{_BLOCK}>").alias("content"),
         F.col("stop_reason.value").alias("stop_reason"),
         F.struct(*[F.col(f"{n}.value").alias(n) for n in ANTHROPIC_USAGE]).alias("usage"),
     )
@@ -400,7 +421,7 @@ def tool_inputs(merged: DataFrame) -> DataFrame:
             "position",
             F.col("b.id").alias("id"),
             F.col("b.name").alias("name"),
-            F.coalesce(F.try_parse_json("b.input"), nothing).alias("input"),
+            F.coalesce(whole_json("b.input"), nothing).alias("input"),
         )
     calls = merged.select("request_id", F.explode("choices").alias("c")).select(
         "request_id", F.posexplode("c.message.tool_calls").alias("position", "t")
@@ -410,7 +431,7 @@ def tool_inputs(merged: DataFrame) -> DataFrame:
         "position",
         F.col("t.id").alias("id"),
         F.col("t.function.name").alias("name"),
-        F.coalesce(F.try_parse_json("t.function.arguments"), nothing).alias("input"),
+        F.coalesce(whole_json("t.function.arguments"), nothing).alias("input"),
     )
 
 

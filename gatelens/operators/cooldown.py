@@ -56,16 +56,19 @@ def order_key_us(us: Column, seq: Column) -> Column:
     return (shifted + seq.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def outcomes(events: DataFrame, reset_on: Column | None = None, *, only_marks: bool = False) -> DataFrame:
+def outcomes(
+    events: DataFrame, reset_on: Column | None = None, *, only_marks: bool = False, finished: DataFrame | None = None
+) -> DataFrame:
     """Provider outcomes in log order: ``provider_type, provider, ts, seq, outcome``.
 
     By default a success counts as a reset only if it is a non-streaming chat response; ``reset_on`` replaces that
     test (columns ``stream``, ``is_count_tokens``). The stream flag comes from the request event.
 
     ``only_marks`` leaves out what cannot matter to the rule before the log meets its request events: errors that are
-    no rate limit and, under the default test, counted tokens.
+    no rate limit and, under the default test, counted tokens. ``finished`` (default ``attempts_finished``) may be a
+    stored attempts table; the events are not read then.
     """
-    if only_marks:
+    if only_marks and finished is None:
         limited = (F.col("type") == "error") & (F.col("status_code") == 429)
         answered = F.col("type") == "response"
         if reset_on is None:
@@ -80,7 +83,9 @@ def outcomes(events: DataFrame, reset_on: Column | None = None, *, only_marks: b
         .otherwise(OTHER)
     )
     needed = None if reset_on_given else ["endpoint", "stream"]
-    rows = attempts_finished(events, start_columns=needed).select(
+    if finished is None:
+        finished = attempts_finished(events, start_columns=needed)
+    rows = finished.select(
         derive.provider_type(F.col("endpoint")).alias("provider_type"),
         "provider",
         F.col("end_ts").alias("ts"),

@@ -122,7 +122,8 @@ def build_request_stats(events: DataFrame, ttft: DataFrame | None = None) -> Dat
 
     The log has no time to first token; ``ttft`` (request_id, provider, time_to_first_token_ms) may supply it.
     """
-    ok = attempts_finished(events, ttft).filter((F.col("outcome") == "success") & ~F.col("is_count_tokens"))
+    answered = events.filter(F.col("type").isin("request", "response"))
+    ok = attempts_finished(answered, ttft, ["endpoint", "stream"]).filter((F.col("outcome") == "success") & ~F.col("is_count_tokens"))
     if ttft is None:
         ok = ok.withColumn("time_to_first_token_ms", F.lit(None).cast("double"))
     return ok.select(

@@ -124,7 +124,9 @@ def provider_stats(
     ``finished`` (default :func:`attempts_finished`) gives the stream flag of successes; pass a stored attempts table
     to save the join. ``cooldown`` is the output of ``cooldown_status``. Every joined table has one row per provider.
     """
-    finished = attempts_finished(events) if finished is None else finished
+    if finished is None:
+        answered = events.filter(F.col("type").isin("request", "response"))
+        finished = attempts_finished(answered, start_columns=["endpoint", "stream"])
     joined = (
         event_counters(events)
         .join(non_streaming_counters(finished), KEY, "left")

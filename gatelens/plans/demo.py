@@ -303,7 +303,10 @@ def _base_ts(n: Column) -> Column:
 
 
 def conversation_chunks(spark: SparkSession, sf_dir: str, provider_type: str) -> DataFrame:
-    """Every conversation as one streamed response, every turn as stream events, cut into two chunks per turn."""
+    """Every conversation as one streamed response, every turn as stream events, cut into two chunks per turn.
+
+    Every fifth chunk was recorded twice.
+    """
     turns = table(spark, sf_dir, "conversations")
     text = _openai_lines() if provider_type == "openai" else _anthropic_lines()
     rows = turns.select(
@@ -313,7 +316,9 @@ def conversation_chunks(spark: SparkSession, sf_dir: str, provider_type: str) ->
         _base_ts(F.col("conv_id")).alias("base_ts"),
         text.alias("text"),
     )
-    return _cut(rows, lambda size: F.call_function("div", size, F.lit(2)).cast("int"))
+    once = _cut(rows, lambda size: F.call_function("div", size, F.lit(2)).cast("int"))
+    copies = F.when(F.col("seq") % 5 == 0, 2).otherwise(1)
+    return once.select("*", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).drop("copy")
 
 
 def _line(doc: Column) -> Column:
@@ -345,7 +350,7 @@ def _openai_lines() -> Column:
         ).alias("choices"),
         F.struct((turn + 10).alias("prompt_tokens"), F.length(text).alias("completion_tokens")).alias("usage"),
     )
-    return F.concat(F.lit(": comment\ndata:\n"), _line(doc), F.lit("data: [DONE]\ndata: {broken\n"))
+    return F.concat(F.lit(": comment\ndata:\n"), _line(doc), F.lit('data: [DONE]\ndata: {broken\ndata: {"choices":[]}}\n'))
 
 
 def _anthropic_lines() -> Column:
@@ -385,6 +390,8 @@ def _anthropic_lines() -> Column:
         delta(turn, partial_json=F.concat(turn.cast("string"), F.when(turn % 4 == 3, "").otherwise("}"))),
     )
     plain = F.concat(
+        event("content_block_start", index=turn, content_block=F.struct(F.lit("text").alias("type"), F.lit("old").alias("text"))),
+        delta(turn, text=F.lit("older")),
         event("content_block_start", index=turn, content_block=F.struct(F.lit("text").alias("type"), F.lit("").alias("text"))),
         delta(turn, text=F.concat(text, F.lit("|"))),
         delta(turn, text=text),
