@@ -352,6 +352,23 @@ ORACLES: dict[str, str] = {
     "requests_from_rollup": requests("hour", 720),
     "tokens_from_rollup": tokens("day", 719),
     "summary_from_rollup": summary(f"{AS_OF} - INTERVAL 720 HOUR"),
+    "stored_rollup_requests": requests("day", 720),
+    "stored_rollup_tokens": tokens("hour", 720),
+    "stored_rollup_summary": summary("TIMESTAMP '2024-01-10 06:00:00'"),
+    "missing_source": counted(),
+    "error_copies": f"""WITH {LOG}
+SELECT type, CASE WHEN type <> 'configuration' THEN rid END AS request_id, count(*) AS n FROM log GROUP BY ALL""",
+    "log_files": """SELECT date_trunc('hour', ts) AS log_started_at, 'u' || user_id AS log_session, count(*) AS n
+FROM events GROUP BY ALL""",
+    "read_configuration": f"""WITH {PROVIDERS}
+SELECT provider_type, api_key, CASE WHEN position % 3 > 0 THEN priority ELSE 1 END AS priority, base_url,
+       CASE WHEN position % 4 > 0 THEN timeout ELSE 30 END AS timeout,
+       CASE WHEN position % 5 > 0 THEN max_retries ELSE 3 END AS max_retries, provider_name,
+       CASE WHEN position % 6 > 0 THEN m1 END AS m1 FROM p""",
+    "recorded_chunks": """SELECT 'c' || conv_id AS request_id, 'openai' AS provider_type,
+       sum(2 + (2 * turn % 5 = 0)::INT + ((2 * turn + 1) % 5 = 0)::INT)::BIGINT AS chunks, 2 * count(*) AS numbers,
+       TIMESTAMP '2024-01-01' + to_microseconds(conv_id * 1000000 + (2 * max(turn) + 1) * 10000) AS last_ts
+FROM conversations GROUP BY conv_id""",
     "report_json": f"""SELECT '{{"day":"' || strftime("timestamp", '%Y-%m-%d') || '","count":' || count || '}}' AS json
 FROM ({requests("day", 720)})""",
     "csv_round_trip": counted(),

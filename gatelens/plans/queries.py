@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from gatelens.operators import chains, chunks, cooldown, facts, reports, stats
 from gatelens.operators import providers as P
 from gatelens.operators.running import running, time_slice
 from gatelens.plans import demo, health, publish
+from gatelens.plans.dashboard import Dashboard
 from gatelens.session import materialize, scratch_path
 from gatelens.sources import readers, writers
 from gatelens.streaming import chunks as live_chunks
@@ -110,6 +112,36 @@ def summary_from_rollup(spark, sf_dir):
     return reports.provider_summary_from_rollup(reports.rollup(rows), rows, AS_OF, hours=720)
 
 
+LATE_DATES = [dt.date(2024, 1, day) for day in (9, 10, 11)]
+
+
+def _stored_board(spark, sf_dir):
+    """A stored source with its rollup: some rows of three days come late, and only these days are rolled up again."""
+    path, out = scratch_path(spark, "stats"), scratch_path(spark, "rollup")
+    events = demo.table(spark, sf_dir, "events")
+    is_late = F.to_date("ts").isin(LATE_DATES) & (F.col("event_id") % 3 == 0)
+    for rows, dates in ((events.filter(~is_late), None), (events.filter(is_late), LATE_DATES)):
+        stamped = demo.stats_of(rows).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        writers.write_request_stats(stamped, path)
+        live.refresh_rollup(readers.read_request_stats_table(spark, path), out, dates)
+    return Dashboard(spark, path, as_of=AS_OF, rollup=out)
+
+
+@query
+def stored_rollup_requests(spark, sf_dir):
+    return _stored_board(spark, sf_dir).requests("day", 720)
+
+
+@query
+def stored_rollup_tokens(spark, sf_dir):
+    return _stored_board(spark, sf_dir).tokens("hour", 720)
+
+
+@query
+def stored_rollup_summary(spark, sf_dir):
+    return _stored_board(spark, sf_dir).summary(from_utc=demo.FROM_UTC)
+
+
 @query
 def report_json(spark, sf_dir):
     report = reports.requests_over_time(demo.request_stats(spark, sf_dir), AS_OF, "day", 720)
@@ -162,6 +194,86 @@ def event_log_round_trip(spark, sf_dir):
     )
 
 
+def _renamed(spark, folder, suffix):
+    """Give the part files of a folder a name that ends in ``suffix``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path(folder)):
+        old = status.getPath()
+        if old.getName().startswith("part-") and not old.getName().endswith(".jsonl"):
+            fs.rename(old, path(old.getParent(), old.getName().split(".")[0] + suffix))
+
+
+@query
+def missing_source(spark, sf_dir):
+    """A folder that is not there adds no rows to a source that is."""
+    missing = readers.read_request_stats(spark, scratch_path(spark, "missing") + "/*.csv")
+    there = demo.request_stats(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return _counted(there.unionByName(missing.select(*there.columns)))
+
+
+@query
+def error_copies(spark, sf_dir):
+    """The log beside its ``_errors`` files: copies of warnings and errors count once."""
+    path = scratch_path(spark, "log")
+    log = demo.router_events(spark, sf_dir).drop("seq")
+    stamps = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"
+    writers.error_events(log).write.option("timestampFormat", stamps).json(path)
+    _renamed(spark, path, readers.ERROR_COPY_SUFFIX)
+    log.write.mode("append").option("timestampFormat", stamps).json(path)
+    _renamed(spark, path, ".jsonl")
+    events = readers.read_router_events(spark, path)
+    return events.groupBy("type", "request_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def log_files(spark, sf_dir):
+    """Rows per log file, told by its name: start and session of the file."""
+    log = demo.table(spark, sf_dir, "events").select(
+        F.concat(
+            F.lit("router_"), F.date_format(F.date_trunc("hour", F.col("ts")), "yyyyMMdd_HHmmss"), F.lit("_u"),
+            F.col("user_id").cast("string"), F.lit(".jsonl"),
+        ).alias("file_name")
+    )
+    named = readers.with_log_file(log)
+    return named.groupBy("log_started_at", "log_session").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def read_configuration(spark, sf_dir):
+    """Suppliers as configuration files, a thousand in each; what a file leaves out gets its default."""
+    path = scratch_path(spark, "configuration")
+    n = F.col("position")
+    given = demo.providers(spark, sf_dir).withColumns(
+        {
+            "priority": F.when(n % 3 > 0, F.col("priority")),
+            "timeout": F.when(n % 4 > 0, F.col("timeout")),
+            "max_retries": F.when(n % 5 > 0, F.col("max_retries")),
+            "model_mapping": F.when(n % 6 > 0, F.col("model_mapping")),
+        }
+    )
+    fields = ["api_key", "priority", "base_url", "timeout", "max_retries", "model_mapping", "provider_name"]
+    entry = F.struct(*fields)
+    of_type = [F.collect_list(F.when(F.col("provider_type") == t, entry)).alias(t) for t in ("openai", "anthropic")]
+    files = given.groupBy(F.call_function("div", n, F.lit(1000)).alias("file")).agg(*of_type)
+    files.select("file", F.to_json(F.struct("openai", "anthropic")).alias("value")).write.partitionBy("file").text(path)
+    found = readers.read_providers(spark, path)
+    return found.select(
+        "provider_type", "api_key", "priority", "base_url", "timeout", "max_retries", "provider_name",
+        F.col("model_mapping")["m1"].alias("m1"),
+    )
+
+
+@query
+def recorded_chunks(spark, sf_dir):
+    path = scratch_path(spark, "chunks")
+    demo.conversation_chunks(spark, sf_dir, "openai").write.parquet(path)
+    found = readers.read_chunks(spark, path)
+    return found.groupBy("request_id", "provider_type").agg(
+        F.count("data").alias("chunks"), F.countDistinct("seq").alias("numbers"), F.max("ts").alias("last_ts")
+    )
+
+
 @query
 def archive_round_trip(spark, sf_dir):
     path = scratch_path(spark, "archive")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatelens import schemas
+from gatelens.operators.reports import rollup
 from gatelens.session import path_exists
 
 ERROR_COPY_SUFFIX = "_errors.jsonl"
@@ -49,6 +50,12 @@ def read_request_stats_table(spark: SparkSession, path: str, *, missing_ok: bool
     return spark.read.schema(schema).parquet(path)
 
 
+def read_rollup_table(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rollup by minute of request stats, partitioned by ``date``."""
+    fields = rollup(_empty(spark, schemas.REQUEST_STATS)).schema.fields
+    return spark.read.schema(T.StructType([*fields, T.StructField("date", T.DateType())])).parquet(path)
+
+
 def read_router_events(
     spark: SparkSession,
     path: str,

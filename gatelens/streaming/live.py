@@ -92,12 +92,13 @@ def live_in_flight(events: DataFrame, timeout: str = "10 minutes", delay: str =
     return joined.filter(F.col("end_ts").isNull()).select(*KEY, "start_ts")
 
 
-def refresh_rollup(raw: DataFrame, out: str, dates: list[dt.date], interval: str = "minute") -> None:
-    """Recompute the rollup of the given dates after late rows arrived; other dates are not touched.
+def refresh_rollup(raw: DataFrame, out: str, dates: list[dt.date] | None = None, interval: str = "minute") -> None:
+    """Recompute the rollup of the given dates (all by default) after rows arrived; other dates are not touched.
 
     ``raw`` has a ``date`` partition column, so only these partitions are read.
     """
-    rolled = rollup(raw.filter(F.col("date").isin(dates)), interval).withColumn("date", F.to_date("bucket"))
+    rows = raw if dates is None else raw.filter(F.col("date").isin(dates))
+    rolled = rollup(rows, interval).withColumn("date", F.to_date("bucket"))
     (
         rolled.hint("rebalance", "date")
         .write.mode("overwrite")
