@@ -10,9 +10,9 @@ from gatelens.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
-    rows = packed(docs, text=docs["text"])
-    return unpacked(rules.judged(rules.ledger(rows)).filter("kept"), docs.columns)
+    """Documents that the current policy keeps; the ledger is stored, so that another policy measures no text again."""
+    entries = rules.stored_ledger(packed(docs, text=docs["text"]))
+    return unpacked(rules.judged(entries).filter("kept"), docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
     failures = 0 AS kept, failures FROM f
 """
 
+_OP6_ABLATIONS = f"""
+WITH ledger AS ({_OP6}),
+b AS (
+    SELECT failures + 64 * (10 * n_symbols > n_words)::INT + 128 * (word_chars < 3 * n_words)::INT
+        + 256 * (word_chars > 10 * n_words)::INT AS failures FROM ledger
+),
+p(policy, rule, bit, all_bits) AS (VALUES
+    ('base', 'few_words', 1, 3), ('base', 'repeated_phrases', 2, 3),
+    ('v1', 'few_words', 1, 7), ('v1', 'repeated_phrases', 2, 7), ('v1', 'symbols', 4, 7),
+    ('v2', 'few_words', 1, 63), ('v2', 'repeated_phrases', 2, 63), ('v2', 'symbols', 4, 63),
+    ('v2', 'short_words', 8, 63), ('v2', 'long_words', 16, 63), ('v2', 'repeated_lines', 32, 63),
+    ('v3', 'few_words', 1, 483), ('v3', 'repeated_phrases', 2, 483), ('v3', 'symbols_tenth', 64, 483),
+    ('v3', 'words_under_3', 128, 483), ('v3', 'words_over_10', 256, 483), ('v3', 'repeated_lines', 32, 483)
+)
+SELECT policy, rule, count(*) FILTER (failures & bit <> 0) AS n_failed,
+    count(*) FILTER (failures & all_bits = bit) AS n_only
+FROM p CROSS JOIN b GROUP BY policy, rule
+"""
+
 _OP10 = r"""
 WITH n AS (
     SELECT doc_id, length(coalesce(text, '')) AS size,
@@ -96,5 +115,6 @@ ORACLES = {
     "op1_substring_dedup": _OP1,
     "op3_chat_rotations": _OP3,
     "op6_quality_ledger": _OP6,
+    "op6_policy_ablations": _OP6_ABLATIONS,
     "op10_exact_dedup": _OP10,
 }

@@ -46,13 +46,21 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judged(rules.ledger(documents(spark, sf_dir)))
+    """The ledger under policy v2, which its SQL states; op6_policy_ablations has every policy."""
+    judged = rules.judged(rules.ledger(documents(spark, sf_dir)), "v2")
     base = F.col("failures").bitwiseAND(F.lit(rules.mask("base"))) != 0
+    failures = F.col("failures").bitwiseAND(F.lit(rules.mask("v2"))).alias("failures")
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", failures,
     )
 
 
+def op6_policy_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that every rule of every policy rejects, and those it alone rejects, from one stored ledger."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return rules.policy_report(rules.stored_ledger(docs))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(), with_ids=False)
 
@@ -105,6 +113,7 @@ QUERIES = {
         op4_source_mix,
         op5_simhash_groups,
         op6_quality_ledger,
+        op6_policy_ablations,
         op7_best_fit_packing,
         op8_license_scan,
         op9_token_rollup,

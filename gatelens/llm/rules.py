@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.llm import hashing
-from gatelens.llm.common import blocks, buffers, packed, unpacked
+from gatelens.llm.common import blocks, buffers, packed, stored, unpacked
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)
@@ -29,16 +29,21 @@ def rules() -> dict[str, Column]:
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 40 * c("n_words"),
         "repeated_lines": (c("n_dup_lines") >= 3) & (2 * c("n_dup_lines") > c("n_lines")),
+        "symbols_tenth": 10 * c("n_symbols") > c("n_words"),
+        "words_under_3": c("word_chars") < 3 * c("n_words"),
+        "words_over_10": c("word_chars") > 10 * c("n_words"),
     }
 
 
-#: Rules that count, by version of the policy. ``base`` has the two that every version shares.
+#: Rules that count, by version of the policy. ``base`` has the two that every version shares; ``v3`` has the published
+#: bounds (a tenth of a symbol per word, three to ten characters per word), within which those of ``v2`` lie.
 POLICIES = {
     "base": ["few_words", "repeated_phrases"],
     "v1": ["few_words", "repeated_phrases", "symbols"],
     "v2": ["few_words", "repeated_phrases", "symbols", "short_words", "long_words", "repeated_lines"],
+    "v3": ["few_words", "repeated_phrases", "symbols_tenth", "words_under_3", "words_over_10", "repeated_lines"],
 }
-CURRENT = "v2"
+CURRENT = "v3"
 
 
 def mask(policy: str) -> int:
@@ -122,3 +127,18 @@ def ablations(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
     rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"f_{r}").alias("n_failed"), F.col(f"o_{r}").alias("n_only")) for r in POLICIES[policy]))
     return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def policy_report(entries: DataFrame) -> DataFrame:
+    """``policy, rule, n_failed, n_only``: the ablations of every policy. ``entries`` is read once per policy, so it
+    should be a stored ledger."""
+    found = None
+    for policy in POLICIES:
+        rows = ablations(entries, policy).select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_only")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def stored_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The ledger without the texts, written once; policies and ablations read it and no text is measured again."""
+    return stored(ledger(docs, text_col).drop(text_col), "ledger")

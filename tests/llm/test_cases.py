@@ -79,6 +79,22 @@ def test_exact_and_rules(odd):
     assert {r.rule: r.n_only for r in rules.ablations(entries).collect()}["few_words"] == 5  # the others also break a rule on word lengths
 
 
+def test_current_policy(spark, sf_dir):
+    """No symbol tables are kept, and no document that is labelled good goes."""
+    good = " ".join(f"word{n}" for n in range(60))
+    table = " ".join(f"cell{n} |" if n % 3 == 0 else f"cell{n}" for n in range(60))
+    short = " ".join(f"{n:02d}" for n in range(60))
+    long = " ".join(f"compoundword{n}" for n in range(60))
+    made = spark.createDataFrame([(1, good), (2, table), (3, short), (4, long)], "doc_id long, text string")
+    assert [r.doc_id for r in rules.judged(rules.ledger(made)).filter("kept").collect()] == [1]
+    kept = corpus_pipeline.quality(spark, made, sf_dir)
+    assert kept.columns == made.columns and [r.doc_id for r in kept.collect()] == [1]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    entries = rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(labels, "doc_id").filter("n_words >= 50")
+    counts_ = {p: rules.judged(entries, p).filter("kept").count() for p in ("v2", "v3")}
+    assert counts_["v3"] == counts_["v2"] > 0
+
+
 def test_mix(spark, sf_dir):
     rows = QUERIES["op4_source_mix"](spark, sf_dir).collect()
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
