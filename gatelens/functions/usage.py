@@ -67,13 +67,18 @@ def is_count_tokens(doc: Column) -> Column:
     return has_key(doc, "$.input_tokens") & ~has_key(doc, "$.model")
 
 
-def request_profile(doc: Column) -> Column:
-    """Model, message count, sampling settings and stream flag of a request document."""
+def request_profile(doc: Column, user_agent: Column | None = None) -> Column:
+    """Model, message count, sampling settings and stream flag of a request document.
+
+    ``user_agent`` is not part of the document; if its column is given, it is the last field.
+    """
     messages = F.try_variant_get(doc, "$.messages", "array<variant>")
+    sender = [] if user_agent is None else [user_agent.cast("string").alias("user_agent")]
     return F.struct(
         F.coalesce(F.try_variant_get(doc, "$.model", "string"), F.lit("")).alias("model"),
         F.coalesce(F.size(messages), F.lit(0)).alias("message_count"),
         F.try_variant_get(doc, "$.temperature", "double").alias("temperature"),
         F.try_variant_get(doc, "$.max_tokens", "int").alias("max_tokens"),
         F.coalesce(F.try_variant_get(doc, "$.stream", "boolean"), F.lit(False)).alias("stream"),
+        *sender,
     )

@@ -287,6 +287,18 @@ _BLOCK = (
 )
 
 
+def _last_by_key(entries: str) -> str:
+    """Key-wise last values, as entries, of a sorted array of structs with ``open``, an array of (key, json)."""
+    return f"""map_entries(aggregate({entries}, cast(map() as map<string, string>), (found, e) -> map_concat(
+        map_filter(found, (k, j) -> not exists(e.open, o -> o.key = k)), map_from_entries(e.open))))"""
+
+
+def _object(entries: str) -> str:
+    """JSON text of an object from entries (key, json)."""
+    key = "substring(to_json(named_struct('k', o.key)), 6, length(to_json(named_struct('k', o.key))) - 6)"
+    return f"concat('{{', array_join(transform({entries}, o -> concat({key}, ':', o.value)), ','), '}}')"
+
+
 def _anthropic_rows(events: DataFrame) -> DataFrame:
     """One row per event with all fields that matter."""
     typed = events.withColumn("kind", _text("$.type")).filter("kind is not null")
@@ -295,10 +307,15 @@ def _anthropic_rows(events: DataFrame) -> DataFrame:
     usage = F.when(kind == "message_start", F.try_variant_get("v", "$.message.usage", "variant")).when(
         kind == "message_delta", F.try_variant_get("v", "$.usage", "variant")
     )
+    whole = F.when(starting, F.try_variant_get("v", "$.content_block", "variant")).otherwise(usage)
     return typed.select(
         "request_id",
         "pos",
         _piece(),
+        F.transform(
+            F.map_entries(F.try_variant_get(whole, "$", "map<string, variant>")),
+            lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("json")),
+        ).alias("open"),
         F.when(starting | adding, _index("v")).otherwise(F.lit(NOBODY).cast("bigint")).alias("idx"),
         starting.alias("starting"),
         F.coalesce(_text("$.message.id"), F.lit("")).alias("id"),
@@ -318,7 +335,9 @@ def _anthropic_rows(events: DataFrame) -> DataFrame:
 def merge_anthropic(events: DataFrame) -> DataFrame:
     """Full response per request from content-block events.
 
-    Result: ``request_id, id, type, role, model, content, stop_reason, usage``. A block exists from its start event on;
+    Result: ``request_id, id, type, role, model, content, stop_reason, usage, start_blocks, whole_usage``. The last two
+    are VARIANT and keep every key, the last value of each, a null included: ``start_blocks`` the blocks as their starts
+    bring them, in the places of ``content``, ``whole_usage`` the usage. A block exists from its start event on;
     deltas of blocks that have not started are dropped. Gaps before a started block are empty. A block may start again:
     each text then begins anew with the last start that brings this text, other fields keep their last value.
     """
@@ -339,6 +358,7 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
             F.array_sort(
                 F.collect_list(F.when(F.col("idx") > NOBODY, F.struct("pos", *_TEXTS)))
             ).alias("parts"),
+            F.array_sort(F.collect_list(F.when(F.col("open").isNotNull(), F.struct("pos", "open")))).alias("opened"),
         )
         .select(
             "request_id",
@@ -356,6 +376,7 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
             F.struct(
                 *[_text_of(f"filter(parts, p -> p.pos >= coalesce(begin_{n}, start, p.pos))", n) for n in _TEXTS]
             ).alias("after"),
+            F.expr(_last_by_key("opened")).alias("open"),
         )
         .repartition("request_id")
     )
@@ -367,7 +388,9 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
         F.array_sort(
             F.collect_list(F.when(F.col("idx") > NOBODY, F.struct("piece", "before", "after")))
         ).alias("pieces"),
+        F.array_sort(F.collect_list(F.struct("piece", F.expr("transform(open, o -> struct(o.key as key, o.value as json))").alias("open")))).alias("opened"),
     )
+    blocks = blocks.withColumn("open", F.expr(_object(_last_by_key("opened"))))
 
     def from_start(name: str) -> str:
         return f"""flatten(transform(filter(pieces, p -> p.piece >= coalesce(from_{name}, first)),
@@ -389,6 +412,8 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
         *[F.min(n).alias(n) for n in ("id", "model")],
         *[F.max(n).alias(n) for n in ("stop_reason", *ANTHROPIC_USAGE)],
         F.collect_list(F.when(is_block, F.struct("idx", block.cast(_BLOCK).alias("x")))).alias("found"),
+        F.collect_list(F.when(is_block, F.struct("idx", F.col("open").alias("x")))).alias("started"),
+        F.max(F.when(F.col("idx") == NOBODY, F.col("open"))).alias("whole_usage"),
     )
     return whole.select(
         "request_id",
@@ -399,6 +424,8 @@ def merge_anthropic(events: DataFrame) -> DataFrame:
         _padded("found", f"cast(null as {_BLOCK})").cast(f"array<{_BLOCK}>").alias("content"),
         F.col("stop_reason.value").alias("stop_reason"),
         F.struct(*[F.col(f"{n}.value").alias(n) for n in ANTHROPIC_USAGE]).alias("usage"),
+        F.transform(_padded("started", "cast(null as string)"), F.parse_json).alias("start_blocks"),
+        F.parse_json(F.coalesce("whole_usage", F.lit("{}"))).alias("whole_usage"),
     )
 
 

@@ -373,6 +373,7 @@ def _anthropic_lines() -> Column:
                 F.lit(3).alias("cache_creation_input_tokens"),
                 F.lit(5).alias("cache_read_input_tokens"),
                 F.lit(1).alias("output_tokens"),
+                F.lit("standard").alias("service_tier"),
             ).alias("usage"),
         ),
     )
@@ -384,13 +385,14 @@ def _anthropic_lines() -> Column:
                 F.lit("tool_use").alias("type"),
                 F.concat(F.lit("t"), turn.cast("string")).alias("id"),
                 F.lit("find").alias("name"),
+                F.concat(F.lit("use-"), turn.cast("string")).alias("tool_use_id"),
             ),
         ),
         delta(turn, partial_json=F.lit('{"n":')),
         delta(turn, partial_json=F.concat(turn.cast("string"), F.when(turn % 4 == 3, "").otherwise("}"))),
     )
     plain = F.concat(
-        event("content_block_start", index=turn, content_block=F.struct(F.lit("text").alias("type"), F.lit("old").alias("text"))),
+        event("content_block_start", index=turn, content_block=F.struct(F.lit("text").alias("type"), F.lit("old").alias("text"), F.array("role").alias("citations"))),
         delta(turn, text=F.lit("older")),
         event("content_block_start", index=turn, content_block=F.struct(F.lit("text").alias("type"), F.lit("").alias("text"))),
         delta(turn, text=F.concat(text, F.lit("|"))),
@@ -399,7 +401,9 @@ def _anthropic_lines() -> Column:
     tail = event(
         "message_delta",
         delta=F.struct(F.concat(F.lit("s"), turn.cast("string")).alias("stop_reason")),
-        usage=F.struct(F.length(text).alias("output_tokens")),
+        usage=F.struct(
+            F.length(text).alias("output_tokens"), F.struct(turn.alias("web_search_requests")).alias("server_tool_use")
+        ),
     )
     return F.concat(
         F.when(turn == 0, head).otherwise(""),

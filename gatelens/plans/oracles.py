@@ -398,6 +398,8 @@ UNION ALL SELECT event_id, 'openai', true, NULL, 0, 0, 0, 0 FROM e""",
        CASE WHEN turn % 4 > 0 THEN turn ELSE 0 END AS message_count,
        CASE WHEN turn % 2 = 0 THEN turn::DOUBLE / 4 END AS temperature,
        CASE WHEN turn % 2 = 1 THEN turn * 100 END AS max_tokens, turn % 5 = 0 AS stream FROM conversations""",
+    "request_profiles_sent": """SELECT conv_id, turn, CASE WHEN turn % 4 > 0 THEN turn ELSE 0 END AS message_count,
+       CASE WHEN turn % 2 = 0 THEN role || '/1.0' END AS user_agent FROM conversations""",
     "rounded_latency": "SELECT event_id, printf('%.2f', value / 4)::DOUBLE AS ttft_ms FROM events",
     "classified_errors": f"""WITH x AS (
   SELECT event_id, event_type,
@@ -567,6 +569,12 @@ SELECT request_id, 'msg-' || conv_id AS id, 'model-a' AS model, 's' || last_turn
        CASE WHEN role = 'assistant' THEN 't' || turn END AS tool_id,
        CASE WHEN role <> 'assistant' THEN text || '|' || text END AS text,
        CASE WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 3 THEN '{{}}' ELSE '{{"n":' || turn || '}}' END END AS input
+FROM c""",
+    "merged_anthropic_open": f"""WITH {TURNS}
+SELECT request_id, 'standard' AS service_tier, last_turn::BIGINT AS web_searches,
+       (SELECT length(z.text) FROM c z WHERE z.request_id = c.request_id AND z.turn = c.last_turn) AS output_tokens,
+       turn AS block, CASE WHEN role = 'assistant' THEN 'use-' || turn END AS tool_use_id,
+       CASE WHEN role <> 'assistant' THEN role END AS citation, CASE WHEN role <> 'assistant' THEN '' END AS start_text
 FROM c""",
     "merged_documents": "SELECT 'd' || doc_id AS request_id, text AS content FROM documents",
     "tool_inputs": """SELECT 'c' || conv_id AS request_id, turn AS position, 't' || turn AS id, 'find' AS name,

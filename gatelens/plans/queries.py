@@ -348,8 +348,7 @@ def usage_from_json(spark, sf_dir):
     )
 
 
-@query
-def request_profiles(spark, sf_dir):
+def _profiled(spark, sf_dir):
     turns = demo.table(spark, sf_dir, "conversations")
     doc = F.struct(
         F.when(F.col("turn") % 3 > 0, F.concat(F.lit("m"), F.col("turn").cast("string"))).alias("model"),
@@ -361,8 +360,21 @@ def request_profiles(spark, sf_dir):
         F.when(F.col("turn") % 2 == 1, F.col("turn") * 100).alias("max_tokens"),
         F.when(F.col("turn") % 5 == 0, True).alias("stream"),
     )
-    parsed = turns.select("conv_id", "turn", F.parse_json(F.to_json(doc)).alias("doc"))
-    return parsed.select("conv_id", "turn", F.inline(F.array(U.request_profile(F.col("doc")))))
+    return turns.select("conv_id", "turn", "role", F.parse_json(F.to_json(doc)).alias("doc"))
+
+
+@query
+def request_profiles(spark, sf_dir):
+    return _profiled(spark, sf_dir).select("conv_id", "turn", F.inline(F.array(U.request_profile(F.col("doc")))))
+
+
+@query
+def request_profiles_sent(spark, sf_dir):
+    agent = F.when(F.col("turn") % 2 == 0, F.concat(F.col("role"), F.lit("/1.0")))
+    profile = U.request_profile(F.col("doc"), agent)
+    return _profiled(spark, sf_dir).select("conv_id", "turn", profile.alias("p")).select(
+        "conv_id", "turn", "p.message_count", "p.user_agent"
+    )
 
 
 @query
@@ -781,6 +793,22 @@ def merged_anthropic(spark, sf_dir):
     )
 
 
+@query
+def merged_anthropic_open(spark, sf_dir):
+    """What the merge keeps beside its typed columns."""
+    merged = chunks.merge_anthropic(chunks.sse_events(demo.conversation_chunks(spark, sf_dir, "anthropic")))
+    return merged.select("request_id", "whole_usage", F.posexplode("start_blocks").alias("block", "b")).select(
+        "request_id",
+        F.try_variant_get("whole_usage", "$.service_tier", "string").alias("service_tier"),
+        F.try_variant_get("whole_usage", "$.server_tool_use.web_search_requests", "bigint").alias("web_searches"),
+        F.try_variant_get("whole_usage", "$.output_tokens", "bigint").alias("output_tokens"),
+        "block",
+        F.try_variant_get("b", "$.tool_use_id", "string").alias("tool_use_id"),
+        F.try_variant_get("b", "$.citations[0]", "string").alias("citation"),
+        F.try_variant_get("b", "$.text", "string").alias("start_text"),
+    )
+
+
 @query
 def merged_documents(spark, sf_dir):
     merged = chunks.merge_openai(chunks.sse_events(demo.document_chunks(spark, sf_dir)))

@@ -303,3 +303,29 @@ def test_stats_from_chunks(spark):
     assert (got["a"].input_tokens, got["a"].output_tokens, got["a"].cached_tokens) == (18, 8, 5)
     assert got["o"].time_to_first_token_ms == 40.0 and got["o"].latency_ms > 40.0
     assert got["a"].latency_ms == round(12.345, 2) and got["a"].provider_name == "q" and got["a"].is_streaming
+
+
+@pytest.mark.parametrize("piece", [1, 4096])
+def test_every_key_of_blocks_and_usage_is_kept(spark, monkeypatch, piece):
+    monkeypatch.setattr(C, "EVENTS_PER_PIECE", piece)
+    doc = anthropic(
+        spark,
+        [
+            start(input_tokens=10, service_tier="standard", speed=None),
+            block(0, type="redacted_thinking", data="x\"y"),
+            block(2, type="web_search_tool_result", tool_use_id="srv", content=[{"url": "u"}]),
+            block(2, type="web_search_tool_result", content=[], **{'odd "key"': 1.5}),
+            ending(output_tokens=7, server_tool_use={"web_search_requests": 1}),
+            ending(output_tokens=8, server_tool_use={"web_search_requests": 2}),
+        ],
+    )
+    found = [b and json.loads(b.toJson()) for b in doc["start_blocks"]]
+    assert found == [
+        {"type": "redacted_thinking", "data": "x\"y"},
+        None,
+        {"type": "web_search_tool_result", "tool_use_id": "srv", "content": [], 'odd "key"': 1.5},
+    ]
+    assert json.loads(doc["whole_usage"].toJson()) == {
+        "input_tokens": 10, "service_tier": "standard", "speed": None, "output_tokens": 8,
+        "server_tool_use": {"web_search_requests": 2},
+    }

@@ -58,6 +58,11 @@ def test_request_profile(spark):
     assert [tuple(r) for r in out] == [("gpt-4", 2, 0.5, 9, True), ("", 0, None, None, False)]
 
 
+def test_request_profile_with_user_agent(spark):
+    profile = U.request_profile(F.col("d"), F.lit("curl/8"))
+    assert docs(spark, ['{"model": "m"}']).select(profile.alias("p")).first().p.user_agent == "curl/8"
+
+
 @settings(max_examples=8, deadline=None)
 @given(
     st.lists(
