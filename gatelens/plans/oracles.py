@@ -601,6 +601,8 @@ SELECT provider_type, provider, total_requests, successful_requests, failed_requ
     "streaming_cooldown": "WITH RECURSIVE "
     + TRIGGERS.replace("(etype IS NULL AND NOT stream AND NOT counting)", "(etype IS NULL AND NOT counting)")
     + " SELECT provider_type, provider, make_timestamp(us) AS ts, seq FROM t",
+    "streaming_cooldown_unordered": f"""WITH RECURSIVE {TRIGGERS}
+SELECT provider_type, provider, make_timestamp(us) AS ts, seq FROM t""",
     "streaming_in_flight": f"""WITH {ATTEMPTS}
 -- the stream reports an open call once its watermark (one minute) has passed the time-out (one minute)
 SELECT rid AS request_id, prov AS provider, ts AS start_ts FROM a

@@ -903,6 +903,28 @@ def streaming_cooldown(spark, sf_dir):
     return found.select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq")
 
 
+@query
+def streaming_cooldown_unordered(spark, sf_dir):
+    """Default reset rule, with files whose events are up to half an hour out of order."""
+    path = scratch_path(spark, "live")
+    delay_s = 1800
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(delay_s * 1_000_000))
+    rows = materialize(
+        cooldown.outcomes(demo.router_events(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrival", arrival),
+        "outcomes",
+    )
+    edges = rows.approxQuantile("arrival", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = rows if low is None else rows.filter(F.col("arrival") >= low)
+        part = part if high is None else part.filter(F.col("arrival") < high)
+        part.drop("arrival").write.mode("append").parquet(path + "/in")
+    detector = live_cooldown.LiveCooldown(path, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600, lateness_s=delay_s)
+    source = live.stream_parquet(spark, path + "/in", files_per_trigger=1)
+    detector.start(source, path + "-checkpoint").awaitTermination()
+    found = live_cooldown.read_triggers(spark, path).unionByName(detector.expected(spark))
+    return found.select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq")
+
+
 @query
 def streaming_in_flight(spark, sf_dir):
     path = scratch_path(spark, "live")

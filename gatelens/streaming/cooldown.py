@@ -1,8 +1,11 @@
 """Live cooldown detection.
 
 Each micro-batch runs the distributed batch operator over its own events plus what is still open from before: at most
-``threshold - 1`` rate limits per provider. That open part is the whole state; it is written per batch next to the
-triggers, so a repeated batch gives the same result and a lost executor loses nothing.
+``threshold - 1`` rate limits per provider, and the events held back. That is the whole state; it is written per batch next
+to the triggers, so a repeated batch gives the same result and a lost executor loses nothing.
+
+Events newer than the newest event time less ``lateness_s`` are held back, so that others may still come before them. What
+is released is final: an arrival not newer than the newest released event of its provider is set aside in ``late``.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from gatelens.operators import cooldown as C
 from gatelens.streaming.update_log import batch_ids, write_batch
 
 KEY = ["provider_type", "provider"]
-_STATE = "provider_type string, provider string, us bigint, seq bigint, is_limit boolean"
+# is_limit: an open rate limit, or else the newest released event; null in rows held back, which have their outcome
+_STATE = "provider_type string, provider string, us bigint, seq bigint, is_limit boolean, held string"
 
 
 @dataclass(frozen=True)
@@ -28,6 +32,7 @@ class LiveCooldown:
     threshold: int = C.THRESHOLD
     window_s: int = C.WINDOW_S
     slice_s: int = C.SLICE_S
+    lateness_s: int = 0
 
     def start(self, outcomes: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """``outcomes``: streaming provider (and provider_type), ts, seq, outcome."""
@@ -55,18 +60,34 @@ class LiveCooldown:
         rows = batch.select(*KEY, C.as_us(F.col("ts")).alias("us"), "seq", "outcome").join(
             seen, KEY, "left"
         )
-        is_late = F.coalesce(_key() <= F.col("seen"), F.lit(False))
-        late = rows.filter(is_late).drop("seen")
-        fresh = rows.filter(~is_late).drop("seen")
-        open_limits = state.filter("is_limit").select(*KEY, "us", "seq", F.lit(C.RATE_LIMITED).alias("outcome"))
-        both = fresh.unionByName(open_limits)
+        waiting = _held(state)
+        known = waiting.select(*KEY, "us", "seq", F.lit(True).alias("known")).distinct()  # copies of events held back are late too
+        rows = rows.join(known, [*KEY, "us", "seq"], "left")
+        is_late = F.coalesce(_key() <= F.col("seen"), F.lit(False)) | F.col("known").isNotNull()
+        late = rows.filter(is_late).drop("seen", "known")
+        pool = rows.filter(~is_late).drop("seen", "known").unionByName(waiting)
+        newest = pool.select("us").unionByName(state.select("us")).agg(F.max("us")).first()[0]
+        border = F.lit(None if newest is None else newest - self.lateness_s * 1_000_000).cast("bigint")
+        fresh = pool.filter(F.col("us") <= border)
+        both = fresh.unionByName(_open_limits(state))
         found = C.triggers(
             both.withColumn("ts", F.timestamp_micros("us")), self.threshold, self.window_s, slice_s=self.slice_s
         )
         write_batch(late, f"{self.path}/late", batch_id)
         write_batch(found.select(*KEY, "us", "seq"), f"{self.path}/triggers", batch_id)
         stored = spark.read.parquet(f"{self.path}/triggers/batch={batch_id}")
-        write_batch(self._next_state(both, state, stored), f"{self.path}/state", batch_id)
+        held = pool.filter(F.col("us") > border).select(
+            *KEY, "us", "seq", F.lit(None).cast("boolean").alias("is_limit"), F.col("outcome").alias("held")
+        )
+        decided = self._next_state(both, state, stored).withColumn("held", F.lit(None).cast("string"))
+        write_batch(decided.unionByName(held), f"{self.path}/state", batch_id)
+
+    def expected(self, spark: SparkSession) -> DataFrame:
+        """Triggers among the events still held back, if nothing comes before them; columns as ``read_triggers``."""
+        last = max(batch_ids(spark, f"{self.path}/state"), default=-1)
+        state = self._state(spark, last + 1)
+        rows = _held(state).unionByName(_open_limits(state)).withColumn("ts", F.timestamp_micros("us"))
+        return C.triggers(rows, self.threshold, self.window_s, slice_s=self.slice_s).select(*KEY, "us", "seq")
 
     def _state(self, spark: SparkSession, batch_id: int) -> DataFrame:
         earlier = [b for b in batch_ids(spark, f"{self.path}/state") if b < batch_id]
@@ -104,6 +125,14 @@ class LiveCooldown:
         return limits.unionByName(marks)
 
 
+def _held(state: DataFrame) -> DataFrame:
+    return state.filter("held is not null").select(*KEY, "us", "seq", F.col("held").alias("outcome"))
+
+
+def _open_limits(state: DataFrame) -> DataFrame:
+    return state.filter("is_limit").select(*KEY, "us", "seq", F.lit(C.RATE_LIMITED).alias("outcome"))
+
+
 def _key() -> Column:
     return C.order_key_us(F.col("us"), F.col("seq"))
 

@@ -86,6 +86,28 @@ def test_live_cooldown_repeats_a_batch_and_sets_late_rows_aside(spark, tmp_path)
     assert [r.seq for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [2]
 
 
+def test_live_cooldown_waits_for_events_out_of_order(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+
+    def batch(*rows):
+        data = [("p", t0 + dt.timedelta(seconds=s), n, kind) for n, s, kind in rows]
+        return spark.createDataFrame(data, "provider string, ts timestamp, seq long, outcome string")
+
+    hit, good = C.RATE_LIMITED, C.SUCCESS
+    detector = LiveCooldown(str(tmp_path), 3, 60, lateness_s=10)
+    detector.process(batch((0, 0, hit), (1, 12, hit)), 0)
+    for _ in range(2):  # the same batch again after a failure; (2) is older than what came before, (1) is a copy
+        detector.process(batch((2, 5, hit), (1, 12, hit)), 1)
+    assert [r.seq for r in detector.expected(spark).collect()] == [1]
+    detector.process(batch((3, 30, hit), (4, 31, hit)), 2)
+    assert [r.seq for r in read_triggers(spark, str(tmp_path)).collect()] == [1]
+    detector.process(batch((5, 40, hit), (6, 32, good)), 3)  # a success between that came too late for its batch
+    detector.process(batch((7, 60, hit), (8, 11, hit)), 4)
+    assert [r.seq for r in read_triggers(spark, str(tmp_path)).collect()] == [1]
+    assert detector.expected(spark).count() == 0
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "late")).collect()) == [1, 8]
+
+
 def test_live_in_flight(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
 
