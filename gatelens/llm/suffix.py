@@ -55,12 +55,14 @@ def stretches(data: np.ndarray, valid: np.ndarray, least: int):
     starts = np.flatnonzero(edge[:-1] & valid)
     runs = np.flatnonzero(edge[1:] & valid) - starts + 1
     sizes = runs + least - 1
-    middle = starts + np.minimum(PART, sizes - PART)
+    # a stretch has 2 * least - GRAM bytes at most; parts at every PART bytes and at its end leave none out
+    steps = max(3, -(-(2 * least - GRAM) // PART))
+    places = [starts + np.minimum(k * PART, sizes - PART) for k in range(1, steps)]
     hashes = []
     for lane, own in enumerate(codes):
         part = hashing.rolling(own, PART, hashing.lane_of(lane)["step"])
         whole = hashing.mix(part[starts] + sizes.astype(np.uint64))
-        for place in (middle, starts + sizes - PART):
+        for place in places:
             whole = hashing.mix(whole * np.uint64(0x9E3779B97F4A7C15) + part[place])
         hashes.append(whole)
     return starts, runs, grams[at[starts]], hashes

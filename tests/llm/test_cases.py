@@ -57,6 +57,23 @@ def test_suffix(odd):
         assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == expected
 
 
+def test_stretch_hashes_read_every_byte():
+    least, seen = 500, 0
+    for seed in range(60):
+        text = np.random.default_rng(seed).integers(97, 123, 3000).astype(np.uint8)
+        valid = np.ones(len(text) - least + 1, bool)
+        starts, runs, anchors, hashes = suffix.stretches(text, valid, least)
+        for i in np.flatnonzero(runs + least - 1 > 900):
+            other = text.copy()
+            other[starts[i] + 580] ^= 1  # between the second and the last 256 bytes
+            found = suffix.stretches(other, valid, least)
+            j = np.flatnonzero((found[0] == starts[i]) & (found[1] == runs[i]) & (found[2] == anchors[i]))
+            for k in j:
+                seen += 1
+                assert (found[3][0][k], found[3][1][k]) != (hashes[0][i], hashes[1][i])
+    assert seen
+
+
 def test_interval_expansion():
     draw = np.random.default_rng(5)
     for least in (1, 2, 5, 30):
