@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import chat, counts, exact, licenses, mixing, packing, rules, simhash, substring, suffix
+from gatelens.llm import align, chat, counts, exact, licenses, mixing, packing, repair, rules, simhash, sketches, substring, suffix
 from gatelens.llm.common import documents, stored
 from gatelens.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(VOCABULARY))
+    return str(public_tokenizers.path(name))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", whole.alias("text_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.repair_report(repair.damaged(turns)).withColumnRenamed("_conv", "conv_id")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    return align.align(documents(spark, sf_dir), a, b).drop("groups")
+
+
+def op13_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = sketches.edited_sketches(documents(spark, sf_dir))
+    return near.select(
+        "doc_id", "n_chars", "edited_sha256", sketches.printed(F.col("sketch")).alias("fingerprint"),
+        sketches.printed(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,5 +136,8 @@ QUERIES = {
         op8_license_scan,
         op9_token_rollup,
         op10_exact_dedup,
+        op11_conversation_repair,
+        op12_tokenizer_alignment,
+        op13_scaled_sketches,
     )
 }
