@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,23 +32,22 @@ _BREAK = 0xFFFF
 
 
 class Vocabulary(NamedTuple):
-    """``encode`` texts to id lists; the bytes of all entries one after the other, and where each ends."""
+    """``encode`` texts to id lists; the bytes of all entries one after the other, where each ends, how long each is."""
 
     encode: Callable
     data: np.ndarray
     ends: np.ndarray
-
-    @property
-    def sizes(self) -> np.ndarray:
-        return np.diff(self.ends)
+    sizes: np.ndarray
+    lengths: list[int]
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         return ragged(self.data, self.ends, ids)[0]
 
 
-def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int64)
-    return np.frombuffer(b"".join(entries), np.uint8), ends
+def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    lengths = [len(e) for e in entries]
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return np.frombuffer(b"".join(entries), np.uint8), ends, np.diff(ends), lengths
 
 
 def _byte_of() -> dict[str, int]:
@@ -114,24 +114,32 @@ def vocabulary(path: str) -> Vocabulary:
 
 class Alignment(NamedTuple):
     groups: str
-    links: np.ndarray
+    links: list[int]
     n_groups: int
 
 
-def aligned(a_ids: np.ndarray, b_ids: np.ndarray, a: Vocabulary, b: Vocabulary) -> Alignment:
+def aligned(a_ids: list[int], b_ids: list[int], a_lengths: list[int], b_lengths: list[int]) -> Alignment:
     """Groups of a window as text, and its links as ``a << 16 | b``: one for every stretch between neighbouring ends."""
-    a_ends, b_ends = np.cumsum(a.sizes[a_ids]), np.cumsum(b.sizes[b_ids])
-    ends = np.union1d(a_ends, b_ends)
-    links = a_ids[np.searchsorted(a_ends, ends)].astype(np.uint32) << np.uint32(16)
-    links |= b_ids[np.searchsorted(b_ends, ends)].astype(np.uint32)
-    shared = np.intersect1d(a_ends, b_ends)
-    a_cut, b_cut = np.searchsorted(a_ends, shared) + 1, np.searchsorted(b_ends, shared) + 1
-    a_text, b_text = a_ids.tolist(), b_ids.tolist()
-    groups, i, j = [], 0, 0
-    for p, q in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-        groups.append(",".join(map(str, a_text[i:p])) + "|" + ",".join(map(str, b_text[j:q])))
-        i, j = p, q
-    return Alignment(";".join(groups), links, len(groups))
+    links, groups = [], []
+    i = j = a_from = b_from = 0
+    a_left, b_left = a_lengths[a_ids[0]], b_lengths[b_ids[0]]
+    while True:
+        links.append(a_ids[i] << 16 | b_ids[j])
+        ahead = a_left - b_left  # bytes of the A token behind the end of the B token
+        if ahead <= 0:
+            i += 1
+        if ahead >= 0:
+            j += 1
+        if ahead == 0:
+            groups.append(f"{','.join(map(str, a_ids[a_from:i]))}|{','.join(map(str, b_ids[b_from:j]))}")
+            if i == len(a_ids):
+                return Alignment(";".join(groups), links, len(groups))
+            a_from, b_from = i, j
+            a_left, b_left = a_lengths[a_ids[i]], b_lengths[b_ids[j]]
+        elif ahead < 0:
+            a_left, b_left = a_lengths[a_ids[i]], -ahead
+        else:
+            a_left, b_left = ahead, b_lengths[b_ids[j]]
 
 
 class _Side(NamedTuple):
@@ -182,9 +190,9 @@ def _looked_up(distinct: pa.Array, a: Vocabulary, b: Vocabulary, memo: dict) ->
     for key in distinct.to_pylist():
         known = memo.get(key)
         if known is None:
-            ids = np.frombuffer(key, np.uint16)
-            cut = int(np.flatnonzero(ids == _BREAK)[0])
-            known = aligned(ids[:cut].astype(np.int64), ids[cut + 1 :].astype(np.int64), a, b)
+            ids = np.frombuffer(key, np.uint16).tolist()
+            cut = ids.index(_BREAK)
+            known = aligned(ids[:cut], ids[cut + 1 :], a.lengths, b.lengths)
             if len(key) <= 64:
                 if len(memo) >= KNOWN:
                     memo.clear()
@@ -227,7 +235,8 @@ def align_block(texts: list[str], a_path: str, b_path: str) -> dict:
     n_groups = np.array([f.n_groups for f in found], np.int64)[codes]
     groups = [f.groups for f in found]
     link_ends = np.concatenate([[0], np.cumsum([len(f.links) for f in found])]).astype(np.int64)
-    links, ends = ragged(np.concatenate([f.links for f in found]), link_ends, codes)
+    flat = np.fromiter(chain.from_iterable(f.links for f in found), np.uint32, int(link_ends[-1]))
+    links, ends = ragged(flat, link_ends, codes)
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(ends[of_doc]))
     keys, times = np.unique(owner << np.uint64(32) | links, return_counts=True)
     pairs, place, docs = np.unique(keys & np.uint64(0xFFFFFFFF), return_inverse=True, return_counts=True)

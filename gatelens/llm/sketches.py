@@ -6,6 +6,8 @@ sketches, sketches of very unequal documents compare without bias, and its size
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 SHINGLE = 5
 FRACTION = 8
 
+#: Bits by which ids are grouped, level by level; together 64.
+LEVELS = (12, 12, 12, 14, 14)
+
 _LEAST = -(1 << 63)
 
 
@@ -92,24 +97,20 @@ def merged_containment(sketches: DataFrame, key: str, id_col: str, column: str =
 def successors(ids: DataFrame) -> DataFrame:
     """``_id, _next``: every distinct long id and the next larger one; after the largest comes the smallest.
 
-    Ids are grouped by their upper 48 bits, these groups by their upper 32, and so on: a group has at most 65 536 members
-    at each of the four levels, whatever the ids are, so that no window spans the table.
+    Ids are grouped by their upper bits, these groups by their upper bits again, and so on through ``LEVELS``: a group has
+    at most 4096 members (16 384 at the two uppermost levels), whatever the ids are, so that no window spans the table.
     """
-    level = ids.select(F.col("_id").alias("_first"), F.col("_id").alias("_last"), F.shiftright("_id", 16).alias("_up")).distinct()
+    level = ids.select(F.col("_id").alias("_first"), F.col("_id").alias("_last"), F.shiftright("_id", LEVELS[0]).alias("_up")).distinct()
     found = []
-    for step in range(4):
+    for step in range(len(LEVELS)):
         side = Window.partitionBy("_up").orderBy("_first")
         ahead = level.withColumn("_next", F.lead("_first").over(side))
-        if step == 3:
-            around = F.min("_first").over(Window.partitionBy("_up"))
-            ahead = ahead.withColumn("_next", F.coalesce("_next", around))
+        if step == len(LEVELS) - 1:
+            ahead = ahead.withColumn("_next", F.coalesce("_next", F.min("_first").over(Window.partitionBy("_up"))))
         found.append(ahead.filter("_next IS NOT NULL").select(F.col("_last").alias("_id"), "_next"))
-        up = F.shiftright("_up", 16) if step < 2 else F.lit(0).cast("long")
+        up = F.shiftright("_up", LEVELS[step + 1]) if step < len(LEVELS) - 2 else F.lit(0).cast("long")
         level = level.groupBy("_up").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")).select("_first", "_last", up.alias("_up"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    return reduce(DataFrame.union, found)
 
 
 def edited_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 4) -> DataFrame:
@@ -133,7 +134,9 @@ def edited_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = ids.select(F.col("_id").alias("_before"), "_need")
     links = ids.select("_id", "_rep").join(before.join(need, "_before"), "_id")
     linked = rows.join(links, "_id")
-    first = linked.filter(F.xxhash64("_text") == F.col("_rep")).select(
+    # written so that it is no key of the join: both uses of the texts then share one shuffle
+    chosen = F.xxhash64("_text").bitwiseXOR(F.col("_rep")) == 0
+    first = linked.filter(chosen).select(
         F.col("_before").alias("_of"), F.left("_text", F.col("_need")).alias("_begin"), F.col("_id").alias("_next")
     )
     first = first.groupBy("_of").agg(F.any_value("_begin").alias("_begin"), F.any_value("_next").alias("_next"))
@@ -142,7 +145,7 @@ def edited_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edited = F.concat(F.left("_text", size - cut), F.left("_begin", cut))
     done = stored(
         both.select(
-            "_id", "_next", size.cast("long").alias("n_chars"), (F.xxhash64("_text") == F.col("_rep")).alias("_is_rep"),
+            "_id", "_next", size.cast("long").alias("n_chars"), chosen.alias("_is_rep"),
             sketch(F.col("_text")).alias("sketch"), edited.alias("_edited"),
         ).select(
             "_id", "_next", "n_chars", "_is_rep", F.sha2("_edited", 256).alias("edited_sha256"), "sketch",
