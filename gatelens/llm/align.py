@@ -11,6 +11,7 @@ sums the counts, and every block gets back the counts of its own pairs only. No
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -32,22 +33,24 @@ _BREAK = 0xFFFF
 
 
 class Vocabulary(NamedTuple):
-    """``encode`` texts to id lists; the bytes of all entries one after the other, where each ends, how long each is."""
+    """``encode`` texts to id lists; the bytes of all entries one after the other, where each ends, how long each is, and
+    the ids as text."""
 
     encode: Callable
     data: np.ndarray
     ends: np.ndarray
     sizes: np.ndarray
     lengths: list[int]
+    names: list[str]
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         return ragged(self.data, self.ends, ids)[0]
 
 
-def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[str]]:
     lengths = [len(e) for e in entries]
     ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    return np.frombuffer(b"".join(entries), np.uint8), ends, np.diff(ends), lengths
+    return np.frombuffer(b"".join(entries), np.uint8), ends, np.diff(ends), lengths, [str(n) for n in range(len(entries))]
 
 
 def _byte_of() -> dict[str, int]:
@@ -118,28 +121,31 @@ class Alignment(NamedTuple):
     n_groups: int
 
 
-def aligned(a_ids: list[int], b_ids: list[int], a_lengths: list[int], b_lengths: list[int]) -> Alignment:
+def aligned(a_ids: list[int], b_ids: list[int], a: Vocabulary, b: Vocabulary) -> Alignment:
     """Groups of a window as text, and its links as ``a << 16 | b``: one for every stretch between neighbouring ends."""
+    a_lengths, b_lengths, a_names, b_names = a.lengths, b.lengths, a.names, b.names
+    if len(a_ids) == 1 == len(b_ids):
+        return Alignment(f"{a_names[a_ids[0]]}|{b_names[b_ids[0]]}", [a_ids[0] << 16 | b_ids[0]], 1)
     links, groups = [], []
     i = j = a_from = b_from = 0
     a_left, b_left = a_lengths[a_ids[0]], b_lengths[b_ids[0]]
     while True:
         links.append(a_ids[i] << 16 | b_ids[j])
         ahead = a_left - b_left  # bytes of the A token behind the end of the B token
-        if ahead <= 0:
+        if ahead < 0:
+            i += 1
+            a_left, b_left = a_lengths[a_ids[i]], -ahead
+        elif ahead > 0:
+            j += 1
+            a_left, b_left = ahead, b_lengths[b_ids[j]]
+        else:
             i += 1
-        if ahead >= 0:
             j += 1
-        if ahead == 0:
-            groups.append(f"{','.join(map(str, a_ids[a_from:i]))}|{','.join(map(str, b_ids[b_from:j]))}")
+            groups.append(",".join([a_names[k] for k in a_ids[a_from:i]]) + "|" + ",".join([b_names[k] for k in b_ids[b_from:j]]))
             if i == len(a_ids):
                 return Alignment(";".join(groups), links, len(groups))
             a_from, b_from = i, j
             a_left, b_left = a_lengths[a_ids[i]], b_lengths[b_ids[j]]
-        elif ahead < 0:
-            a_left, b_left = a_lengths[a_ids[i]], -ahead
-        else:
-            a_left, b_left = ahead, b_lengths[b_ids[j]]
 
 
 class _Side(NamedTuple):
@@ -192,7 +198,7 @@ def _looked_up(distinct: pa.Array, a: Vocabulary, b: Vocabulary, memo: dict) ->
         if known is None:
             ids = np.frombuffer(key, np.uint16).tolist()
             cut = ids.index(_BREAK)
-            known = aligned(ids[:cut], ids[cut + 1 :], a.lengths, b.lengths)
+            known = aligned(ids[:cut], ids[cut + 1 :], a, b)
             if len(key) <= 64:
                 if len(memo) >= KNOWN:
                     memo.clear()
@@ -278,15 +284,19 @@ def _aligner(a_path: str, b_path: str, with_groups: bool):
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, texts = batch.column("_id"), batch.column("_text")
-            sizes = np.diff(buffers(texts)[1])
-            for low, high in blocks(sizes, BLOCK):
-                own = texts.slice(low, high - low).to_pylist()
-                rows = np.flatnonzero(sizes[low:high])
-                left = align_block([own[i] for i in rows], a_path, b_path) if len(rows) else None
-                yield from _rows(_spread(left, rows, high - low), ids.slice(low, high - low), f"{part}-{number}", with_groups)
-                number += 1
+        gc.disable()  # the memo holds many small objects and no cycles
+        try:
+            for batch in batches:
+                ids, texts = batch.column("_id"), batch.column("_text")
+                sizes = np.diff(buffers(texts)[1])
+                for low, high in blocks(sizes, BLOCK):
+                    own = texts.slice(low, high - low).to_pylist()
+                    rows = np.flatnonzero(sizes[low:high])
+                    left = align_block([own[i] for i in rows], a_path, b_path) if len(rows) else None
+                    yield from _rows(_spread(left, rows, high - low), ids.slice(low, high - low), f"{part}-{number}", with_groups)
+                    number += 1
+        finally:
+            gc.enable()
 
     return run
 
