@@ -2,8 +2,10 @@
 
 Every pair of consecutive words of a document, as a hash, meets the word pairs of the templates in one equi-join. A hit
 at word ``p`` of the document and place ``t`` of a template votes for the diagonal ``p - t``. Votes are a bit per
-template place, so that they merge by bitwise or, before and after the shuffle. Neighbouring diagonals (a few words more or
-less than in the template) are merged and the span is verified by the share of the template found in it.
+template place, 64 places to a number, so that they merge by bitwise or, before and after the shuffle, for templates of
+any length. A diagonal is merged with its neighbours (a few words more or less than in the template), but not with
+theirs: whatever else a document repeats, a span is a window of the template's length. It is verified by the share of the
+template's word pairs found at their places.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ PHRASES = [
     ("mit license", "mit"),
 ]
 
-# Opening words of well-known license texts and notices, at most 64 words each, and their labels.
+# Opening words of well-known license texts and notices, and their labels.
 TEMPLATES = [
     (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -77,66 +79,81 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), "")
 
 
-def template_pairs(spark: SparkSession) -> DataFrame:
-    """``_hash, template, place, phrase, label, full, length``: a row per voting word pair. Constants only."""
-    rows = []
-    for n, (text, label) in enumerate(PHRASES + TEMPLATES):
-        own, phrase = text.split(), n < len(PHRASES)
-        votes = [i for i in range(len(own) - 1) if phrase or not {own[i], own[i + 1]} <= COMMON]
-        assert len(own) <= 64
-        rows += [(n, i, own[i], own[i + 1], phrase, label, sum(1 << v for v in votes), len(own)) for i in votes]
-    table = F.array(
-        *(
-            F.struct(
-                F.xxhash64(F.lit(a), F.lit(b)).alias("_hash"),
-                F.lit(n).alias("template"),
-                F.lit(place).alias("place"),
-                F.lit(phrase).alias("phrase"),
-                F.lit(label).alias("label"),
-                F.lit(full).cast("long").alias("full"),
-                F.lit(length).alias("length"),
-            )
-            for n, place, a, b, phrase, label, full, length in rows
-        )
+def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """``text, label, phrase``: the phrases and the given templates. Constants only."""
+    rows = [(text, label, True) for text, label in PHRASES] + [(text, label, False) for text, label in templates]
+    given = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("text", "label", "phrase"), row)]) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*given)).alias("t")).select("t.*")
+
+
+def template_pairs(table: DataFrame) -> DataFrame:
+    """``_hash, template, place, phrase, label, full, length``: a row per voting word pair."""
+    common = F.array(*[F.lit(w) for w in sorted(COMMON)])
+    own = table.select(F.xxhash64("text", "label").alias("template"), "phrase", "label", words(F.col("text")).alias("_own"))
+    pair = F.transform("_own", lambda w, i: F.struct(
+        i.alias("place"), F.xxhash64(w, F.get("_own", i + 1)).alias("_hash"),
+        (F.array_contains(common, w) & F.array_contains(common, F.get("_own", i + 1))).alias("says_nothing"),
+    ))
+    voting = F.filter(pair, lambda p: (p["place"] < F.size("_own") - 1) & (F.col("phrase") | ~p["says_nothing"]))
+    pairs = own.withColumn("_pairs", voting).select(
+        "template", "phrase", "label", F.size("_pairs").alias("full"), F.size("_own").alias("length"), F.inline("_pairs")
     )
-    return spark.range(1).select(F.explode(table).alias("t")).select("t.*")
+    return pairs.drop("says_nothing")
 
 
 def license_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, least: float = 0.75
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    gap: int = 2,
+    least: float = 0.75,
+    templates: DataFrame | None = None,
 ) -> DataFrame:
     """``_id, _key, phrase, label, first, last, share``: places of phrases and verified spans of templates.
 
-    A phrase stands where all its pairs vote for one diagonal. Diagonals of a longer template at most ``gap`` apart are
-    one span; it counts if at least ``least`` of the template's pairs were found (of a short template all) and it is at
-    most twice as long.
+    ``templates`` (``text, label, phrase``; by default ``template_table``) may hold texts of any length and number. A phrase
+    stands where all its pairs vote for one diagonal. A longer template's span has the votes of a diagonal and of those at
+    most ``gap`` apart; it counts if at least ``least`` of the template's pairs are among them (of a short template all).
+    Of overlapping spans, no two ``2 * gap`` diagonals apart or less, the best stays.
     """
     own = keyed(docs, id_col, text_col, by_text=True).select("_id", "_key", words(F.col("_text")).alias("_words"))
     pairs = own.select(
         "_id", "_key", F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1))).alias("_hashes")
     )
-    hits = pairs.select("_id", "_key", F.posexplode_outer("_hashes").alias("at", "_hash")).join(
-        F.broadcast(template_pairs(docs.sparkSession)), "_hash"
-    )
-    votes = hits.groupBy("_id", "_key", "template", "phrase", "label", "full", "length", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))).alias("votes"),
+    # the constants are broadcast; a table that is given goes as Spark sees fit for its size
+    wanted = F.broadcast(template_pairs(template_table(docs.sparkSession))) if templates is None else template_pairs(templates)
+    hits = pairs.select("_id", "_key", F.posexplode_outer("_hashes").alias("at", "_hash")).join(wanted, "_hash")
+    place = F.col("place")
+    of = ["_id", "_key", "template", "phrase", "label", "full", "length"]
+    votes = hits.groupBy(*of, (F.col("at") - place).alias("diagonal"), F.floor(place / 64).alias("chunk")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)).alias("votes"),
         F.min("at").alias("first"),
         F.max(F.col("at") + 1).alias("last"),
     )
     votes = stored(votes, "votes")
-    phrases = votes.filter("phrase AND votes = full").withColumn("share", F.lit(1.0))
-    side = Window.partitionBy("_id", "_key", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(side) > gap, F.lit(False))
-    spans = (
+    found = F.sum(F.bit_count("votes"))
+    phrases = (
+        votes.filter("phrase")
+        .groupBy(*of, "diagonal")
+        .agg(found.alias("found"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .filter("found = full")
+        .withColumn("share", F.lit(1.0))
+    )
+    near = F.explode(F.sequence(F.col("diagonal") - gap, F.col("diagonal") + gap)).alias("centre")
+    exact = F.when(F.col("centre") == F.col("diagonal"), F.bit_count("votes")).otherwise(0)
+    around = (
         votes.filter("NOT phrase")
-        .withColumn("_new", apart.cast("int"))
-        .withColumn("_span", F.sum("_new").over(side.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("_id", "_key", "template", "phrase", "label", "full", "length", "_span")
-        .agg(F.bit_or("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("share", F.bit_count("votes") / F.bit_count("full"))
+        .select("*", near)
+        .groupBy(*of, "centre", "chunk")
+        .agg(F.bit_or("votes").alias("votes"), F.sum(exact).alias("exact"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .groupBy(*of, "centre")
+        .agg(found.alias("found"), F.sum("exact").alias("exact"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .withColumn("share", F.col("found") / F.col("full"))
         .filter(F.col("share") >= F.when(F.col("length") < SHORT, 1.0).otherwise(least))
-        .filter(F.col("last") - F.col("first") < 2 * F.col("length"))
+        .withColumn("_rank", F.struct("share", "exact", (-F.col("centre")).alias("back")))
     )
+    side = Window.partitionBy("_id", "_key", "template").orderBy("centre").rangeBetween(-2 * gap, 2 * gap)
+    spans = around.withColumn("_best", F.max("_rank").over(side)).filter(F.col("_rank") == F.col("_best"))
     columns = ["_id", "_key", "phrase", "label", "first", "last", "share"]
     return phrases.select(*columns).union(spans.select(*columns))
 

@@ -214,6 +214,55 @@ def test_licenses(spark, sf_dir, odd):
     assert sum(got.values()) == 11 and got[(None, 1, "mit", 1.0)] == 1
 
 
+def plain_license(own, phrases, templates, gap=2, least=0.75):
+    """Labels and score of a document's words: every centre of diagonals in turn."""
+    labels, score = set(), 0.0
+    for n, (text, label) in enumerate(phrases + templates):
+        wanted, phrase = text.split(), n < len(phrases)
+        places = [t for t in range(len(wanted) - 1) if phrase or not {wanted[t], wanted[t + 1]} <= licenses.COMMON]
+        hits = collections.defaultdict(set)
+        for p in range(len(own) - 1):
+            for t in places:
+                if own[p : p + 2] == wanted[t : t + 2]:
+                    hits[p - t].add(t)
+        for centre in list(hits):
+            for c in [centre] if phrase else range(centre - gap, centre + gap + 1):
+                near = [hits.get(d, set()) for d in ([c] if phrase else range(c - gap, c + gap + 1))]
+                share = len(set().union(*near)) / len(places)
+                if share >= (1.0 if phrase or len(wanted) < licenses.SHORT else least):
+                    labels.add(label)
+                    score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def _license_words(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower) if w]
+
+
+def test_license_labels(spark, sf_dir):
+    """Labels and score against the plain version; a repeated pair, moved words and long templates lose nothing."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: (r.labels, r.score) for r in QUERIES["op8_license_scan"](spark, sf_dir).collect()}
+    assert got == {i: plain_license(_license_words(t), licenses.PHRASES, licenses.TEMPLATES) for i, t in texts.items()}
+    mit = licenses.TEMPLATES[0][0]
+    moved = mit.split()
+    moved[20:20], moved[40:41] = ["very", "new"], []
+    made = [mit, mit + " the software" * 60, "the software " * 60 + mit, " ".join(moved), mit[:120], mit + " x " + mit, " ".join(reversed(mit.split()))]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    for i, text in enumerate(made):
+        assert (found[i].labels, found[i].score) == plain_license(text.split(), licenses.PHRASES, licenses.TEMPLATES)
+    assert [found[i].labels for i in range(7)] == ["mit", "mit", "mit", "mit", "", "mit", ""]
+    assert [found[i].score for i in (0, 1, 2)] == [1.0] * 3 and len(found[5].spans) == 2 and len(found[1].spans) == 1
+    long = " ".join(f"clause{n % 150} part{n}" for n in range(300))
+    table = licenses.template_table(spark, []).unionByName(
+        spark.createDataFrame([(long, "own", False)], "text string, label string, phrase boolean")
+    )
+    df = spark.createDataFrame([(1, "see " + long + " end"), (2, long[: len(long) // 2])], "doc_id long, text string")
+    assert {(r.doc_id, r.labels, r.score) for r in licenses.license_scan(df, templates=table).collect()} == {(1, "own", 1.0), (2, "", 0.0)}
+
+
 def test_counts(spark, tmp_path):
     store = str(tmp_path)
     schema = "kind string, doc_id long, source string, lang string, tokenizer string, tokens long"
