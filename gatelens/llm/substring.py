@@ -24,10 +24,11 @@ from gatelens.llm import hashing
 from gatelens.llm.common import LAST_ID, blocks, buffers, keyed, partitions, plain_id, stored
 
 ROWS = 2
-SLOTS = 128
+#: Counters of a slot, which one task merges at a time; a sketch has as many slots as that makes.
+SLOT_BITS = 18
 #: Bytes of documents hashed at a time; a longer document is hashed alone.
 _GROUP = 1 << 20
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 _SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
@@ -59,8 +60,14 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
+def _slots(bits: int) -> tuple[int, int]:
+    """Bits of a cell within its slot, and the number of slots of a row."""
+    slot_bits = min(bits, SLOT_BITS)
+    return slot_bits, 1 << (bits - slot_bits)
+
+
 def _sketched(width: int, bits: int):
-    slot_bits = bits - (SLOTS.bit_length() - 1)
+    slot_bits, n_slots = _slots(bits)
 
     def emit(kept: list[list[np.ndarray]]):
         slots, once, twice = [], [], []
@@ -71,11 +78,11 @@ def _sketched(width: int, bits: int):
             start = np.flatnonzero(first)
             many = np.diff(np.append(start, len(cells))) > 1
             cells = cells[start]
-            borders = np.searchsorted(cells, np.arange(1, SLOTS, dtype=np.uint64) << np.uint64(slot_bits))
+            borders = np.searchsorted(cells, np.arange(1, n_slots, dtype=np.uint64) << np.uint64(slot_bits))
             for slot, (own, flag) in enumerate(zip(np.split(cells, borders), np.split(many, borders))):
                 if len(own):
                     own = own & np.uint32((1 << slot_bits) - 1)
-                    slots.append(row * SLOTS + slot)
+                    slots.append(row * n_slots + slot)
                     once.append(_packed(own[~flag]))
                     twice.append(_packed(own[flag]))
         return pa.RecordBatch.from_arrays(
@@ -130,15 +137,15 @@ def _merged(slot_bits: int):
 def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """Bits of the counters that reached two, one row of the sketch after the other."""
     spark = docs.sparkSession
-    slot_bits = bits - (SLOTS.bit_length() - 1)
+    slot_bits, n_slots = _slots(bits)
     parts = docs.select("_text").mapInArrow(_sketched(width, bits), "slot int, once binary, twice binary")
     merged = stored(
-        parts.repartition(min(ROWS * SLOTS, 4 * partitions(spark)), "slot")
+        parts.repartition(min(ROWS * n_slots, 4 * partitions(spark)), "slot")
         .sortWithinPartitions("slot")
         .mapInArrow(_merged(slot_bits), "slot int, bits binary"),
         "sketch",
     )
-    out = np.zeros((ROWS * SLOTS, (1 << slot_bits) // 8), np.uint8)
+    out = np.zeros((ROWS * n_slots, (1 << slot_bits) // 8), np.uint8)
     for row in merged.toLocalIterator():
         out[row["slot"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(ROWS, -1)
