@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions import derive
-from gatelens.operators.cooldown import as_us
-from gatelens.operators.facts import terminals
+from gatelens.operators.cooldown import COOLDOWN_S, as_us, skipped_providers, with_remaining
+from gatelens.operators.facts import KEY, starts, terminals
 from gatelens.operators.running import running, time_slice
 from gatelens.operators.stats import order_key
 
@@ -23,10 +23,13 @@ def attempt_numbers(
     """Number the attempts of each request in log order: a running count over time slices, the same for every request.
 
     The gateway also counts providers it passed over while they were cooling: ``skips`` (request_id, provider,
-    priority; from ``skipped_providers``) are added where their priority is above the attempt's.
+    priority; from ``passed_over``) are added where their priority is above the attempt's, which its request event has.
     """
     done = terminals(events).withColumn("us", as_us(F.col("timestamp")))
     if skips is not None:
+        asked = starts(events, ["provider_priority"]).withColumnRenamed("provider_priority", "asked_priority")
+        done = done.join(asked, KEY, "left").withColumn("provider_priority", F.coalesce("provider_priority", "asked_priority"))
+        done = done.drop("asked_priority")
         # per request a short list of skipped priorities: one row per request, no pairs
         lists = skips.groupBy("request_id").agg(F.collect_set("priority").alias("skipped"))
         done = done.join(lists, "request_id", "left")
@@ -116,29 +119,68 @@ def exhausted(events: DataFrame) -> DataFrame:
     )
 
 
-def failure_summary(events: DataFrame) -> DataFrame:
+def passed_over(
+    events: DataFrame, providers: DataFrame, triggers_: DataFrame, cooldown_s: int = COOLDOWN_S
+) -> DataFrame:
+    """Providers that requests passed over because they were cooling: ``request_id, provider_type, ts, provider, priority,
+    remaining_s``.
+
+    ``providers``: provider_type, provider, priority. A request stands at the time of its first request event. Providers
+    behind the one that served it were not looked at, and one that was tried was not passed over.
+    """
+    type_ = derive.provider_type(F.col("endpoint"))
+    asked = events.filter((F.col("type") == "request") & F.col("request_id").isNotNull())
+    answered = terminals(events).filter(F.col("type") == "response").select("request_id", type_.alias("provider_type"), "provider")
+    priority = providers.groupBy("provider_type", "provider").agg(F.min("priority").alias("priority"))
+    served = (
+        answered.join(priority, ["provider_type", "provider"])
+        .groupBy("request_id", "provider_type")
+        .agg(F.min("priority").alias("served_priority"))
+    )
+    requests = (
+        asked.groupBy("request_id", type_.alias("provider_type"))
+        .agg(F.min("timestamp").alias("ts"))
+        .join(served, ["request_id", "provider_type"], "left")
+    )
+    met = skipped_providers(requests, priority, triggers_, cooldown_s)
+    tried = asked.select("request_id", "provider").distinct()
+    skipped = met.join(tried, ["request_id", "provider"], "left_anti")
+    return with_remaining(skipped, triggers_, cooldown_s).drop("served_priority")
+
+
+def failure_summary(events: DataFrame, skips: DataFrame | None = None) -> DataFrame:
     """Text ``- provider: error`` per failed attempt, one line each, for requests that failed entirely.
 
-    Lines are first joined in short time slices, then the slices in order.
+    ``skips`` (from ``passed_over``) add a line for each provider that was not tried because it was cooling, with the whole
+    seconds that were left. Lines follow the priority of their provider (for attempts as their request event has it),
+    then time. They are first joined in short time slices or bands of priorities, then these in order.
     """
-    failed = events.filter((F.col("type") == "error") & F.col("error_type").eqNullSafe("no_available_provider"))
-    lines = (
-        terminals(events)
-        .filter(F.col("type") == "error")
-        .join(failed.select("request_id").distinct(), "request_id", "left_semi")
-        .select(
-            "request_id",
-            F.concat(
-                F.lit("- "),
-                F.col("provider"),
-                F.lit(": "),
-                derive.attempt_label(F.col("error_type"), F.col("error_message")),
-            ).alias("line"),
-            as_us(F.col("timestamp")).alias("us"),
-            "seq",
-        )
+    failed = (
+        events.filter((F.col("type") == "error") & F.col("error_type").eqNullSafe("no_available_provider"))
+        .select("request_id")
+        .distinct()
+    )
+
+    def line(text: Column) -> Column:
+        return F.concat(F.lit("- "), F.col("provider"), F.lit(": "), text).alias("line")
+
+    tries = terminals(events).filter(F.col("type") == "error").join(failed, "request_id", "left_semi")
+    label = line(derive.attempt_label(F.col("error_type"), F.col("error_message")))
+    when = as_us(F.col("timestamp")).alias("us")
+    if skips is None:
+        lines = tries.select("request_id", label, when, "seq")
+        return ordered_concat(lines, ["request_id"], "line", ["us", "seq"], time_slice("us", ATTEMPT_SLICE_S), "\n", "summary")
+    asked = starts(events.join(failed, "request_id", "left_semi"), ["provider_priority"])
+    tried = tries.drop("provider_priority").join(asked, KEY, "left")
+    lines = tried.select("request_id", label, when, "seq", F.coalesce("provider_priority", F.lit(0)).alias("priority"))
+    waits = F.concat(F.lit("In cooldown for "), F.rint("remaining_s").cast("bigint").cast("string"), F.lit("s"))
+    passed = skips.join(failed, "request_id", "left_semi").select(
+        "request_id", line(waits), as_us(F.col("ts")).alias("us"), F.lit(-1).cast("bigint").alias("seq"), "priority"
     )
-    return ordered_concat(lines, ["request_id"], "line", ["us", "seq"], time_slice("us", ATTEMPT_SLICE_S), "\n", "summary")
+    both = lines.unionByName(passed)
+    order = ["priority", "us", "seq"]
+    piece = F.struct("priority", time_slice("us", ATTEMPT_SLICE_S))
+    return ordered_concat(both, ["request_id"], "line", order, piece, "\n", "summary")
 
 
 def ordered_concat(df, key, text, order, piece, separator: str, name: str) -> DataFrame:

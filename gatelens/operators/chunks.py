@@ -75,7 +75,6 @@ def sse_lines(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) ->
         ["pos"],
         int_div(F.col("slice"), SLICES_PER_RUN),
         {"begun": ("max", F.when(F.col("begins"), F.col("pos")))},
-        max_slice_rows=None,  # two parts per slice of chunks
     )
     outer = (
         lines_of_ends.groupBy(*key, "begun")

@@ -369,3 +369,35 @@ def skipped_providers(
     met = requests.withColumns({"__us": us, "__bucket": int_div(us, span)}).join(cooling, ["provider_type", "__bucket"])
     above = F.col("served_priority").isNull() | (F.col("priority") < F.col("served_priority"))
     return met.filter(above & _covered()).drop("__us", "__bucket", "__from", "__until")
+
+
+def with_last_start(
+    rows: DataFrame, triggers_: DataFrame, *, ts: str = "ts", slice_s: int = SLICE_S
+) -> DataFrame:
+    """Add ``last_start_us``: the last cooldown start of the row's provider at or before its time, NULL before the first.
+
+    An as-of lookup without pairs: starts and rows lie on one time line, along which the largest start is carried; the
+    line of a hot provider is cut into slices (:func:`running`). Rows whose provider is NULL have no start.
+    """
+    keys = keys_of(triggers_)
+    none = F.lit(None)
+    asked = rows.select(*keys, as_us(F.col(ts)).alias("__us"), F.lit(1).alias("__kind"), F.struct(*rows.columns).alias("__row"),
+                        none.cast("bigint").alias("__start"))
+    marks = triggers_.select(*keys, F.col("us").alias("__us"), F.lit(0).alias("__kind"),
+                             none.cast(asked.schema["__row"].dataType).alias("__row"), F.col("us").alias("__start"))
+    line = running(
+        asked.unionByName(marks), keys, ["__us", "__kind"], time_slice("__us", slice_s), {"last_start_us": ("max", F.col("__start"))}
+    )
+    return line.filter("__kind = 1").select("__row.*", "last_start_us")
+
+
+def with_remaining(
+    rows: DataFrame, triggers_: DataFrame, cooldown_s: int = COOLDOWN_S, *, ts: str = "ts", slice_s: int = SLICE_S
+) -> DataFrame:
+    """Add ``remaining_s``: how long the row's provider stays in cooldown from the row's time on, NULL if it is not in one.
+
+    A start during a cooldown replaces it, so the last start at or before the time decides.
+    """
+    found = with_last_start(rows, triggers_, ts=ts, slice_s=slice_s)
+    left = F.col("last_start_us") + cooldown_s * 1_000_000 - as_us(F.col(ts))
+    return found.withColumn("remaining_s", F.when(left > 0, left / 1_000_000)).drop("last_start_us")

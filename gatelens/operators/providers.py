@@ -30,7 +30,6 @@ def ranked_providers(providers: DataFrame) -> DataFrame:
         ["priority", "position"],
         int_div(F.col("priority"), 1024),
         {"rank": ("sum", F.lit(1).cast("bigint"))},
-        max_slice_rows=None,  # the configuration is small
     )
 
 

@@ -2,23 +2,22 @@
 
 A window over ``partitionBy(key)`` sorts all rows of one key in one task; a provider may own a third of the log. Here
 every key is cut into slices along the order: rows are accumulated inside their (key, slice), and the totals of the
-earlier slices come from a small table with one row per (key, slice).
+earlier slices come from a table with one row per (key, slice). These totals are carried in two levels, inside blocks of
+``BLOCK`` slices and over the blocks, so that no task sees more than a block's slices or a key's blocks.
 
-Slices are short stretches of time. Should one of them be too large for a task all the same (a wrong clock that gives
-one time to everything, say), all rows are cut by ranges of (key, order) instead, which are equal in size whatever the
-distribution.
+Slices are short stretches of time, and the plan is the same at every size. Rows that all have one time (a wrong clock) share
+a slice: Spark sorts it in one task, on disk if need be.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelens.session import materialize
-
-MAX_SLICE_ROWS = 8_000_000
+BLOCK = 4096
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -39,51 +38,40 @@ def running(
     *,
     reverse: bool = False,
     inclusive: bool = True,
-    max_slice_rows: int | None = MAX_SLICE_ROWS,
 ) -> DataFrame:
     """Add running ``totals`` = {name: ("sum" | "max" | "min", column)} per key in the given order.
 
     ``slice_by`` must grow with the first order column, so that slices follow the order. ``reverse`` runs from the end;
     ``inclusive=False`` leaves the row itself out. Keys must not be NULL.
-
-    The table of slices is written and its largest slice looked at; with ``max_slice_rows=None`` neither is done, for
-    slices whose size is bounded by their making.
     """
     values = {f"__v_{name}": column for name, (_, column) in totals.items()}
     sliced = df.withColumns({"__slice": slice_by, **values})
-
-    def sums(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*key, "__slice").agg(
-            F.count(F.lit(1)).alias("__n"),
-            *[_AGG[kind](f"__v_{name}").alias(f"__s_{name}") for name, (kind, _) in totals.items()],
-        )
-
-    per_slice = sums(sliced)
-    if max_slice_rows is not None:
-        per_slice = materialize(per_slice, "slices")
-        size = per_slice.agg(F.max("__n").alias("largest"), F.sum("__n").alias("rows")).first()
-        if (size.largest or 0) > max_slice_rows:
-            parts = math.ceil(4 * size.rows / max_slice_rows)
-            # the ranges come from a sample, so the cut is written before it is used
-            ranged = sliced.drop("__slice").repartitionByRange(parts, *key, *order)
-            sliced = materialize(ranged.withColumn("__slice", F.spark_partition_id().cast("bigint")), "ranges")
-            per_slice = materialize(sums(sliced), "slices")
+    per_slice = sliced.groupBy(*key, "__slice").agg(
+        *[_AGG[kind](f"__v_{name}").alias(f"__s_{name}") for name, (kind, _) in totals.items()]
+    )
 
     def directed(columns: list[str]) -> list[Column]:
         return [F.col(c).desc() if reverse else F.col(c).asc() for c in columns]
 
-    earlier = Window.partitionBy(*key).orderBy(*directed(["__slice"])).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        per_slice.select(
-            *key,
-            "__slice",
-            F.count(F.lit(1)).over(earlier).alias("__before"),
-            *[_AGG[kind](f"__s_{name}").over(earlier).alias(f"__c_{name}") for name, (kind, _) in totals.items()],
-        )
-        # the first slice of a key carries nothing: most short keys never reach the join
-        .filter("__before > 0")
-        .drop("__before")
+    def earlier(rows: DataFrame, groups: list[str], by: str, prefix: str) -> DataFrame:
+        """The totals before each row of its group."""
+        before = Window.partitionBy(*groups).orderBy(*directed([by])).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({f"{prefix}{name}": _AGG[kind](f"__s_{name}").over(before) for name, (kind, _) in totals.items()})
+
+    blocked = per_slice.withColumn("__block", int_div(F.col("__slice"), BLOCK))
+    blocks = blocked.groupBy(*key, "__block").agg(
+        *[_AGG[kind](f"__s_{name}").alias(f"__s_{name}") for name, (kind, _) in totals.items()]
     )
+    over_blocks = earlier(blocks, key, "__block", "__b_").drop(*[f"__s_{name}" for name in totals])
+    carried = (
+        earlier(blocked, [*key, "__block"], "__slice", "__i_")
+        .join(over_blocks, [*key, "__block"])
+        # the first slice of a key carries nothing: most short keys never reach the join with the rows
+        .filter(reduce(or_, [F.col(f"__{level}_{name}").isNotNull() for name in totals for level in "bi"]))
+        .select(*key, "__slice", *[
+            _combine(kind, F.col(f"__b_{name}"), F.col(f"__i_{name}")).alias(f"__c_{name}") for name, (kind, _) in totals.items()
+        ])
+    )
 
     frame = Window.unboundedPreceding, (0 if inclusive else -1)
     inside = Window.partitionBy(*key, "__slice").orderBy(*directed(order)).rowsBetween(*frame)

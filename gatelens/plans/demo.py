@@ -71,10 +71,11 @@ def events_of(events: DataFrame, chained: bool = False) -> DataFrame:
     """
     if chained:
         request_id = F.concat_ws("-", F.col("user_id").cast("string"), F.dayofmonth("ts").cast("string"))
-        provider = F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string"))
+        nth = F.col("event_id") % 4
     else:
         request_id = F.concat(F.lit("r"), F.col("event_id").cast("string"))
-        provider = _provider()
+        nth = F.col("user_id") % 4
+    provider = F.concat(F.lit("p"), nth.cast("string"))
     k = _k()
     counting = (F.col("event_type") == "view") & (k % 10 == 3)
     failed = (
@@ -91,7 +92,7 @@ def events_of(events: DataFrame, chained: bool = False) -> DataFrame:
         k.alias("k"),
         request_id.alias("request_id"),
         provider.alias("provider"),
-        (F.col("user_id") % 4 + 1).cast("int").alias("provider_priority"),
+        (nth + 1).cast("int").alias("provider_priority"),
         F.when(counting, F.concat(_type(), F.lit("/count_tokens"))).otherwise(_type()).alias("endpoint"),
         counting.alias("counting"),
         (F.col("event_type").isin("view", "click") & ~counting).alias("stream"),

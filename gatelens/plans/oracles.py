@@ -91,6 +91,22 @@ status AS (
   LEFT JOIN per ON per.provider_type = q.provider_type AND per.provider = q.provider
   LEFT JOIN recent ON recent.provider_type = q.provider_type AND recent.provider = q.provider)"""
 
+# Providers that a chained request passed over: cooling at its time, before the one that served it, and not tried.
+SKIPS = f"""{TRIGGERS},
+asked AS (SELECT cid, ptype, min(ts) AS ts FROM a GROUP BY ALL),
+served AS (SELECT cid, min(event_id % 4 + 1) AS prio FROM d WHERE etype IS NULL GROUP BY ALL),
+tried AS (SELECT DISTINCT cid, cprov FROM a),
+dims AS (SELECT DISTINCT ptype, prov, prio FROM a),
+skips AS (
+  SELECT q.cid, q.ptype, q.ts, dims.prov, dims.prio, max(t.us) + {COOLDOWN_US} - epoch_us(q.ts) AS left_us
+  FROM asked q JOIN dims USING (ptype)
+  JOIN t ON t.provider_type = q.ptype AND t.provider = dims.prov AND t.us <= epoch_us(q.ts)
+        AND epoch_us(q.ts) < t.us + {COOLDOWN_US}
+  LEFT JOIN served USING (cid)
+  WHERE (served.prio IS NULL OR dims.prio < served.prio)
+    AND NOT EXISTS (SELECT 1 FROM tried WHERE tried.cid = q.cid AND tried.cprov = dims.prov)
+  GROUP BY ALL)"""
+
 DEC = "DECIMAL(18,2)"
 
 
@@ -521,16 +537,25 @@ SELECT cid AS request_id, count(*) AS attempts, count(etype) AS failures,
        first(cprov ORDER BY end_ts, seq) FILTER (etype IS NULL) AS serving_provider,
        (epoch_us(max(end_ts)) - epoch_us(min(end_ts)))::DOUBLE / 1000 AS duration_ms,
        count(*) = count(etype) AS all_failed FROM d GROUP BY 1""",
-    "attempt_numbers": f"""WITH {ATTEMPTS}
+    "passed_over": f"""WITH RECURSIVE {SKIPS}
+SELECT cid AS request_id, ptype AS provider_type, prov AS provider, prio AS priority, left_us::DOUBLE / 1000000 AS remaining_s
+FROM skips""",
+    "attempt_numbers": f"""WITH RECURSIVE {SKIPS}
 SELECT cid AS request_id, cprov AS provider, end_ts AS "timestamp",
        CASE WHEN etype IS NULL THEN 'response' ELSE 'error' END AS type,
-       row_number() OVER (PARTITION BY cid ORDER BY end_ts, seq) AS attempt_no FROM d""",
-    "failure_summaries": f"""WITH {ATTEMPTS}
-SELECT cid AS request_id,
-       string_agg('- ' || cprov || ': ' || CASE etype WHEN 'rate_limit_error' THEN 'Rate limited: ' ELSE '' END || 'e' || k,
-                  chr(10) ORDER BY end_ts, seq) AS summary
-FROM a WHERE etype IS NOT NULL
-  AND cid IN (SELECT cid FROM a WHERE etype = 'rate_limit_error' AND k >= 90) GROUP BY 1""",
+       row_number() OVER (PARTITION BY cid ORDER BY end_ts, seq)
+         + (SELECT count(DISTINCT prio) FROM skips WHERE skips.cid = d.cid AND skips.prio < d.event_id % 4 + 1) AS attempt_no
+FROM d""",
+    "failure_summaries": f"""WITH RECURSIVE {SKIPS},
+lines AS (
+  SELECT cid, event_id % 4 + 1 AS prio, end_ts AS at_ts, seq,
+         '- ' || cprov || ': ' || CASE etype WHEN 'rate_limit_error' THEN 'Rate limited: ' ELSE '' END || 'e' || k AS line
+  FROM a WHERE etype IS NOT NULL
+  UNION ALL
+  SELECT cid, prio, ts, -1, '- ' || prov || ': In cooldown for ' || round_even(left_us::DOUBLE / 1000000, 0)::BIGINT || 's'
+  FROM skips)
+SELECT cid AS request_id, string_agg(line, chr(10) ORDER BY prio, at_ts, seq) AS summary
+FROM lines WHERE cid IN (SELECT cid FROM a WHERE etype = 'rate_limit_error' AND k >= 90) GROUP BY 1""",
     "cooldown_triggers": f"""WITH RECURSIVE {TRIGGERS}
 SELECT provider_type, provider, make_timestamp(us) AS ts, seq FROM t""",
     "cooldown_episodes": f"""WITH RECURSIVE {EPISODES}
@@ -598,11 +623,13 @@ FROM spine LEFT JOIN g USING ("timestamp")""",
     "streaming_counters": f"""WITH {STATS}, {ATTEMPTS}, {PROVIDER_STATS}
 SELECT provider_type, provider, total_requests, successful_requests, failed_requests, total_rate_limits, total_input_tokens,
        total_output_tokens, total_latency_ms, last_success_time FROM ps""",
-    "streaming_cooldown": "WITH RECURSIVE "
-    + TRIGGERS.replace("(etype IS NULL AND NOT stream AND NOT counting)", "(etype IS NULL AND NOT counting)")
-    + " SELECT provider_type, provider, make_timestamp(us) AS ts, seq FROM t",
-    "streaming_cooldown_unordered": f"""WITH RECURSIVE {TRIGGERS}
+    "streaming_cooldown": f"""WITH RECURSIVE {TRIGGERS}
 SELECT provider_type, provider, make_timestamp(us) AS ts, seq FROM t""",
+    "streaming_cooldown_unordered": f"""WITH RECURSIVE {TRIGGERS}
+SELECT provider_type, provider, make_timestamp(us) AS ts, seq, false AS late FROM t""",
+    "streaming_late_rows": f"""WITH {STATS}
+SELECT date_trunc('hour', "timestamp") AS bucket, provider_type, provider_name, count(*) AS request_count,
+       sum(input_tokens + output_tokens)::BIGINT AS total_tokens, max("timestamp") AS max_timestamp FROM s GROUP BY ALL""",
     "streaming_in_flight": f"""WITH {ATTEMPTS}
 -- the stream reports an open call once its watermark (one minute) has passed the time-out (one minute)
 SELECT rid AS request_id, prov AS provider, ts AS start_ts FROM a

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ from gatelens.sources import readers, writers
 from gatelens.streaming import chunks as live_chunks
 from gatelens.streaming import cooldown as live_cooldown
 from gatelens.streaming import live, update_log
+from gatelens.streaming import rollup as live_rollup
 
 AS_OF = demo.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -660,15 +661,29 @@ def request_chains(spark, sf_dir):
     return chains.request_chains(demo.router_events(spark, sf_dir, chained=True))
 
 
+def _passed_over(spark, sf_dir, log):
+    """Providers that the chained requests passed over, judged by the cooldowns of the plain log."""
+    providers = demo.event_providers(spark, sf_dir).drop("position")
+    return chains.passed_over(log, providers, _stored_triggers(spark, sf_dir), demo.COOLDOWN_S)
+
+
+@query
+def passed_over(spark, sf_dir):
+    skips = _passed_over(spark, sf_dir, demo.router_events(spark, sf_dir, chained=True))
+    return skips.select("request_id", "provider_type", "provider", "priority", "remaining_s")
+
+
 @query
 def attempt_numbers(spark, sf_dir):
-    numbered = chains.attempt_numbers(demo.router_events(spark, sf_dir, chained=True))
+    log = demo.router_events(spark, sf_dir, chained=True)
+    numbered = chains.attempt_numbers(log, _passed_over(spark, sf_dir, log))
     return numbered.select("request_id", "provider", "timestamp", "type", "attempt_no")
 
 
 @query
 def failure_summaries(spark, sf_dir):
-    return chains.failure_summary(demo.router_events(spark, sf_dir, chained=True))
+    log = demo.router_events(spark, sf_dir, chained=True)
+    return chains.failure_summary(log, _passed_over(spark, sf_dir, log))
 
 
 # ---- cooldown -------------------------------------------------------------------------------------------------------
@@ -880,49 +895,66 @@ def streaming_counters(spark, sf_dir):
     )
 
 
+DELAY_S = 1800
+
+
+def _arrivals(rows, path: str, parts: int = 4):
+    """Rows as files in the order of their arrival, up to half an hour out of the order of their times."""
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(DELAY_S * 1_000_000))
+    rows = materialize(rows.withColumn("arrival", arrival), "arrivals")
+    edges = rows.approxQuantile("arrival", [n / parts for n in range(1, parts)], 0.01)
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = rows if low is None else rows.filter(F.col("arrival") >= low)
+        part = part if high is None else part.filter(F.col("arrival") < high)
+        # one closed file each, as a gateway hands over: what comes in one micro-batch does not depend on the writer
+        part.drop("arrival").coalesce(1).write.mode("append").parquet(path)
+
+
 @query
 def streaming_cooldown(spark, sf_dir):
+    """From raw request and end events in several files, out of order, under the default reset rule."""
     path = scratch_path(spark, "live")
-    log = demo.events_of(_event_stream(spark, sf_dir))
-    # in the stream of the test events the stream flag of a response is known from its own row
-    outcome = (
-        F.when((F.col("type") == "error") & (F.col("status_code") == 429), cooldown.RATE_LIMITED)
-        .when((F.col("type") == "response") & F.col("usage").isNotNull(), cooldown.SUCCESS)
-        .otherwise(cooldown.OTHER)
-    )
-    rows = log.filter("type in ('response', 'error') and provider <> 'all'").select(
-        derive.provider_type(F.col("endpoint")).alias("provider_type"),
-        "provider",
-        F.col("timestamp").alias("ts"),
-        "seq",
-        outcome.alias("outcome"),
-    )
-    detector = live_cooldown.LiveCooldown(path, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600)
-    detector.start(rows, path + "-checkpoint").awaitTermination()
-    found = live_cooldown.read_triggers(spark, path)
+    log = demo.router_events(spark, sf_dir).filter("type in ('request', 'response', 'error')")
+    names = ["type", "request_id", "provider", "endpoint", "stream", "usage", "input_tokens", "status_code", "seq"]
+    _arrivals(log.select(F.col("timestamp").alias("ts"), *names), path + "/in")
+    source = live.stream_parquet(spark, path + "/in", files_per_trigger=1).withColumnRenamed("ts", "timestamp")
+    outcomes = live_cooldown.live_outcomes(source, f"{DELAY_S} seconds")
+    detector = live_cooldown.LiveCooldown(path, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600, lateness_s=DELAY_S)
+    detector.start(outcomes, path + "-checkpoint").awaitTermination()
+    found = live_cooldown.read_triggers(spark, path).unionByName(detector.expected(spark))
     return found.select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq")
 
 
 @query
 def streaming_cooldown_unordered(spark, sf_dir):
-    """Default reset rule, with files whose events are up to half an hour out of order."""
+    """From outcomes in files whose events are up to half an hour out of order; what came too late is in the result."""
     path = scratch_path(spark, "live")
-    delay_s = 1800
-    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(delay_s * 1_000_000))
-    rows = materialize(
-        cooldown.outcomes(demo.router_events(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrival", arrival),
-        "outcomes",
-    )
-    edges = rows.approxQuantile("arrival", [0.25, 0.5, 0.75], 0.01)
-    for low, high in zip([None, *edges], [*edges, None]):
-        part = rows if low is None else rows.filter(F.col("arrival") >= low)
-        part = part if high is None else part.filter(F.col("arrival") < high)
-        part.drop("arrival").write.mode("append").parquet(path + "/in")
-    detector = live_cooldown.LiveCooldown(path, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600, lateness_s=delay_s)
+    rows = cooldown.outcomes(demo.router_events(spark, sf_dir))
+    _arrivals(rows.withColumn("ts", F.col("ts").cast("timestamp")), path + "/in")
+    detector = live_cooldown.LiveCooldown(path, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600, lateness_s=DELAY_S)
     source = live.stream_parquet(spark, path + "/in", files_per_trigger=1)
     detector.start(source, path + "-checkpoint").awaitTermination()
-    found = live_cooldown.read_triggers(spark, path).unionByName(detector.expected(spark))
-    return found.select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq")
+    found = live_cooldown.read_triggers(spark, path).unionByName(detector.expected(spark)).withColumn("late", F.lit(False))
+    late = live_cooldown.read_late(spark, path).select("provider_type", "provider", "us", "seq", F.lit(True).alias("late"))
+    return found.unionByName(late).select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq", "late")
+
+
+@query
+def streaming_late_rows(spark, sf_dir):
+    """A live rollup of four files; rows of a fifth of all hours come with the last one, days behind the watermark."""
+    path = scratch_path(spark, "live")
+    rows = demo.request_stats(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    hour = F.call_function("div", F.unix_micros("timestamp"), F.lit(3_600_000_000))
+    quarter = F.ntile(4).over(Window.orderBy("day"))
+    days = rows.select(F.to_date("timestamp").alias("day")).distinct().withColumn("part", quarter)
+    placed = rows.withColumn("day", F.to_date("timestamp")).join(days, "day").withColumn("part", F.when(hour % 5 == 0, 4).otherwise(F.col("part")))
+    placed = materialize(placed.drop("day"), "placed")
+    for n in range(1, 5):
+        placed.filter(f"part = {n}").drop("part").coalesce(1).write.mode("append").parquet(path + "/in")
+    table = live_rollup.LiveRollup(path + "/table", "hour", delay_s=3600)
+    table.start(live.stream_parquet(spark, path + "/in", files_per_trigger=1), path + "-checkpoint").awaitTermination()
+    table.refresh(spark)
+    return table.windows(spark).select("bucket", "provider_type", "provider_name", "request_count", "total_tokens", "max_timestamp")
 
 
 @query

@@ -1,8 +1,10 @@
 """Live cooldown detection.
 
-Each micro-batch runs the distributed batch operator over its own events plus what is still open from before: at most
-``threshold - 1`` rate limits per provider, and the events held back. That is the whole state; it is written per batch next
-to the triggers, so a repeated batch gives the same result and a lost executor loses nothing.
+``live_outcomes`` joins the end events of a streaming log with their request events. ``LiveCooldown`` finds the triggers
+in such outcomes: each micro-batch runs the distributed batch operator over its own events plus what is still open from
+before, which is at most ``threshold - 1`` rate limits per provider, and the events held back. That is the whole state. It
+is written with the triggers as one version of the tables (see ``store``), so a repeated batch gives the same result and
+a lost executor loses nothing.
 
 Events newer than the newest event time less ``lateness_s`` are held back, so that others may still come before them. What
 is released is final: an arrival not newer than the newest released event of its provider is set aside in ``late``.
@@ -17,16 +19,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gatelens.operators import cooldown as C
-from gatelens.streaming.update_log import batch_ids, write_batch
+from gatelens.operators.facts import KEY as ATTEMPT
+from gatelens.operators.facts import count_tokens_event, terminals
+from gatelens.streaming.store import Batch, LiveStore
 
 KEY = ["provider_type", "provider"]
 # is_limit: an open rate limit, or else the newest released event; null in rows held back, which have their outcome
 _STATE = "provider_type string, provider string, us bigint, seq bigint, is_limit boolean, held string"
 
 
+def live_outcomes(
+    events: DataFrame, delay: str = "10 minutes", timeout: str = "10 minutes", reset_on: Column | None = None
+) -> DataFrame:
+    """Outcomes from a streaming event log, as ``cooldown.outcomes`` has them from a stored one.
+
+    Whether a success resets the count depends on the stream flag of its request event, so both are joined: an end event
+    goes out with its request event as soon as both are there. ``timeout`` is the longest that an attempt may take; an end
+    event without a request event within it goes out alone once the watermark has passed it, hence as late as ``delay``
+    and ``timeout`` together. Copies of a request event do not multiply rows. What comes later than ``delay`` is dropped by
+    Spark's watermark; give as much as the log can be out of order.
+    """
+    asked = events.filter(F.col("type") == "request").select(
+        *[F.col(k).alias(f"start_{k}") for k in ATTEMPT],
+        F.col("timestamp").alias("start_ts"),
+        F.col("endpoint").alias("start_endpoint"),
+        "stream",
+    )
+    asked = asked.withWatermark("start_ts", delay).dropDuplicatesWithinWatermark([f"start_{k}" for k in ATTEMPT])
+    ended = terminals(events).select(
+        *ATTEMPT,
+        F.col("timestamp").alias("end_ts"),
+        F.col("seq").alias("end_seq"),
+        "endpoint",
+        F.when(F.col("type") == "response", F.lit("success")).otherwise(F.lit("failed")).alias("outcome"),
+        count_tokens_event().alias("is_count_tokens"),
+        "status_code",
+    )
+    same = (F.col("request_id") == F.col("start_request_id")) & (F.col("provider") == F.col("start_provider"))
+    within = F.col("start_ts").between(F.col("end_ts") - F.expr(f"INTERVAL {timeout}"), F.col("end_ts"))
+    joined = ended.withWatermark("end_ts", delay).join(asked, same & within, "left_outer")
+    finished = joined.withColumns(
+        {"endpoint": F.coalesce("start_endpoint", "endpoint"), "stream": F.coalesce("stream", F.lit(False))}
+    )
+    return C.outcomes(events, reset_on, finished=finished)
+
+
 @dataclass(frozen=True)
 class LiveCooldown:
-    """Streaming cooldown triggers below ``path``: folders ``triggers``, ``state`` and ``late``."""
+    """Streaming cooldown triggers below ``path``: tables ``triggers``, ``state`` and ``late``."""
 
     path: str
     threshold: int = C.THRESHOLD
@@ -36,6 +76,7 @@ class LiveCooldown:
 
     def start(self, outcomes: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """``outcomes``: streaming provider (and provider_type), ts, seq, outcome."""
+        LiveStore(outcomes.sparkSession, self.path).vacuum()
         return (
             outcomes.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
@@ -44,17 +85,19 @@ class LiveCooldown:
         )
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        version = LiveStore(batch.sparkSession, self.path).batch(batch_id)
+        if version is None:
+            return
         batch = batch.persist()  # read several times below
         try:
-            self._process(batch, batch_id)
+            self._process(batch, version)
         finally:
             batch.unpersist()
 
-    def _process(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    def _process(self, batch: DataFrame, version: Batch) -> None:
         if "provider_type" not in batch.columns:
             batch = batch.withColumn("provider_type", F.lit(""))
-        state = self._state(spark, batch_id)
+        state = self._state(batch.sparkSession)
         # the newest event seen per provider: older arrivals cannot change a decision any more and are set aside
         seen = state.filter("not is_limit").select(*KEY, _key().alias("seen"))
         rows = batch.select(*KEY, C.as_us(F.col("ts")).alias("us"), "seq", "outcome").join(
@@ -73,27 +116,24 @@ class LiveCooldown:
         found = C.triggers(
             both.withColumn("ts", F.timestamp_micros("us")), self.threshold, self.window_s, slice_s=self.slice_s
         )
-        write_batch(late, f"{self.path}/late", batch_id)
-        write_batch(found.select(*KEY, "us", "seq"), f"{self.path}/triggers", batch_id)
-        stored = spark.read.parquet(f"{self.path}/triggers/batch={batch_id}")
+        version.add("late", late)
+        found = version.add("triggers", found.select(*KEY, "us", "seq"))
         held = pool.filter(F.col("us") > border).select(
             *KEY, "us", "seq", F.lit(None).cast("boolean").alias("is_limit"), F.col("outcome").alias("held")
         )
-        decided = self._next_state(both, state, stored).withColumn("held", F.lit(None).cast("string"))
-        write_batch(decided.unionByName(held), f"{self.path}/state", batch_id)
+        decided = self._next_state(both, state, found).withColumn("held", F.lit(None).cast("string"))
+        version.add("state", decided.unionByName(held), replace=True)
+        version.commit()
 
     def expected(self, spark: SparkSession) -> DataFrame:
         """Triggers among the events still held back, if nothing comes before them; columns as ``read_triggers``."""
-        last = max(batch_ids(spark, f"{self.path}/state"), default=-1)
-        state = self._state(spark, last + 1)
+        state = self._state(spark)
         rows = _held(state).unionByName(_open_limits(state)).withColumn("ts", F.timestamp_micros("us"))
         return C.triggers(rows, self.threshold, self.window_s, slice_s=self.slice_s).select(*KEY, "us", "seq")
 
-    def _state(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        earlier = [b for b in batch_ids(spark, f"{self.path}/state") if b < batch_id]
-        if not earlier:
-            return spark.createDataFrame([], _STATE)
-        return spark.read.schema(_STATE).parquet(f"{self.path}/state/batch={earlier[-1]}")
+    def _state(self, spark: SparkSession) -> DataFrame:
+        found = LiveStore(spark, self.path).read("state")
+        return spark.createDataFrame([], _STATE) if found is None else found
 
     def _next_state(self, rows: DataFrame, state: DataFrame, found: DataFrame) -> DataFrame:
         resets = rows.filter(F.col("outcome") == C.SUCCESS).select(*KEY, "us", "seq").unionByName(found)
@@ -139,4 +179,9 @@ def _key() -> Column:
 
 def read_triggers(spark: SparkSession, path: str) -> DataFrame:
     """All triggers found so far."""
-    return spark.read.parquet(f"{path}/triggers").select(*KEY, "us", "seq")
+    return LiveStore(spark, path).read("triggers").select(*KEY, "us", "seq")
+
+
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    """All events that came too late to count."""
+    return LiveStore(spark, path).read("late")

@@ -108,12 +108,10 @@ def test_long_storm_over_many_chunks(spark):
     assert sorted(r.seq for r in got.collect()) == list(range(2, 5000, 3))
 
 
-def test_one_time_for_everything(spark, monkeypatch):
+def test_one_time_for_everything(spark):
     rows = limits(*[5] * 600) + [ok(5)] + limits(*[5] * 10)
     df = outcomes(spark, rows)
-    expected = sorted(r.seq for r in C.triggers(df).collect())
-    monkeypatch.setitem(running_module.running.__kwdefaults__, "max_slice_rows", 50)
-    assert sorted(r.seq for r in C.triggers(df).collect()) == expected == sorted(n for _, n in walk(rows, 3, 60))
+    assert sorted(r.seq for r in C.triggers(df).collect()) == sorted(n for _, n in walk(rows, 3, 60))
 
 
 def test_argument_checks(spark):
@@ -167,22 +165,40 @@ def test_skipped_providers(spark):
 @given(
     st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 60), st.integers(-5, 5)), max_size=60),
     st.integers(1, 70),
-    st.sampled_from([None, 3, 1000]),
+    st.sampled_from([2, 4096]),
 )
-@example([("a", 7, n % 5) for n in range(40)], 10, 4)  # one time for everything: cut by ranges
-def test_running(spark, rows, slice_s, largest):
+@example([("a", 7, n % 5) for n in range(40)], 10, 2)  # one time for everything
+@example([("a", n, n % 5) for n in range(40)], 1, 3)  # many blocks of slices
+def test_running(spark, rows, slice_s, block):
+    running_module.BLOCK = block
     data = [(k, us * 1_000_000, n, v) for n, (k, us, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "k string, us long, n long, v long")
     got = running(
         df, ["k"], ["us", "n"], time_slice("us", slice_s), {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))},
-        max_slice_rows=largest,
     )
     back = running(
         df, ["k"], ["us", "n"], time_slice("us", slice_s), {"low": ("min", F.col("v"))}, reverse=True, inclusive=False,
-        max_slice_rows=largest,
     )
     low = {r.n: r.low for r in back.collect()}
     for r in got.collect():
         before = [v for k, us, n, v in data if k == r.k and (us, n) <= (r.us, r.n)]
         after = [v for k, us, n, v in data if k == r.k and (us, n) > (r.us, r.n)]
         assert (r.s, r.m, low[r.n]) == (sum(before), max(before), min(after, default=None))
+
+
+@settings(max_examples=8, deadline=None)
+@given(events, st.lists(st.tuples(st.sampled_from("pq"), st.integers(0, 200)), max_size=30), st.integers(1, 300))
+def test_time_left(spark, rows, asked, slice_s):
+    trig = C.triggers(outcomes(spark, rows), 2, 10)
+    starts = [(r.provider, r.us) for r in trig.collect()]
+    asks = spark.createDataFrame(
+        [(n, p, T0 + dt.timedelta(seconds=s)) for n, (p, s) in enumerate(asked)], "us int, provider string, ts timestamp"
+    )
+    got = {r.us: r.remaining_s for r in C.with_remaining(asks, trig, 20, slice_s=slice_s).collect()}
+    zero = int(T0.timestamp() * 1_000_000)
+    assert len(got) == len(asked)
+    for n, (p, s) in enumerate(asked):
+        us = zero + s * 1_000_000
+        last = max((start for q, start in starts if q == p and start <= us), default=None)
+        left = None if last is None or last + 20_000_000 <= us else (last + 20_000_000 - us) / 1_000_000
+        assert got[n] == left

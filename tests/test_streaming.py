@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from helpers import log
 from test_chunks import delta, recorded, stream
 
 from gatelens.operators import chunks as B
@@ -11,7 +12,8 @@ from gatelens.operators.stats import event_counters
 from gatelens.plans import demo
 from gatelens.streaming import chunks as live_chunks
 from gatelens.streaming import live, update_log
-from gatelens.streaming.cooldown import LiveCooldown, read_triggers
+from gatelens.streaming.cooldown import LiveCooldown, live_outcomes, read_late, read_triggers
+from gatelens.streaming.rollup import LiveRollup
 
 AS_OF = demo.AS_OF
 
@@ -30,9 +32,7 @@ def test_live_series_is_the_batch_series(spark, sf_dir, tmp_path):
     out = str(tmp_path / "out")
     key = ["bucket", "provider_type", "provider_name"]
     changes = live.live_requests(rows, "hour")
-    update_log.start(changes, out, str(tmp_path / "ck"), key, snapshot_every=2).awaitTermination()
-    assert len(update_log.batch_ids(spark, out)) >= 4
-    assert update_log.batch_ids(spark, out, "snapshot")[:2] == [1, 3]
+    update_log.start(changes, out, str(tmp_path / "ck"), key, fan=2).awaitTermination()
     windows = update_log.latest(spark, out, key)
     got = live.live_series(windows, AS_OF, "hour", 48, "openai").collect()
     batch = R.requests_over_time(stats, AS_OF, "hour", 48, "openai").collect()
@@ -67,7 +67,7 @@ def test_live_cooldown_finds_the_batch_triggers(spark, sf_dir, tmp_path):
     got = sorted((r.provider_type, r.provider, r.us, r.seq) for r in read_triggers(spark, path).collect())
     batch = C.triggers(rows, 3, 40_000, slice_s=3600).collect()
     assert got == sorted((r.provider_type, r.provider, r.us, r.seq) for r in batch) and got
-    assert spark.read.parquet(path + "/late").count() == 0
+    assert read_late(spark, path).count() == 0
 
 
 def test_live_cooldown_repeats_a_batch_and_sets_late_rows_aside(spark, tmp_path):
@@ -83,7 +83,7 @@ def test_live_cooldown_repeats_a_batch_and_sets_late_rows_aside(spark, tmp_path)
         detector.process(batch((2, 5), (3, 20)), 1)
     detector.process(batch((4, 25), (5, 26), (6, 27)), 2)
     assert sorted(r.seq for r in read_triggers(spark, str(tmp_path)).collect()) == [3, 6]
-    assert [r.seq for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [2]
+    assert [r.seq for r in read_late(spark, str(tmp_path)).collect()] == [2]
 
 
 def test_live_cooldown_waits_for_events_out_of_order(spark, tmp_path):
@@ -105,7 +105,7 @@ def test_live_cooldown_waits_for_events_out_of_order(spark, tmp_path):
     detector.process(batch((7, 60, hit), (8, 11, hit)), 4)
     assert [r.seq for r in read_triggers(spark, str(tmp_path)).collect()] == [1]
     assert detector.expected(spark).count() == 0
-    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "late")).collect()) == [1, 8]
+    assert sorted(r.seq for r in read_late(spark, str(tmp_path)).collect()) == [1, 8]
 
 
 def test_live_in_flight(spark, tmp_path):
@@ -172,3 +172,83 @@ def test_refresh_after_late_rows(spark, tmp_path):
     live.refresh_rollup(grown, out, [dt.date(2024, 1, 2)])
     got = spark.read.parquet(out).drop("date")
     assert sorted(map(tuple, got.select(stats(grown).columns).collect())) == sorted(map(tuple, stats(grown).collect()))
+
+
+def _log(spark, rows):
+    """(type, request, provider, second, stream, status) in log order, as a stream can read them."""
+    names = ["type", "request_id", "provider", "at", "stream", "status_code"]
+    full = [dict(zip(names, row, strict=True)) for row in rows]
+    full = [r | {"usage": (1, 1, 2, 0)} if r["type"] == "response" else r for r in full]
+    return log(spark, full).drop("full_request", "full_response", "details")
+
+
+def test_live_outcomes_are_the_batch_outcomes(spark, tmp_path):
+    """The stream flag comes from another file; requests come twice or late, and one end has no request."""
+    ask, end = "request", "response"
+    files = [
+        [(end, "lost", "p", 31, None, None), (ask, "a", "p", 0, False, None), (ask, "a", "p", 0, False, None), (ask, "b", "p", 1, True, None)],
+        [(end, "a", "p", 20, None, None), (end, "c", "p", 25, None, None), ("error", "d", "q", 26, None, 429)],
+        [(ask, "c", "p", 24, True, None), (end, "b", "p", 30, None, None), (ask, "d", "q", 25, None, None)],
+        [(ask, "z", "p", 5000, False, None), (end, "z", "p", 5001, None, None)],
+        [(ask, "y", "p", 9000, False, None), (end, "y", "p", 9001, None, None)],
+    ]
+    rows = _log(spark, [row for part in files for row in part])
+    at = 0
+    for part in files:
+        rows.filter(f"seq >= {at} and seq < {at + len(part)}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        at += len(part)
+    source = live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
+    query = (
+        live_outcomes(source, "1 minute", "1 minute").writeStream.format("memory").queryName("live_outcomes")
+        .trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    )
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.table("live_outcomes").collect()))
+    assert got == sorted(map(tuple, C.outcomes(rows).collect())) and len(got) == 7
+
+
+def test_live_cooldown_from_raw_events(spark, tmp_path):
+    """Both queries of live cooldowns at a size where events of a quarter overtake each other."""
+    from gatelens.plans.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = _outcomes(spark, sf_dir)
+    batch = sorted(
+        (r.provider_type, r.provider, r.seq) for r in C.triggers(rows, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600).collect()
+    )
+    for name in ("streaming_cooldown", "streaming_cooldown_unordered"):
+        got = QUERIES[name](spark, sf_dir).collect()
+        assert sorted((r.provider_type, r.provider, r.seq) for r in got) == batch and batch
+        assert not any(getattr(r, "late", False) for r in got)
+
+
+def _stats_rows(spark, times):
+    t0 = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame(
+        [(t0 + dt.timedelta(hours=h), "openai", f"p{h % 2}", float(h), True, None, 1, 2, 0) for h in times],
+        "timestamp timestamp, provider_type string, provider_name string, latency_ms double, is_streaming boolean, "
+        "time_to_first_token_ms double, input_tokens long, output_tokens long, cached_tokens long",
+    )
+
+
+def test_late_rows_make_their_dates_dirty(spark, tmp_path):
+    table = LiveRollup(str(tmp_path), "hour", delay_s=3600)
+    parts = [[0, 1, 2, 30], [30, 31, 60], [3, 29, 30, 61], [62, 4, 61]]
+    for n, part in enumerate(parts):
+        for _ in range(2):  # every batch once more, as after a failure
+            table.process(_stats_rows(spark, part), n)
+        if n == 2:
+            assert table.refresh(spark) == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)] and table.dirty(spark) == []
+            assert table.refresh(spark) == []
+    assert [str(d) for d in table.dirty(spark)] == ["2024-01-01"]
+    assert table.late(spark).count() == 4
+
+    def same():
+        whole = R.rollup(_stats_rows(spark, [h for part in parts for h in part]), "hour")
+        return sorted(map(str, table.windows(spark).select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+    assert not same()
+    assert table.refresh(spark) == [dt.date(2024, 1, 1)] and same()
+    table.process(_stats_rows(spark, [63, 63]), len(parts))
+    parts.append([63, 63])
+    assert same()
