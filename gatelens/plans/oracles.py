@@ -105,7 +105,7 @@ skips AS (
   LEFT JOIN served USING (cid)
   WHERE (served.prio IS NULL OR dims.prio < served.prio)
     AND NOT EXISTS (SELECT 1 FROM tried WHERE tried.cid = q.cid AND tried.cprov = dims.prov)
-  GROUP BY ALL)"""
+  GROUP BY q.cid, q.ptype, q.ts, dims.prov, dims.prio)"""
 
 DEC = "DECIMAL(18,2)"
 
