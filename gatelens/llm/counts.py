@@ -58,11 +58,11 @@ def current(spark: SparkSession, store: str) -> DataFrame:
 def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame) -> bool:
     """Applies a batch of changes (``kind, doc_id, source, lang, tokenizer, tokens``); False if it was there already.
 
-    ``insert`` and ``revise`` both set what is known of a document under a tokenizer; ``delete`` ends it (only its
+    ``insert`` and ``revise`` (and a null or any other kind) set what is known of a document under a tokenizer; ``delete`` ends it (only its
     ``doc_id`` and ``tokenizer`` count, a null tokenizer means all). An insert of a known document therefore revises
     it, and a delete of an unknown one changes nothing. Rows for the same document and tokenizer in one batch: a
     delete wins, then the largest count, so that repeated rows count once. Null ids cannot be told apart and are one
-    document. Null source or language is a group of its own, null tokens count 0. An empty batch commits nothing but
+    document. Null source, language or tokenizer is a group of its own, null tokens count 0. An empty batch commits nothing but
     its name.
     """
     done = committed(spark, store)
@@ -78,7 +78,7 @@ def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame) -> b
     )
     empty = F.lit(None).cast("string")
     wanted = (
-        changes.filter("kind <> 'delete'")
+        changes.filter("coalesce(kind, 'insert') <> 'delete'")
         .select("doc_id", "tokenizer", "source", "lang", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.lit(False).alias("ends"))
         .union(named.select("doc_id", "tokenizer", empty, empty, F.lit(0).cast("long"), F.lit(True)))
         .groupBy("doc_id", "tokenizer")
@@ -91,7 +91,7 @@ def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame) -> b
     )
     entries.write.mode("overwrite").parquet(f"{store}/ledger/name={batch}")
     written = spark.read.schema(_LEDGER).parquet(f"{store}/ledger/name={batch}")
-    same = written["doc_id"].eqNullSafe(before["doc_id"]) & (written["tokenizer"] == before["old_tokenizer"])
+    same = written["doc_id"].eqNullSafe(before["doc_id"]) & written["tokenizer"].eqNullSafe(before["old_tokenizer"])
     both = written.join(before, same, "left")
     signed = both.select(
         F.explode(

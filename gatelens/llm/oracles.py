@@ -52,9 +52,9 @@ m AS (
     FROM w LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)
 ),
 f AS (
-    SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (n_symbols > n_words)::INT
-        + 8 * (word_chars < 2 * n_words)::INT + 16 * (word_chars > 40 * n_words)::INT
-        + 32 * (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines)::INT)::BIGINT AS failures FROM m
+    SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
+        + 32 * (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines)::INT + 64 * (10 * n_symbols > n_words)::INT
+        + 128 * (word_chars < 3 * n_words)::INT + 256 * (word_chars > 10 * n_words)::INT)::BIGINT AS failures FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
     failures = 0 AS kept, failures FROM f
@@ -63,8 +63,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 _OP6_ABLATIONS = f"""
 WITH ledger AS ({_OP6}),
 b AS (
-    SELECT failures + 64 * (10 * n_symbols > n_words)::INT + 128 * (word_chars < 3 * n_words)::INT
-        + 256 * (word_chars > 10 * n_words)::INT AS failures FROM ledger
+    SELECT failures + 4 * (n_symbols > n_words)::INT + 8 * (word_chars < 2 * n_words)::INT
+        + 16 * (word_chars > 40 * n_words)::INT AS failures FROM ledger
 ),
 p(policy, rule, bit, all_bits) AS (VALUES
     ('base', 'few_words', 1, 3), ('base', 'repeated_phrases', 2, 3),

@@ -46,10 +46,10 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger under policy v2, which its SQL states; op6_policy_ablations has every policy."""
-    judged = rules.judged(rules.ledger(documents(spark, sf_dir)), "v2")
+    """The ledger under the current policy; op6_policy_ablations has every policy."""
+    judged = rules.judged(rules.ledger(documents(spark, sf_dir)))
     base = F.col("failures").bitwiseAND(F.lit(rules.mask("base"))) != 0
-    failures = F.col("failures").bitwiseAND(F.lit(rules.mask("v2"))).alias("failures")
+    failures = F.col("failures").bitwiseAND(F.lit(rules.mask(rules.CURRENT))).alias("failures")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", failures,
     )

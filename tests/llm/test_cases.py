@@ -275,6 +275,10 @@ def test_counts(spark, tmp_path):
     assert counts.commit(spark, store, "two", change(("revise", 1, "b", "en", "v1", 7), ("delete", 9, None, None, None, 0)))
     got = {tuple(r) for r in counts.totals(spark, store).collect()}
     assert got == {("b", "en", "v1", 1, 7), (None, "en", "v1", 1, 0)}
+    untold = ("insert", 3, "c", "en", None, 5)
+    for name in ("null", "null again"):  # the same insert under no tokenizer twice, and one of no kind
+        assert counts.commit(spark, f"{store}-null", name, change(untold, (None, 4, "c", "en", None, 2)))
+    assert {tuple(r) for r in counts.totals(spark, f"{store}-null").collect()} == {("c", "en", None, 2, 7)}
     assert counts.commit(spark, store, "three", change(("delete", 1, None, None, None, 0)))
     assert {tuple(r) for r in counts.totals(spark, store).collect()} == {(None, "en", "v1", 1, 0)}
 
