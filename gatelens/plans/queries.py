@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 from gatelens import schemas
 from gatelens.functions import derive
 from gatelens.functions import usage as U
-from gatelens.operators import chains, chunks, cooldown, facts, reports, stats
+from gatelens.operators import chains, chunks, cooldown, daily, facts, reports, stats
 from gatelens.operators import providers as P
 from gatelens.operators.running import running, time_slice
 from gatelens.plans import demo, health, publish
 from gatelens.plans.dashboard import Dashboard
 from gatelens.session import materialize, scratch_path
-from gatelens.sources import readers, writers
+from gatelens.sources import archive, readers, writers
 from gatelens.streaming import chunks as live_chunks
 from gatelens.streaming import cooldown as live_cooldown
 from gatelens.streaming import live, update_log
@@ -277,23 +277,27 @@ def recorded_chunks(spark, sf_dir):
 
 @query
 def archive_round_trip(spark, sf_dir):
+    """Two runs, the second with rows that came late for archived dates; then live and archived rows together."""
     path = scratch_path(spark, "archive")
-    writers.archive_events(demo.router_events(spark, sf_dir), path, AS_OF)
-    archived = spark.read.parquet(path)
-    return archived.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last_ts"))
+    events = demo.router_events(spark, sf_dir)
+    archive.archive_events(events.filter("seq % 5 <> 1"), path, AS_OF - dt.timedelta(days=4))
+    archive.archive_events(events, path, AS_OF)
+    kept = archive.read_archive(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last_ts"))
+    both = archive.with_archive(events, path).groupBy("date").agg(F.count(F.lit(1)).alias("n_all"))
+    return both.join(kept, "date", "left")
 
 
 @query
 def archive_bytes(spark, sf_dir):
+    """Rows by date as the archive records them, and whether its files are smaller than plain ones of the same date."""
     path = scratch_path(spark, "archive")
     events = demo.router_events(spark, sf_dir).withColumn("date", F.to_date("timestamp"))
     events.write.option("compression", "none").partitionBy("date").parquet(path + "/plain")
-    writers.archive_events(events, path + "/zstd", AS_OF.replace(year=2025))
+    archive.archive_events(events, path + "/zstd", AS_OF.replace(year=2025))
     report = writers.archive_report(spark, path + "/plain", path + "/zstd")
-    return report.select(
-        (F.col("bytes_after") < F.col("bytes_before")).alias("smaller"),
-        F.col("reduction_pct").between(0, 100).alias("in_range"),
-    )
+    smaller = report.select(((F.col("bytes_after") < F.col("bytes_before")) & F.col("reduction_pct").between(0, 100)).alias("smaller"))
+    dates = archive.archived_dates(spark, path + "/zstd").select("date", "rows", (F.col("bytes") > 0).alias("has_bytes"))
+    return dates.withColumn("smaller", F.lit(smaller.first().smaller))
 
 
 @query
@@ -694,6 +698,25 @@ def cooldown_triggers(spark, sf_dir):
     return _triggers(_marks(spark, sf_dir)).select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq")
 
 
+@query
+def cooldown_triggers_daily(spark, sf_dir):
+    """Stored maps by day: all days but the last three and one in the middle at once, then these one by one."""
+    path = scratch_path(spark, "daily")
+    cooldown.outcomes(demo.router_events(spark, sf_dir), only_marks=True).withColumn("date", F.to_date("ts")).write.partitionBy(
+        "date"
+    ).parquet(path + "/outcomes")
+    stored = spark.read.parquet(path + "/outcomes")
+    days = [r.date for r in stored.select("date").distinct().orderBy("date").collect()]
+    table = daily.DailyCooldown(path, daily.DailyRule(demo.THRESHOLD, demo.WINDOW_S, slice_s=3600))
+    single = [*days[-3:], days[len(days) // 2]]
+    table.run(stored, [d for d in days if d not in single])
+    for day in single:
+        later = table.run(stored, [day])
+        if later:
+            table.pick(stored, later)
+    return table.triggers(spark).select("provider_type", "provider", F.timestamp_micros("us").alias("ts"), "seq")
+
+
 @query
 def cooldown_episodes(spark, sf_dir):
     return cooldown.episodes(_stored_triggers(spark, sf_dir), AS_OF, demo.COOLDOWN_S, slice_s=3600)

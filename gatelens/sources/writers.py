@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,41 +37,6 @@ def error_events(events: DataFrame) -> DataFrame:
     return events.filter(F.col("type").isin(WARNING_TYPES))
 
 
-def _archived_dates(spark: SparkSession, path: str) -> list[str]:
-    """Dates already archived, from the partition folder names (no data is read)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(root)]
-    return [name.removeprefix("date=") for name in names if name.startswith("date=")]
-
-
-def archive_selection(events: DataFrame, out: str, as_of: dt.datetime, days: int = 7) -> DataFrame:
-    """Events of whole dates that ended more than ``days`` days before ``as_of`` and are not archived yet."""
-    cutoff = (as_of - dt.timedelta(days=days)).date()
-    done = _archived_dates(events.sparkSession, out)
-    dated = events if "date" in events.columns else events.withColumn("date", F.to_date("timestamp"))
-    old = dated.filter(F.col("date") < F.lit(cutoff))
-    return old.filter(~F.col("date").cast("string").isin(done)) if done else old
-
-
-def archive_events(events: DataFrame, out: str, as_of: dt.datetime, days: int = 7) -> None:
-    """Move-ready zstd copy of old dates. Written through Spark's commit protocol, so no partial file is ever seen.
-
-    A second run skips the dates present, so the job can be repeated.
-    """
-    old = archive_selection(events, out, as_of, days)
-    (
-        old.hint("rebalance", "date")
-        .write.mode("append")
-        .option("compression", "zstd")
-        .partitionBy("date")
-        .parquet(out)
-    )
-
-
 def archive_report(spark: SparkSession, before: str, after: str) -> DataFrame:
     """Bytes before and after and the reduction in percent (0 if there was nothing). File contents are not read."""
 

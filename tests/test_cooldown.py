@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gatelens.operators import cooldown as C
+from gatelens.operators import daily
 from gatelens.operators import running as running_module
 from gatelens.operators.running import running, time_slice
 
@@ -202,3 +203,41 @@ def test_time_left(spark, rows, asked, slice_s):
         last = max((start for q, start in starts if q == p and start <= us), default=None)
         left = None if last is None or last + 20_000_000 <= us else (last + 20_000_000 - us) / 1_000_000
         assert got[n] == left
+
+
+@settings(max_examples=10, deadline=None)
+@given(events, st.integers(1, 4), st.integers(1, 20), st.integers(4, 9), st.integers(1, 3))
+def test_days_one_by_one(spark, rows, k, window, chunk, group):
+    """Maps of short days, composed, give the triggers of one run."""
+    rule = daily.DailyRule(k, window, slice_s=7, chunk=chunk, group=group, day_s=20)
+    marks = daily.day_marks(outcomes(spark, rows), window, rule.day_s)
+    maps = rule.maps(marks)
+    got = rule.triggers(marks, daily.entry_states(maps))
+    assert sorted((r.provider, r.seq) for r in got.collect()) == walk(rows, k, window)
+
+
+def test_daily_table(spark, tmp_path):
+    """Days come one by one and out of order, and one is computed again with more rows: later ones are named."""
+    day0 = dt.date(2024, 1, 1)
+    limits_at = [(0, 86_390), (0, 86_395), (1, 1), (1, 5), (1, 9), (2, 3)]
+
+    def table(extra=()):
+        rows = [("t", "p", dt.datetime(2024, 1, 1) + dt.timedelta(days=d, seconds=s), n, C.RATE_LIMITED) for n, (d, s) in enumerate([*limits_at, *extra])]
+        df = spark.createDataFrame(rows, "provider_type string, provider string, ts timestamp, seq long, outcome string")
+        path = str(tmp_path / f"outcomes{len(extra)}")
+        df.withColumn("date", F.to_date("ts")).write.partitionBy("date").parquet(path)
+        return spark.read.parquet(path), sorted(r.us for r in C.triggers(df, 3, 60).collect())
+
+    first, expected = table()
+    found = daily.DailyCooldown(str(tmp_path / "daily"), daily.DailyRule(3, 60))
+    days = [day0 + dt.timedelta(days=n) for n in range(3)]
+    for day in (days[0], days[2], days[1]):
+        for later in found.run(first, [day]):
+            found.pick(first, [later])
+    assert sorted(r.us for r in found.triggers(spark).collect()) == expected and len(expected) == 1
+    grown, expected = table([(0, 86_380)])
+    assert found.run(grown, [days[0]]) == days[1:]  # three days' limits count as one row of them
+    found.pick(grown, days[1:])
+    assert sorted(r.us for r in found.triggers(spark).collect()) == expected and len(expected) == 2
+    read = found.marks_of(grown, [days[1]])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in read and "2024-01-03" not in read

@@ -6,7 +6,8 @@ import zstandard
 
 from gatelens.operators import providers as P
 from gatelens.operators import reports as R
-from gatelens.sources import readers, writers
+from gatelens.sources import archive, readers, writers
+from gatelens.streaming import store
 
 HEADER = (
     "timestamp,provider_type,provider_name,latency_ms,is_streaming,time_to_first_token_ms,"
@@ -158,17 +159,35 @@ def test_providers(spark, tmp_path):
         readers.read_providers(spark, str(path)).collect()
 
 
-def test_archive(spark, tmp_path):
+def test_archive(spark, tmp_path, monkeypatch):
     as_of = dt.datetime(2024, 1, 20, 12, tzinfo=dt.timezone.utc)
-    days = [1, 12, 13, 14, 19]
-    rows = [(dt.datetime(2024, 1, d, 5, tzinfo=dt.timezone.utc), f"r{d}") for d in days]
+    rows = [(dt.datetime(2024, 1, d, 5, tzinfo=dt.timezone.utc), f"r{d}{x}") for d in [1, 12, 13, 14, 19] for x in "ab"]
+    rows.append((dt.datetime(2024, 1, 12, 5, tzinfo=dt.timezone.utc), None))
     events = spark.createDataFrame(rows, "timestamp timestamp, request_id string")
     out = str(tmp_path / "archive")
-    writers.archive_events(events.filter("request_id = 'r1'"), out, as_of)
-    writers.archive_events(events, out, as_of)  # the day present is skipped
-    found = spark.read.parquet(out)
-    assert sorted(r.request_id for r in found.collect()) == ["r1", "r12"]
+    assert archive.with_archive(events, out).count() == len(rows)
+    assert archive.archive_events(events.filter("request_id in ('r1a', 'r12a', 'r19a')"), out, as_of) == {"2024-01-01": 1, "2024-01-12": 1}
+
+    def die(self):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:  # files of some dates are there, the record is not
+        broken.setattr(store.Batch, "commit", die)
+        with pytest.raises(KeyboardInterrupt):
+            archive.archive_events(events, out, as_of)
+    assert archive.read_archive(spark, out).count() == 2
+    assert archive.with_archive(events, out).count() == len(rows)
+    # what came late for archived dates is added, what is there is not
+    assert archive.archive_events(events, out, as_of) == {"2024-01-01": 1, "2024-01-12": 2}
+    assert archive.archive_events(events, out, as_of) == {}
+    found = archive.read_archive(spark, out)
+    assert sorted(r.request_id or "" for r in found.collect()) == ["", "r12a", "r12b", "r1a", "r1b"]
+    assert archive.with_archive(events, out).count() == len(rows)
+    # live rows that were removed after they were archived come from the archive
+    assert archive.with_archive(events.filter("timestamp > '2024-01-13'"), out).count() == len(rows)
+    assert archive.archived_dates(spark, out).filter("bytes > 0").agg({"rows": "sum"}).first()[0] == 5
     assert any(".zstd." in f.name for f in (tmp_path / "archive").rglob("*.parquet"))
+    assert "PartitionFilters: [isnotnull(date" in found.filter("date = '2024-01-12'")._jdf.queryExecution().toString()
     events.write.option("compression", "none").parquet(str(tmp_path / "plain"))
     report = writers.archive_report(spark, str(tmp_path / "plain"), out).first()
     assert report.bytes_before > 0 and report.bytes_after > 0
