@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from gatelens.operators.reports import rollup
 from gatelens.session import path_exists
 
 ERROR_COPY_SUFFIX = "_errors.jsonl"
+LINE_BITS = 41  # of a sequence number, for the place within its file
 
 
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -66,10 +69,11 @@ def read_router_events(
 ) -> DataFrame:
     """All event types of the JSONL logs below ``path``, plain and archived (``.jsonl.zst``).
 
-    ``*_errors.jsonl`` only holds copies of warnings and errors and is left out. Adds ``file_name`` and ``seq``, the
-    line order inside one file: a split's lines are numbered from its byte offset, and no split has more lines than
-    bytes, so numbers of later splits are always larger. A line that is no JSON has no type; with ``corrupt_column`` its
-    text is kept there, see :func:`split_corrupt`.
+    ``*_errors.jsonl`` only holds copies of warnings and errors and is left out. Adds ``file_name`` and ``seq``, one order
+    over all files below ``path``: files by their path, lines of a file as they stand. A split's lines are numbered from its
+    byte offset, and no split has more lines than bytes, so numbers of later splits are always larger. There may be four
+    million files, of two terabytes each. A line that is no JSON has no type; with ``corrupt_column`` its text is kept
+    there, see :func:`split_corrupt`.
     """
     fields = [*schemas.ROUTER_EVENTS.fields]
     if corrupt_column:
@@ -90,13 +94,26 @@ def read_router_events(
         )
     )
     line_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return lines.select(
+    placed = lines.select(
         *read.fieldNames(),
         F.col("_metadata.file_name").alias("file_name"),
-        (F.col("_metadata.file_block_start") + line_in_task).alias("seq"),
+        F.col("_metadata.file_path").alias("__path"),
+        (F.col("_metadata.file_block_start") + line_in_task).alias("__line"),
+    )
+    return placed.join(_file_ranks(lines), "__path").select(
+        *read.fieldNames(), "file_name", (F.col("__rank") * (1 << LINE_BITS) + F.col("__line")).alias("seq")
     )
 
 
+def _file_ranks(lines: DataFrame) -> DataFrame:
+    """``__path, __rank`` of the files of a scan, from its listing. Spark broadcasts it if it is small."""
+    # the listing writes local paths with three slashes, the metadata column with one
+    names = sorted(re.sub("^file:/+", "file:/", name) for name in lines.inputFiles())
+    if len(names) >= 1 << (63 - LINE_BITS):
+        raise ValueError(f"{len(names)} files are too many for one order")
+    return lines.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "__path string, __rank bigint")
+
+
 def read_router_events_table(spark: SparkSession, path: str, *, missing_ok: bool = True) -> DataFrame:
     """Our Parquet form of the event log, partitioned by ``date`` and ``type``."""
     fields = [*schemas.ROUTER_EVENTS.fields, T.StructField("seq", T.LongType()), T.StructField("date", T.DateType())]

@@ -212,3 +212,23 @@ def test_partitioned_table_is_pruned(spark, tmp_path):
 def test_json_rows(spark):
     df = spark.createDataFrame([("a", None, 1)], "x string, y string, n int")
     assert writers.to_json_rows(df).first().json == '{"x":"a","y":null,"n":1}'
+
+
+def test_one_order_over_many_files(spark, tmp_path):
+    """Two gateways log in the same microseconds: numbers are unique and follow files and lines under any partitioning."""
+    at = "2024-01-01T00:00:00.000001"
+    for folder in ("b", "a b"):  # names repeat in several folders
+        (tmp_path / "logs" / folder).mkdir(parents=True)
+        for n in range(2):
+            lines = [json.dumps({"type": "error", "timestamp": at, "request_id": f"{folder}{n}-{i}", "provider": "p"}) for i in range(300)]
+            (tmp_path / "logs" / folder / f"router_20240101_00000{n}_s.jsonl").write_text("\n".join(lines) + "\n")
+    orders = []
+    for size in ("2k", "7k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = readers.read_router_events(spark, str(tmp_path / "logs" / "*")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len({r.seq for r in rows}) == len(rows) == 1200
+        orders.append([r.request_id for r in sorted(rows, key=lambda r: (r.timestamp, r.seq))])
+    assert orders[0] == orders[1] == orders[2] == [f"{f}{n}-{i}" for f in ("a b", "b") for n in range(2) for i in range(300)]

@@ -7,7 +7,7 @@ import __spark_entry__ as entry_module
 QUERIES = entry_module.queries()
 # the operators for training data may use Python inside tasks, but for the native ones
 NATIVE = [n for n in QUERIES if n not in entry_module.LLM_QUERIES or n.startswith(("op3_", "op4_", "op8_", "op13_"))]
-PYTHON = ["EvalPython", "InArrow", "InPandas", "MapPartitions", "ExistingRDD"]
+PYTHON = ["EvalPython", "InArrow", "InPandas", "MapPartitions"]
 LAZY = [n for n in sorted(QUERIES) if not n.startswith("streaming_")]
 
 
