@@ -541,7 +541,11 @@ SELECT cid AS request_id, count(*) AS attempts, count(etype) AS failures,
     "passed_over": f"""WITH RECURSIVE {SKIPS}
 SELECT cid AS request_id, ptype AS provider_type, prov AS provider, prio AS priority, left_us::DOUBLE / 1000000 AS remaining_s
 FROM skips""",
-    "attempt_numbers": f"""WITH RECURSIVE {SKIPS}
+    "attempt_numbers": f"""WITH {ATTEMPTS}
+SELECT cid AS request_id, cprov AS provider, end_ts AS "timestamp",
+       CASE WHEN etype IS NULL THEN 'response' ELSE 'error' END AS type,
+       row_number() OVER (PARTITION BY cid ORDER BY end_ts, seq) AS attempt_no FROM d""",
+    "attempt_numbers_skips": f"""WITH RECURSIVE {SKIPS}
 SELECT cid AS request_id, cprov AS provider, end_ts AS "timestamp",
        CASE WHEN etype IS NULL THEN 'response' ELSE 'error' END AS type,
        row_number() OVER (PARTITION BY cid ORDER BY end_ts, seq)

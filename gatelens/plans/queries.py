@@ -679,6 +679,13 @@ def passed_over(spark, sf_dir):
 
 @query
 def attempt_numbers(spark, sf_dir):
+    numbered = chains.attempt_numbers(demo.router_events(spark, sf_dir, chained=True))
+    return numbered.select("request_id", "provider", "timestamp", "type", "attempt_no")
+
+
+@query
+def attempt_numbers_skips(spark, sf_dir):
+    """Providers passed over count as attempts."""
     log = demo.router_events(spark, sf_dir, chained=True)
     numbered = chains.attempt_numbers(log, _passed_over(spark, sf_dir, log))
     return numbered.select("request_id", "provider", "timestamp", "type", "attempt_no")
