@@ -308,13 +308,13 @@ def _rows(found: dict, ids: pa.Array, block: str, with_groups: bool) -> Iterator
     times = [found["times"][i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
     hashed = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found["groups"]]
     names = [f.split(" ")[0] for f in _ALIGNED.split(", ")]
-    docs = [pa.array([block] * n), ids, *[pa.array(found[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]]
-    docs += [pa.array(hashed), pa.array(found["groups"] if with_groups else [None] * n, pa.string())]
+    docs = [pa.array([block] * n, pa.string()), ids, *[pa.array(found[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]]
+    docs += [pa.array(hashed, pa.string()), pa.array(found["groups"] if with_groups else [None] * n, pa.string())]
     docs += [pa.array(places, pa.binary()), pa.array(times, pa.binary())]
     docs += [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64())]
     yield pa.record_batch(docs, names)
     pairs = found["pairs"].astype(np.int64)
-    counts = [pa.array([block] * m), *[pa.nulls(m, pa.int64()) for _ in range(5)], pa.nulls(m, pa.string()), pa.nulls(m, pa.string())]
+    counts = [pa.array([block] * m, pa.string()), *[pa.nulls(m, pa.int64()) for _ in range(5)], pa.nulls(m, pa.string()), pa.nulls(m, pa.string())]
     counts += [pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32))]
     counts += [pa.array((pairs >> 16).astype(np.int32)), pa.array((pairs & 0xFFFF).astype(np.int32)), pa.array(found["docs"], pa.int64())]
     yield pa.record_batch(counts, names)

@@ -304,3 +304,20 @@ def test_containment(spark):
     assert inside == 1.0 and abs(back - 996 / 7996) < 0.05
     shares = {(r.doc_id, r.source): r.share for r in sketches.merged_containment(s, "source", "doc_id").collect()}
     assert shares[(2, "a")] == 1.0 and shares[(1, "a")] == 1.0 and shares[(1, "b")] == back
+
+
+def test_empty_tables(spark):
+    turns = spark.createDataFrame([], TURNS)
+    report = repair.repair_report(repair.plain(turns))
+    assert report.count() == 0 and repair.repaired(repair.plain(turns), report).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert align.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).count() == 0
+    nothing = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    rows = align.align(nothing, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).collect()
+    assert [(r.n_a, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in rows] == [(0, 0, 0, 0, "")] * 2
+    gone = repair.damaged(spark.createDataFrame([(c, 0, "user", "Hi.") for c in range(200)], TURNS))
+    dropped = {r._conv for r in gone.filter("_copies = 0").collect()}
+    found = {r._conv: r for r in repair.repair_report(gone).collect()}
+    assert len(found) == 200 and dropped
+    for conv in dropped:
+        assert tuple(found[conv])[1:-2] == (0,) * 6 and found[conv].audit == "" and found[conv].repaired_sha256 == hashlib.sha256(b"").hexdigest()
