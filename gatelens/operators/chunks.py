@@ -25,20 +25,26 @@ DATA_PREFIX = "data:"
 DONE = "[DONE]"
 
 
-def whole_json(text: str | Column) -> Column:
-    """A text as VARIANT if all of it is one JSON value, else NULL.
+def _whole_json(text: Column) -> Column:
+    """An array with the text as VARIANT if all of it is one JSON value, else an empty one; the text is parsed once.
 
     The parser stops after the first value. So the text is parsed as the first of two entries of an array, the second
-    being its own hash: what follows the value is a mistake then, and no text can bring the closing part itself.
+    being its own hash: what follows the value is a mistake then, and no text can bring the closing part itself. The
+    result of the parse is an array's entry, because the optimizer would write it out again wherever a column is used.
     """
-    text = F.col(text) if isinstance(text, str) else text
     mark = F.xxhash64(text)
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    return F.when(F.try_variant_get(pair, "$[1]", "bigint") == mark, F.try_variant_get(pair, "$[0]", "variant"))
+    whole = F.filter(F.array(pair), lambda p: F.try_variant_get(p, "$[1]", "bigint") == mark)
+    return F.transform(whole, lambda p: F.try_variant_get(p, "$[0]", "variant"))
 
 
-def sse_lines(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
-    """Lines of every response: ``request_id, provider_type, pos, line``; ``pos`` gives their order.
+def whole_json(text: str | Column) -> Column:
+    """A text as VARIANT if all of it is one JSON value, else NULL."""
+    return F.get(_whole_json(F.col(text) if isinstance(text, str) else text), F.lit(0))
+
+
+def _byte_lines(chunks: DataFrame, chunks_per_slice: int) -> DataFrame:
+    """``request_id, provider_type, pos, part``: lines as single-byte text, which ``_decoded`` makes characters of.
 
     ``chunks`` has one provider type per request. A line break byte never occurs inside a UTF-8 character, so lines are
     cut from bytes (as single-byte text, which keeps every byte) and decoded whole; bytes that are no UTF-8 become
@@ -55,12 +61,11 @@ def sse_lines(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) ->
         .select(*key, "slice", F.expr(text).alias("text"))
     )
     base = F.shiftleft(F.col("slice"), 32)
-    parts = slices.select(*key, "slice", F.split("text", "\n").alias("parts"))
-    inner = (
-        parts.select(*key, "slice", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
-        .filter((F.col("i") > 0) & (F.col("i") < F.col("n") - 1))
-        .select(*key, (base + F.col("i")).alias("pos"), "part")
-    )
+    # the lines between a slice's first and last break, as one expression: of a column the optimizer would test the size
+    between = "if(size(p) > 2, slice(p, 2, size(p) - 2), cast(array() as array<string>))"
+    inner = slices.select(
+        *key, "slice", F.posexplode(F.expr(f"transform(array(split(text, '\\n')), p -> {between})[0]")).alias("i", "part")
+    ).select(*key, (base + F.col("i") + 1).alias("pos"), "part")
 
     # every slice's last part begins a line, unless the slice has no line break at all
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
@@ -84,24 +89,35 @@ def sse_lines(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) ->
         )
         .drop("begun")
     )
-    both = inner.unionByName(outer.select(*key, "pos", "part"))
-    decoded = F.make_valid_utf8(F.encode("part", "ISO-8859-1").cast("string"))
-    return both.select(*key, "pos", decoded.alias("line"))
+    return inner.unionByName(outer.select(*key, "pos", "part"))
+
+
+def _decoded(text: str | Column) -> Column:
+    return F.make_valid_utf8(F.encode(text, "ISO-8859-1").cast("string"))
+
+
+def sse_lines(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
+    """Lines of every response: ``request_id, provider_type, pos, line``; ``pos`` gives their order."""
+    lines = _byte_lines(chunks, chunks_per_slice)
+    return lines.select("request_id", "provider_type", "pos", _decoded("part").alias("line"))
 
 
-def sse_events(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
+def sse_events(chunks: DataFrame, *, chunks_per_slice: int = CHUNKS_PER_SLICE, key: str | None = None) -> DataFrame:
     """JSON events of every response: ``request_id, provider_type, pos, v``.
 
-    Other lines, empty payloads, the end marker and text that is no JSON are left out.
+    Other lines, empty payloads, the end marker and text that is no JSON are left out. With ``key``, so are events in
+    which no object has that key, as far as the text tells without being parsed: it has neither the key nor an escape
+    that could spell it.
     """
-    lines = sse_lines(chunks, chunks_per_slice=chunks_per_slice)
-    payload = F.trim(F.expr(f"substring(line, {len(DATA_PREFIX) + 1})"), F.lit(" \t\r"))
+    # prefix, key and end marker are plain ASCII and are looked for in the bytes, so that only payloads are decoded
+    lines = _byte_lines(chunks, chunks_per_slice).filter(F.col("part").startswith(DATA_PREFIX))
+    if key is not None:
+        lines = lines.filter(F.col("part").contains(key) | F.col("part").contains("\\u"))
+    payload = F.trim(F.substring("part", len(DATA_PREFIX) + 1, 2**31 - 1), F.lit(" \t\r"))
     return (
-        lines.filter(F.col("line").startswith(DATA_PREFIX))
-        .select("request_id", "provider_type", "pos", payload.alias("payload"))
-        .filter(~F.col("payload").isin("", DONE))
-        .select("request_id", "provider_type", "pos", whole_json("payload").alias("v"))
-        .filter(F.col("v").isNotNull())
+        lines.filter(~payload.isin("", DONE))
+        .select("request_id", "provider_type", "pos", _decoded(payload).alias("payload"))
+        .select("request_id", "provider_type", "pos", F.explode(_whole_json(F.col("payload"))).alias("v"))
     )
 
 
@@ -541,7 +557,7 @@ def stats_from_chunks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests``: request_id, provider_name, start_ts, one row per request. A response whose stream broke off is
     counted like any other.
     """
-    usage = stream_usage(sse_events(chunks))
+    usage = stream_usage(sse_events(chunks, key="usage"))
     return (
         chunk_timing(chunks, requests.select("request_id", "provider_name", "start_ts"))
         .join(usage, ["request_id", "provider_type"], "left")

@@ -59,3 +59,10 @@ def test_events_are_decoded_once_for_a_merge(spark, sf_dir):
     once = plan(events).count("Generate")
     # choices and tool calls are unfolded once each
     assert plan(chunks.merge_openai(events)).count("Generate") == once + 2
+
+
+@pytest.mark.parametrize("name", ["sse_events", "merged_openai", "merged_anthropic", "stats_from_chunks"])
+def test_lines_are_parsed_once(spark, sf_dir, name):
+    """Not again in a filter, nor in each branch of the union of lines."""
+    text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("parseJson(concat([, payload") == 1
