@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions import derive
 from gatelens.operators.cooldown import COOLDOWN_S, as_us, skipped_providers, with_remaining
 from gatelens.operators.facts import KEY, starts, terminals
+from gatelens.operators.reports import UNIT_US, bucket_us, check_interval, from_us, to_us, ts_literal, utc_naive
 from gatelens.operators.running import running, time_slice
 from gatelens.operators.stats import order_key
 
+MIX = ["model", "user_agent", "stream"]
+SKETCH_LG_K = 12  # a sketch takes 4 KB at most; its standard error is 1.04 / sqrt(2 ** 12), 1.6 %
 ATTEMPT_SLICE_S = 60  # bounds the rows one task sorts when one request id is hot
 
 
@@ -204,11 +209,65 @@ def request_mix(events: DataFrame, exact: bool = False) -> DataFrame:
     ids = F.count_distinct("request_id") if exact else F.approx_count_distinct("request_id")
     return (
         events.filter(F.col("type") == "request")
-        .groupBy("model", "user_agent", "stream")
+        .groupBy(*MIX)
         .agg(F.count(F.lit(1)).alias("attempts"), ids.alias("requests"))
     )
 
 
+def request_mix_rollup(events: DataFrame, interval: str = "hour", lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """Partial results of ``request_mix`` per bucket: ``bucket``, model, client, stream flag, ``attempts`` and ``ids``.
+
+    ``ids`` is a HyperLogLog sketch of the request ids. Sketches merge without loss, so a request with attempts in several
+    buckets counts once in any window over them, which sums of distinct counts would not give.
+    """
+    data_type = events.schema["timestamp"].dataType
+    rows = events.filter(F.col("type") == "request")
+    parts = rows.groupBy(bucket_us(check_interval(interval)).alias("us"), *MIX).agg(
+        F.count(F.lit(1)).alias("attempts"), F.hll_sketch_agg("request_id", lg_k).alias("ids")
+    )
+    return parts.select(from_us("us", data_type).alias("bucket"), *MIX, "attempts", "ids")
+
+
+def request_mix_from_rollup(
+    rolled: DataFrame,
+    events: DataFrame,
+    lower: dt.datetime,
+    upper: dt.datetime,
+    interval: str = "hour",
+    lg_k: int = SKETCH_LG_K,
+) -> DataFrame:
+    """``request_mix`` of the request events in ``[lower, upper)`` from a stored rollup of that interval.
+
+    Whole buckets come from the rollup; raw rows are read only for the buckets that a bound cuts. ``attempts`` is exact,
+    ``requests`` an estimate: counts up to some hundreds are exact but for hash collisions, above that the standard error
+    is ``1.04 / sqrt(2 ** lg_k)``.
+    """
+    unit = dt.timedelta(microseconds=UNIT_US[check_interval(interval)])
+    lower, upper = utc_naive(lower), utc_naive(upper)
+    first = lower + dt.timedelta(microseconds=-to_us(lower) % UNIT_US[interval])
+    end = upper - dt.timedelta(microseconds=to_us(upper) % UNIT_US[interval])
+    kind = events.schema["timestamp"].dataType
+
+    def raw(start: dt.datetime, stop: dt.datetime) -> DataFrame:
+        rows = events
+        if "date" in events.columns:
+            rows = rows.filter((F.col("date") >= F.lit(start.date())) & (F.col("date") <= F.lit(stop.date())))
+        at = F.col("timestamp")
+        return request_mix_rollup(rows.filter((at >= ts_literal(start, kind)) & (at < ts_literal(stop, kind))), interval, lg_k)
+
+    if first > end:  # both bounds cut the same bucket
+        parts = raw(lower, upper)
+    else:
+        bucket = F.col("bucket")
+        parts = rolled.filter((bucket >= ts_literal(first, kind)) & (bucket <= ts_literal(end - unit, kind)))
+        for start, stop in ((lower, first), (end, upper)):
+            if start < stop:
+                parts = parts.unionByName(raw(start, stop))
+    return parts.groupBy(*MIX).agg(
+        F.sum("attempts").alias("attempts"), F.hll_sketch_estimate(F.hll_union_agg("ids")).alias("requests")
+    )
+
+
 def offered_providers(events: DataFrame) -> DataFrame:
     """How often each provider was listed when a request chose its provider."""
     listed = events.filter(F.col("type") == "provider_selection").select(F.inline("available_providers"))

@@ -494,6 +494,9 @@ SELECT count(*) FILTER (event_type = 'error' AND k >= 90) AS exhausted_requests,
        count(*) FILTER (event_type = 'error' AND k >= 90)::DOUBLE / count(*) AS share FROM a""",
     "request_mix": f"""WITH {ATTEMPTS}
 SELECT model, agent AS user_agent, stream, count(*) AS attempts, count(DISTINCT rid) AS requests FROM a GROUP BY ALL""",
+    "request_mix_from_rollup": f"""WITH {ATTEMPTS}
+SELECT model, agent AS user_agent, stream, count(*) AS attempts, count(DISTINCT cid) AS requests, true AS within FROM a
+WHERE ts >= TIMESTAMP '2024-01-09 04:30:00' AND ts < TIMESTAMP '2024-01-23 17:15:00' GROUP BY ALL""",
     "offered_providers": f"""WITH {ATTEMPTS}, o AS (SELECT unnest(range(1, prio + 1)) AS priority FROM a)
 SELECT 'p' || (priority - 1) AS name, priority, count(*) AS offered FROM o GROUP BY ALL""",
     "provider_names": f"""WITH {PROVIDERS}

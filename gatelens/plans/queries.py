@@ -589,6 +589,31 @@ def request_mix(spark, sf_dir):
     return chains.request_mix(demo.router_events(spark, sf_dir), exact=True)
 
 
+MIX_FROM, MIX_TO = dt.datetime(2024, 1, 9, 4, 30), dt.datetime(2024, 1, 23, 17, 15)
+
+
+@query
+def request_mix_from_rollup(spark, sf_dir):
+    """Two weeks of the request mix from stored sketches by hour, requests of many attempts on several days included.
+
+    The estimates are compared with the exact counts: ``within`` says that one is at most four standard errors off.
+    """
+    events = demo.router_events(spark, sf_dir, chained=True)
+    rolled = materialize(chains.request_mix_rollup(events), "request-mix")
+    mix = chains.request_mix_from_rollup(rolled, events, MIX_FROM, MIX_TO).withColumnRenamed("requests", "estimate")
+    at = F.col("timestamp")
+    exact = chains.request_mix(events.filter((at >= F.lit(MIX_FROM)) & (at < F.lit(MIX_TO))), exact=True)
+    exact = exact.select(*[F.col(c).alias(f"exact_{c}") for c in chains.MIX], "requests")
+    same = [F.col(c).eqNullSafe(F.col(f"exact_{c}")) for c in chains.MIX]
+    error = 4 * 1.04 / 2 ** (chains.SKETCH_LG_K / 2)
+    return mix.join(exact, same, "full").select(
+        *chains.MIX,
+        "attempts",
+        "requests",
+        (F.abs(F.col("estimate") - F.col("requests")) <= error * F.col("requests")).alias("within"),
+    )
+
+
 @query
 def offered_providers(spark, sf_dir):
     return chains.offered_providers(demo.router_events(spark, sf_dir))
