@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,10 @@ SHARD_PIECES = 1 << 14
 
 @dataclass(frozen=True)
 class Capacity:
-    """Limits of a sequence; documents and attention default to what the tokens allow anyway."""
+    """Limits of a sequence; documents and attention default to what the tokens allow anyway.
+
+    Attention may be below the square of the tokens: a piece then is at most as long as its own attention allows.
+    """
 
     tokens: int = 4096
     documents: int | None = None
@@ -35,10 +39,15 @@ class Capacity:
     def limits(self) -> np.ndarray:
         documents = self.tokens if self.documents is None else self.documents
         attention = self.tokens**2 if self.attention is None else self.attention
-        if not 0 < self.tokens**2 <= attention or documents < 1:
-            raise ValueError("a sequence must have room for one piece of full length")
+        if self.tokens < 1 or documents < 1 or attention < 1:
+            raise ValueError("a sequence must have room for a piece of one token")
         return np.array([self.tokens, documents, attention], np.float64)
 
+    @property
+    def longest(self) -> int:
+        """Tokens of the longest piece that a sequence can hold."""
+        return self.tokens if self.attention is None else min(self.tokens, isqrt(self.attention))
+
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of every piece; lengths must fall and be at least 1."""
@@ -128,7 +137,7 @@ def pack(
     """A row per piece: ``id, piece, start, length, ids_crc32, ids, sequence_id, offset``.
 
     A document is its ids by the tokenizer file (no special tokens added), then ``end_id``. Longer ones than a sequence
-    are cut into pieces of its length, the last of which may be shorter. ``start`` counts the ids of the document before
+    can hold (``capacity.longest``) are cut into pieces of that length, the last of which may be shorter. ``start`` counts the ids of the document before
     the piece, ``offset`` the ids of the sequence before it; a sequence has no gaps. ``ids``: unsigned 32-bit,
     little-endian; left out unless ``with_ids``.
 
@@ -137,7 +146,7 @@ def pack(
     """
     rows = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     columns = "_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    pieces = stored(rows.mapInArrow(_cut(tokenizer, capacity.tokens, end_id, with_ids), columns), "pieces")
+    pieces = stored(rows.mapInArrow(_cut(tokenizer, capacity.longest, end_id, with_ids), columns), "pieces")
     shards = max(1, -(-pieces.count() // SHARD_PIECES))
     shard = F.pmod(F.xxhash64("_id", "piece", "length", "ids_crc32"), F.lit(shards)).cast("int").alias("shard")
     placed = (

@@ -193,6 +193,97 @@ def test_tokens_and_packing(spark, odd):
         assert made == {k: b"".join(p[2] for p in sorted(v)) for k, v in whole.items()}
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize(
+    "limit", [{"tokens": 300}, {"tokens": 10_000, "documents": 4}, {"tokens": 10_000, "attention": 100**2 + 50**2}]
+)
+def test_every_capacity_binds_alone(limit, score):
+    lengths = np.sort(np.random.default_rng(3).integers(1, 101, 2000))[::-1].astype(np.int64)
+    capacity = packing.Capacity(**limit, score=score)
+    needs = np.stack([lengths, np.ones_like(lengths), lengths**2], 1)
+    places, offsets = packing.best_fit(lengths, capacity)
+    used = np.zeros((places.max() + 1, 3), np.int64)
+    for at, offset, need in zip(places, offsets, needs):
+        assert offset == used[at, 0]
+        used[at] += need
+    assert (used <= capacity.limits()).all()
+    binding = ["tokens", "documents", "attention"].index(list(limit)[-1])
+    loose = [i for i in range(3) if i != binding]
+    # the bound of this capacity alone is nearly met, the others would allow far fewer sequences
+    bounds = needs.sum(axis=0) / capacity.limits()
+    assert bounds[binding] <= len(used) <= 1.05 * bounds[binding] + 1
+    assert (bounds[loose] < 0.75 * len(used)).all()
+
+
+def test_attention_below_the_square_of_the_tokens_cuts_pieces(spark, odd):
+    capacity = packing.Capacity(tokens=500, attention=300**2 + 299)
+    rows = packing.pack(odd, vocabulary(), capacity=capacity, with_ids=False).collect()
+    cost = collections.Counter()
+    for r in rows:
+        cost[r.sequence_id] += r.length**2
+    assert max(r.length for r in rows) == capacity.longest == 300 and max(cost.values()) <= 300**2 + 299
+
+
+def test_packing_query(spark, sf_dir):
+    """All pieces by the tokenizer itself; no gaps; nearly as few sequences as the tokens allow."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    plain, wanted = Tokenizer.from_file(vocabulary()), set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = plain.encode(r.text or "", add_special_tokens=False).ids + [1]
+        for n, low in enumerate(range(0, len(ids), 4096)):
+            own = np.array(ids[low : low + 4096], "<u4")
+            wanted.add((r.doc_id, n, low, len(own), zlib.crc32(own.tobytes())))
+    got = QUERIES["op7_best_fit_packing"](spark, sf_dir).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == wanted and len(got) == len(wanted)
+    filled = collections.Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 4096 and len(filled) <= -(-sum(filled.values()) // 4096) + 1
+
+
+def test_suffix_query(spark, sf_dir):
+    """Every 400-byte string of all texts in one dictionary."""
+    import hashlib
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    seen = collections.Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    wanted = set()
+    for doc_id, t in texts.items():
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        spans = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if len(t) else 0
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone[:-1]])
+        wanted.add((doc_id, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = [tuple(r) for r in QUERIES["op2_suffix_dedup"](spark, sf_dir).select(*columns).collect()]
+    assert set(got) == wanted and len(got) == len(wanted)
+    assert any(w[2] for w in wanted)
+
+
+def test_rollup_query(spark, sf_dir):
+    """Counts after the last batch, made anew from the texts."""
+    from tokenizers import Tokenizer
+
+    plain, totals = Tokenizer.from_file(vocabulary()), collections.defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        text = re.sub(r"[#*$%&|<>]", "", r.text or "")
+        n = len(words(text))
+        if n < 50:  # deleted under every tokenizer
+            continue
+        for name, tokens_ in (("words-1", n), ("word_bpe_49k", len(plain.encode(text, add_special_tokens=False).ids))):
+            own = totals[r.source, r.lang, name]
+            own[0] += 1
+            own[1] += tokens_
+    got = {(r.source, r.lang, r.tokenizer): [r.documents, r.tokens] for r in QUERIES["op9_token_rollup"](spark, sf_dir).collect()}
+    assert got == dict(totals)
+
+
 def test_licenses(spark, sf_dir, odd):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in QUERIES["op8_license_scan"](spark, sf_dir).collect():
