@@ -485,6 +485,10 @@ def chunk_timing(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     spans = chunks.groupBy("request_id", "provider_type").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
+    return _timed(spans, requests)
+
+
+def _timed(spans: DataFrame, requests: DataFrame) -> DataFrame:
     start = as_us(F.col("start_ts"))
     return spans.join(requests, "request_id").withColumns(
         {
@@ -533,21 +537,19 @@ def stream_usage(events: DataFrame) -> DataFrame:
         ],
     )
 
-    def n(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0).cast("bigint"))
+    parts = [F.col(f"part_{name}") for name in ANTHROPIC_USAGE]
+    return last.select("request_id", "provider_type", _usage_of(*map(F.col, whole_names), *parts).alias("usage"))
 
-    read = n("part_cache_read_input_tokens")
-    prompt = n("prompt_tokens") + n("part_input_tokens") + n("part_cache_creation_input_tokens") + read
-    completion = n("completion_tokens") + n("part_output_tokens")
-    return last.select(
-        "request_id",
-        "provider_type",
-        F.struct(
-            prompt.alias("prompt_tokens"),
-            completion.alias("completion_tokens"),
-            (prompt + completion).alias("total_tokens"),
-            (n("cached_tokens") + read).alias("cached_tokens"),
-        ).alias("usage"),
+
+def _usage_of(*counts: Column) -> Column:
+    """Usage from the counts of both formats, of which a response has one; missing ones are 0."""
+    prompt, completion, cached, given, output, created, read = (F.coalesce(c, F.lit(0).cast("bigint")) for c in counts)
+    prompt, completion = prompt + given + created + read, completion + output
+    return F.struct(
+        prompt.alias("prompt_tokens"),
+        completion.alias("completion_tokens"),
+        (prompt + completion).alias("total_tokens"),
+        (cached + read).alias("cached_tokens"),
     )
 
 
@@ -558,19 +560,29 @@ def stats_from_chunks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     counted like any other.
     """
     usage = stream_usage(sse_events(chunks, key="usage"))
-    return (
-        chunk_timing(chunks, requests.select("request_id", "provider_name", "start_ts"))
-        .join(usage, ["request_id", "provider_type"], "left")
-        .select(
-            "request_id",
-            F.col("last_ts").alias("timestamp"),
-            "provider_type",
-            "provider_name",
-            derive.round_ms(F.col("duration_ms")).alias("latency_ms"),
-            F.lit(True).alias("is_streaming"),
-            derive.round_ms(F.col("time_to_first_token_ms")).alias("time_to_first_token_ms"),
-            F.coalesce("usage.prompt_tokens", F.lit(0)).alias("input_tokens"),
-            F.coalesce("usage.completion_tokens", F.lit(0)).alias("output_tokens"),
-            F.coalesce("usage.cached_tokens", F.lit(0)).alias("cached_tokens"),
-        )
+    timed = chunk_timing(chunks, requests.select("request_id", "provider_name", "start_ts"))
+    return _stats(timed.join(usage, ["request_id", "provider_type"], "left"))
+
+
+def stats_of_closed(closed: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same from the rows of ``streaming.stats.closed_responses``, stored or still a stream; late rows are left out."""
+    counts = ["prompt_tokens", "completion_tokens", "cached_tokens", *ANTHROPIC_USAGE]
+    spans = closed.filter(~F.col("late")).select(
+        "request_id", "provider_type", "first_ts", "last_ts", _usage_of(*map(F.col, counts)).alias("usage")
+    )
+    return _stats(_timed(spans, requests.select("request_id", "provider_name", "start_ts")))
+
+
+def _stats(timed: DataFrame) -> DataFrame:
+    return timed.select(
+        "request_id",
+        F.col("last_ts").alias("timestamp"),
+        "provider_type",
+        "provider_name",
+        derive.round_ms(F.col("duration_ms")).alias("latency_ms"),
+        F.lit(True).alias("is_streaming"),
+        derive.round_ms(F.col("time_to_first_token_ms")).alias("time_to_first_token_ms"),
+        F.coalesce("usage.prompt_tokens", F.lit(0)).alias("input_tokens"),
+        F.coalesce("usage.completion_tokens", F.lit(0)).alias("output_tokens"),
+        F.coalesce("usage.cached_tokens", F.lit(0)).alias("cached_tokens"),
     )

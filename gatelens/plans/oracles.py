@@ -648,3 +648,4 @@ WHERE is_open AND ts < least((SELECT max(ts) FROM a), (SELECT max(end_ts) FROM d
        string_agg(text, '' ORDER BY turn) AS content FROM conversations GROUP BY ALL""",
 }
 ORACLES["merged_anthropic"] = ORACLES["merged_anthropic"].replace("{{", "{").replace("}}", "}")
+ORACLES["streaming_stats"] = ORACLES["stats_from_chunks"]

@@ -23,6 +23,7 @@ from gatelens.streaming import chunks as live_chunks
 from gatelens.streaming import cooldown as live_cooldown
 from gatelens.streaming import live, update_log
 from gatelens.streaming import rollup as live_rollup
+from gatelens.streaming import stats as live_stats
 
 AS_OF = demo.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1048,3 +1049,28 @@ def streaming_assembly(spark, sf_dir):
     return merged.select("request_id", F.explode("choices").alias("c")).select(
         "request_id", F.col("c.index").cast("bigint").alias("choice"), F.col("c.message.content").alias("content")
     )
+
+
+@query
+def streaming_stats(spark, sf_dir):
+    """Request stats from live chunks of both formats; the files cut every response, and a chunk three days after the
+    others closes them all."""
+    path = scratch_path(spark, "live-stats")
+    recorded = _both_formats(spark, sf_dir)
+    recorded.repartition(4, F.col("seq") % 4).write.parquet(path + "/in")
+    end = recorded.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).select(
+        F.lit("").alias("request_id"), F.lit(None).cast("string").alias("provider_type"), F.lit(0).cast("bigint").alias("seq"),
+        "ts", F.lit("").cast("binary").alias("data"),
+    )
+    end.filter("ts IS NOT NULL").select(*recorded.columns).write.mode("append").parquet(path + "/in")
+    closed = live_stats.closed_responses(live.stream_parquet(spark, path + "/in", files_per_trigger=2), delay="1 day")
+    started = (
+        closed.writeStream.format("parquet")
+        .option("path", path + "/out")
+        .option("checkpointLocation", path + "-checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    done = spark.read.schema(live_stats.CLOSED).parquet(path + "/out")
+    return chunks.stats_of_closed(done, _both_requests(spark, sf_dir))

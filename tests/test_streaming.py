@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from helpers import log
-from test_chunks import delta, recorded, stream
+from test_chunks import delta, ending, recorded, start, stream
 
 from gatelens.operators import chunks as B
 from gatelens.operators import cooldown as C
@@ -14,6 +14,7 @@ from gatelens.streaming import chunks as live_chunks
 from gatelens.streaming import live, update_log
 from gatelens.streaming.cooldown import LiveCooldown, live_outcomes, read_late, read_triggers
 from gatelens.streaming.rollup import LiveRollup
+from gatelens.streaming.stats import CLOSED, closed_responses
 
 AS_OF = demo.AS_OF
 
@@ -252,3 +253,44 @@ def test_late_rows_make_their_dates_dirty(spark, tmp_path):
     table.process(_stats_rows(spark, [63, 63]), len(parts))
     parts.append([63, 63])
     assert same()
+
+
+def test_live_stats_are_those_of_the_recording(spark, tmp_path):
+    """Cut anywhere, out of order and twice; without an end, with a gap, with odd lines; one chunk after the closing."""
+    use = {"prompt_tokens": 10, "completion_tokens": 5, "prompt_tokens_details": {"cached_tokens": 2}}
+    last = b"data: " + b'{"usage": {"prompt_tokens": 3, "completion_tokens": null}}'
+    plain = {
+        "whole": stream([delta(content="xü"), {"usage": use}]),
+        "no end": stream([{"usage": use}, delta(content="usage")], b""),
+        "no line end": stream([{"usage": use}], last),
+        "escaped": stream([], b'data: {"us\\u0061ge": {"prompt_tokens": "7"}}\r\ndata: {"usage": {"prompt_tokens": 9}} x\n\n'),
+        "null": stream([{"usage": use}, {"usage": None}, b"data: {\xff usage\n\n", b"event: usage\n\n"]),
+        "nothing": b"\n",
+    }
+    blocks = {
+        "a": stream([start(input_tokens=10, cache_creation_input_tokens=3, cache_read_input_tokens=5, output_tokens=1), ending(output_tokens=8)], b""),
+        "b": stream([start(input_tokens=4), ending(input_tokens=6, output_tokens=None)], b""),
+    }
+    chunks = recorded(spark, plain, sizes=(9, 2)).union(recorded(spark, blocks, sizes=(11, 3), provider_type="anthropic"))
+    chunks = chunks.filter("request_id <> 'whole' OR seq <> 4")
+    chunks = chunks.union(chunks.filter("seq % 7 = 0"))
+    t0 = chunks.agg(F.min("ts")).first()[0]
+    begun = spark.createDataFrame(
+        [(name, "p", t0 - dt.timedelta(milliseconds=40)) for name in [*plain, *blocks]], "request_id string, provider_name string, start_ts timestamp"
+    )
+    wanted = sorted(map(tuple, B.stats_from_chunks(chunks, begun).collect()))
+    assert len(wanted) == 8
+
+    def shifted(request_id, minutes):
+        one = chunks.filter("request_id = 'whole' AND seq = 1").limit(1)
+        return one.select(F.lit(request_id).alias("request_id"), "provider_type", "seq", (F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("ts"), "data")
+
+    for part in (chunks.filter("seq % 3 = 1"), chunks.filter("seq % 3 <> 1"), shifted("", 30), shifted("whole", 31), shifted("", 60)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    closed = closed_responses(live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1), delay="5 minutes")
+    closed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "checkpoint")
+    ).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(CLOSED).parquet(str(tmp_path / "out")).filter("request_id <> ''")
+    assert sorted(map(tuple, B.stats_of_closed(out, begun).collect())) == wanted
+    assert [tuple(r) for r in out.filter("late").select("request_id", "prompt_tokens").collect()] == [("whole", None)]
