@@ -952,18 +952,26 @@ def streaming_counters(spark, sf_dir):
 
 
 DELAY_S = 1800
+FILE_ROWS = 500_000
 
 
-def _arrivals(rows, path: str, parts: int = 4):
-    """Rows as files in the order of their arrival, up to half an hour out of the order of their times."""
+def _arrivals(rows, path: str, parts: int = 4) -> int:
+    """Rows in parts in the order of their arrival, up to half an hour out of the order of their times.
+
+    Every part has the same number of files, which is returned: they come in one micro-batch, whatever the writer.
+    """
     arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(DELAY_S * 1_000_000))
     rows = materialize(rows.withColumn("arrival", arrival), "arrivals")
     edges = rows.approxQuantile("arrival", [n / parts for n in range(1, parts)], 0.01)
+    files = max(1, -(-rows.count() // (parts * FILE_ROWS)))
     for low, high in zip([None, *edges], [*edges, None]):
         part = rows if low is None else rows.filter(F.col("arrival") >= low)
         part = part if high is None else part.filter(F.col("arrival") < high)
-        # one closed file each, as a gateway hands over: what comes in one micro-batch does not depend on the writer
-        part.drop("arrival").coalesce(1).write.mode("append").parquet(path)
+        part = part.drop("arrival")
+        # closed files, as a gateway hands over; rows have a number each, so none of these is empty
+        part = part.coalesce(1) if files == 1 else part.repartition(files, "seq")
+        part.write.mode("append").parquet(path)
+    return files
 
 
 @query
@@ -972,8 +980,8 @@ def streaming_cooldown(spark, sf_dir):
     path = scratch_path(spark, "live")
     log = demo.router_events(spark, sf_dir).filter("type in ('request', 'response', 'error')")
     names = ["type", "request_id", "provider", "endpoint", "stream", "usage", "input_tokens", "status_code", "seq"]
-    _arrivals(log.select(F.col("timestamp").alias("ts"), *names), path + "/in")
-    source = live.stream_parquet(spark, path + "/in", files_per_trigger=1).withColumnRenamed("ts", "timestamp")
+    files = _arrivals(log.select(F.col("timestamp").alias("ts"), *names), path + "/in")
+    source = live.stream_parquet(spark, path + "/in", files_per_trigger=files).withColumnRenamed("ts", "timestamp")
     outcomes = live_cooldown.live_outcomes(source, f"{DELAY_S} seconds")
     detector = live_cooldown.LiveCooldown(path, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600, lateness_s=DELAY_S)
     detector.start(outcomes, path + "-checkpoint").awaitTermination()
@@ -986,9 +994,9 @@ def streaming_cooldown_unordered(spark, sf_dir):
     """From outcomes in files whose events are up to half an hour out of order; what came too late is in the result."""
     path = scratch_path(spark, "live")
     rows = cooldown.outcomes(demo.router_events(spark, sf_dir))
-    _arrivals(rows.withColumn("ts", F.col("ts").cast("timestamp")), path + "/in")
+    files = _arrivals(rows.withColumn("ts", F.col("ts").cast("timestamp")), path + "/in")
     detector = live_cooldown.LiveCooldown(path, demo.THRESHOLD, demo.WINDOW_S, slice_s=3600, lateness_s=DELAY_S)
-    source = live.stream_parquet(spark, path + "/in", files_per_trigger=1)
+    source = live.stream_parquet(spark, path + "/in", files_per_trigger=files)
     detector.start(source, path + "-checkpoint").awaitTermination()
     found = live_cooldown.read_triggers(spark, path).unionByName(detector.expected(spark)).withColumn("late", F.lit(False))
     late = live_cooldown.read_late(spark, path).select("provider_type", "provider", "us", "seq", F.lit(True).alias("late"))
@@ -1029,13 +1037,21 @@ def streaming_in_flight(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(path)
 
 
+def _cut_files(recorded, path: str) -> int:
+    """Chunks in files that each have some of a response's chunks; returns how many are half of them at most."""
+    files = max(1, -(-recorded.count() // (4 * FILE_ROWS)))
+    own = [F.pmod(F.xxhash64("request_id"), F.lit(files))] if files > 1 else []
+    recorded.repartition(4 * files, F.col("seq") % 4, *own).write.parquet(path)
+    return 2 * files
+
+
 @query
 def streaming_assembly(spark, sf_dir):
     """Text per choice from the live pieces; the files cut every response, so that it pauses for whole batches."""
     path = scratch_path(spark, "live")
     recorded = demo.conversation_chunks(spark, sf_dir, "openai")
-    recorded.repartition(4, F.col("seq") % 4).write.parquet(path + "/in")
-    pieces = live_chunks.assemble(live.stream_parquet(spark, path + "/in", files_per_trigger=2))
+    half = _cut_files(recorded, path + "/in")
+    pieces = live_chunks.assemble(live.stream_parquet(spark, path + "/in", files_per_trigger=half))
     started = (
         pieces.writeStream.format("parquet")
         .option("path", path + "/out")
@@ -1057,13 +1073,13 @@ def streaming_stats(spark, sf_dir):
     others closes them all."""
     path = scratch_path(spark, "live-stats")
     recorded = _both_formats(spark, sf_dir)
-    recorded.repartition(4, F.col("seq") % 4).write.parquet(path + "/in")
+    half = _cut_files(recorded, path + "/in")
     end = recorded.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).select(
         F.lit("").alias("request_id"), F.lit(None).cast("string").alias("provider_type"), F.lit(0).cast("bigint").alias("seq"),
         "ts", F.lit("").cast("binary").alias("data"),
     )
     end.filter("ts IS NOT NULL").select(*recorded.columns).write.mode("append").parquet(path + "/in")
-    closed = live_stats.closed_responses(live.stream_parquet(spark, path + "/in", files_per_trigger=2), delay="1 day")
+    closed = live_stats.closed_responses(live.stream_parquet(spark, path + "/in", files_per_trigger=half), delay="1 day")
     started = (
         closed.writeStream.format("parquet")
         .option("path", path + "/out")

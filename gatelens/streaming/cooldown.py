@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gatelens.operators import cooldown as C
 from gatelens.operators.facts import KEY as ATTEMPT
 from gatelens.operators.facts import count_tokens_event, terminals
+from gatelens.session import use_state_store
 from gatelens.streaming.store import Batch, LiveStore
 
 KEY = ["provider_type", "provider"]
@@ -39,6 +40,7 @@ def live_outcomes(
     and ``timeout`` together. Copies of a request event do not multiply rows. What comes later than ``delay`` is dropped by
     Spark's watermark; give as much as the log can be out of order.
     """
+    use_state_store(events.sparkSession)
     asked = events.filter(F.col("type") == "request").select(
         *[F.col(k).alias(f"start_{k}") for k in ATTEMPT],
         F.col("timestamp").alias("start_ts"),

@@ -294,3 +294,29 @@ def test_live_stats_are_those_of_the_recording(spark, tmp_path):
     out = spark.read.schema(CLOSED).parquet(str(tmp_path / "out")).filter("request_id <> ''")
     assert sorted(map(tuple, B.stats_of_closed(out, begun).collect())) == wanted
     assert [tuple(r) for r in out.filter("late").select("request_id", "prompt_tokens").collect()] == [("whole", None)]
+
+
+def test_state_store_looks_nothing_up_twice(spark):
+    """Live queries set their store themselves: no look-up before a write, changes alone at a commit, one store a join."""
+    from gatelens import session
+
+    for key in session.STATE:
+        spark.conf.unset(key)
+    live_outcomes(spark.readStream.schema(log(spark, []).schema).parquet("/root/testdata/none*"))
+    assert {key: spark.conf.get(key) for key in session.STATE} == session.STATE
+
+
+def test_arrivals_have_as_many_files_in_every_part(spark, tmp_path, monkeypatch):
+    from gatelens.plans import queries
+
+    rows = spark.range(2_000).select((F.timestamp_micros(F.col("id") * 10_000_000)).alias("ts"), F.col("id").alias("seq"))
+    monkeypatch.setattr(queries, "FILE_ROWS", 100)
+    files = queries._arrivals(rows, str(tmp_path / "in"))
+    assert files == 5 and len(list((tmp_path / "in").glob("part-*"))) == 4 * files
+    batches = []
+    live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=files).writeStream.foreachBatch(
+        lambda batch, _: batches.append(batch.agg(F.min("seq"), F.max("seq"), F.count("*")).first())
+    ).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination()
+    assert len(batches) == 4 and sum(b[2] for b in batches) == 2_000
+    # parts follow each other, but for half an hour
+    assert all(b[0] >= a[1] - 2 * 180 for a, b in zip(batches, batches[1:]))
