@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gatelens.session import STATE_STORE
+from gatelens.session import use_state_store
+from gatelens.streaming.waiting import CHUNK, FIELDS, SEQ, Waiting
 
 # the processor travels to the workers as a whole, so they need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,10 +41,9 @@ _OPEN = T.StructType(
         T.StructField("due_ms", T.LongType()),
         T.StructField("line", T.BinaryType()),
         T.StructField("closed", T.BooleanType()),
+        *FIELDS,
     ]
 )
-_SEQ = T.StructType([T.StructField("seq", T.LongType())])
-_DATA = T.StructType([T.StructField("data", T.BinaryType())])
 
 
 def _unknown(name: str):
@@ -91,7 +91,8 @@ class UsageReader(StatefulProcessor):
 
     A request is closed a time-out after its newest chunk, with or without an end marker: chunks behind a missing one are
     then read in their order, and its row goes out. It is remembered as closed for another time-out, in which a further
-    chunk gives a row marked ``late`` with its time and no usage.
+    chunk gives a row marked ``late`` with its time and no usage. A request that is known has one timer: if that comes
+    before the request is due, it is set anew then, not with every chunk.
     """
 
     def __init__(self, timeout_ms: int) -> None:
@@ -100,20 +101,24 @@ class UsageReader(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _OPEN)
-        self.waiting = handle.getMapState("waiting", _SEQ, _DATA)
+        self.waiting = handle.getMapState("waiting", SEQ, CHUNK)
 
     def _keep(self, state: dict, ms: int) -> None:
-        """Stores the state, with one timer: a time-out after ``ms``."""
+        """Stores the state, due a time-out after ``ms``."""
         state["due_ms"] = ms + self.timeout_ms
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(state["due_ms"])
+        state["listed"], state["in_map"] = state["waiting"].fields()
         self.open.update(tuple(state[name] for name in _OPEN.names))
 
-    def _state(self) -> dict:
-        if self.open.exists():
-            return dict(zip(_OPEN.names, tuple(self.open.get())))
-        return {name: None for name in _OPEN.names} | {"next_seq": 0, "line": b"", "closed": False}
+    def _state(self) -> dict | None:
+        found = self.open.get()
+        if found is None:
+            return None
+        state = dict(zip(_OPEN.names, tuple(found)))
+        return state | {"waiting": Waiting(state["listed"], state["in_map"], self.waiting)}
+
+    def _new(self) -> dict:
+        fields = {name: None for name in _OPEN.names}
+        return fields | {"next_seq": 0, "line": b"", "closed": False, "waiting": Waiting(None, 0, self.waiting)}
 
     @staticmethod
     def _read(state: dict, data) -> None:
@@ -123,7 +128,8 @@ class UsageReader(StatefulProcessor):
         state["line"] = rest
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state, now = self._state(), timerValues.getCurrentWatermarkInMs()
+        found, now = self._state(), timerValues.getCurrentWatermarkInMs()
+        state = self._new() if found is None else found
         if state["due_ms"] is not None and state["due_ms"] <= now and not state["closed"]:
             yield self._close(key, state)  # the timers of a batch come after its rows
         for row in rows:
@@ -136,31 +142,35 @@ class UsageReader(StatefulProcessor):
             state["first_us"] = us if state["first_us"] is None else min(state["first_us"], us)
             state["last_us"] = us if state["last_us"] is None else max(state["last_us"], us)
             if seq > state["next_seq"]:
-                self.waiting.updateValue((seq,), (bytes(row["data"]),))
+                state["waiting"].add(seq, None, bytes(row["data"]))
             elif seq == state["next_seq"]:
-                self._read(state, row["data"])
-                state["next_seq"] += 1
-                while self.waiting.containsKey((state["next_seq"],)):
-                    self._read(state, self.waiting.getValue((state["next_seq"],))[0])
-                    self.waiting.removeKey((state["next_seq"],))
+                data = row["data"]
+                while data is not None:
+                    self._read(state, data)
                     state["next_seq"] += 1
+                    _, data = state["waiting"].take(state["next_seq"]) or (None, None)
         self._keep(state, max(state["last_us"] // 1000, now))
+        if found is None:
+            self.handle.registerTimer(state["due_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.open.exists():
+        state, now = self._state(), timerValues.getCurrentWatermarkInMs()
+        if state is None:
+            return
+        if state["due_ms"] > now:
+            self.handle.registerTimer(state["due_ms"])
             return
-        state = self._state()
         if state["closed"]:
             self.open.clear()
             return
         yield self._close(key, state)
-        self._keep(state, timerValues.getCurrentWatermarkInMs())
+        self._keep(state, now)
+        self.handle.registerTimer(state["due_ms"])
 
     def _close(self, key, state: dict) -> Row:
-        for (seq,) in sorted(tuple(k) for k in self.waiting.keys()):
-            self._read(state, self.waiting.getValue((seq,))[0])
+        for _, data in state["waiting"].drain():
+            self._read(state, data)
         self._read(state, b"\n")  # the last line may have no end
-        self.waiting.clear()
         state["closed"] = True
         return self._row(key[0], state)
 
@@ -180,7 +190,7 @@ def closed_responses(chunks: DataFrame, delay: str = "1 minute", timeout_s: int
     of a request that nobody asked for does it too. ``operators.chunks.stats_of_closed`` makes request stats of the rows.
     """
     # this kind of state needs the RocksDB store
-    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    use_state_store(chunks.sparkSession)
     rows = (
         chunks.withWatermark("ts", delay)
         .withColumn("us", F.unix_micros("ts"))

@@ -296,6 +296,38 @@ def test_live_stats_are_those_of_the_recording(spark, tmp_path):
     assert [tuple(r) for r in out.filter("late").select("request_id", "prompt_tokens").collect()] == [("whole", None)]
 
 
+class _Store:
+    """A map state that counts the calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        keys = {"containsKey": self.rows.__contains__, "getValue": self.rows.get, "removeKey": self.rows.pop}
+        return {**keys, "updateValue": self.rows.__setitem__, "clear": self.rows.clear, "keys": lambda: list(self.rows)}[name]
+
+
+def test_waiting_chunks_ask_the_store_only_beyond_the_list():
+    from gatelens.streaming.waiting import LISTED_BYTES, Waiting
+
+    store, held = _Store(), (None, 0)
+    for seq in [5, 3, 4, 3]:
+        waiting = Waiting(*held, store)
+        waiting.add(seq, seq, b"%d" % seq)
+        held = waiting.fields()
+    assert Waiting(*held, store).take(4) == (4, b"4") and store.calls == 0
+    big = bytes(LISTED_BYTES // 3)
+    waiting = Waiting(*held, store)
+    for seq in [9, 7, 8, 6, 7, 8, 9]:
+        waiting.add(seq, seq, big)
+    assert len(store.rows) == 2 and waiting.in_map == 2 and waiting.size <= LISTED_BYTES
+    assert waiting.take(6) == (6, big) and waiting.take(6) is None
+    waiting = Waiting(*waiting.fields(), store)
+    assert [us for us, _ in waiting.drain()] == [3, 4, 5, 7, 8, 9]
+    assert waiting.fields() == ([], 0) and not store.rows and list(waiting.drain()) == []
+
+
 def test_state_store_looks_nothing_up_twice(spark):
     """Live queries set their store themselves: no look-up before a write, changes alone at a commit, one store a join."""
     from gatelens import session
