@@ -328,6 +328,27 @@ def test_waiting_chunks_ask_the_store_only_beyond_the_list():
     assert waiting.fields() == ([], 0) and not store.rows and list(waiting.drain()) == []
 
 
+def test_chunks_beyond_the_list_wait_in_the_map(spark, tmp_path):
+    """The first chunk of a response of 200 KB comes last; a gap in another one stays open."""
+    texts = {"late": stream([delta(content="x" * 200_000)]), "gap": stream([delta(content="y" * 200_000)])}
+    chunks = recorded(spark, texts, sizes=(9_000,)).filter("request_id <> 'gap' OR seq <> 3")
+    for part in (chunks.filter("seq > 0"), chunks.filter("seq = 0")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    newest = chunks.agg(F.max("ts")).first()[0]
+    end = spark.createDataFrame([("z", "openai", 0, newest + dt.timedelta(hours=1), bytearray(b""))], chunks.schema)
+    end.write.mode("append").parquet(str(tmp_path / "in"))
+    pieces = live_chunks.assemble(live.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1), "10 minutes", 600)
+    pieces.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "checkpoint")
+    ).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(live_chunks.PIECES).parquet(str(tmp_path / "out")).orderBy("seq").collect()
+    for name, complete in (("late", True), ("gap", False)):
+        wanted = b"".join(bytes(r.data) for r in chunks.filter(F.col("request_id") == name).orderBy("seq").collect())
+        own = [r for r in rows if r.request_id == name]
+        assert b"".join(bytes(r.data) for r in own) == wanted
+        assert [r.complete for r in own if r.last] == [complete]
+
+
 def test_state_store_looks_nothing_up_twice(spark):
     """Live queries set their store themselves: no look-up before a write, changes alone at a commit, one store a join."""
     from gatelens import session
