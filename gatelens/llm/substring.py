@@ -7,8 +7,9 @@ Three jobs over the documents, none of which moves a text between executors befo
 2. Only windows whose counters all reached two are emitted, as 128-bit hashes, and grouped exactly.
 3. The same windows meet the groups; a document gets the windows that a smaller id has, and its words are cut.
 
-The merged sketch is broadcast; its size is at most ``2 * 2**max_width_bits / 8`` bytes whatever the input. A sketch
-that is small for its input lets more unrepeated windows through to the exact step, and changes nothing else.
+The merged sketch is broadcast; its size is an eighth of the text's bytes, and at most ``2 * 2**max_width_bits / 8`` bytes
+whatever the input. A sketch that is small for its input lets more unrepeated windows through to the exact step, and
+changes nothing else.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from gatelens.llm.common import LAST_ID, blocks, buffers, keyed, partitions, pla
 ROWS = 2
 #: Counters of a slot, which one task merges at a time; a sketch has as many slots as that makes.
 SLOT_BITS = 18
-#: Bytes of documents hashed at a time; a longer document is hashed alone.
-_GROUP = 1 << 20
-_FLUSH = 1 << 21
+#: Bytes of documents hashed at a time; a longer document is hashed alone. A worker's memory beside the sketch follows this
+#: and the windows that it gathers before it emits them.
+_GROUP = 1 << 19
+_FLUSH = 1 << 20
 _SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
-def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (hashing.mix(hashes ^ np.uint64(_SALTS[row])) >> np.uint64(64 - bits)).astype(np.uint32)
+def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The counter of every hash in a row of ``width`` counters."""
+    high = hashing.mix(hashes ^ np.uint64(_SALTS[row])) >> np.uint64(32)
+    return (high * np.uint64(width) >> np.uint64(32)).astype(np.uint32)
 
 
 def document_windows(texts, width: int, lanes: tuple[int, ...]):
@@ -60,19 +64,20 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def _slots(bits: int) -> tuple[int, int]:
-    """Bits of a cell within its slot, and the number of slots of a row."""
-    slot_bits = min(bits, SLOT_BITS)
-    return slot_bits, 1 << (bits - slot_bits)
+def _slots(volume: int, max_width_bits: int) -> tuple[int, int]:
+    """Bits of a cell within its slot, and the number of slots of a row: a cell for two bytes of text, some three a window."""
+    slot_bits = min(max_width_bits, SLOT_BITS)
+    return slot_bits, max(1, min(1 << (max_width_bits - slot_bits), -(-volume >> (slot_bits + 1))))
 
 
-def _sketched(width: int, bits: int):
-    slot_bits, n_slots = _slots(bits)
+def _sketched(width: int, slot_bits: int, n_slots: int):
 
     def emit(kept: list[list[np.ndarray]]):
         slots, once, twice = [], [], []
         for row, parts in enumerate(kept):
-            cells = np.sort(np.concatenate(parts))
+            cells = np.concatenate(parts)
+            parts.clear()
+            cells.sort()
             first = np.ones(len(cells), bool)
             first[1:] = cells[1:] != cells[:-1]
             start = np.flatnonzero(first)
@@ -96,7 +101,7 @@ def _sketched(width: int, bits: int):
             for _, owner, (hashes,) in document_windows(batch.column(0), width, (0,)):
                 hashes = hashes[hashing.without_repeats(hashes, owner)]
                 for row in range(ROWS):
-                    kept[row].append(_cells(hashes, row, bits))
+                    kept[row].append(_cells(hashes, row, n_slots << slot_bits))
                 held += len(hashes)
                 if held >= _FLUSH:
                     yield emit(kept)
@@ -134,11 +139,10 @@ def _merged(slot_bits: int):
     return run
 
 
-def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
+def sketch(docs: DataFrame, width: int, slot_bits: int, n_slots: int) -> np.ndarray:
     """Bits of the counters that reached two, one row of the sketch after the other."""
     spark = docs.sparkSession
-    slot_bits, n_slots = _slots(bits)
-    parts = docs.select("_text").mapInArrow(_sketched(width, bits), "slot int, once binary, twice binary")
+    parts = docs.select("_text").mapInArrow(_sketched(width, slot_bits, n_slots), "slot int, once binary, twice binary")
     merged = stored(
         parts.repartition(min(ROWS * n_slots, 4 * partitions(spark)), "slot")
         .sortWithinPartitions("slot")
@@ -151,7 +155,7 @@ def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     return out.reshape(ROWS, -1)
 
 
-def _candidates(width: int, bits: int, shared):
+def _candidates(width: int, cells_of_row: int, shared):
     """Windows that every row of the sketch estimates as repeated, once per document."""
 
     def run(batches):
@@ -161,7 +165,7 @@ def _candidates(width: int, bits: int, shared):
             for _, owner, (first, second) in document_windows(batch.column(0), width, (0, 1)):
                 keep = np.arange(len(first))
                 for row in range(ROWS):
-                    cells = _cells(first[keep], row, bits)
+                    cells = _cells(first[keep], row, cells_of_row)
                     keep = keep[(shared.value[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1]
                 keep = keep[hashing.without_repeats(first[keep], owner[keep])]
                 yield pa.RecordBatch.from_arrays(
@@ -181,13 +185,14 @@ def _cut(width: int):
     def run(batches):
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            removed = batch.column("windows").to_pylist()
+            removed = batch.column("windows")
             n_words, n_removed, kept = [], [], []
-            for i, (text, gone) in enumerate(zip(texts, removed)):
+            for i, text in enumerate(texts):
                 words = [w.decode() for w in text.encode().split()]
                 covered = np.zeros(len(words), bool)
-                if gone:
-                    gone = np.sort(np.array(gone, np.int64).view(np.uint64))
+                gone = removed[i].values
+                if gone is not None:
+                    gone = np.sort(gone.to_numpy(zero_copy_only=False).view(np.uint64))
                     one = batch.column("_text").slice(i, 1)
                     for _, _, (hashes,) in document_windows(one, width, (0,)):
                         edge = np.zeros(len(words) + 1, np.int64)
@@ -227,11 +232,11 @@ def substring_dedup(
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     volume = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits = max(16, min(max_width_bits, int(volume).bit_length() - 1))
-    shared = spark.sparkContext.broadcast(sketch(rows, width, bits))
+    slot_bits, n_slots = _slots(int(volume), max_width_bits)
+    shared = spark.sparkContext.broadcast(sketch(rows, width, slot_bits, n_slots))
 
     found = rows.select("_text", "_id", "_key").mapInArrow(
-        _candidates(width, bits, shared), "h1 long, h2 long, _id long, _key long"
+        _candidates(width, n_slots << slot_bits, shared), "h1 long, h2 long, _id long, _key long"
     )
     groups = stored(
         found.groupBy("h1", "h2")

@@ -2,8 +2,10 @@
 
 import collections
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -38,6 +40,41 @@ def test_substring(odd):
     assert by[(1, 6000, 0)] == 2 and by[(None, 6000, 6000)] == 1 and by[(2, 0, 0)] == 1
 
 
+def test_substring_workers_memory():
+    """What a worker holds beside the sketch is bounded, and the sketch is an eighth of the text's bytes."""
+    slot_bits, n_slots = substring._slots(600_000_000, 29)
+    assert 70_000_000 < substring.ROWS * (n_slots << slot_bits) // 8 < 80_000_000
+    draw = np.random.default_rng(5)
+    sketched, held = substring._sketched(50, slot_bits, n_slots), np.zeros((substring.ROWS, (n_slots << slot_bits) // 8), np.uint8)
+
+    def batches():
+        for i in range(6):
+            texts = [" ".join(map(str, row)) for row in draw.integers(100, 999, (1000, 1000)).tolist()]
+            ids = pa.array(range(1000 * i, 1000 * i + 1000), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(texts), ids, ids], names=["_text", "_id", "_key"])
+
+    given = list(batches())
+    found = substring._candidates(50, n_slots << slot_bits, type("Shared", (), {"value": held}))
+    for run, most in ((sketched, 75), (found, 40)):
+        tracemalloc.start()
+        for _ in run(given):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most
+
+
+def test_substring_sizes(odd):
+    """The result is the same whatever the sketch lets through."""
+    whole = sorted(map(str, substring.substring_dedup(odd).collect()))
+    before, substring.SLOT_BITS = substring.SLOT_BITS, 10
+    try:
+        assert sorted(map(str, substring.substring_dedup(odd).collect())) == whole  # many slots
+        assert sorted(map(str, substring.substring_dedup(odd, max_width_bits=4).collect())) == whole  # lets all through
+    finally:
+        substring.SLOT_BITS = before
+
+
 def test_suffix(odd):
     docs = [(r.doc_id, (r.text or "").encode()) for r in odd.select("doc_id", "text").collect()]
     seen = collections.Counter(t[i : i + 400] for _, t in docs for i in range(len(t) - 399))
