@@ -7,7 +7,7 @@ Three jobs over the documents, none of which moves a text between executors befo
 2. Only windows whose counters all reached two are emitted, as 128-bit hashes, and grouped exactly.
 3. The same windows meet the groups; a document gets the windows that a smaller id has, and its words are cut.
 
-The merged sketch is broadcast; its size is an eighth of the text's bytes, and at most ``2 * 2**max_width_bits / 8`` bytes
+The merged sketch is broadcast; its size is a sixteenth of the text's bytes, and at most ``2 * 2**max_width_bits / 8`` bytes
 whatever the input. A sketch that is small for its input lets more unrepeated windows through to the exact step, and
 changes nothing else.
 """
@@ -30,7 +30,7 @@ SLOT_BITS = 18
 #: Bytes of documents hashed at a time; a longer document is hashed alone. A worker's memory beside the sketch follows this
 #: and the windows that it gathers before it emits them.
 _GROUP = 1 << 19
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 _SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
@@ -65,9 +65,9 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _slots(volume: int, max_width_bits: int) -> tuple[int, int]:
-    """Bits of a cell within its slot, and the number of slots of a row: a cell for two bytes of text, some three a window."""
+    """Bits of a cell within its slot, and the number of slots of a row: a cell for four bytes of text, over one a window."""
     slot_bits = min(max_width_bits, SLOT_BITS)
-    return slot_bits, max(1, min(1 << (max_width_bits - slot_bits), -(-volume >> (slot_bits + 1))))
+    return slot_bits, max(1, min(1 << (max_width_bits - slot_bits), -(-volume >> (slot_bits + 2))))
 
 
 def _sketched(width: int, slot_bits: int, n_slots: int):

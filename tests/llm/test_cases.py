@@ -41,9 +41,9 @@ def test_substring(odd):
 
 
 def test_substring_workers_memory():
-    """What a worker holds beside the sketch is bounded, and the sketch is an eighth of the text's bytes."""
+    """What a worker holds beside the sketch is bounded, and the sketch is a sixteenth of the text's bytes."""
     slot_bits, n_slots = substring._slots(600_000_000, 29)
-    assert 70_000_000 < substring.ROWS * (n_slots << slot_bits) // 8 < 80_000_000
+    assert 35_000_000 < substring.ROWS * (n_slots << slot_bits) // 8 < 40_000_000
     draw = np.random.default_rng(5)
     sketched, held = substring._sketched(50, slot_bits, n_slots), np.zeros((substring.ROWS, (n_slots << slot_bits) // 8), np.uint8)
 
