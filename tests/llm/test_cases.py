@@ -120,6 +120,53 @@ def test_interval_expansion():
         assert [r.tolist() for r in bwt.repeated_starts(texts, least)] == expected
 
 
+def test_wavelet_is_asked_for_mixed_intervals_only(monkeypatch):
+    asked, extended = [], bwt.Wavelet.extended
+    monkeypatch.setattr(
+        bwt.Wavelet, "extended", lambda self, low, high: asked.append(len(low)) or extended(self, low, high)
+    )
+    text = bytes(np.random.default_rng(3).integers(97, 123, 20_000).astype(np.uint8))
+    texts = [text, text[5000:9000], b"x" * 60, text[:30]]
+    found = bwt.repeated_starts(texts, 40)
+    assert [len(f) for f in found] == [4000 - 39, 4000 - 39, 60 - 39, 0]
+    assert sum(asked) < len(text) / 3  # every place has an interval
+
+
+def test_unrelated_stretches_stay_out_of_the_transform(monkeypatch):
+    """Stretches of one anchor: a common window, a common rim that is too short, or the anchor alone."""
+    given, repeated = [], bwt.repeated_starts
+    monkeypatch.setattr(bwt, "repeated_starts", lambda texts, least: given.append(texts) or repeated(texts, least))
+    draw = np.random.default_rng(8)
+    for least in (256, 400, 543):
+        width = -(-(least - suffix.GRAM) // suffix.CORES)
+        for seed in range(20):
+            whole = draw.integers(97, 123, 2 * least - suffix.GRAM).astype(np.uint8)
+            middle = least - suffix.GRAM
+            lane = suffix.hashing.lane_of(0)
+            grams = suffix.hashing.mix(suffix.hashing.rolling(lane["table"][whole], suffix.GRAM, lane["step"]))
+            anchor = grams[middle]
+            bodies = [whole]
+            for common in (0, least - width - 1, least, least + 40):
+                size = max(common, suffix.GRAM)  # the anchor lies somewhere in it
+                low = max(0, min(middle - int(draw.integers(0, size - suffix.GRAM + 1)), len(whole) - size))
+                other = draw.integers(97, 123, len(whole)).astype(np.uint8)
+                other[low : low + size] = whole[low : low + size]
+                for edge in (low - 1, low + size):
+                    if 0 <= edge < len(whole):
+                        other[edge] = 65
+                bodies.append(other)
+            bodies = [b.tobytes() for b in (bodies[:3] if seed % 2 else bodies)]
+            windows = collections.Counter(b[i : i + least] for b in bodies for i in range(len(b) - least + 1))
+            wanted = [[i for i in range(len(b) - least + 1) if windows[b[i : i + least]] > 1] for b in bodies]
+            table = pa.table(
+                {c: pa.array([int(anchor.view(np.int64))] * len(bodies)) for c in ("anchor", "h1", "h2", "copies")}
+                | {"body": pa.array(bodies, pa.binary())}
+            )
+            given.clear()
+            assert suffix._shard(least)(table).column("within").to_pylist() == wanted
+            assert [len(texts) for texts in given] == ([] if seed % 2 else [3])
+
+
 def test_exact_and_rules(odd):
     got = exact.exact_groups(odd).collect()
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == collections.Counter(
