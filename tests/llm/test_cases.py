@@ -94,6 +94,28 @@ def test_suffix(odd):
         assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == expected
 
 
+def test_suffix_of_texts_over_several_segments(spark):
+    """A passage across the border of two segments, at another place of its segment in each text."""
+    draw = np.random.default_rng(21)
+    fill = lambda size: bytes(draw.integers(97, 123, size).astype(np.uint8)).decode()
+    edge, passage = suffix._SEGMENT, "0123456789" + fill(1990)
+    texts = [
+        "-" + fill(edge - 1001) + "-" + passage + "-" + fill(2 * edge),
+        "=" + fill(2 * edge - 301) + "=" + passage + "=" + fill(edge),
+    ]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "id": pa.array([0, 1]), "key": pa.array([0, 1])})
+    met = [np.zeros(len(t), int) for t in texts]
+    for found in suffix._found(400)(iter([batch])):
+        for r in found.to_pylist():
+            for start in r["starts"]:
+                met[r["_id"]][start : start + r["run"]] += 1
+    assert all((m[:-399] == 1).all() and not m[-399:].any() for m in met)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in suffix.suffix_dedup(docs).collect():
+        begin = texts[r.doc_id].index(passage)
+        assert [(x.start, x.end) for x in r.spans] == [(begin, begin + len(passage))]
+
+
 def test_stretch_hashes_read_every_byte():
     least, seen = 500, 0
     for seed in range(60):
